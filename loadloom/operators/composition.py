@@ -105,8 +105,8 @@ def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     b = df.select(F.col(cluster).alias("cb"), F.col(key).alias("kb"), F.col(vector).alias("y"))
     # Members are dealt into blocks; a pair of blocks meets on its numbers.
     blocks = 8
-    a = a.withColumn("i", F.pmod(F.xxhash64("ka"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    b = b.withColumn("j", F.pmod(F.xxhash64("kb"), F.lit(blocks))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    a = a.withColumn("i", F.pmod(F.xxhash64("ka"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    b = b.withColumn("j", F.pmod(F.xxhash64("kb"), F.lit(blocks))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v))
     sums = a.join(b, ["i", "j"]).groupBy("ka", "ca", "cb").agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
     own = F.max(F.when(F.col("ca") == F.col("cb"), F.try_divide(F.col("s"), F.col("n") - 1)))
@@ -150,3 +150,10 @@ def elbow(table: DataFrame, k: str = "k", value: str = "inertia") -> DataFrame:
     drops = drops.withColumn("mean", F.avg("drop").over(Window.partitionBy()))
     n = drops.agg(F.count(F.lit(1)).alias("n"), F.min(k).alias("first"), F.min(F.when(F.col("drop") < F.col("mean"), F.col(k))).alias("hit"))
     return n.select(F.when(F.col("n") >= 3, F.coalesce("hit", "first")).alias("elbow_k"))
+
+
+def legend(df: DataFrame, key: str, level_columns: list[str]) -> DataFrame:
+    """Every code of every level with its distinct keys."""
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.col(c).alias("code")) for i, c in enumerate(level_columns, 1)])
+    long = df.select(key, F.explode(levels).alias("x")).select(key, "x.level", "x.code").where("code is not null")
+    return long.groupBy("level", "code").agg(F.countDistinct(key).alias("n"))

@@ -73,7 +73,7 @@ def monthly(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key, period(F.col(ts)).alias("period")).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total"))
 
 
-def summary(df: DataFrame, groups: list[str], value: str, digits: int = 2) -> DataFrame:
+def summary(df: DataFrame, groups: list[str], value: str, digits: int = 4) -> DataFrame:
     """Count, mean, exact median, deviation (one degree less), least and greatest."""
     r = lambda c, name: F.round(c, digits).alias(name)
     return df.groupBy(*groups).agg(
@@ -81,7 +81,7 @@ def summary(df: DataFrame, groups: list[str], value: str, digits: int = 2) -> Da
     )
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, digits: int = 2) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, digits: int = 4) -> DataFrame:
     """Median, mean, quartiles (linear interpolation) and greatest."""
     p = F.percentile(value, [0.25, 0.5, 0.75])
     got = df.groupBy(*groups).agg(F.count(value).alias("n"), p.alias("p"), F.avg(value).alias("m"), F.max(value).alias("x"))

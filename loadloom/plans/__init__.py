@@ -1,3 +1,3 @@
 """Queries over the driver's tables, by operator family."""
 
-from . import funnel_queries  # noqa: F401
+from . import cluster_queries, funnel_queries, profile_queries, taxonomy_queries  # noqa: F401

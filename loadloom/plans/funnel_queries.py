@@ -13,7 +13,7 @@ from .registry import register
 
 MONTHS = f"(SELECT key, count(DISTINCT strftime(ts, '%Y-%m')) AS n_months FROM {ORDERS} GROUP BY key)"
 OK = f"(SELECT key FROM {MONTHS} WHERE n_months >= 12)"
-STATS = "count(total) AS n, round(avg(total), 2) AS mean, round(median(total), 2) AS median, round(stddev_samp(total), 2) AS std, round(min(total), 2) AS min, round(max(total), 2) AS max"
+STATS = "count(total) AS n, round(avg(total), 4) AS mean, round(median(total), 4) AS median, round(stddev_samp(total), 4) AS std, round(min(total), 4) AS min, round(max(total), 4) AS max"
 CENSUS = """SELECT {g}, n_keys, pct, round(sum(pct) OVER (ORDER BY n_keys DESC, {g} ROWS UNBOUNDED PRECEDING), 2) AS cum_pct
 FROM (SELECT {g}, n_keys, round(100.0 * n_keys / sum(n_keys) OVER (), 2) AS pct FROM (SELECT {g}, count(DISTINCT key) AS n_keys FROM {t} GROUP BY {g}))"""
 
@@ -165,7 +165,7 @@ def power_mode(spark, sf):
     return funnel.mode_per_key(lines(spark, sf), "key", "quantity")
 
 
-@register("power_stats", f"SELECT flag, count(quantity) AS n, round(avg(quantity), 2) AS mean, round(median(quantity), 2) AS median, round(min(quantity), 2) AS min, round(max(quantity), 2) AS max FROM {LINES} GROUP BY flag")
+@register("power_stats", f"SELECT flag, count(quantity) AS n, round(avg(quantity), 4) AS mean, round(median(quantity), 4) AS median, round(min(quantity), 4) AS min, round(max(quantity), 4) AS max FROM {LINES} GROUP BY flag")
 def power_stats(spark, sf):
     return funnel.summary(lines(spark, sf), ["flag"], "quantity").drop("std")
 
@@ -202,12 +202,12 @@ def power_classes(spark, sf):
     return places(spark, sf).groupBy(binning.power_class(F.col("balance") / 1000).alias("power_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("summary_sheet", f"""SELECT segment, count(DISTINCT m.key) AS n_keys, round(avg(total), 2) AS mean, round(median(total), 2) AS median, round(round(avg(total), 2) * 12, 0) AS annual
+@register("summary_sheet", f"""SELECT segment, count(DISTINCT m.key) AS n_keys, round(avg(total), 2) AS mean, round(median(total), 4) AS median, round(round(avg(total), 2) * 12, 0) AS annual
 FROM {MONTHLY} m JOIN {PLACES} p ON m.key = p.key WHERE m.key IN {OK} GROUP BY segment""")
 def summary_sheet(spark, sf):
     o = orders(spark, sf)
     m = funnel.monthly(o.join(funnel.covered(o, "key", "ts"), "key", "left_semi"), "key", "ts", "value").join(places(spark, sf), "key")
-    got = m.groupBy("segment").agg(F.countDistinct("key").alias("n_keys"), F.round(F.avg("total"), 2).alias("mean"), F.round(F.median("total"), 2).alias("median"))
+    got = m.groupBy("segment").agg(F.countDistinct("key").alias("n_keys"), F.round(F.avg("total"), 2).alias("mean"), F.round(F.median("total"), 4).alias("median"))
     return got.withColumn("annual", F.round(F.col("mean") * 12, 0))
 
 
@@ -234,7 +234,7 @@ def last_nonnull(spark, sf):
 
 
 @register("topn_labels_quantiles", f"""WITH y AS (SELECT nation, total FROM (SELECT key, sum(value) AS total FROM {ORDERS} GROUP BY key) o JOIN {PLACES} p ON o.key = p.key), t AS (SELECT nation FROM y GROUP BY nation ORDER BY count(*) DESC, nation LIMIT 15)
-SELECT nation, count(total) AS n, round(quantile_cont(total, 0.25), 2) AS p25, round(quantile_cont(total, 0.5), 2) AS median, round(quantile_cont(total, 0.75), 2) AS p75, round(avg(total), 2) AS mean, round(max(total), 2) AS max FROM y WHERE nation IN (SELECT nation FROM t) GROUP BY nation""")
+SELECT nation, count(total) AS n, round(quantile_cont(total, 0.25), 4) AS p25, round(quantile_cont(total, 0.5), 4) AS median, round(quantile_cont(total, 0.75), 4) AS p75, round(avg(total), 4) AS mean, round(max(total), 4) AS max FROM y WHERE nation IN (SELECT nation FROM t) GROUP BY nation""")
 def topn_labels_quantiles(spark, sf):
     """The 15 most frequent labels, and the facts of those alone."""
     totals = orders(spark, sf).groupBy("key").agg(F.sum("value").alias("total")).where("total > 0").join(places(spark, sf), "key")
@@ -326,7 +326,7 @@ def log_histogram(spark, sf):
     return orders(spark, sf).where("value > 0").groupBy(F.floor(log10_positive(F.col("value")) * 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("box_stats", f"SELECT kind, count(value) AS n, round(quantile_cont(value, 0.25), 2) AS p25, round(quantile_cont(value, 0.5), 2) AS median, round(quantile_cont(value, 0.75), 2) AS p75, round(avg(value), 2) AS mean, round(max(value), 2) AS max FROM {READINGS} GROUP BY kind")
+@register("box_stats", f"SELECT kind, count(value) AS n, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.75), 4) AS p75, round(avg(value), 4) AS mean, round(max(value), 4) AS max FROM {READINGS} GROUP BY kind")
 def box_stats(spark, sf):
     return funnel.quantiles(readings(spark, sf), ["kind"], "value")
 
