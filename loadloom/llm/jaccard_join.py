@@ -13,8 +13,9 @@ its own. Only pairs of two such sets could have been missed, so none is.
 
 *Verification.* Signatures travel packed and sorted. In every bucket each member is paired with the least one;
 parity sketches, whose distance never exceeds the true difference, throw out most false pairs, and
-the texts of the rest decide. Members that are then in one component need no further test. Every pair of
-a bucket across components is tested in the same way, so components are those of all links.
+the texts of the rest decide. Members that are then in one component need no further test. In a few rounds each member then meets
+the closest of every other component in its buckets, and at last every pair of a bucket that is still across components
+is tested in the same way, so components are those of all links.
 
 Defined results. A null or empty text, or one without words, has no shingles and links with nothing. Fewer
 words than a shingle has are one shingle. Equal sets are one class. A row with a null id comes back with a
@@ -49,6 +50,8 @@ MOST_BROADCAST = 200_000
 #: Largest bucket that one task compares across components; larger ones are dealt out in pairs of blocks.
 BLOCK = 1024
 GROWTH = 1.3
+#: Rounds in which each member meets the closest of every other component, before all pairs that are left.
+ROUNDS = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -352,35 +355,86 @@ def _verified(words: int):
     return run
 
 
-def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's blocks, across components, that may link."""
-    n = table["n"].to_numpy()
-    node, root = table["node"].to_numpy(), table["root"].to_numpy()
-    side = table["side"].to_numpy()
-    marks = table["data"].to_pylist()
-    _, i, j = (k.as_py() for k in key)
-    order = np.argsort(n, kind="stable")
-    left = order if i == j else order[side[order] == 0]
-    right = order if i == j else order[side[order] == 1]
-    out_a, out_b, out_d = [], [], []
-    cache: dict[int, np.ndarray] = {}
-    for x in left:
-        lo, hi = np.searchsorted(n[right], [-(-n[x] * NUM // DEN), n[x] * DEN // NUM + 1])
-        near = right[lo:hi]
-        near = near[(root[near] != root[x]) & ((node[near] > node[x]) if i == j else (node[near] != node[x]))]
-        if not len(near):
-            continue
-        size = min(len(marks[x]), min(len(marks[y]) for y in near))
-        if size not in cache:
-            cache[size] = np.stack([folded(m, size) if len(m) >= size else np.zeros(size // 8, np.uint64) for m in marks])
-        d = np.bitwise_count(cache[size][near] ^ cache[size][x]).sum(axis=1)
-        ok = d.astype(np.int64) * (DEN + NUM) <= (DEN - NUM) * (n[near] + n[x])
-        out_a.append(np.full(int(ok.sum()), node[x]))
-        out_b.append(node[near][ok])
-        out_d.append(d[ok].astype(np.int64))
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    a, b = join(out_a), join(out_b)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": join(out_d)})
+def _across(nearest: bool):
+    """Rows of buckets' blocks, in order of their group -> pairs across components that may link.
+
+    ``nearest`` keeps, of each member and other component, the closest pair alone.
+    """
+
+    def pairs(group: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of one group, of either side where it has two, of different components and like sizes."""
+        out_x, out_y = [], []
+        edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            at = np.arange(lo, hi)
+            left, right = (at, at) if side[lo] < 0 else (at[side[lo:hi] == 0], at[side[lo:hi] == 1])
+            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+            ok = (root[x] != root[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+            if side[lo] < 0:
+                ok &= x < y
+            out_x.append(x[ok])
+            out_y.append(y[ok])
+        return np.concatenate(out_x), np.concatenate(out_y)
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        node, root, n, side = (rows[c].to_numpy() for c in ("node", "root", "n", "side"))
+        x, y = pairs(rows["grp"].to_numpy(), side, root, n)
+        if not len(x):
+            return None
+        # Sketches of each size class once, folded to the smaller of a pair.
+        marks = rows["data"].to_pylist()
+        width = np.array([len(m) for m in marks])
+        apart = np.zeros(len(x), np.int64)
+        small = np.minimum(width[x], width[y])
+        for size in np.unique(small):
+            which = np.flatnonzero(small == size)
+            used, at = np.unique(np.concatenate((x[which], y[which])), return_inverse=True)
+            table = np.stack([folded(marks[k], size) for k in used])
+            for part in range(0, len(which), 200_000):
+                w = which[part : part + 200_000]
+                i, j = at[part : part + len(w)], at[len(which) + part : len(which) + part + len(w)]
+                apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
+        ok = apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y])
+        x, y, apart = x[ok], y[ok], apart[ok]
+        if nearest and len(x):
+            # From either end.
+            own, other = np.concatenate((x, y)), np.concatenate((y, x))
+            far = np.concatenate((apart, apart))
+            order = np.lexsort((node[other], far, root[other], node[own]))
+            own, other, far = own[order], other[order], far[order]
+            first = np.ones(len(own), bool)
+            first[1:] = (node[own][1:] != node[own][:-1]) | (root[other][1:] != root[other][:-1])
+            x, y, apart = own[first], other[first], far[first]
+            cols = [node[x], node[y], apart, root[y]]
+        else:
+            cols = [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart, root[y]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "apart", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            group = rows["grp"].to_numpy()
+            # The last group may go on in the next batch.
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            held = rows.slice(cut)
+            start = 0
+            while start < cut:
+                # So many groups at a time that their pairs fit in memory.
+                stop = min(cut, start + 4 * BLOCK)
+                stop = cut if stop == cut else int(np.searchsorted(group, group[stop]))
+                stop = stop if stop > start else int(np.searchsorted(group, group[start], side="right"))
+                got = compare(rows.slice(start, stop - start))
+                if got is not None:
+                    yield got
+                start = stop
+        if held is not None and len(held):
+            got = compare(held)
+            if got is not None:
+                yield got
+
+    return run
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -416,23 +470,48 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(sketch_filter(stars), "stars")
     nearest = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    nearest = materialize(nearest, "nearest")
     links = verify(nearest, "near")
     roots = materialize(components(links), "roots")
 
-    # Then all pairs across components, wherever a bucket has more than one.
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("bucket", "node", "root")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-    mixed = materialize(labelled.join(mixed, "bucket"), "mixed")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    dealt = mixed.select("bucket", "node", "root", block.alias("k"), blocks.alias("blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "node", "root", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.join(classes.select("node", "n", "data"), "node")
-    cross = dealt.groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long, apart long")
-    cross = materialize(cross.select("a", "b").distinct(), "cross")
-    links = links.union(verify(cross, "cross"))
-    roots = materialize(components(links), "all-roots")
+    # Then pairs across components, wherever a bucket has more than one.
+    def mixed_of(rows_: DataFrame, roots_: DataFrame) -> DataFrame:
+        named = rows_.join(roots_, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
+        return materialize(named.join(several, "bucket"), "mixed")
+
+    def crossing(mixed: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs that may link; buckets are dealt into pairs of blocks."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+        dealt = mixed.select("bucket", "node", "root", blocks.alias("blocks")).withColumn("k", block)
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("k") == F.col("o"), -1).otherwise((F.col("k") > F.col("o")).cast("int"))
+        group = F.xxhash64("bucket", F.least("k", "o"), F.greatest("k", "o"))
+        dealt = dealt.select(group.alias("grp"), "node", "root", side.alias("side")).join(classes.select("node", "n", "data"), "node").select("grp", "node", "root", "side", "n", "data")
+        dealt = dealt.repartition("grp").sortWithinPartitions("grp")
+        return dealt.mapInArrow(_across(nearest), "a long, b long, apart long, other long")
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+    tested = nearest.select("a", "b")
+    mixed = mixed_of(members, roots)
+    for turn in range(ROUNDS):
+        closest = crossing(mixed, True).groupBy("a", "other").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        new = materialize(untested(closest), f"closest-{turn}")
+        found = verify(new, f"closest-{turn}") if new.count() else new
+        more = found.count()
+        tested = tested.union(new)
+        if not more:
+            break
+        links = links.union(found)
+        roots = materialize(components(links), f"roots-{turn}")
+        mixed = mixed_of(mixed.select("bucket", "node"), roots)
+    cross = materialize(untested(crossing(mixed, False)), "cross")
+    if cross.count():
+        links = links.union(verify(cross, "cross"))
+        roots = materialize(components(links), "all-roots")
 
     least = roots.join(classes.select("node", "doc"), "node").withColumn("component", F.min("doc").over(Window.partitionBy("root"))).select("node", "component")
     named = classes.select("node", F.col("doc").alias("own")).join(least, "node", "left").select("node", F.coalesce("component", "own").alias("component"))

@@ -1,0 +1,412 @@
+"""Each operator against a plain restatement of its result, on small tables with odd rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("public_tokenizers")
+import public_tokenizers  # noqa: E402
+
+from loadloom.llm import exact_dedup, html_text, jaccard_join, license_scan, packing, quality_rules, toxicity, url_filters, warc, word_bpe  # noqa: E402
+from loadloom.llm.common import materialize, shared_path  # noqa: E402
+
+BLANK = re.compile(r"[\x20\x09-\x0D]")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(["ta", "ri", "no", "el", "sum", "ka", "é"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Ids and texts: copies, near copies, empty, null, very long, blanks only."""
+    rng = random.Random(5)
+    base = [prose(rng, rng.choice([3, 5, 8, 30, 120, 400])) for _ in range(60)]
+    out = list(base)
+    for b in base[:30]:
+        w = b.split()
+        for _ in range(3):
+            v = list(w)
+            for _ in range(max(1, len(v) // 60)):
+                v[rng.randrange(len(v))] = prose(rng, 1)
+            out.append(" ".join(v))
+    out += base[:10] + [b.replace(" ", "\n ") for b in base[:5]] + [base[0]] * 90
+    out += ["", None, " \t\n", "one", "One", "a b c d e", "A b c d e", prose(rng, 6000), "line x\nline x\n\nline x\n" + prose(rng, 60)]
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+
+def test_exact_dedup(docs, texts):
+    got = {r.doc_id: r for r in exact_dedup.mark(docs, counters=8, least=4).collect()}
+    groups = collections.defaultdict(list)
+    for i, t in texts:
+        groups[BLANK.sub("", t or "")].append((-len(t or ""), i))
+    assert len(got) == len(texts)
+    for key, members in groups.items():
+        keep = min(members)[1]
+        for _, i in members:
+            r = got[i]
+            assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(members), i == keep, hashlib.sha256(key.encode()).hexdigest())
+    narrow = exact_dedup.mark(docs, carry=False)
+    assert {(r.doc_id, r.keep_id) for r in narrow.collect()} == {(i, r.keep_id) for i, r in got.items()}
+
+
+def test_exact_dedup_odd_rows(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (1, "x", "b"), (None, "x", "c"), (2, None, "d"), (3, "", "e")], "doc_id long, text string, kept string")
+    got = exact_dedup.mark(df).collect()
+    assert len(got) == 5 and sum(r.kept for r in got) == 2
+    stays = exact_dedup.dedup(df)
+    assert stays.columns == df.columns and {(r.doc_id, r.text) for r in stays.collect()} == {(1, "x"), (2, None)}
+    assert exact_dedup.mark(df.limit(0)).count() == 0
+    hot = spark.createDataFrame([(7, "same")] * 200 + [(8, "same")] * 3, "doc_id long, text string")
+    assert exact_dedup.dedup(hot, counters=4).count() == 1
+
+
+def test_misra_gries_bound():
+    rng = random.Random(1)
+    stream = [rng.choice("abc") if rng.random() < 0.5 else str(rng.random()) for _ in range(4000)]
+    counts = {}
+    for k in range(0, len(stream), 100):
+        for x in stream[k : k + 100]:
+            counts[x] = counts.get(x, 0) + 1
+        exact_dedup.summarise(counts, 20)
+    for x in "abc":
+        assert stream.count(x) - len(stream) / 21 <= counts.get(x, 0) <= stream.count(x)
+
+
+def brute_rules(t):
+    t = t or ""
+    w = WORD.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    marked = {i + k for i in range(len(w) - 2) for k in range(3) if grams[tuple(w[i : i + 3])] > 1}
+    return len(w), sum(map(len, w)), sum(c in quality_rules.SYMBOLS for c in t), dup, len(marked)
+
+
+def test_quality_rules(docs, texts, spark):
+    got = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
+    for i, t in texts:
+        r = got[i]
+        want = brute_rules(t)
+        assert tuple(r[c] for c in quality_rules.BASE) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+    assert all(got[i].kept for i, t in texts if t and 100 <= len(t.split()) <= 400 and "\n" not in t)
+    kept = quality_rules.keep(docs.withColumn("n_words", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "n_words"] and kept.where("n_words = 'x'").count() == sum(r.kept for r in got.values())
+    assert quality_rules.verdicts(docs.limit(0)).count() == 0
+
+
+def test_quality_coverage():
+    rng = random.Random(2)
+    passage = prose(rng, 30)
+    raw = (passage + " " + prose(rng, 20) + " " + passage).encode()
+    got = quality_rules.measure(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), (5,))
+    assert got["dup_5_chars"][0] >= 2 * len(passage.replace(" ", ""))
+
+
+def brute_components(texts):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(lower))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a]:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_join(docs, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(docs).collect()}
+    assert got == brute_components(texts)
+    want = {c for _, c in got.values()}
+    assert {r.doc_id for r in jaccard_join.dedup(docs).select("doc_id").collect()} == want
+
+
+def test_jaccard_join_at_the_threshold(spark):
+    """Pairs just on either side of 0.8, at many sizes; and a common passage that links nothing."""
+    rng = random.Random(9)
+    rows = []
+    for n in [5, 9, 14, 20, 33, 60, 100, 180, 300, 700]:
+        w = [f"w{rng.random()}" for _ in range(n)]
+        for cut in range(0, max(2, n // 4), max(1, n // 40)):
+            rows.append((len(rows), " ".join(w[: n - cut])))
+    passage = [f"p{i}" for i in range(40)]
+    for _ in range(60):
+        rows.append((len(rows), " ".join([f"x{rng.random()}" for _ in range(30)] + passage + [f"y{rng.random()}" for _ in range(30)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect()} == brute_components(rows)
+
+
+def test_jaccard_join_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect())
+    assert got == [("4", 2, 4), ("4", 2, 4), ("5", 0, 5), ("None", 2, None)]
+    assert jaccard_join.near_copies(df.limit(0)).count() == 0
+
+
+def test_signatures_meet_whenever_sets_link():
+    rng = np.random.default_rng(0)
+    for n in [1, 2, 3, 6, 12, 25, 50, 90, 200, 600]:
+        for _ in range(30):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            drop = rng.integers(0, max(1, n // 9 + 1))
+            b = np.concatenate((a[drop:], rng.integers(0, 2**63, rng.integers(0, max(1, n // 9 + 1))).astype(np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 80 * len(np.union1d(a, b)):
+                continue
+            x, y = (set(jaccard_join.signatures(np.zeros(len(s), np.int64), np.sort(s), 1)[1].tolist()) for s in (a, b))
+            assert x & y
+            s, t = jaccard_join.sketch(a), jaccard_join.sketch(b)
+            size = min(len(s), len(t))
+            apart = int(np.bitwise_count(jaccard_join.folded(s, size) ^ jaccard_join.folded(t, size)).sum())
+            assert jaccard_join.may_link(len(a), len(b), apart)
+
+
+def test_packing(docs, texts, spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE)
+    rows = packing.pack(docs, BYTE, with_ids=True).collect()
+    pieces, seqs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        seqs[r.sequence_id].append(r)
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for i, t in texts:
+        want = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        own = sorted(pieces[i], key=lambda r: r.start)
+        assert [x for r in own for x in r.ids] == want and own[0].start == 0 and all(r.doc_tokens == len(want) for r in own)
+    for own in seqs.values():
+        own.sort(key=lambda r: r.offset)
+        at = 0
+        for r in own:
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048 and at & (at - 1) == 0
+    assert packing.pack(docs.limit(0), BYTE).count() == 0
+
+
+def test_sum_of_squares_rule():
+    """Each item goes where the sum of squares comes out least."""
+    rng = random.Random(3)
+    closed = []
+    p = packing.SumOfSquares(20, closed.append)
+    for _ in range(400):
+        size = rng.randint(1, 20)
+        before = p.count.copy()
+        p.place(size, size)
+
+        def after(level):
+            c = before.copy()
+            if level:
+                c[level] -= 1
+            if level + size < 20:
+                c[level + size] += 1
+            return int((c * c).sum())
+
+        best = min(after(h) for h in range(0, 21 - size) if h == 0 or before[h])
+        if size < 20:
+            assert int((p.count**2).sum()) == best
+    assert all(sum(w) == 20 for w in closed)
+
+
+def test_word_bpe(docs, texts, spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    odd = ["Ω ΟΔΟΣ don't İ 12½ 日本 🎉 \x1c<|endoftext|>x", "word" * 200, "ÀÉ ø É", "aaaaaaaa bbbb", "<|startoftext|>"]
+    df = docs.unionByName(spark.createDataFrame(list(enumerate(odd, 1000)), "doc_id long, text string"))
+    for r in word_bpe.encode_decode(df, WORDS, with_ids=True).collect():
+        t = dict(texts).get(r.doc_id, odd[r.doc_id - 1000] if r.doc_id >= 1000 else None) or ""
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_automaton_accepts_what_merges_leave():
+    merges = [("a", "b"), ("b", "a"), ("ab", "a"), ("a", "a"), ("aa", "b"), ("ba", "ba")]
+    vocab = {t: i for i, t in enumerate(["a", "b", *dict.fromkeys(x + y for x, y in merges)])}
+    auto = word_bpe.Automaton(vocab, merges)
+
+    def bpe(word):
+        parts = list(word)
+        for x, y in merges:
+            i, out = 0, []
+            while i < len(parts):
+                if parts[i : i + 2] == [x, y]:
+                    out.append(x + y)
+                    i += 2
+                else:
+                    out.append(parts[i])
+                    i += 1
+            parts = out
+        return parts
+
+    def ways(word):
+        if not word:
+            return [[]]
+        return [[t, *rest] for t in vocab if word.startswith(t) and vocab[t] not in auto.dead for rest in ways(word[len(t) :])]
+
+    for n in range(1, 9):
+        for k in range(2**n):
+            word = "".join("ab"[k >> i & 1] for i in range(n))
+            good = [w for w in ways(word) if all(auto.follows(vocab[x], vocab[y]) for x, y in zip(w, w[1:]))]
+            assert good == [bpe(word)]
+
+
+PAGE = "<html><head><title>t</title></head><body><header>Top menu</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies, many of them, all the time</div><article><h1>Title &amp; more</h1><p>First  paragraph,\n with commas, and enough text to count as one.<p>Second paragraph, which is long enough as well to be scored.</p><script>var x = '</p>';</script><div class=ad>Buy now, cheap, and more of it than ever before</div></article><div id='comments'><p>A reader comment, which is quite long, and full of opinions.</p></div><form>Sign up</form><footer>&copy; x</footer></body></html>"
+
+
+def test_html_text(spark):
+    want = "Title & more\nFirst paragraph, with commas, and enough text to count as one.\nSecond paragraph, which is long enough as well to be scored."
+    rows = [(1, PAGE, "u"), (2, None, "u"), (3, "", "u"), (4, "<p>short", "u"), (5, "no markup", "u"), (6, "<article>" + "<p>long text, with commas, again and again and again.</p>" * 3000 + "</article>", "u"), (7, "<div", "u")]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()}
+    assert got[1].text == want and got[1].n_chars == len(want)
+    assert [got[i].text for i in (2, 3, 4, 5)] == ["", "", "short", "no markup"]
+    assert got[6].text.count("\n") == 2999
+    assert html_text.main_text("<div id=a>" * 3000 + "<p>deep, deep, and deeper still, all the way down.") .startswith("deep")
+
+
+def test_warc(spark):
+    big = "x" * 1500
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (3, "http://a\r\n/3", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "é" * 600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive(df).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 9), 2: ("revisit", 9), 9: ("response", None), **{i: ("response", None) for i in (3, 4, 5, 6)}}
+    for i, _, t in rows:
+        raw = (t or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+    path = shared_path(spark, "test")
+    warc.write(df, path)
+    assert warc.payloads(spark, path).count() == 4
+    records = {r.id: bytes(r.record) for r in warc.export(warc.read(spark, path)).collect()}
+    for i, _, t in rows:
+        p = warc.parse(records[i])
+        assert p["tail"] == b"\r\n\r\n" and p["fields"]["WARC-Type"] == got[i].record_type
+        assert p["payload"] == ((t or "").encode() if got[i].record_type == "response" else b"")
+    assert warc.archive(df.limit(0)).count() == 0
+
+
+def test_url_filters(spark):
+    urls = ["http://x.com/", "http://x.com", "https://EXAMPLE.com/en/1", "https://www.example.com/en/1?q", "http://a.b.net/fr/x", "http://best-casino.org/en/1", "http://village-news.org/de/1", None, "nothing", "a://b://c/d", "http://excom/"]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id int, url string, host int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(df).collect()}
+    assert got[0] == ("x.com", "/", "com/", "allow") and got[1][:3] == ("x.com", "", None)
+    assert got[2] == ("example.com", "/en/1", "example.com/en/", "block") and got[3] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert got[4][2:] == ("net/fr/", "block") and got[5][3] == "block" and got[6][3] == "allow"
+    assert got[7][:3] == got[8][:3] == ("", "", None) and got[9][:2] == ("b:", "//c/d") and got[10][2] is None
+
+
+def test_license_scan(spark):
+    mit = license_scan.TEMPLATES["MIT"]
+    rows = [
+        ("r/LICENSE", mit + ".\nmore text"), ("r/a/b/x.txt", "plain"), ("r/a/COPYING", license_scan.TEMPLATES["GPL-3.0"]), ("r/a/b/y.txt", "text\nLicensed under the Apache License, Version 2.0."),
+        ("q/z.txt", "plain"), (None, mit), (None, None), ("r/w.txt", ""), ("top.txt", "x"),
+    ]
+    df = spark.createDataFrame([(i, *r, "old") for i, r in enumerate(rows)], "doc_id int, path string, text string, license string")
+    got = {r.doc_id: (r.license, r.origin, r.inherited_from) for r in license_scan.scan(df).collect()}
+    assert got[0] == ("MIT", "file", None) and got[1] == ("GPL-3.0", "inherited", "r/a") and got[2][:2] == ("GPL-3.0", "file") and got[3] == ("Apache-2.0", "header", None)
+    assert got[4] == (None, "none", None) and got[5][:2] == ("MIT", "header") and got[6][1] == "none" and got[7] == ("MIT", "inherited", "r") and got[8][1] == "none"
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def brute_segments(x):
+    """Maximal scoring subsequences: the best one of least length, then left and right of it."""
+    spans = [(sum(x[i:j]), i - j, -i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+    if not spans or max(spans)[0] <= 0:
+        return []
+    s, _, i, j = max(spans)
+    i = -i
+    return [*brute_segments(x[:i]), (i, j, s), *((a + j, b + j, t) for a, b, t in brute_segments(x[j:]))]
+
+
+def test_segments():
+    rng = random.Random(4)
+    for _ in range(300):
+        # No two subsequences of equal total, so that the maximal ones are unique.
+        x = [rng.choice([-1, 1]) * rng.random() for _ in range(rng.randint(1, 14))]
+        up = [i for i, v in enumerate(x) if v > 0]
+        gaps = [0.0, *(-sum(x[a + 1 : b]) for a, b in zip(up, up[1:]))]
+        got = sorted((up[a], up[b] + 1, round(t, 9)) for a, b, t in toxicity.segments([x[i] for i in up], gaps[: len(up)]))
+        assert got == [(i, j, round(t, 9)) for i, j, t in brute_segments(x)]
+
+
+def test_toxicity(spark):
+    rng = random.Random(6)
+    bad = ["vilework", "grumsel", "trogg"]
+    rows, labels = [], []
+    for i in range(1200):
+        w = prose(rng, 60).split()
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(5):
+                w.insert(rng.randrange(len(w)), rng.choice(bad).upper())
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    rows += [(5000, None), (5001, ""), (None, "trogg trogg trogg")]
+    labels += [(None, 1), (7, None)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    got = toxicity.score(docs.withColumn("score", F.lit("own")), model, with_passages=True)
+    found = {r.doc_id: r for r in got.collect()}
+    held = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = sum(found[i].predicted == (i % 4 == 0) for i in held)
+    assert right / len(held) > 0.97
+    assert found[5000].score == found[5001].score < 0.3 and all(0 <= r.score <= 1 for r in found.values())
+    assert found[0].passages and toxicity.keep(docs, model).columns == ["doc_id", "text"]
+    none = toxicity.fit(docs, lab.limit(0))
+    assert {r.score for r in toxicity.score(docs.limit(20), none).collect()} == {0.0}
+
+
+def test_pipeline(spark, tmp_path, texts):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+    poor = {i for i, t in texts if (w := brute_rules(t))[0] < 50 or 100 * w[4] > 50 * w[0]}
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    rest = [(i, t) for i, t in texts if i not in poor]
+    seen, once = {}, []
+    for i, t in sorted(rest, key=lambda x: (-len(x[1]), x[0])):
+        if seen.setdefault(BLANK.sub("", t), i) == i:
+            once.append((i, t))
+    assert ids <= {c for _, c in brute_components(once).values()}
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
