@@ -14,7 +14,7 @@ its own. Only pairs of two such sets could have been missed, so none is.
 *Verification.* Signatures travel packed and sorted. In every bucket each member is paired with the least one;
 parity sketches, whose distance never exceeds the true difference, throw out most false pairs, and
 the texts of the rest decide. Members that are then in one component need no further test. In a few rounds each member then meets
-the closest of every other component in its buckets, and at last every pair of a bucket that is still across components
+the closest ones of other components in its buckets, and at last every pair of a bucket that is still across components
 is tested in the same way, so components are those of all links.
 
 Defined results. A null or empty text, or one without words, has no shingles and links with nothing. Fewer
@@ -50,8 +50,8 @@ MOST_BROADCAST = 200_000
 #: Largest bucket that one task compares across components; larger ones are dealt out in pairs of blocks.
 BLOCK = 1024
 GROWTH = 1.3
-#: Rounds in which each member meets the closest of every other component, before all pairs that are left.
-ROUNDS = 3
+#: Rounds in which each member meets so many of the closest members of other components, before all pairs that are left.
+ROUNDS, CLOSEST = 4, 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -358,7 +358,7 @@ def _verified(words: int):
 def _across(nearest: bool):
     """Rows of buckets' blocks, in order of their group -> pairs across components that may link.
 
-    ``nearest`` keeps, of each member and other component, the closest pair alone.
+    ``nearest`` keeps the few closest pairs of each member alone.
     """
 
     def pairs(group: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +378,8 @@ def _across(nearest: bool):
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         node, root, n, side = (rows[c].to_numpy() for c in ("node", "root", "n", "side"))
-        x, y = pairs(rows["grp"].to_numpy(), side, root, n)
+        group = rows["grp"].to_numpy()
+        x, y = pairs(group, side, root, n)
         if not len(x):
             return None
         # Sketches of each size class once, folded to the smaller of a pair.
@@ -398,17 +399,16 @@ def _across(nearest: bool):
         x, y, apart = x[ok], y[ok], apart[ok]
         if nearest and len(x):
             # From either end.
-            own, other = np.concatenate((x, y)), np.concatenate((y, x))
-            far = np.concatenate((apart, apart))
-            order = np.lexsort((node[other], far, root[other], node[own]))
+            own, other, far = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((apart, apart))
+            order = np.lexsort((node[other], far, node[own]))
             own, other, far = own[order], other[order], far[order]
-            first = np.ones(len(own), bool)
-            first[1:] = (node[own][1:] != node[own][:-1]) | (root[other][1:] != root[other][:-1])
-            x, y, apart = own[first], other[first], far[first]
-            cols = [node[x], node[y], apart, root[y]]
+            first = np.flatnonzero(np.concatenate(([True], node[own][1:] != node[own][:-1])))
+            place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+            keep = place < CLOSEST
+            cols = [group[own[keep]], node[own[keep]], node[other[keep]], far[keep]]
         else:
-            cols = [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart, root[y]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "apart", "other"])
+            cols = [group[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["grp", "a", "b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -474,43 +474,43 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     links = verify(nearest, "near")
     roots = materialize(components(links), "roots")
 
-    # Then pairs across components, wherever a bucket has more than one.
-    def mixed_of(rows_: DataFrame, roots_: DataFrame) -> DataFrame:
-        named = rows_.join(roots_, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-        return materialize(named.join(several, "bucket"), "mixed")
-
-    def crossing(mixed: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs that may link; buckets are dealt into pairs of blocks."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-        dealt = mixed.select("bucket", "node", "root", blocks.alias("blocks")).withColumn("k", block)
-        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("k") == F.col("o"), -1).otherwise((F.col("k") > F.col("o")).cast("int"))
-        group = F.xxhash64("bucket", F.least("k", "o"), F.greatest("k", "o"))
-        dealt = dealt.select(group.alias("grp"), "node", "root", side.alias("side")).join(classes.select("node", "n", "data"), "node").select("grp", "node", "root", "side", "n", "data")
-        dealt = dealt.repartition("grp").sortWithinPartitions("grp")
-        return dealt.mapInArrow(_across(nearest), "a long, b long, apart long, other long")
+    # Then pairs across components, wherever a bucket has more than one. Buckets are dealt into pairs of blocks.
+    named = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    dealt = named.join(several.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("k") == F.col("o"), -1).otherwise((F.col("k") > F.col("o")).cast("int"))
+    dealt = materialize(dealt.select(F.xxhash64("bucket", F.least("k", "o"), F.greatest("k", "o")).alias("grp"), "node", side.alias("side")), "dealt")
+
+    def crossing(nearest_only: bool) -> DataFrame:
+        """Pairs across components that may link, by group."""
+        rows_ = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.select("node", "n", "data"), "node")
+        rows_ = rows_.select("grp", "node", "root", "side", "n", "data").repartition("grp").sortWithinPartitions("grp")
+        return rows_.mapInArrow(_across(nearest_only), "grp long, a long, b long, apart long")
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
     tested = nearest.select("a", "b")
-    mixed = mixed_of(members, roots)
     for turn in range(ROUNDS):
-        closest = crossing(mixed, True).groupBy("a", "other").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        new = materialize(untested(closest), f"closest-{turn}")
-        found = verify(new, f"closest-{turn}") if new.count() else new
+        met = materialize(crossing(True), f"met-{turn}")
+        # A group without such a pair never gets one: components only grow.
+        dealt = materialize(dealt.join(met.select("grp").distinct(), "grp", "left_semi"), f"dealt-{turn}")
+        # A member has CLOSEST pairs of a bucket at most, and as many buckets as signatures.
+        few = F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, CLOSEST)
+        new = materialize(untested(met.groupBy("a").agg(few.alias("x")).select("a", F.explode("x.b").alias("b"))), f"closest-{turn}")
+        found = verify(new, f"closest-{turn}")
         more = found.count()
         tested = tested.union(new)
         if not more:
             break
         links = links.union(found)
         roots = materialize(components(links), f"roots-{turn}")
-        mixed = mixed_of(mixed.select("bucket", "node"), roots)
-    cross = materialize(untested(crossing(mixed, False)), "cross")
-    if cross.count():
-        links = links.union(verify(cross, "cross"))
+    cross = materialize(untested(crossing(False)), "cross")
+    found = verify(cross, "cross")
+    if found.count():
+        links = links.union(found)
         roots = materialize(components(links), "all-roots")
 
     least = roots.join(classes.select("node", "doc"), "node").withColumn("component", F.min("doc").over(Window.partitionBy("root"))).select("node", "component")
