@@ -103,11 +103,11 @@ def reference_means(spark, sf):
     return profiles.reference_means(r, "value").withColumn("v", F.round("v", 4))
 
 
-@register("reference_vector", f"SELECT kind, list_transform(list(struct_pack(h := hour, v := v) ORDER BY hour), lambda s: s.v)[1] AS first, round(list_sum(list_transform(list(v ORDER BY hour), lambda x: x)), 4) AS total, count(*) AS n FROM (SELECT kind, hour(ts) AS hour, round(avg(value), 4) AS v FROM {READINGS} GROUP BY ALL) GROUP BY kind HAVING count(*) = 24")
+@register("reference_vector", f"SELECT kind, round(list(v ORDER BY hour)[1], 5) AS first, round(sum(v), 2) AS total, count(*) AS n FROM (SELECT kind, hour(ts) AS hour, avg(value) AS v FROM {READINGS} GROUP BY ALL) GROUP BY kind HAVING count(*) = 24")
 def reference_vector(spark, sf):
-    h = readings(spark, sf).groupBy("kind", F.hour("ts").alias("hour")).agg(F.round(F.avg("value"), 4).alias("v"))
+    h = readings(spark, sf).groupBy("kind", F.hour("ts").alias("hour")).agg(F.avg("value").alias("v"))
     got = profiles.reference_vector(h, ["kind"], "hour", "v")
-    return got.select("kind", F.col("vector")[0].alias("first"), F.round(arrays.total(F.col("vector")), 4).alias("total"), F.size("vector").cast("long").alias("n"))
+    return got.select("kind", F.round(F.col("vector")[0], 5).alias("first"), F.round(arrays.total(F.col("vector")), 2).alias("total"), F.size("vector").cast("long").alias("n"))
 
 
 # Gaps for the filling queries: hours of which the number and the key agree are missing.
