@@ -44,11 +44,15 @@ WORDS = 5
 #: Similarity as a fraction: linked where DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 #: Signatures of a part of the index, about; parts are what a task holds in memory.
-PART = 1_000_000
+PART = 500_000
+#: Texts are shingled in slices of so many bytes, for the arrays of their signatures are larger than they.
+SLICE = 500_000
 #: Most ids that are broadcast to pick texts; beyond, a shuffle does it.
 MOST_BROADCAST = 200_000
 #: Largest bucket that one task compares across components; larger ones are dealt out in pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
+#: Bytes of sketches that are compared at once.
+SKETCH_BYTES = 8_000_000
 GROWTH = 1.3
 #: Rounds in which each member meets so many of the closest members of other components, before all pairs that are left.
 ROUNDS, CLOSEST = 4, 3
@@ -242,7 +246,7 @@ def _emit(parts: int, words: int):
 
         for batch in batches:
             raw, at = buffers(batch.column(1))
-            for i, j in slices(at):
+            for i, j in slices(at, SLICE):
                 owner, code = shingles(raw, at[i : j + 1], words)
                 docs = j - i
                 sizes = np.bincount(owner, minlength=docs)
@@ -268,7 +272,7 @@ def _emit(parts: int, words: int):
                 deal = pa.array(((turn + np.arange(docs)) % parts).astype(np.int32))
                 turn += docs
                 yield pa.RecordBatch.from_arrays([deal, batch.column(0).slice(i, docs), pa.array(node), pa.array(sizes.astype(np.int64)), pa.array(marks, pa.binary())], names)
-                if waiting > 2_000_000:
+                if waiting > PART:
                     yield flush()
         if waiting:
             yield flush()
@@ -333,23 +337,21 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(words: int):
     """(a, b, text_a, text_b) -> the pairs that link."""
 
+    def sets(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        owner, code = shingles(raw, at, words)
+        return np.split(code, np.searchsorted(owner, np.arange(1, len(at) - 1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                raw, at = buffers(batch.column(c))
-                sets: list[np.ndarray] = []
-                for i, j in slices(at):
-                    owner, code = shingles(raw, at[i : j + 1], words)
-                    sets += np.split(code, np.searchsorted(owner, np.arange(1, j - i)))
-                sides.append(sets)
+            (raw_a, at_a), (raw_b, at_b) = buffers(batch.column(2)), buffers(batch.column(3))
             hit = []
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common and DEN * common >= NUM * (len(x) + len(y) - common):
-                    hit.append(i)
+            for i, j in slices(at_a + at_b - at_b[0], SLICE):
+                for k, (x, y) in enumerate(zip(sets(raw_a, at_a[i : j + 1]), sets(raw_b, at_b[i : j + 1]), strict=True), i):
+                    both = np.concatenate((x, y))
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if common and DEN * common >= NUM * (len(x) + len(y) - common):
+                        hit.append(k)
             yield batch.select([0, 1]).take(pa.array(hit, pa.int64()))
 
     return run
@@ -391,8 +393,9 @@ def _across(nearest: bool):
             which = np.flatnonzero(small == size)
             used, at = np.unique(np.concatenate((x[which], y[which])), return_inverse=True)
             table = np.stack([folded(marks[k], size) for k in used])
-            for part in range(0, len(which), 200_000):
-                w = which[part : part + 200_000]
+            step = max(1, SKETCH_BYTES // int(size))
+            for part in range(0, len(which), step):
+                w = which[part : part + step]
                 i, j = at[part : part + len(w)], at[len(which) + part : len(which) + part + len(w)]
                 apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
         ok = apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y])
@@ -422,7 +425,7 @@ def _across(nearest: bool):
             start = 0
             while start < cut:
                 # So many groups at a time that their pairs fit in memory.
-                stop = min(cut, start + 4 * BLOCK)
+                stop = min(cut, start + 2 * BLOCK)
                 stop = cut if stop == cut else int(np.searchsorted(group, group[stop]))
                 stop = stop if stop > start else int(np.searchsorted(group, group[start], side="right"))
                 got = compare(rows.slice(start, stop - start))
