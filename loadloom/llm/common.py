@@ -16,9 +16,17 @@ BLANKS = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Python kernels take texts in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let batches that go to Python hold BATCH_BYTES at most, unless the session says otherwise: 10,000 very long texts are no batch."""
+    if not spark.sparkContext.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +54,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
