@@ -155,3 +155,74 @@ def single_linkage_at_distance(spark, sf):
         return pdf[["key", "cluster"]]
 
     return q.groupBy("grp").applyInPandas(run, "key long, cluster long")
+
+
+EVENTS = "(SELECT user_id AS key, ts, value, event_type AS kind, CAST(user_id % 4 AS INT) AS cluster, CAST(user_id % 3 AS INT) AS other FROM events)"
+
+
+def _members(spark, sf):
+    """Readings with two given labels of their keys."""
+    return readings(spark, sf).withColumns({"cluster": (F.col("key") % 4).cast("int"), "other": (F.col("key") % 3).cast("int")})
+
+
+@register("cluster_monthly_profile", f"SELECT cluster, CAST(month(ts) AS INT) AS month, CAST(hour(ts) AS INT) AS hour, round(avg(value), 5) AS v FROM {EVENTS} GROUP BY ALL")
+def cluster_monthly_profile(spark, sf):
+    """Profiles of fixed clusters by month."""
+    return _members(spark, sf).groupBy("cluster", F.month("ts").alias("month"), F.hour("ts").alias("hour")).agg(F.round(F.avg("value"), 5).alias("v"))
+
+
+@register("cluster_typology", f"SELECT cluster, kind, count(DISTINCT key) AS n, round(100.0 * count(DISTINCT key) / sum(count(DISTINCT key)) OVER (PARTITION BY cluster), 2) AS pct FROM {EVENTS} GROUP BY cluster, kind")
+def cluster_typology(spark, sf):
+    return funnel.share(_members(spark, sf).select("cluster", "kind", "key").distinct(), ["cluster", "kind"], ["cluster"])
+
+
+@register("cluster_other_level", f"SELECT key, min(cluster) AS cluster, min(other) AS other FROM {EVENTS} GROUP BY key")
+def cluster_other_level(spark, sf):
+    """Each key's cluster of one level beside that of another."""
+    m = _members(spark, sf)
+    one = m.select("key", "cluster").distinct()
+    return one.join(m.select("key", "other").distinct(), "key", "left")
+
+
+@register("measures_with_cluster", f"SELECT event_id, e.user_id AS key, CAST(e.user_id % 4 AS INT) AS cluster, c_mktsegment AS segment, value FROM events e LEFT JOIN customer ON c_custkey = e.user_id")
+def measures_with_cluster(spark, sf):
+    from .frames import places
+
+    r = readings(spark, sf)
+    labels = r.select("key").distinct().withColumn("cluster", (F.col("key") % 4).cast("int"))
+    return r.join(labels, "key", "left").join(places(spark, sf).select("key", "segment"), "key", "left").select("event_id", "key", "cluster", "segment", "value")
+
+
+@register("cross_level_correlation", f"""WITH c AS (SELECT 'a:' || cluster AS name, CAST(hour(ts) AS INT) AS slot, avg(value) AS v FROM {EVENTS} GROUP BY ALL UNION ALL SELECT 'b:' || other, CAST(hour(ts) AS INT), avg(value) FROM {EVENTS} GROUP BY ALL)
+SELECT a.name AS a, b.name AS b, count(*) AS n, round(covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0), 5) AS r FROM c a JOIN c b USING (slot) WHERE a.name < b.name GROUP BY ALL""")
+def cross_level_correlation(spark, sf):
+    from ..operators import comparison
+
+    long = _members(spark, sf).withColumn("slot", F.hour("ts"))
+    one = lambda c: long.groupBy(F.col(c).alias("cluster"), "slot").agg(F.avg("value").alias("v"))
+    return comparison.cross_level({"a": one("cluster"), "b": one("other")}).withColumn("r", F.round("r", 5))
+
+
+@register("sorted_columns", "SELECT label AS cluster, rank FROM (SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS INT) AS rank FROM embeddings GROUP BY label)")
+def sorted_columns(spark, sf):
+    """The order of a cross-table's columns: by their totals."""
+    from pyspark.sql.window import Window
+
+    n = vectors(spark, sf).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("cluster", F.row_number().over(Window.orderBy(F.col("n").desc(), "cluster")).alias("rank"))
+
+
+@register("monthly_recluster")
+def monthly_recluster(spark, sf):
+    """Each third of the month clustered anew with its own k."""
+    h = readings(spark, sf).groupBy("key", (F.day("ts") % 3).alias("grp"), F.hour("ts").alias("hour")).agg(F.avg("value").alias("v"))
+    grid = h.groupBy("key", "grp").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("m"))
+    q = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return clustering.assign(grid.select("key", "grp", q.alias("features")), "grp", "key", "features")
+
+
+@register("k_per_group")
+def k_per_group(spark, sf):
+    """One row with the k of each group."""
+    got = monthly_recluster(spark, sf).groupBy("grp").agg(F.max("k").alias("k"))
+    return got.groupBy().pivot("grp", ["0", "1", "2"]).agg(F.max("k"))

@@ -232,3 +232,41 @@ def export_grid(spark, sf):
 @register("quality_bands", f"SELECT CASE WHEN value < 5 THEN 'Good' WHEN value < 10 THEN 'Acceptable' WHEN value < 20 THEN 'Not Comparable' ELSE 'Very Different' END AS quality, count(*) AS n FROM {READINGS} GROUP BY ALL")
 def quality_bands(spark, sf):
     return readings(spark, sf).groupBy(binning.quality(F.col("value")).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("group_shares", f"""WITH d AS (SELECT CAST(key % 3 AS VARCHAR) AS grp, key, ts::DATE AS day, CAST(month(ts) AS INT) AS month, CAST(hour(ts) AS INT) AS hour, sum(value) AS v FROM {READINGS} GROUP BY ALL), s AS (SELECT grp, key, month, hour, sum(v) AS s FROM d GROUP BY ALL),
+m AS (SELECT key, month, count(DISTINCT day) AS days, sum(v) AS t FROM d GROUP BY ALL HAVING sum(v) > 0) SELECT grp, month, hour, round(avg(s / days / t * 100), 6) AS pct FROM s JOIN m USING (key, month) GROUP BY ALL""")
+def group_shares(spark, sf):
+    """Shares of the month's energy of several groups in one plan."""
+    from ..operators import comparison
+
+    r = readings(spark, sf)
+    members = r.select("key", (F.col("key") % 3).cast("string").alias("grp")).distinct()
+    return comparison.group_shares(r, members, "key", "grp").withColumn("pct", F.round("pct", 6))
+
+
+@register("code_ranking", f"""WITH d AS (SELECT CAST(key % 3 AS VARCHAR) AS code, key, ts::DATE AS day, CAST(month(ts) AS INT) AS month, CAST(hour(ts) AS INT) AS hour, sum(value) AS v FROM {READINGS} GROUP BY ALL), s AS (SELECT code, key, month, hour, sum(v) AS s FROM d GROUP BY ALL),
+m AS (SELECT key, month, count(DISTINCT day) AS days, sum(v) AS t FROM d GROUP BY ALL HAVING sum(v) > 0), p AS (SELECT code, month, hour, avg(s / days / t * 100) AS pct FROM s JOIN m USING (key, month) GROUP BY ALL),
+e AS (SELECT code, 100 * sqrt(avg(pow(pct - 0.01 * hour, 2))) AS mono, 100 * sqrt(avg(pow(pct - 0.02 * hour, 2))) AS bands FROM p GROUP BY code) SELECT code, round((mono + bands) / 2, 4) AS rmse, CAST(row_number() OVER (ORDER BY mono + bands) AS INT) AS rank FROM e""")
+def code_ranking(spark, sf):
+    """Codes ranked by their likeness to the reference profiles that belong to them."""
+    from ..operators import comparison
+
+    r = readings(spark, sf)
+    dim = r.select("key", (F.col("key") % 3).cast("string").alias("l1")).distinct()
+    ref = spark.range(24).select(F.lit(1).alias("month"), F.col("id").cast("int").alias("hour"))
+    ref = ref.withColumns({c: F.col("hour") * f for c, f in (("PDMM", 0.01), ("PDMF", 0.02), ("PAUM", 0.01), ("PAUF", 0.02))})
+    _, ranking = comparison.code_comparison(r, dim, ref, "key", ("l1",))
+    return ranking.select("code", F.round("rmse", 4).alias("rmse"), "rank")
+
+
+@register("strict_profile")
+def strict_profile(spark, sf):
+    """The older null policy, over days packed into vectors of 24."""
+    from ..operators import comparison
+
+    long = readings(spark, sf).groupBy("key", F.to_date("ts").alias("date"), F.hour("ts").alias("h")).agg(F.avg("value").alias("v"))
+    h = long.groupBy("key", "date").agg(F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"))
+    q = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.col("m")[i])
+    got = comparison.strict_profiles(h.select("key", "date", q.alias("q")), "key", "date", "q", 24, 0)
+    return got.select("key", "month", "slot", F.round("norm", 5).alias("norm"))
