@@ -4,8 +4,8 @@
 of its beginnings that is known, with an informative Dirichlet prior from the counts of both; what says nothing
 costs a set amount. *Search.* All maximal segments of positive total are found in one pass over a text's tokens.
 *Calibration.* The best totals of texts that are not toxic follow an extreme-value law; its two constants turn a total into the
-number of such segments that a text of this length has by chance (E-value), and a logistic curve over the E-value of
-the best segment and the number of significant ones gives the score.
+number of such segments that a text of this length has by chance (E-value), and a logistic curve over the E-values of
+the best segment and of all together gives the score.
 
 The model is learnt from a bounded sample of labelled rows (``MOST_TEXTS`` of either label, those of the smallest
 hash), so it is small and is sent with the tasks; every text is scored whole.
@@ -143,10 +143,30 @@ def passages(raw: np.ndarray, at: np.ndarray, model: Model) -> tuple[list[list[t
 
 
 def evidence(model: Model, found: list[tuple[int, int, float]], n: int) -> tuple[float, float, list[float]]:
-    """Minus the log of the best segment's E-value, log of 1 + number of significant ones, and all E-values."""
+    """Minus the log of the best segment's E-value, the log of 1 + the sum of those of all segments, and all E-values."""
     e = [model.scale * max(1, n) * math.exp(-min(700.0, model.rate * t)) for _, _, t in found]
-    best = max((-math.log(max(x, 1e-300)) for x in e), default=0.0)
-    return min(max(best, 0.0), 60.0) / 10.0, math.log1p(sum(x < SIGNIFICANT for x in e)), e
+    logs = [min(60.0, max(0.0, -math.log(max(x, 1e-300)))) for x in e]
+    return max(logs, default=0.0) / 10.0, math.log1p(sum(logs)), e
+
+
+def null_law(ups: list[float], n: int, totals: list[float]) -> tuple[float, float]:
+    """The two constants of the extreme-value law from texts that are not toxic.
+
+    The rate is the root of: the mean of e to the rate times a token's score is 1. The scale
+    matches the number of segments of at least 1 that such texts have.
+    """
+    up = np.array(ups)
+
+    def excess(rate: float) -> float:
+        return (n - len(up)) * math.exp(-rate * STEP_COST) + float(np.exp(np.minimum(700.0, rate * up)).sum()) - n
+
+    lo, hi = 0.05, 3.0
+    if excess(hi) > 0:
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
+    rate = hi
+    return rate, max(1, sum(t >= 1.0 for t in totals)) / (max(1, n) * math.exp(-rate))
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -216,15 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     codes = got["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(codes)
     model = Model(codes[order], got["odds"].to_numpy()[order])
-    sample = rows.where(held).select("toxic", "text").mapInArrow(_best(model), "toxic int, n long, totals array<double>").toPandas()
+    sample = rows.where(held).select("toxic", "text").mapInArrow(_best(model), "toxic int, n long, totals array<double>, ups array<double>").toPandas()
     if not len(sample) or sample["toxic"].nunique() < 2:
         return dataclasses.replace(model, curve=(-3.0, 1.0, 1.0))
-    # Extreme-value law: the best totals of other texts, by moments of a Gumbel law with log n taken off.
     clean = sample[sample["toxic"] == 0]
-    best = np.array([max(t, default=0.0) if len(t) else 0.0 for t in clean["totals"]])
-    spread = max(0.5, float(best.std()))
-    rate = math.pi / (spread * math.sqrt(6))
-    scale = math.exp(float(np.mean(rate * best)) - 0.5772 - float(np.mean(np.log(np.maximum(1, clean["n"].to_numpy())))))
+    rate, scale = null_law([v for u in clean["ups"] for v in u], int(clean["n"].sum()), [v for t in clean["totals"] for v in t])
     model = dataclasses.replace(model, rate=rate, scale=scale)
     x = np.array([evidence(model, [(0, 0, v) for v in t], int(n))[:2] for t, n in zip(sample["totals"], sample["n"], strict=True)])
     w = _logistic(x, sample["toxic"].to_numpy(float))
@@ -237,9 +253,12 @@ def _best(model: Model):
             raw, at = buffers(lowered(batch.column(1)))
             for i, j in slices(at):
                 found, count = passages(raw, at[i : j + 1], model)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), pa.array([[t for _, _, t in f] for f in found], pa.list_(pa.float64()))], ["toxic", "n", "totals"]
-                )
+                _, _, doc, score = token_scores(raw, at[i : j + 1], model)
+                up = np.flatnonzero(score > 0)
+                ups = np.split(score[up], np.searchsorted(doc[up], np.arange(1, j - i)))
+                lists = pa.list_(pa.float64())
+                cols = [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), pa.array([[t for _, _, t in f] for f in found], lists), pa.array(ups, lists)]
+                yield pa.RecordBatch.from_arrays(cols, ["toxic", "n", "totals", "ups"])
 
     return run
 
@@ -262,8 +281,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", with_passages: bo
                 found, count = passages(raw, at[i : j + 1], model)
                 values, spans = [], []
                 for f, n in zip(found, count.tolist(), strict=True):
-                    best, many, e = evidence(model, f, n)
-                    values.append(0.0 if model.blank else 1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * best + c2 * many)))))
+                    best, all_of, e = evidence(model, f, n)
+                    values.append(0.0 if model.blank else 1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * best + c2 * all_of)))))
                     if with_passages:
                         spans.append([{"start": a, "stop": b, "total": t, "e_value": x} for (a, b, t), x in zip(f, e, strict=True) if x < SIGNIFICANT])
                 rows = batch.slice(i, j - i)
