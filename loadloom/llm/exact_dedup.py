@@ -87,7 +87,7 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters
     # Counts sum to at most the number of rows, so at most `counters` keys reach the bound.
     found = [r["key"] for r in frequent(narrow, dig, 2 * counters).where(F.col("n") * 2 >= bound).select("key").collect()]
     order = F.struct((-F.col(size)).alias("a"), F.col(id_col).isNull().alias("b"), F.col(id_col).alias("c"))
-    rows = narrow if not carry else keyed.drop(size).withColumn(size, F.coalesce(F.length(text_col), F.lit(0)).cast("long"))
+    rows = keyed if carry else narrow
     by = Window.partitionBy(dig).orderBy(F.col(size).desc(), F.col(id_col).asc_nulls_last())
     full = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 

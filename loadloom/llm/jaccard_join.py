@@ -50,12 +50,14 @@ SLICE = 500_000
 #: Most ids that are broadcast to pick texts; beyond, a shuffle does it.
 MOST_BROADCAST = 200_000
 #: Largest bucket that one task compares across components; larger ones are dealt out in pairs of blocks.
-BLOCK = 512
+BLOCK = 4096
+#: Pairs of members that are looked at together.
+TILE = 500_000
 #: Bytes of sketches that are compared at once.
 SKETCH_BYTES = 8_000_000
 GROWTH = 1.3
-#: Rounds in which each member meets so many of the closest members of other components, before all pairs that are left.
-ROUNDS, CLOSEST = 4, 3
+#: Rounds in which each member meets so many of the closest members of other components, in so many of its buckets, before all pairs that are left.
+ROUNDS, CLOSEST, THIN = 4, 3, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -363,55 +365,70 @@ def _across(nearest: bool):
     ``nearest`` keeps the few closest pairs of each member alone.
     """
 
-    def pairs(group: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows of one group, of either side where it has two, of different components and like sizes."""
-        out_x, out_y = [], []
+    def tiles(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one group, of either side where it has two; at most TILE pairs at a time, of many small groups or of part of one."""
         edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        out_x, out_y, held = [], [], 0
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             at = np.arange(lo, hi)
-            left, right = (at, at) if side[lo] < 0 else (at[side[lo:hi] == 0], at[side[lo:hi] == 1])
-            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-            ok = (root[x] != root[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
-            if side[lo] < 0:
-                ok &= x < y
-            out_x.append(x[ok])
-            out_y.append(y[ok])
-        return np.concatenate(out_x), np.concatenate(out_y)
-
-    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+            alone = side[lo] < 0
+            left, right = (at, at) if alone else (at[side[lo:hi] == 0], at[side[lo:hi] == 1])
+            step = max(1, TILE // max(1, len(right)))
+            for k in range(0, len(left), step):
+                some = left[k : k + step]
+                x, y = np.repeat(some, len(right)), np.tile(right, len(some))
+                if alone:
+                    x, y = x[x < y], y[x < y]
+                out_x.append(x)
+                out_y.append(y)
+                held += len(x)
+                if held >= TILE:
+                    yield np.concatenate(out_x), np.concatenate(out_y)
+                    out_x, out_y, held = [], [], 0
+        if held:
+            yield np.concatenate(out_x), np.concatenate(out_y)
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         node, root, n, side = (rows[c].to_numpy() for c in ("node", "root", "n", "side"))
-        group = rows["grp"].to_numpy()
-        x, y = pairs(group, side, root, n)
-        if not len(x):
-            return None
-        # Sketches of each size class once, folded to the smaller of a pair.
         marks = rows["data"].to_pylist()
         width = np.array([len(m) for m in marks])
-        apart = np.zeros(len(x), np.int64)
-        small = np.minimum(width[x], width[y])
-        for size in np.unique(small):
-            which = np.flatnonzero(small == size)
-            used, at = np.unique(np.concatenate((x[which], y[which])), return_inverse=True)
-            table = np.stack([folded(marks[k], size) for k in used])
-            step = max(1, SKETCH_BYTES // int(size))
-            for part in range(0, len(which), step):
-                w = which[part : part + step]
-                i, j = at[part : part + len(w)], at[len(which) + part : len(which) + part + len(w)]
-                apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
-        ok = apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y])
-        x, y, apart = x[ok], y[ok], apart[ok]
-        if nearest and len(x):
+        found = []
+        for x, y in tiles(rows["grp"].to_numpy(), side):
+            ok = (root[x] != root[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            # Sketches of each size class once, folded to the smaller of a pair.
+            apart = np.zeros(len(x), np.int64)
+            small = np.minimum(width[x], width[y])
+            for size in np.unique(small):
+                which = np.flatnonzero(small == size)
+                used, at = np.unique(np.concatenate((x[which], y[which])), return_inverse=True)
+                table = np.stack([folded(marks[k], size) for k in used])
+                step = max(1, SKETCH_BYTES // int(size))
+                for part in range(0, len(which), step):
+                    w = which[part : part + step]
+                    i, j = at[part : part + len(w)], at[len(which) + part : len(which) + part + len(w)]
+                    apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
+            ok = apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y])
+            if nearest:
+                found.append((x[ok], y[ok], apart[ok]))
+            elif ok.any():
+                x, y = x[ok], y[ok]
+                yield batch_of(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart[ok])
+        if found:
+            x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
             # From either end.
             own, other, far = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((apart, apart))
             order = np.lexsort((node[other], far, node[own]))
             own, other, far = own[order], other[order], far[order]
-            first = np.flatnonzero(np.concatenate(([True], node[own][1:] != node[own][:-1])))
+            first = np.flatnonzero(np.concatenate(([True], node[own][1:] != node[own][:-1]))) if len(own) else np.zeros(0, np.int64)
             place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
             keep = place < CLOSEST
-            cols = [group[own[keep]], node[own[keep]], node[other[keep]], far[keep]]
-        else:
-            cols = [group[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["grp", "a", "b", "apart"])
+            yield batch_of(node[own[keep]], node[other[keep]], far[keep])
+
+    def batch_of(*cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -422,20 +439,10 @@ def _across(nearest: bool):
             # The last group may go on in the next batch.
             cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
             held = rows.slice(cut)
-            start = 0
-            while start < cut:
-                # So many groups at a time that their pairs fit in memory.
-                stop = min(cut, start + 2 * BLOCK)
-                stop = cut if stop == cut else int(np.searchsorted(group, group[stop]))
-                stop = stop if stop > start else int(np.searchsorted(group, group[start], side="right"))
-                got = compare(rows.slice(start, stop - start))
-                if got is not None:
-                    yield got
-                start = stop
+            if cut:
+                yield from compare(rows.slice(0, cut))
         if held is not None and len(held):
-            got = compare(held)
-            if got is not None:
-                yield got
+            yield from compare(held)
 
     return run
 
@@ -486,23 +493,23 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     side = F.when(F.col("k") == F.col("o"), -1).otherwise((F.col("k") > F.col("o")).cast("int"))
     dealt = materialize(dealt.select(F.xxhash64("bucket", F.least("k", "o"), F.greatest("k", "o")).alias("grp"), "node", side.alias("side")), "dealt")
 
-    def crossing(nearest_only: bool) -> DataFrame:
-        """Pairs across components that may link, by group."""
-        rows_ = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.select("node", "n", "data"), "node")
-        rows_ = rows_.select("grp", "node", "root", "side", "n", "data").repartition("grp").sortWithinPartitions("grp")
-        return rows_.mapInArrow(_across(nearest_only), "grp long, a long, b long, apart long")
+    def crossing(rows_: DataFrame, nearest_only: bool) -> DataFrame:
+        """Pairs across components that may link, from the groups that have several."""
+        rooted = rows_.join(roots, "node", "left").select("grp", "node", "side", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
+        wide = rooted.join(several, "grp").join(classes.select("node", "n", "data"), "node").select("grp", "node", "root", "side", "n", "data")
+        return wide.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(nearest_only), "a long, b long, apart long")
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
+    # The rounds look at a few groups of each member, those of the least hash: near copies have most groups in common, and so these.
+    order = Window.partitionBy("node").orderBy(F.xxhash64("grp"))
+    thin = materialize(dealt.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= THIN).drop("rn"), "thin")
     tested = nearest.select("a", "b")
     for turn in range(ROUNDS):
-        met = materialize(crossing(True), f"met-{turn}")
-        # A group without such a pair never gets one: components only grow.
-        dealt = materialize(dealt.join(met.select("grp").distinct(), "grp", "left_semi"), f"dealt-{turn}")
-        # A member has CLOSEST pairs of a bucket at most, and as many buckets as signatures.
         few = F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, CLOSEST)
-        new = materialize(untested(met.groupBy("a").agg(few.alias("x")).select("a", F.explode("x.b").alias("b"))), f"closest-{turn}")
+        new = materialize(untested(crossing(thin, True).groupBy("a").agg(few.alias("x")).select("a", F.explode("x.b").alias("b"))), f"closest-{turn}")
         found = verify(new, f"closest-{turn}")
         more = found.count()
         tested = tested.union(new)
@@ -510,7 +517,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             break
         links = links.union(found)
         roots = materialize(components(links), f"roots-{turn}")
-    cross = materialize(untested(crossing(False)), "cross")
+    # Every group that still has several components, whole.
+    cross = materialize(untested(crossing(dealt, False)), "cross")
     found = verify(cross, "cross")
     if found.count():
         links = links.union(found)
@@ -524,7 +532,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays, that of the least id; rows with a null id all stay. Columns of ``df`` alone."""
+    """Of each component the document of the least id stays, and rows with a null id all stay. Columns of ``df`` alone.
+
+    Rows that share the id that stays are that document repeated; exact duplicates are another operator's matter.
+    """
     found = near_copies(df, id_col, text_col)
     gone = materialize(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "gone")
     many = gone.count() > MOST_BROADCAST
