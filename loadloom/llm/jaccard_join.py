@@ -359,6 +359,9 @@ def _verified(words: int):
     return run
 
 
+LAST = np.iinfo(np.int64).max
+
+
 def _across(nearest: bool):
     """Rows of buckets' blocks, in order of their group -> pairs across components that may link.
 
@@ -389,11 +392,17 @@ def _across(nearest: bool):
             yield np.concatenate(out_x), np.concatenate(out_y)
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, root, n, side = (rows[c].to_numpy() for c in ("node", "root", "n", "side"))
+        group, node, root, n, side = (rows[c].to_numpy() for c in ("grp", "node", "root", "n", "side"))
+        few = rows["few"].combine_chunks()
+        starts = few.offsets.to_numpy()[:-1]
+        held_few = np.diff(few.offsets.to_numpy())
+        flat = few.values.to_numpy()
+        # By row its least groups, the last of them repeated to the same number.
+        mine = flat[starts[:, None] + np.minimum(np.arange(THIN)[None, :], held_few[:, None] - 1)]
         marks = rows["data"].to_pylist()
         width = np.array([len(m) for m in marks])
         found = []
-        for x, y in tiles(rows["grp"].to_numpy(), side):
+        for x, y in tiles(group, side):
             ok = (root[x] != root[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
             if not len(x):
@@ -410,12 +419,17 @@ def _across(nearest: bool):
                     w = which[part : part + step]
                     i, j = at[part : part + len(w)], at[len(which) + part : len(which) + part + len(w)]
                     apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
-            ok = apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y])
+            ok = np.flatnonzero(apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y]))
+            x, y, apart = x[ok], y[ok], apart[ok]
+            if not len(x):
+                continue
+            common = np.where((mine[x][:, :, None] == mine[y][:, None, :]).any(axis=2), mine[x], LAST).min(axis=1)
+            ok = (common == LAST) | (common == group[x])
+            x, y, apart = x[ok], y[ok], apart[ok]
             if nearest:
-                found.append((x[ok], y[ok], apart[ok]))
-            elif ok.any():
-                x, y = x[ok], y[ok]
-                yield batch_of(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart[ok])
+                found.append((x, y, apart))
+            elif len(x):
+                yield batch_of(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart)
         if found:
             x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
             # From either end.
@@ -497,7 +511,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         """Pairs across components that may link, from the groups that have several."""
         rooted = rows_.join(roots, "node", "left").select("grp", "node", "side", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-        wide = rooted.join(several, "grp").join(classes.select("node", "n", "data"), "node").select("grp", "node", "root", "side", "n", "data")
+        wide = rooted.join(several, "grp").join(classes.select("node", "n", "data"), "node").join(least_groups, "node").select("grp", "node", "root", "side", "n", "data", "few")
         return wide.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(nearest_only), "a long, b long, apart long")
 
     def untested(pairs: DataFrame) -> DataFrame:
@@ -506,6 +520,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # The rounds look at a few groups of each member, those of the least hash: near copies have most groups in common, and so these.
     order = Window.partitionBy("node").orderBy(F.xxhash64("grp"))
     thin = materialize(dealt.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= THIN).drop("rn"), "thin")
+    # A pair that has one of these groups in common comes from the first such group alone, not from all that it shares.
+    least_groups = materialize(thin.groupBy("node").agg(F.array_sort(F.collect_set("grp")).alias("few")), "least-groups")
     tested = nearest.select("a", "b")
     for turn in range(ROUNDS):
         few = F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, CLOSEST)
