@@ -45,16 +45,22 @@ class Encoder:
     """Texts to ids in little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.ranks = rank_coder(spec)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's own coder, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def one(self, text: str) -> bytes:
         if not self.ranks or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

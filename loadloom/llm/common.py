@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Python kernels take texts in slices of about so many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16_000_000
+SLICE_BYTES = 500_000
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
 
 
 def bounded(spark: SparkSession) -> None:
