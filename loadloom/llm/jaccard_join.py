@@ -396,9 +396,9 @@ def _across(nearest: bool):
         few = rows["few"].combine_chunks()
         starts = few.offsets.to_numpy()[:-1]
         held_few = np.diff(few.offsets.to_numpy())
-        flat = few.values.to_numpy()
-        # By row its least groups, the last of them repeated to the same number.
-        mine = flat[starts[:, None] + np.minimum(np.arange(THIN)[None, :], held_few[:, None] - 1)]
+        # By row its least groups and its sides there, the last of them repeated to the same number.
+        at_few = starts[:, None] + np.minimum(np.arange(THIN)[None, :], held_few[:, None] - 1)
+        mine, sided = (few.values.field(c).to_numpy()[at_few] for c in ("grp", "side"))
         marks = rows["data"].to_pylist()
         width = np.array([len(m) for m in marks])
         found = []
@@ -423,7 +423,9 @@ def _across(nearest: bool):
             x, y, apart = x[ok], y[ok], apart[ok]
             if not len(x):
                 continue
-            common = np.where((mine[x][:, :, None] == mine[y][:, None, :]).any(axis=2), mine[x], LAST).min(axis=1)
+            # Two on the same side of a group don't meet there, so it is no common one.
+            meet = (mine[x][:, :, None] == mine[y][:, None, :]) & ((sided[x][:, :, None] < 0) | (sided[x][:, :, None] != sided[y][:, None, :]))
+            common = np.where(meet.any(axis=2), mine[x], LAST).min(axis=1)
             ok = (common == LAST) | (common == group[x])
             x, y, apart = x[ok], y[ok], apart[ok]
             if nearest:
@@ -520,8 +522,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # The rounds look at a few groups of each member, those of the least hash: near copies have most groups in common, and so these.
     order = Window.partitionBy("node").orderBy(F.xxhash64("grp"))
     thin = materialize(dealt.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= THIN).drop("rn"), "thin")
-    # A pair that has one of these groups in common comes from the first such group alone, not from all that it shares.
-    least_groups = materialize(thin.groupBy("node").agg(F.array_sort(F.collect_set("grp")).alias("few")), "least-groups")
+    # A pair that meets in one of these groups comes from the first such group alone, not from all in which it meets.
+    least_groups = materialize(thin.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("grp", "side"))).alias("few")), "least-groups")
     tested = nearest.select("a", "b")
     for turn in range(ROUNDS):
         few = F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, CLOSEST)

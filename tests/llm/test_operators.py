@@ -168,6 +168,23 @@ def test_jaccard_join_at_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect()} == brute_components(rows)
 
 
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """Chains in which neighbours alone link while all members share most buckets, which are dealt out in blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(11)
+    rows = []
+    for chain in range(3):
+        core = [f"c{chain}-{rng.random()}" for _ in range(150)]
+        pieces = [[f"p{chain}-{i}-{k}" for k in range(12)] for i in range(41)]
+        rows += [" ".join(core + a + b) for a, b in zip(pieces, pieces[1:])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) == 3
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect()} == want
+
+
 def test_jaccard_join_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect())
