@@ -80,10 +80,8 @@ def provincial_metrics(rows: DataFrame, members: DataFrame, reference: DataFrame
     ``members`` has the key and its ``residence``; the reference has ``month`` (0: the year), ``market``, ``residence``, ``daytype``,
     ``hour``, ``kwh``. Only reference groups of 24 hours count.
     """
-    own = None
-    for name in [r[0] for r in members.select("residence").distinct().limit(100).collect()]:
-        part = profiles.by_day_type(rows.join(members.where(F.col("residence") == name).select(key), key, "left_semi"), key, "ts", "value", scale).withColumn("residence", F.lit(name))
-        own = part if own is None else own.unionByName(part)
+    homes = members.where("residence is not null").select(key, "residence").distinct()
+    own = profiles.by_day_type(rows.select(key, "ts", "value").join(homes, key), key, "ts", "value", scale, ("residence",))
     names = F.create_map(*[F.lit(x) for pair in (("Giorno feriale", "Weekday"), ("Sabato", "Saturday"), ("Domenica", "Sunday")) for x in pair])
     keys = ["residence", "market", "daytype", "month"]
     full = reference.withColumn("daytype", F.coalesce(names[F.col("daytype")], F.col("daytype")))

@@ -105,11 +105,11 @@ def band_share(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return share.groupBy(key, "month", "hour").agg(F.avg("pct").alias("pct")).groupBy("month", "hour").agg(F.avg("pct").alias("pct"))
 
 
-def by_day_type(df: DataFrame, key: str, ts: str, value: str, scale: float = 1.0) -> DataFrame:
-    """Mean by key, day type, month and hour, then over keys; month 0 is the mean of the months there are."""
-    first = df.where(F.col(key).isNotNull()).groupBy(key, day_type(F.col(ts)).alias("daytype"), F.month(ts).alias("month"), F.hour(ts).alias("hour")).agg((F.avg(value) * scale).alias("v"))
-    months = first.groupBy("daytype", "month", "hour").agg(F.avg("v").alias("v"))
-    return months.unionByName(months.groupBy("daytype", "hour").agg(F.avg("v").alias("v")).withColumn("month", F.lit(0)).select("daytype", "month", "hour", "v"))
+def by_day_type(df: DataFrame, key: str, ts: str, value: str, scale: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean by key, day type, month and hour, then over keys (within ``by``); month 0 is the mean of the months there are."""
+    first = df.where(F.col(key).isNotNull()).groupBy(*by, key, day_type(F.col(ts)).alias("daytype"), F.month(ts).alias("month"), F.hour(ts).alias("hour")).agg((F.avg(value) * scale).alias("v"))
+    months = first.groupBy(*by, "daytype", "month", "hour").agg(F.avg("v").alias("v"))
+    return months.unionByName(months.groupBy(*by, "daytype", "hour").agg(F.avg("v").alias("v")).withColumn("month", F.lit(0)).select(*by, "daytype", "month", "hour", "v"))
 
 
 def reference_means(df: DataFrame, column: str, month: str = "month", hour: str = "hour") -> DataFrame:

@@ -25,7 +25,7 @@ def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code
     ``assigned`` has the key and ``cluster``; ``long`` has ``key, cluster, slot, v``.
     """
     named = assigned.join(dim.select(key, code), key, "left")
-    numbers = [r[0] for r in assigned.select("cluster").distinct().orderBy("cluster").limit(1000).collect()]
+    numbers = [r[0] for r in assigned.select("cluster").distinct().orderBy("cluster").collect()]
     book = {
         "Cluster_Stats": composition.stats(long),
         "Global_Metrics": composition.calinski_harabasz(long).join(F.broadcast(composition.davies_bouldin(long).drop("k"))),

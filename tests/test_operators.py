@@ -131,3 +131,26 @@ def test_partition_invariance(spark):
     df = spark.createDataFrame(pdf)
     a, b = (funnel.monthly(d, "key", "ts", "v").orderBy("key", "period").toPandas() for d in (df.coalesce(1), df.repartition(7)))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_provincial_metrics_of_every_residence(spark):
+    from loadloom.operators import comparison
+
+    n = 120
+    rows = spark.range(n * 24).select((F.col("id") / 24).cast("long").alias("pod"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(id % 24 as int))").alias("ts"), (F.col("id") % 24 * 1000.0).alias("value"))
+    members = spark.range(n).select(F.col("id").alias("pod"), F.concat(F.lit("r"), "id").alias("residence"))
+    reference = members.crossJoin(spark.range(24).select(F.col("id").cast("int").alias("hour"))).select(F.lit(1).alias("month"), F.lit("m").alias("market"), "residence", F.lit("Giorno feriale").alias("daytype"), "hour", F.col("hour").cast("double").alias("kwh"))
+    for got in comparison.provincial_metrics(rows, members, reference, "pod"):
+        assert {r.residence for r in got.collect()} == {f"r{i}" for i in range(n)}
+
+
+def test_breakdown_has_every_cluster(spark, monkeypatch):
+    from loadloom.sources import reports
+
+    seen = []
+    monkeypatch.setattr(reports.composition, "crosstab_text", lambda df, row, column, columns: seen.extend(columns))
+    monkeypatch.setattr(reports.store, "bundle", lambda *a: b"")
+    pods = spark.range(1001).select(F.col("id").alias("pod"), F.col("id").cast("int").alias("cluster"))
+    long = pods.select(F.col("pod").alias("key"), "cluster", F.lit(0).alias("slot"), F.lit(1.0).alias("v"))
+    reports.clustering_bundle(pods, long, pods.select("pod", F.lit("x").alias("code")), "code")
+    assert seen == list(range(1001))
