@@ -123,12 +123,12 @@ def dendrogram(spark, sf):
 
 @register("outliers_single_linkage")
 def outliers_single_linkage(spark, sf):
-    return clustering.outliers(_profiles(spark, sf), "grp", "key", "features", k=6, below=3)
+    return clustering.outliers(_profiles(spark, sf), "grp", "key", "features")
 
 
 @register("outlier_report")
 def outlier_report(spark, sf):
-    found = clustering.outliers(_profiles(spark, sf), "grp", "key", "features", k=6, below=3)
+    found = clustering.outliers(_profiles(spark, sf), "grp", "key", "features")
     return clustering.outlier_report(found, readings(spark, sf).withColumnRenamed("key", "user"), "user", "ts")
 
 

@@ -154,3 +154,16 @@ def test_breakdown_has_every_cluster(spark, monkeypatch):
     long = pods.select(F.col("pod").alias("key"), "cluster", F.lit(0).alias("slot"), F.lit(1.0).alias("v"))
     reports.clustering_bundle(pods, long, pods.select("pod", F.lit("x").alias("code")), "code")
     assert seen == list(range(1001))
+
+
+def test_outlier_queries_use_the_operators_defaults(spark, monkeypatch):
+    from loadloom.plans import cluster_queries
+
+    seen = []
+    monkeypatch.setattr(cluster_queries, "_profiles", lambda *a: None)
+    monkeypatch.setattr(cluster_queries, "readings", lambda *a: spark.range(1).withColumnRenamed("id", "key"))
+    monkeypatch.setattr(cluster_queries.clustering, "outlier_report", lambda *a: None)
+    monkeypatch.setattr(cluster_queries.clustering, "outliers", lambda *a, k=20, below=5: seen.append((k, below)))
+    cluster_queries.outliers_single_linkage(spark, "")
+    cluster_queries.outlier_report(spark, "")
+    assert seen == [(20, 5)] * 2
