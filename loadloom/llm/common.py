@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,19 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    """A folder of this machine, one for each application."""
+    return tempfile.mkdtemp(prefix="loadloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` where it is set. Where it isn't: a folder of this
     machine on a local master (tests), the warehouse on any other.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            found = tempfile.mkdtemp(prefix="loadloom-")
-            spark.conf.set("spark.checkpoint.dir", found)
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir")
+        alone = context.master.startswith("local") and "cluster" not in context.master
+        found = _own_dir(context.applicationId) if alone else spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 
@@ -51,13 +56,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loadloom/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`materialize`, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Shelf:
+    """Tables in the shared folder that one operator works with and deletes at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it again: a cut of the lineage that outlives executors."""
+        bounded(self.spark)
+        self.paths.append(shared_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    bounded(spark)
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder, where it stays, and read it again."""
+    return Shelf(df.sparkSession).put(df, name)
 
 
 def spare(df: DataFrame, *wanted: str) -> list[str]:

@@ -2,8 +2,8 @@
 
 Each round sends, from every node, its larger neighbours (then its smaller ones) to the least
 node of its neighbourhood. A node of very many links is a group only where its links meet;
-sums are partial there, and no group is gathered. Rounds end when nothing changes, after a number
-of them that grows with the logarithm of the longest chain.
+sums are partial there, and no group is gathered. Rounds end when every node hangs from a root that hangs from none, after
+a number of them that grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -11,30 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Shelf
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node with a link in (``a``, ``b``)."""
-
-    def minimum(edges: DataFrame) -> DataFrame:
-        """Every edge in both directions with the least node of its first end's neighbourhood."""
+    edges = shelf.put(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    while True:
+        ends = edges.select(F.col("a").alias("x"), F.lit(0).alias("below")).distinct().union(edges.select(F.col("b").alias("x"), F.lit(1).alias("below")))
+        torn = ends.groupBy("x").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("n")).where("below > 0 and n > 1")
+        if torn.isEmpty():
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both, least
-
-    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        both, least = minimum(edges)
-        large = both.where("v > u").join(least, "u").where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        edges_l = large.distinct()
+        large = both.where("v > u").join(least, "u").where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         # Small star: from each node to the least of its smaller neighbours and itself.
-        low = edges_l.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = edges_l.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u")
-        out = small.select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        edges = materialize(out, "stars")
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
+        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        small = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u")
+        out = small.select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b")
+        edges = shelf.put(out.distinct(), "stars")

@@ -11,11 +11,16 @@ the copies that thin segments would meet. ``spare`` segments beyond the pigeonho
 out; a set with more empty segments than that is indexed a second time, with all of them, in a name space of
 its own. Only pairs of two such sets could have been missed, so none is.
 
-*Verification.* Signatures travel packed and sorted. In every bucket each member is paired with the least one;
-parity sketches, whose distance never exceeds the true difference, throw out most false pairs, and
-the texts of the rest decide. Members that are then in one component need no further test. In a few rounds each member then meets
-the closest ones of other components in its buckets, and at last every pair of a bucket that is still across components
-is tested in the same way, so components are those of all links.
+*Buckets.* Signatures travel packed and sorted; the sets of one signature are a bucket. A signature that one task meets often
+sends a few of its sets to the signature's part and the others past it, so a very common one fills no part. Small buckets give their pairs, whose number is a
+constant times their members. A set that must share more signatures than one with each of its partners leaves out as many of its largest buckets: of
+the signatures that two sets share, the one in the smallest bucket stays with both.
+
+*Verification.* Parity sketches, whose distance never exceeds the true difference, throw out most false pairs, and
+the texts of the rest decide. First each set is tested with its closest candidate, and members that are then in one component need no further test.
+In larger buckets each member meets the least one, in a few rounds the closest ones of other components, and at last every pair that is still
+across components is looked at: members outside a bucket's largest component meet all others, dealt in blocks, and a bucket with very many of them is
+first cut by a second universe partition of the same sets. So components are those of all links.
 
 Defined results. A null or empty text, or one without words, has no shingles and links with nothing. Fewer
 words than a shingle has are one shingle. Equal sets are one class. A row with a null id comes back with a
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROLL, buffers, materialize, mix, slices, words_of
+from .common import ROLL, Shelf, buffers, mix, slices, spare, words_of
 from .components import components
 
 WORDS = 5
@@ -49,15 +54,24 @@ PART = 500_000
 SLICE = 500_000
 #: Most ids that are broadcast to pick texts; beyond, a shuffle does it.
 MOST_BROADCAST = 200_000
-#: Largest bucket that one task compares across components; larger ones are dealt out in pairs of blocks.
-BLOCK = 4096
+#: Largest bucket whose pairs are written.
+SMALL = 8
+#: Sets of one signature that a task's batch sends to the signature's part; more go past it. More than SMALL.
+HOT = 64
+#: Members of a bucket that are compared with as many others at once; larger ones are dealt out in pairs of blocks.
+BLOCK = 512
+#: Blocks of members outside the largest component beyond which a bucket is cut by a second partition.
+AGAIN = 16
 #: Pairs of members that are looked at together.
 TILE = 500_000
 #: Bytes of sketches that are compared at once.
 SKETCH_BYTES = 8_000_000
 GROWTH = 1.3
-#: Rounds in which each member meets so many of the closest members of other components, in so many of its buckets, before all pairs that are left.
+#: Rounds in which each member meets so many of the closest members of other components, in so many of its buckets, before all pairs that are left;
+#: the rounds end where fewer than half of the pairs link.
 ROUNDS, CLOSEST, THIN = 4, 3, 4
+#: The low bits of a signature name its band and name space.
+FLAGS = np.uint64(7)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -137,47 +151,62 @@ def bands_of(sizes: np.ndarray) -> list[tuple[Band, np.ndarray]]:
     return out
 
 
-def signatures(owner: np.ndarray, code: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets: set and signature."""
+def signatures(owner: np.ndarray, code: np.ndarray, docs: int, partition: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets (set, signature), and how many may be left out (set, flags << 24 | number).
+
+    The second part is by band and name space: a set shares more signatures than that number with each set it links with.
+    ``partition`` numbers independent partitions of the universe.
+    """
     sizes = np.bincount(owner, minlength=docs)
     start = np.concatenate(([0], np.cumsum(sizes)))
     token = mix(code ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    out_set, out_sig = [], []
+    out_set, out_sig, out_own, out_room = [], [], [], []
     for b, which in bands_of(sizes):
         m, v = b.segments, b.deletions
         own = np.repeat(np.arange(len(which)), sizes[which])
         pick = np.repeat(start[which] - np.concatenate(([0], np.cumsum(sizes[which])[:-1])), sizes[which]) + np.arange(len(own))
         t, c = token[pick], code[pick]
-        segment = (mix(c + np.uint64(b.number + 1)) % np.uint64(m)).astype(np.int64)
+        segment = (mix(c + np.uint64(b.number + 1 + (partition << 32))) % np.uint64(m)).astype(np.int64)
         cell = own * m + segment
         total = np.zeros(len(which) * m, np.uint64)
         np.add.at(total, cell, t)
         filled = np.bincount(cell, minlength=len(total))
         where = mix((np.uint64(b.number) << np.uint64(32)) + np.arange(m, dtype=np.uint64))
         least = 1
-        thin = filled < least + v
-        lacks = thin.reshape(len(which), m).sum(axis=1) > b.spare
+        thin = (filled < least + v).reshape(len(which), m).sum(axis=1)
+        lacks = thin > b.spare
         salt = np.tile(where, len(which))
+        flags = np.uint64(b.number % 4 * 2)
+        marked = lambda x, f: x & ~FLAGS | f
         good = np.flatnonzero(filled >= least)
-        sets, sigs = [good // m], [mix(total[good] + salt[good])]
+        sets, sigs = [good // m], [marked(mix(total[good] + salt[good]), flags)]
         if v:
             ok = filled[cell] > least  # with one shingle deleted, something must be left
             sets.append(own[ok])
-            sigs.append(mix(total[cell[ok]] - t[ok] + salt[cell[ok]]))
+            sigs.append(marked(mix(total[cell[ok]] - t[ok] + salt[cell[ok]]), flags))
         if lacks.any():
             apart = np.uint64(0xC3C3C3C3C3C3C3C3)
             every = np.flatnonzero(np.repeat(lacks, m))
             sets.append(every // m)
-            sigs.append(mix(total[every] + salt[every] + apart))
+            sigs.append(marked(mix(total[every] + salt[every] + apart), flags + np.uint64(1)))
             if v:
                 ok = lacks[own]
                 sets.append(own[ok])
-                sigs.append(mix(total[cell[ok]] - t[ok] + salt[cell[ok]] + apart))
+                sigs.append(marked(mix(total[cell[ok]] - t[ok] + salt[cell[ok]] + apart), flags + np.uint64(1)))
+        if not v:
+            # Segments in which a set can differ from a partner of the band; in all others the two agree.
+            n = sizes[which]
+            differ = (n + np.minimum(b.hi, n * DEN // NUM)) * (DEN - NUM) // (DEN + NUM)
+            for kind, room in ((0, m - differ - thin - 1), (1, np.where(lacks, m - differ - 1, 0))):
+                some = np.flatnonzero(room > 0)
+                out_own.append(which[some])
+                out_room.append(((int(flags) + kind) << 24 | np.minimum(room[some], (1 << 24) - 1)).astype(np.int32))
         out_set += [which[s] for s in sets]
         out_sig += sigs
+    none = np.zeros(0, np.int64)
     if not out_set:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_set), np.concatenate(out_sig)
+        return none, np.zeros(0, np.uint64), none, np.zeros(0, np.int32)
+    return np.concatenate(out_set), np.concatenate(out_sig), np.concatenate([none, *out_own]), np.concatenate([np.zeros(0, np.int32), *out_room])
 
 
 def sketch_bits(n: int) -> int:
@@ -207,9 +236,7 @@ def may_link(n: int, m: int, apart: int) -> bool:
 
 def _pack(sig: np.ndarray, node: np.ndarray) -> bytes:
     """Sorted signatures as byte planes of their steps, and the nodes by number."""
-    order = np.argsort(sig)
-    sig = sig[order]
-    names, number = np.unique(node[order], return_inverse=True)
+    names, number = np.unique(node, return_inverse=True)
     step = np.diff(sig, prepend=np.uint64(0))
     planes = step.view(np.uint8).reshape(-1, 8).T.copy().tobytes() + number.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy().tobytes()
     return zstandard.ZstdCompressor(level=1).compress(np.array([len(sig), len(names)], np.uint64).tobytes() + planes + names.tobytes())
@@ -223,28 +250,55 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), np.frombuffer(raw, np.int64, k, 16 + 12 * n)[number]
 
 
+def _bucket(sig: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return (mix((sig & ~FLAGS) + (part << np.uint64(56))) & ~FLAGS | sig & FLAGS).view(np.int64)
+
+
+#: Rows of the index: sets (doc, node, n, data: sketch, room), pairs (center, node), members of buckets (bucket, center, node).
+INDEX = {"doc": pa.int64(), "node": pa.int64(), "n": pa.int64(), "data": pa.binary(), "room": pa.list_(pa.int32()), "bucket": pa.int64(), "center": pa.int64()}
+INDEX_DDL = "doc long, node long, n long, data binary, room array<int>, bucket long, center long"
+
+
+def _rows(number: int, **cols) -> list[pa.Array]:
+    return [cols[c] if isinstance(cols.get(c), pa.Array) else pa.array(cols[c], t) if c in cols else pa.nulls(number, t) for c, t in INDEX.items()]
+
+
 def _emit(parts: int, words: int):
-    """(id, text) -> rows of sets (part dealt in turn) and packed signatures (by part)."""
+    """(id, text) -> rows of sets (part dealt in turn), packed signatures (by part), and members of common signatures (part dealt in turn)."""
+    names = ["part", *INDEX]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs, nodes, waiting, turn = [], [], 0, 0
-        names = ["part", "doc", "node", "n", "data"]
 
-        def flush() -> pa.RecordBatch:
+        def dealt(n: int) -> pa.Array:
+            nonlocal turn
+            turn += n
+            return pa.array(((turn + np.arange(n)) % parts).astype(np.int32))
+
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal waiting
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             part = (sig >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            sig, node = sig[order] & np.uint64((1 << 56) - 1), node[order]
-            cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            sig &= np.uint64((1 << 56) - 1)
+            order = np.lexsort((node, sig, part))
+            part, sig, node = part[order], sig[order], node[order]
+            first = np.ones(len(sig), bool)
+            first[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(first)
+            head = at[np.cumsum(first) - 1]
+            past = np.arange(len(sig)) - head >= HOT
+            if past.any():
+                k = int(past.sum())
+                yield pa.RecordBatch.from_arrays([dealt(k), *_rows(k, node=node[past], bucket=_bucket(sig[past], part[past]), center=node[head[past]])], names)
+                part, sig, node = part[~past], sig[~past], node[~past]
+            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             full = [p for p in range(parts) if cut[p] < cut[p + 1]]
             blobs = [_pack(sig[cut[p] : cut[p + 1]], node[cut[p] : cut[p + 1]]) for p in full]
             sigs.clear()
             nodes.clear()
             waiting = 0
-            none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, none, pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *_rows(len(full), data=blobs)], names)
 
         for batch in batches:
             raw, at = buffers(batch.column(1))
@@ -267,32 +321,36 @@ def _emit(parts: int, words: int):
                         marks.append(None)
                 keep = fresh[owner]
                 number = np.cumsum(fresh) - 1
-                sets, sig = signatures(number[owner[keep]], code[keep], int(fresh.sum()))
+                sets, sig, own, room = signatures(number[owner[keep]], code[keep], int(fresh.sum()))
                 sigs.append(sig)
                 nodes.append(node[fresh][sets])
                 waiting += len(sig)
-                deal = pa.array(((turn + np.arange(docs)) % parts).astype(np.int32))
-                turn += docs
-                yield pa.RecordBatch.from_arrays([deal, batch.column(0).slice(i, docs), pa.array(node), pa.array(sizes.astype(np.int64)), pa.array(marks, pa.binary())], names)
+                order = np.argsort(own, kind="stable")
+                held = np.zeros(docs + 1, np.int64)
+                held[1:][fresh] = np.bincount(own, minlength=int(fresh.sum()))
+                rooms = pa.ListArray.from_arrays(np.cumsum(held).astype(np.int32), pa.array(room[order], pa.int32()))
+                yield pa.RecordBatch.from_arrays([dealt(docs), *_rows(docs, doc=batch.column(0).slice(i, docs), node=node, n=sizes.astype(np.int64), data=marks, room=rooms)], names)
                 if waiting > PART:
-                    yield flush()
+                    yield from flush()
         if waiting:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """All rows of a part -> its sets as they came, and the members of buckets of two or more."""
-    is_set = pc.is_valid(table["n"])
-    sets = table.filter(is_set)
-    blobs = table.filter(pc.invert(is_set))["data"].to_pylist()
-    got = [_unpack(b) for b in blobs]
-    sig = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
-    node = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    if len(sig):
+def _gather(small: int):
+    """All rows of a part -> its sets and members as they came, pairs of its small buckets, and members of its larger ones."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        packed = pc.and_(pc.is_null(table["n"]), pc.is_null(table["bucket"]))
+        came = table.filter(pc.invert(packed)).select(list(INDEX))
+        got = [_unpack(b) for b in table.filter(packed)["data"].to_pylist()]
+        if not got:
+            return came
+        sig = np.concatenate([g[0] for g in got])
+        node = np.concatenate([g[1] for g in got])
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node = sig[new], node[new]
@@ -301,25 +359,47 @@ def _gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(sig)))
         group = np.cumsum(first) - 1
-        many = size[group] > 1
-        center = node[at][group][many]
-        sig, node = sig[many], node[many]
-    else:
-        center = node
-    k, n = len(sets), len(sig)
-    part = int(key[0].as_py())
-    bucket = mix(sig + (np.uint64(part) << np.uint64(56))).view(np.int64)
-    none = pa.nulls(n, pa.int64())
-    return pa.table(
-        {
-            "doc": pa.chunked_array([*sets["doc"].cast(pa.int64()).chunks, none], pa.int64()),
-            "node": pa.chunked_array([*sets["node"].chunks, pa.array(node)], pa.int64()),
-            "n": pa.chunked_array([*sets["n"].chunks, none], pa.int64()),
-            "data": pa.chunked_array([*sets["data"].chunks, pa.nulls(n, pa.binary())], pa.binary()),
-            "bucket": pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(bucket)], pa.int64()),
-            "center": pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(center)], pa.int64()),
-        }
-    )
+        few = np.flatnonzero((size[group] > 1) & (size[group] <= small))
+        a, b = [node[:0]], [node[:0]]
+        for step in range(1, small):
+            low = few[:-step]
+            ok = group[few[step:]] == group[low]
+            a.append(node[low[ok]])
+            b.append(node[few[step:][ok]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
+        many = size[group] > small
+        part = np.full(int(many.sum()), int(key[0].as_py()), np.uint64)
+        pairs = pa.Table.from_arrays(_rows(len(a), center=a, node=b), names=list(INDEX))
+        members = pa.Table.from_arrays(_rows(len(part), node=node[many], bucket=_bucket(sig[many], part), center=node[at][group][many]), names=list(INDEX))
+        return pa.concat_tables([came.cast(members.schema), pairs, members])
+
+    return run
+
+
+def _again(words: int):
+    """(node, buckets, text) -> (bucket, node) for the parts into which a second partition cuts each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = buffers(batch.column(2))
+            nodes, held = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for i, j in slices(at, SLICE):
+                owner, code = shingles(raw, at[i : j + 1], words)
+                sets, sig, _, _ = signatures(owner, code, j - i, 1)
+                order = np.argsort(sets, kind="stable")
+                edge = np.searchsorted(sets[order], np.arange(j - i + 1))
+                for k in range(j - i):
+                    own = mix(sig[order[edge[k] : edge[k + 1]]])
+                    for bucket in held[i + k]:
+                        grp = mix(own ^ np.array([bucket], np.int64).view(np.uint64))
+                        yield pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(np.full(len(grp), nodes[i + k], np.int64))], ["bucket", "node"])
+
+    return run
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,9 +439,6 @@ def _verified(words: int):
     return run
 
 
-LAST = np.iinfo(np.int64).max
-
-
 def _across(nearest: bool):
     """Rows of buckets' blocks, in order of their group -> pairs across components that may link.
 
@@ -393,12 +470,6 @@ def _across(nearest: bool):
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         group, node, root, n, side = (rows[c].to_numpy() for c in ("grp", "node", "root", "n", "side"))
-        few = rows["few"].combine_chunks()
-        starts = few.offsets.to_numpy()[:-1]
-        held_few = np.diff(few.offsets.to_numpy())
-        # By row its least groups and its sides there, the last of them repeated to the same number.
-        at_few = starts[:, None] + np.minimum(np.arange(THIN)[None, :], held_few[:, None] - 1)
-        mine, sided = (few.values.field(c).to_numpy()[at_few] for c in ("grp", "side"))
         marks = rows["data"].to_pylist()
         width = np.array([len(m) for m in marks])
         found = []
@@ -421,13 +492,6 @@ def _across(nearest: bool):
                     apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
             ok = np.flatnonzero(apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y]))
             x, y, apart = x[ok], y[ok], apart[ok]
-            if not len(x):
-                continue
-            # Two on the same side of a group don't meet there, so it is no common one.
-            meet = (mine[x][:, :, None] == mine[y][:, None, :]) & ((sided[x][:, :, None] < 0) | (sided[x][:, :, None] != sided[y][:, None, :]))
-            common = np.where(meet.any(axis=2), mine[x], LAST).min(axis=1)
-            ok = (common == LAST) | (common == group[x])
-            x, y, apart = x[ok], y[ok], apart[ok]
             if nearest:
                 found.append((x, y, apart))
             elif len(x):
@@ -464,89 +528,145 @@ def _across(nearest: bool):
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` of every row (see the module's text)."""
+    """``doc_id``, ``n_shingles``, ``component_id`` of every row (see the module's text), as a table in the shared folder."""
+    spark = df.sparkSession
+    shelf, result = Shelf(spark), Shelf(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(max(64, size // (12 * PART)))
-    packed = rows.mapInArrow(_emit(parts, words), "part int, doc long, node long, n long, data binary")
-    first = materialize(packed.groupBy("part").applyInArrow(_gather, "doc long, node long, n long, data binary, bucket long, center long"), "index")
-    sets = first.where("n is not null").select("doc", "node", "n", "data")
-    members = first.where("bucket is not null").select("bucket", "node", "center")
-    classes = materialize(sets.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.max("data").alias("data")), "classes")
-
-    def sketch_filter(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("data").alias(f"s_{x}"))
-        wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-        return wide.mapInArrow(_sketched, "a long, b long, apart long")
+    packed = rows.mapInArrow(_emit(parts, words), f"part int, {INDEX_DDL}")
+    first = shelf.put(packed.groupBy("part").applyInArrow(_gather(SMALL), INDEX_DDL), "index")
+    sets = first.where("n is not null").select("doc", "node", "n", "data", "room")
+    largest = [F.max(c).alias(c) for c in ("n", "data", "room")]
+    classes = shelf.put(sets.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), *largest), "classes")
+
+    def attach(pairs: DataFrame, to: DataFrame, *cols: str) -> DataFrame:
+        """``pairs`` with the columns of ``to`` for either end."""
+        for x in ("a", "b"):
+            pairs = pairs.join(to.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]), x)
+        return pairs.select("a", "b", *[f"{c}_{x}" for c in cols for x in ("a", "b")])
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link. Only their texts are read again."""
         need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc"), "node")
-        need = materialize(need, f"{name}-nodes")
+        need = shelf.put(need, f"{name}-nodes")
         count = need.count()
-        if not count:
-            return pairs.select("a", "b")
-        texts = rows.join(F.broadcast(need) if count <= MOST_BROADCAST else need, "doc").select("node", "text")
-        texts = materialize(texts, f"{name}-texts")
-        side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
-        wide = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-        return materialize(wide.mapInArrow(_verified(words), "a long, b long").distinct(), f"{name}-links")
-
-    # First every member with the least of its bucket, and of those pairs the closest of each member.
-    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(sketch_filter(stars), "stars")
-    nearest = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    nearest = materialize(nearest, "nearest")
-    links = verify(nearest, "near")
-    roots = materialize(components(links), "roots")
-
-    # Then pairs across components, wherever a bucket has more than one. Buckets are dealt into pairs of blocks.
-    named = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    dealt = named.join(several.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("k") == F.col("o"), -1).otherwise((F.col("k") > F.col("o")).cast("int"))
-    dealt = materialize(dealt.select(F.xxhash64("bucket", F.least("k", "o"), F.greatest("k", "o")).alias("grp"), "node", side.alias("side")), "dealt")
-
-    def crossing(rows_: DataFrame, nearest_only: bool) -> DataFrame:
-        """Pairs across components that may link, from the groups that have several."""
-        rooted = rows_.join(roots, "node", "left").select("grp", "node", "side", F.coalesce("root", "node").alias("root"))
-        several = rooted.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-        wide = rooted.join(several, "grp").join(classes.select("node", "n", "data"), "node").join(least_groups, "node").select("grp", "node", "root", "side", "n", "data", "few")
-        return wide.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(nearest_only), "a long, b long, apart long")
+        texts = shelf.put(rows.join(F.broadcast(need) if count <= MOST_BROADCAST else need, "doc").select("node", "text"), f"{name}-texts")
+        return shelf.put(attach(pairs.select("a", "b"), texts, "text").mapInArrow(_verified(words), "a long, b long").distinct(), f"{name}-links")
+
+    def with_roots(df_: DataFrame, *names: str) -> DataFrame:
+        """The root of each node among ``names``, as ``root`` or ``root_<name>``; a node without links is its own."""
+        for x in names:
+            to = "root" if x == "node" else f"root_{x}"
+            df_ = df_.join(roots.select(F.col("node").alias(x), F.col("root").alias(to)), x, "left").withColumn(to, F.coalesce(to, x))
+        return df_
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
-    # The rounds look at a few groups of each member, those of the least hash: near copies have most groups in common, and so these.
-    order = Window.partitionBy("node").orderBy(F.xxhash64("grp"))
-    thin = materialize(dealt.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= THIN).drop("rn"), "thin")
-    # A pair that meets in one of these groups comes from the first such group alone, not from all in which it meets.
-    least_groups = materialize(thin.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("grp", "side"))).alias("few")), "least-groups")
-    tested = nearest.select("a", "b")
+    # Members of larger buckets, each without the largest that it can do without. The order of buckets is the same for all.
+    members = first.where("bucket is not null").select("bucket", "node", "center")
+    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").withColumn("flags", F.col("bucket").bitwiseAND(7).cast("int"))
+    place = F.row_number().over(Window.partitionBy("node", "flags").orderBy(F.desc("size"), "bucket"))
+    room = F.get(F.filter("room", lambda x: F.shiftright(x, 24) == F.col("flags")), F.lit(0)).bitwiseAND((1 << 24) - 1)
+    placed = sized.withColumn("place", place).join(classes.select("node", "room"), "node")
+    members = shelf.put(placed.where(F.col("place") > F.coalesce(room, F.lit(0))).select("bucket", "node", "center"), "members")
+
+    # Pairs of small buckets, and every member of others with the least; of those that may link the closest of each set.
+    pairs = first.where("bucket is null and center is not null").select(F.col("center").alias("a"), F.col("node").alias("b"))
+    stars = members.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
+    pairs = attach(pairs.union(stars).distinct(), classes, "n", "data")
+    pairs = shelf.put(pairs.mapInArrow(_sketched, "a long, b long, apart long"), "pairs")
+    ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
+    nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    tested = shelf.put(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
+    links = verify(tested, "near")
+    roots = shelf.put(components(links, shelf), "roots")
+
+    def crossing(dealt: DataFrame, nearest_only: bool) -> DataFrame:
+        """Pairs across components that may link, within the groups of (``grp``, ``side``, ``node``, ``root``)."""
+        wide = dealt.join(classes.select("node", "n", "data"), "node").select("grp", "node", "root", "side", "n", "data")
+        return wide.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(nearest_only), "a long, b long, apart long")
+
+    def several(of: DataFrame, key: str) -> DataFrame:
+        """The keys under which more than one component stands."""
+        return of.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+
+    # Then the other pairs that are across components; and in rounds, in a few buckets of each set, the closest of other components.
+    rest = with_roots(pairs, "a", "b").where("root_a <> root_b").select("a", "b")
     for turn in range(ROUNDS):
+        rooted = with_roots(members, "node")
+        rooted = rooted.join(several(rooted, "bucket").select("bucket", F.ceil(F.col("size") / BLOCK).alias("cells")), "bucket")
+        cell = F.pmod(F.xxhash64("node"), F.col("cells"))
+        thin = rooted.select("node", "root", F.xxhash64("bucket", cell).alias("grp"), F.lit(-1).alias("side"))
+        thin = thin.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("grp"))).where(F.col("rn") <= THIN).drop("rn")
         few = F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, CLOSEST)
-        new = materialize(untested(crossing(thin, True).groupBy("a").agg(few.alias("x")).select("a", F.explode("x.b").alias("b"))), f"closest-{turn}")
-        found = verify(new, f"closest-{turn}")
-        more = found.count()
-        tested = tested.union(new)
-        if not more:
+        close = crossing(thin, True).groupBy("a").agg(few.alias("x")).select("a", F.explode("x.b").alias("b"))
+        new = shelf.put(untested(close.union(rest) if turn == 0 else close), f"closest-{turn}")
+        tried = new.count()
+        if tried:
+            tested = tested.union(new)
+            found = verify(new, f"closest-{turn}")
+            more = found.count()
+            if more:
+                links = links.union(found)
+                roots = shelf.put(components(links, shelf), f"roots-{turn}")
+        if not tried or 2 * more < tried:
             break
-        links = links.union(found)
-        roots = materialize(components(links), f"roots-{turn}")
-    # Every group that still has several components, whole.
-    cross = materialize(untested(crossing(dealt, False)), "cross")
-    found = verify(cross, "cross")
-    if found.count():
-        links = links.union(found)
-        roots = materialize(components(links), "all-roots")
-
-    least = roots.join(classes.select("node", "doc"), "node").withColumn("component", F.min("doc").over(Window.partitionBy("root"))).select("node", "component")
+
+    # At last every bucket that has several components, whole.
+    rooted = with_roots(members, "node").select("bucket", "node", "root")
+    counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket")
+    left = shelf.put(counts.agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1"), "several")
+    outside = F.col("size") - F.col("top.c")
+    hot = left.where(outside > AGAIN * BLOCK)
+    if not hot.isEmpty():
+        # Sets that link and meet in such a bucket also meet in a part of it.
+        held = rooted.join(hot.select("bucket"), "bucket").groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+        texts = held.join(classes.select("node", "doc"), "node").join(rows, "doc").select("node", "buckets", "text")
+        parted = with_roots(texts.mapInArrow(_again(words), "bucket long, node long").distinct(), "node")
+        parted = shelf.put(parted.select("bucket", "node", "root"), "parted")
+        counts = parted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket")
+        more = counts.agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        rooted = rooted.join(hot.select("bucket"), "bucket", "left_anti").union(parted)
+        left = shelf.put(left.where(outside <= AGAIN * BLOCK).union(more), "several-parted")
+    dealt = rooted.join(left.select("bucket", "size", outside.alias("outside"), F.col("top.root").alias("top")), "bucket")
+    cross = shelf.put(untested(crossing(in_blocks(dealt), False)), "cross")
+    if not cross.isEmpty():
+        links = links.union(verify(cross, "cross"))
+        roots = shelf.put(components(links, shelf), "all-roots")
+
+    least = roots.join(classes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
+    least = roots.join(least, "root").select("node", "component")
     named = classes.select("node", F.col("doc").alias("own")).join(least, "node", "left").select("node", F.coalesce("component", "own").alias("component"))
     out = sets.select("doc", "node", "n").join(named, "node", "left")
     component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    got = result.put(out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")), "near-copies")
+    shelf.clear()
+    return got
+
+
+def in_blocks(dealt: DataFrame) -> DataFrame:
+    """Rows (``bucket``, ``node``, ``root``, ``size``, ``outside``, ``top``) -> the groups in which pairs across components meet.
+
+    A small bucket is one group. In others the members outside the largest component, in blocks, meet each other's blocks and
+    the blocks of the largest component.
+    """
+    blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
+    own, other = blocks(F.col("outside")), blocks(F.col("size") - F.col("outside"))
+    is_top = F.col("root") == F.col("top")
+    rows = dealt.withColumns({"own": own, "other": other, "is_top": is_top})
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("other")).otherwise(F.col("own")).cast("long")).cast("int"))
+    number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    k = F.col("k")
+    among = F.transform(number("own"), lambda o: at(0, F.least(k, o), F.greatest(k, o), F.when(k == o, -1).otherwise((k > o).cast("int"))))
+    to_top = F.transform(number("other"), lambda o: at(1, k, o, F.lit(0)))
+    of_top = F.transform(number("own"), lambda o: at(1, o, k, F.lit(1)))
+    whole = F.array(at(2, F.lit(0), F.lit(0), F.lit(-1)))
+    groups = F.when(F.col("size") <= 2 * BLOCK, whole).when(F.col("is_top"), of_top).otherwise(F.concat(among, to_top))
+    rows = rows.select("bucket", "node", "root", F.explode(groups).alias("g"))
+    return rows.select(F.xxhash64("bucket", "g.kind", "g.i", "g.j").alias("grp"), "node", "root", F.col("g.side").alias("side"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -554,7 +674,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Rows that share the id that stays are that document repeated; exact duplicates are another operator's matter.
     """
+    (gone_,) = spare(df, "gone")
     found = near_copies(df, id_col, text_col)
-    gone = materialize(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_)).distinct()
     many = gone.count() > MOST_BROADCAST
-    return df.join(gone if many else F.broadcast(gone), df[id_col].cast("long") == gone["__gone"], "left_anti")
+    return df.join(gone if many else F.broadcast(gone), df[id_col].cast("long") == gone[gone_], "left_anti")

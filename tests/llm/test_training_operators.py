@@ -168,9 +168,11 @@ def test_jaccard_join_at_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect()} == brute_components(rows)
 
 
-def test_jaccard_join_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [{"BLOCK": 4}, {"BLOCK": 8, "SMALL": 1, "HOT": 2, "ROUNDS": 0}, {"BLOCK": 2, "SMALL": 2, "HOT": 3, "AGAIN": 1, "ROUNDS": 1, "PART": 2000}])
+def test_jaccard_join_in_blocks(spark, monkeypatch, sizes):
     """Chains in which neighbours alone link while all members share most buckets, which are dealt out in blocks."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    for name, value in sizes.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(11)
     rows = []
     for chain in range(3):
@@ -204,6 +206,9 @@ def test_signatures_meet_whenever_sets_link():
                 continue
             x, y = (set(jaccard_join.signatures(np.zeros(len(s), np.int64), np.sort(s), 1)[1].tolist()) for s in (a, b))
             assert x & y
+            # Each keeps more common signatures than it may leave out, in one band and name space at least.
+            rooms = [dict((int(r) >> 24, int(r) & 0xFFFFFF) for r in jaccard_join.signatures(np.zeros(len(s), np.int64), np.sort(s), 1)[3]) for s in (a, b)]
+            assert any(sum(z & 7 == f for z in x & y) > max(r.get(f, 0) for r in rooms) for f in range(8))
             s, t = jaccard_join.sketch(a), jaccard_join.sketch(b)
             size = min(len(s), len(t))
             apart = int(np.bitwise_count(jaccard_join.folded(s, size) ^ jaccard_join.folded(t, size)).sum())
