@@ -1,18 +1,21 @@
 """The main text of web pages by tree scoring.
 
 A tolerant tokenizer builds the tree of a page's blocks. Subtrees that are furniture by their element
-or their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut.
-Each paragraph left gives points for its length and commas to its container, half of
-them to the next and a third of them further up; a container's points are discounted by its link density. The
-best container and those of its siblings that score alike are kept, with all their blocks.
+or by a word of their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut; a furniture word
+outweighs any other word of the same name. Each block left gives points for its length and commas to its container, half of
+them to the next and less further up, and a container's points are discounted by its link density. ``article`` and ``main`` add
+a few points and decide nothing else. From the best container the choice goes up to an ancestor that holds clearly more such points; its
+blocks are kept, with those of its siblings that are not mostly links.
 
 Defined results. A null or empty page, and one without text, gives an empty text. Markup
-that never ends is read as text up to the end. Pages are taken whole, whatever their length. Repeated rows give equal results.
+that never ends is read as text up to the end. Pages are taken whole, whatever their length. Repeated rows give equal results, an empty table none.
+Of containers with equal points the one whose text begins first counts, an inner one before an outer one.
 Columns of the input with the name of one of the operator's own are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -28,54 +31,88 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("nav footer aside form button select dialog menu head".split())
+LEAVES = frozenset("p li pre blockquote td th dd dt h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-_AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bars?|aside|widgets?|related|recommend\w*|"
-    r"share|sharing|social|cookies?|consent|gdpr|notices?|popup|modal|overlay|subscribe|newsletter|signup|login|comments?|commentlist|disqus|respond|repl(?:y|ies)|pager|pagination|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names. Furniture, words that undo it before it, and words with which "header" is an article's own.
+AWAY = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav\w*|menus?|menubar|breadcrumbs?|header|masthead|topbar|footer|foot|sidebars?|aside|widgets?|related|recommend\w*|"
+    r"shar(?:e|ing)|social|cookies?|consent|gdpr|notices?|popup|modal|overlay|subscri\w*|newsletter|signup|login|search|forms?|comments?|commentlist|disqus|respond|repl(?:y|ies)|pager|pagination|toolbar|skip"
 )
-_STAY = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|story|entry|body|text)(?:$|[\s_-])", re.I)
+UNDOES = frozenset("has with no not without".split())
+OWN_HEADER = frozenset("article entry post story content title".split())
+ADDS = frozenset("article main content post story entry body text".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-LEAST_PARAGRAPH = 25
+#: A block of fewer characters gives a small part of its points.
+LEAST_PARAGRAPH, SHORT_SHARE = 25, 0.1
+#: What article and main, and a name with a word of ADDS, add to the points of a container that has some.
+ELEMENT_BONUS, NAME_BONUS = 5.0, 2.0
+#: How much more points than the best container an ancestor must hold to take its place.
+CLEARLY = 1.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "points", "chars", "link_chars", "bonus")
+    __slots__ = ("tag", "parent", "away", "sure", "title", "points", "total", "chars", "link_chars", "bonus")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, bonus: float) -> None:
-        self.tag, self.parent, self.cut, self.bonus = tag, parent, cut, bonus
-        self.points, self.chars, self.link_chars = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None) -> None:
+        self.tag, self.parent = tag, parent
+        #: Furniture, and whether that is beyond doubt; whether a top heading stands below.
+        self.away, self.sure, self.title = False, False, False
+        #: Points as a container, points of all blocks below, and characters below, all of them and those in links.
+        self.points, self.total, self.chars, self.link_chars, self.bonus = 0.0, 0.0, 0, 0, 0.0
+
+
+@functools.lru_cache(maxsize=4096)
+def judged(value: str) -> tuple[bool, bool]:
+    """Whether a class or id attribute has a furniture word, and whether it has a word of content."""
+    away = adds = False
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        joined = "".join(words)
+        for before, word in zip(["", *words], [*words, ""], strict=True):
+            adds = adds or word in ADDS
+            if word and AWAY.fullmatch(word) and before not in UNDOES and not (word == "header" and OWN_HEADER.intersection(words)):
+                away = True
+        away = away or bool(AWAY.fullmatch(joined))
+    return away, adds
 
 
 def _new(tag: str, marks: str, parent: Node) -> Node:
-    cut, bonus = parent.cut or tag in FURNITURE, 25.0 if tag in ("article", "main") else 0.0
-    if tag == "header":
+    node = Node(tag, parent)
+    node.away, node.sure = tag in FURNITURE, tag in FURNITURE and tag != "form"
+    if tag in ("article", "main"):
+        node.bonus = ELEMENT_BONUS
+    elif tag == "header":
         # An article's own header holds its title; any other is the page's.
         up = parent
         while up.parent and up.tag not in ("article", "main"):
             up = up.parent
-        cut = cut or up.tag not in ("article", "main")
-    if marks and tag not in ("html", "body"):
+        node.away = node.sure = up.tag not in ("article", "main")
+    elif tag == "h1":
+        up = node
+        while up and not up.title:
+            up.title, up = True, up.parent
+    if marks and tag not in ("html", "body", "main"):
         for name, a, b, c in _MARKS.findall(marks):
             name, value = name.lower(), a or b or c
             if name == "role":
-                cut = cut or value.lower() in ROLES
+                node.away = node.sure = node.away or value.lower() in ROLES
             elif name == "hidden" or name == "aria-hidden":
-                cut = cut or name == "hidden" or value.lower() == "true"
+                node.away = node.sure = node.away or name == "hidden" or value.lower() == "true"
             elif name in ("class", "id"):
-                if _STAY.search(value):
-                    bonus += 10.0
-                elif tag not in ("article", "main") and _AWAY.search(value):
-                    cut = True
-    return Node(tag, parent, cut, bonus)
+                away, adds = judged(value)
+                node.away = node.away or away
+                if adds and not away:
+                    node.bonus = max(node.bonus, NAME_BONUS)
+    return node
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """The text blocks outside furniture, in page order: container, text, characters in links."""
-    root = Node("html", None, False, 0.0)
+    """The text blocks, in page order: node, text, characters in links."""
+    root = Node("html", None)
     stack = [root]
     out: list[tuple[Node, str, int]] = []
     buffer: list[tuple[str, bool]] = []
@@ -83,7 +120,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     at, end = 0, len(page)
 
     def text_in(lo: int, hi: int) -> None:
-        if hi > lo and not stack[-1].cut:
+        if hi > lo and not stack[-1].sure:
             buffer.append((page[lo:hi], links > 0))
 
     def flush() -> None:
@@ -141,73 +178,75 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             if tag not in VOID:
                 stack.append(_new(tag, m[3] or m[6] or "", stack[-1]))
     flush()
-    return [b for b in out if not b[0].cut]
+    return out
+
+
+def _upward(node: Node | None) -> Iterator[Node]:
+    while node:
+        yield node
+        node = node.parent
+
+
+def points(text: str, linked: int) -> float:
+    """What a block gives to its container."""
+    got = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+    return got if len(text) >= LEAST_PARAGRAPH else got * SHORT_SHARE
+
+
+def outside_furniture(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Blocks outside furniture. A form, or a node with a furniture name, that holds the page's title and most of its points is its frame."""
+    all_points = 0.0
+    for node, text, linked in found:
+        if not any(n.sure for n in _upward(node)):
+            got = points(text, linked)
+            all_points += got
+            for n in _upward(node):
+                n.total += got
+    is_away = lambda n: n.sure or n.away and not (n.title and 2 * n.total > all_points)
+    return [x for x in found if not any(is_away(n) for n in _upward(x[0]))]
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the best container and its siblings, joined by line ends."""
-    found = blocks(page) if page else []
+    found = outside_furniture(blocks(page)) if page else []
     if not found:
         return ""
     scored: dict[int, Node] = {}
+    for node, _, _ in found:
+        for up in _upward(node):
+            up.total = 0.0
     for node, text, linked in found:
-        up = node
-        while up:
+        got = points(text, linked)
+        for up in _upward(node):
             up.chars += len(text)
             up.link_chars += linked
-            up = up.parent
-        if len(text) >= LEAST_PARAGRAPH:
-            points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-            # A paragraph's container is the node around it; loose text scores for its own node.
-            up = node.parent if node.tag in ("p", "li", "pre", "blockquote", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6") and node.parent else node
-            share = (1.0, 0.5)
-            depth = 0
-            while up:
-                up.points += points * (share[depth] if depth < 2 else 1 / (3 * (depth - 1)))
-                scored[id(up)] = up
-                up, depth = up.parent, depth + 1
-    value = lambda n: (n.points + n.bonus) * (1 - n.link_chars / max(1, n.chars))
-    if not scored:
-        holders = [n for n, _, _ in found]
-        for node in holders:
-            up = node
-            while up:
-                if up.tag in ("article", "main"):
-                    return "\n".join(t for b, t, _ in found if _inside(b, up))
-                up = up.parent
-        return "\n".join(t for _, t, linked in found if 2 * linked <= len(t))
-    best = max(scored.values(), key=value)
-    # The article element around the best container is its page's own statement of what belongs to it.
-    up = best
-    while up:
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    least = max(10.0, 0.2 * value(best))
-    keep = {id(best)}
-    if best.parent:
-        keep |= {i for i, n in scored.items() if n.parent is best.parent and n is not best and value(n) >= least}
-
-    def kept(node: Node, text: str, linked: int) -> bool:
-        n, below = node, None
-        while n:
-            if id(n) in keep:
+            up.total += got
+        # A paragraph's container is the node around it; loose text scores for its own node.
+        container = node.parent if node.tag in LEAVES and node.parent else node
+        for depth, up in enumerate(_upward(container)):
+            up.points += got / (1, 2)[depth] if depth < 2 else got / (3 * (depth - 1))
+            scored[id(up)] = up
+    density = lambda n: n.link_chars / max(1, n.chars)
+    best = max(scored.values(), key=lambda n: (n.points + n.bonus) * (1 - density(n)))
+    top = best
+    for up in _upward(best.parent):
+        if up.total * (1 - density(up)) >= CLEARLY * top.total * (1 - density(top)):
+            top = up
+    around = top.parent
+    framed = around is not None and around.tag not in ("html", "body")
+
+    def kept(node: Node, text: str) -> bool:
+        below = node
+        for n in _upward(node):
+            if n is top:
                 return True
-            below, n = n, n.parent
-            if n is best.parent and below.tag == "p" and len(text) > 80 and 4 * linked < len(text):
-                return n is not None
+            if n is around:
+                # A sibling; below the page's body it must be made of paragraphs or headings.
+                return 2 * density(below) <= 1 and (framed or node.tag in LEAVES)
+            below = n
         return False
 
-    return "\n".join(text for node, text, linked in found if kept(node, text, linked))
-
-
-def _inside(node: Node, top: Node) -> bool:
-    while node:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+    return "\n".join(text for node, text, linked in found if kept(node, text))
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
