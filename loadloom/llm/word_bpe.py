@@ -8,7 +8,9 @@ comes from and the arc that it lacks, and arcs of later tokens follow from those
 parts, so a merge costs one state. Moves that were asked for are kept in one table.
 
 A word is encoded from its start to its end along arcs whose labels make it up, the longest first; just one way
-ends with the word. Words seen before are looked up.
+ends with the word. A state is the token before and the place in the word. Its arcs are looked at once: a state from which no way leads to the
+end is dead from then on. A word of n symbols has at most n times the longest token's length of states, each with as many arcs at most, so the steps grow
+linearly with the word. Words seen before are looked up.
 
 Defined results. A null text counts as empty; an empty text has no ids and decodes to an empty text. Texts are
 taken whole. Symbols that the vocabulary lacks are left out, as the tokenizers library does for a
@@ -176,6 +178,7 @@ class Coder:
         begins, moves, follows, n = self.begins.get, self.automaton.moves.get, self.automaton.follows, len(text)
         out: list[int] = []
         tries: list[list[tuple[int, int]]] = []
+        dead: set[tuple[int, int]] = set()
         at, before = 0, -1
         while at < n:
             found = []
@@ -191,6 +194,8 @@ class Coder:
             while True:
                 while found:
                     token, i = found.pop()
+                    if dead and (token, i) in dead:
+                        continue
                     if before < 0:
                         break
                     ok = moves(before << 20 | token)
@@ -199,8 +204,9 @@ class Coder:
                 else:
                     if not out:
                         raise ValueError(f"no tokens make {text!r}")
-                    out.pop()
-                    before = out[-1] if out else -1
+                    # No arc of this state leads to the end: back to the place where its token began.
+                    dead.add((out.pop(), at))
+                    at, before = at - self.size[before], out[-1] if out else -1
                     found = tries.pop()
                     continue
                 break
