@@ -1,18 +1,20 @@
 """Packing of token sequences by the sum-of-squares rule.
 
-A document's ids, with an end id, are cut into full windows and a rest. A rest goes to the
+A document's ids, with an end id, are cut into full windows and a rest, and the rest at the last multiple of ``GRID`` ids; what is over
+of all documents is gathered into cells of ``GRID`` ids. Rests and cells go to the
 fill level at which the sum over levels of the squared number of partly filled windows
-comes out least; those numbers stand in one array by level. A partition packs its own
-documents, so nothing is shuffled; windows that are still partly filled at its end are cut
-anew and joined to full ones, and the last tokens to windows of a power of two, which need no padding.
+comes out least; those numbers stand in one array by level. With levels a grid apart few windows are open at any time, however
+few the documents. A partition packs its own documents, so nothing is shuffled. At its end the windows that are still partly filled stay as they are,
+the fullest first, and are filled up with pieces of the emptiest; the last one is cut into windows of powers of two. So no sequence needs padding.
 
 Defined results. A null text counts as empty and gives the end id alone. Every id lies in exactly
-one piece, with any number of repeated rows; each row is a document of its own. An
-empty table gives no piece.
+one piece, with any number of repeated rows; each row is a document of its own, whatever its length. An
+empty table gives no piece. Of equal sums the lowest level counts. Columns other than the id and the text are dropped.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,26 +30,27 @@ from .common import buffers, slices
 
 WINDOW = 2048
 END_ID = 1
+#: Ids between two fill levels.
+GRID = 64
 #: Sequence ids of a partition start from its number times this.
 STRIDE = 1 << 36
 PIECE = (("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))
 
 
 class SumOfSquares:
-    """Online packing into windows of ``size``; full windows are handed to ``close``."""
+    """Online packing into windows of ``size`` levels; full windows are handed to ``close``."""
 
     def __init__(self, size: int, close) -> None:
         self.size, self.close = size, close
         #: By level from 0 to size: how many windows are filled so far.
         self.count = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
-        self.slack = np.arange(size + 1)
 
-    def place(self, item, length: int) -> None:
-        """Put an item of 1 to size ids into the window that the rule names."""
+    def place(self, items: list, length: int) -> None:
+        """Put items of 1 to size levels in all into the window that the rule names."""
         size = self.size
         if length == size:
-            self.close([item])
+            self.close(items)
             return
         # From level h to h + length the sum of squares grows by 2 (n[h+length] - n[h]) + 2; a new
         # window adds 2 n[length] + 1, and one that gets full takes away 2 n[h] - 1.
@@ -60,7 +63,7 @@ class SumOfSquares:
         window = self.open[level].pop() if level else []
         if level:
             self.count[level] -= 1
-        window.append(item)
+        window += items
         if level + length == size:
             self.close(window)
         else:
@@ -75,6 +78,70 @@ class SumOfSquares:
         return out
 
 
+class Packer:
+    """Documents, as (id, bytes of ids, start, number of ids) items, to sequences of at most ``window`` ids."""
+
+    def __init__(self, window: int, close) -> None:
+        self.window, self.close = window, close
+        self.grid = math.gcd(window, GRID)
+        self.rule = SumOfSquares(window // self.grid, close)
+        self.over: list[tuple] = []
+        self.held = 0
+        #: Ids that the end moved from where the rule had put them, and all ids.
+        self.moved = self.seen = 0
+
+    def add(self, key, ids: bytes) -> None:
+        total = len(ids) // 4
+        self.seen += total
+        full = total // self.window * self.window
+        for start in range(0, full, self.window):
+            self.close([(key, ids[4 * start : 4 * (start + self.window)], start, total)])
+        edge = total // self.grid * self.grid
+        if full < edge:
+            self.rule.place([(key, ids[4 * full : 4 * edge], full, total)], (edge - full) // self.grid)
+        if edge < total:
+            self.over.append((key, ids[4 * edge :], edge, total))
+            self.held += total - edge
+            if self.held >= self.grid:
+                self.rule.place(self._take(self.over, self.grid), 1)
+                self.held -= self.grid
+
+    @staticmethod
+    def _take(items: list[tuple], room: int) -> list[tuple]:
+        """``room`` ids from the end of ``items``, which lose them."""
+        out = []
+        while room:
+            key, ids, start, total = items.pop()
+            n = len(ids) // 4
+            if n > room:
+                items.append((key, ids[: 4 * (n - room)], start, total))
+                ids, start, n = ids[4 * (n - room) :], start + n - room, room
+            out.append((key, ids, start, total))
+            room -= n
+        return out
+
+    def finish(self) -> None:
+        size = lambda w: sum(len(i[1]) // 4 for i in w)
+        open_ = [*self.rule.rest(), *([self.over] if self.over else [])]
+        self.over, self.held = [], 0
+        first, last = 0, len(open_) - 1
+        while first < last:
+            room, left = self.window - size(open_[first]), size(open_[last])
+            n = min(room, left)
+            open_[first] += self._take(open_[last], n)
+            self.moved += n
+            last -= n == left
+            if n == room:
+                self.close(open_[first])
+                first += 1
+        if first == last:
+            left = size(open_[first])
+            sizes = powers(left)
+            self.moved += left if len(sizes) > 1 else 0
+            for n in sizes:
+                self.close(self._take(open_[first], n))
+
+
 def powers(n: int) -> list[int]:
     """n as powers of two, the largest first."""
     return [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
@@ -122,32 +189,14 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                 for key, ids in zip(rows.column(0).to_pylist(), coder.many(texts), strict=True):
                     yield key, ids + end
 
-        packer = SumOfSquares(window, close)
+        packer = Packer(window, close)
         for batch in batches:
             kind = batch.column(0).type
             for key, ids in encoded(batch):
-                total = len(ids) // 4
-                full = total // window * window
-                for start in range(0, full, window):
-                    close([(key, ids[4 * start : 4 * (start + window)], start, total)])
-                if full < total:
-                    packer.place((key, ids[4 * full :], full, total), total - full)
+                packer.add(key, ids)
                 if len(pieces) >= 4096:
                     yield flush()
-        line = [item for w in packer.rest() for item in w]
-        left = sum(len(i[1]) // 4 for i in line)
-        sizes = [window] * (left // window) + powers(left % window)
-        queue = iter(line)
-        held = None
-        for size in sizes:
-            items, room = [], size
-            while room:
-                key, ids, start, total = held or next(queue)
-                n = min(room, len(ids) // 4)
-                items.append((key, ids[: 4 * n], start, total))
-                held = (key, ids[4 * n :], start + n, total) if 4 * n < len(ids) else None
-                room -= n
-            close(items)
+        packer.finish()
         if pieces:
             yield flush()
 
