@@ -1,9 +1,9 @@
 """A content-addressed WARC archive.
 
-``payloads`` holds each payload's bytes once, under a digest of SHA-256 and length that is
-checked again when it is read; ``headers`` holds the exact header block of every record and
-the digest of its payload. A record is put together again by a join of the two, and
-:func:`export` gives the bytes of WARC files.
+``payloads`` holds each payload's bytes once, under a digest of SHA-256, SHA-1 and length that is
+checked again when it is read; ``headers`` holds the exact header block of every record and, of a response,
+the digest of its payload. :func:`records` puts every record together again by a join of the two, as the bytes
+of WARC files; what :func:`archive` says of a record is read out of these bytes.
 
 Of the records with equal payloads of at least ``LEAST_REVISIT`` bytes, the one with the largest
 id is a response and the others revisit it; smaller payloads are responses all.
@@ -11,12 +11,14 @@ id is a response and the others revisit it; smaller payloads are responses all.
 Defined results. A null payload counts as empty. A null url gives a header without target
 URI; line breaks in a url are percent-encoded. Rows that share an id are records of their
 own; where the largest id of a payload occurs more than once, each of its rows is a response.
-A null id never wins over another id. An empty table gives an empty archive.
+A null id never wins over another id. An empty table gives an empty archive. Payloads are kept whole, whatever their
+length. Columns other than the id, the url and the payload are dropped, so none can clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import delete, materialize, shared_path
 
 #: Payloads of fewer bytes are stored as responses always.
 LEAST_REVISIT = 1000
@@ -82,21 +84,22 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     kind = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
     refers = F.when(~response, F.col("last"))
     block = header_block(kind, F.col("id"), F.col("url"), F.col("sha1"), F.col("length"), refers)
-    known.select("id", "digest", kind.alias("record_type"), refers.alias("refers_to"), block.alias("header")).write.parquet(f"{path}/headers")
+    known.select("id", F.when(response, F.col("digest")).alias("digest"), block.alias("header")).write.parquet(f"{path}/headers")
     once = rows.select("digest", "payload").mapInArrow(_packed, "digest binary, stored binary").groupBy("digest").agg(F.first("stored").alias("stored"))
     once.write.parquet(f"{path}/payloads")
 
 
+def _checked(key: bytes, stored: bytes) -> bytes:
+    """The payload, checked against its digest."""
+    payload = zstandard.ZstdDecompressor().decompress(stored)
+    if hashlib.sha256(payload).digest() + hashlib.sha1(payload).digest() + len(payload).to_bytes(8, "big") != key:
+        raise ValueError(f"payload {key.hex()} does not have the bytes of its digest")
+    return payload
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Check each stored payload against its digest."""
-    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        out = []
-        for key, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            payload = expand(stored)
-            if hashlib.sha256(payload).digest() + hashlib.sha1(payload).digest() + len(payload).to_bytes(8, "big") != key:
-                raise ValueError(f"payload {key.hex()} does not have the bytes of its digest")
-            out.append(payload)
+        out = [_checked(k.as_py(), s.as_py()) for k, s in zip(*batch.columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["digest", "payload"])
 
 
@@ -105,21 +108,32 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/payloads").mapInArrow(_unpacked, "digest binary, payload binary")
 
 
-def read(spark: SparkSession, path: str, fold=None) -> DataFrame:
-    """The records: ``id``, ``record_type``, ``refers_to``, ``header`` and ``payload``.
+def _rebuilt(columns: dict[str, pa.DataType], describe):
+    """(id, header, digest, stored) -> the id and what ``describe`` gives of each record's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for header, key, stored in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                body = _checked(key.as_py(), stored.as_py()) if key.is_valid else b""
+                out.append(describe(header.as_py().encode() + body + b"\r\n\r\n"))
+            cols = list(zip(*out, strict=True)) or [[] for _ in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, columns.values(), strict=True))], ["id", *columns])
+
+    return run
 
-    ``fold`` takes the payload table and may add columns to it or drop the payload, so that
-    what is needed of a payload is worked out once, before it meets its records.
-    """
+
+def _joined(spark: SparkSession, path: str) -> DataFrame:
+    """Headers with the stored payloads of responses. Revisits have no digest and meet none, so a payload of very many copies is joined once."""
     headers = spark.read.parquet(f"{path}/headers")
-    stored = payloads(spark, path)
-    return headers.join(fold(stored) if fold else stored, "digest", "left")
+    return headers.join(spark.read.parquet(f"{path}/payloads"), "digest", "left").select("id", "header", "digest", "stored")
 
 
-def export(records: DataFrame) -> DataFrame:
-    """One row per record with its bytes in a WARC file: header, payload (not of a revisit), two line ends."""
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("id", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"))
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """``id`` and ``record``: each record's bytes in a WARC file, header, payload (not of a revisit) and two line ends."""
+    joined = _joined(spark, path)
+    kind = joined.schema["id"].dataType.simpleString()
+    return joined.mapInArrow(_rebuilt({"record": pa.binary()}, lambda r: (r,)), f"id {kind}, record binary")
 
 
 def parse(record: bytes) -> dict:
@@ -131,19 +145,34 @@ def parse(record: bytes) -> dict:
     return {"fields": fields, "http": http.decode(), "payload": payload, "tail": rest[len(block) :]}
 
 
-def header_field(name: str) -> Column:
-    """A field of the header block."""
-    return F.regexp_extract("header", rf"(?m)^{name}: ([^\r]*)", 1)
+FACTS = {"record_type": pa.string(), "record_uri": pa.string(), "refers_uri": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
+
+
+def facts(record: bytes) -> tuple:
+    """What FACTS names, of the payload in the record, or of the one that a revisit declares."""
+    got = parse(record)
+    fields, payload = got["fields"], got["payload"]
+    length, digest = int(re.search(r"(?m)^Content-Length: (\d+)", got["http"])[1]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response" and (length, digest) != (len(payload), hashlib.sha1(payload).hexdigest()):
+        raise ValueError(f"record {fields['WARC-Record-ID']} does not have the payload that its header declares")
+    return fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), length, digest
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write ``pages`` to the shared folder, read the archive back and describe each record."""
+    """Write ``pages`` to the shared folder, read the archive back and describe each record, from its own bytes."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write(pages, path, id_col, url_col, payload_col)
-    facts = lambda p: p.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    got = read(spark, path, facts)
-    return got.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", header_field("WARC-Type").alias("record_type"), "refers_to", header_field("WARC-Record-ID").alias("record_uri"))
+    joined = _joined(spark, path)
+    kind = joined.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, record_type string, record_uri string, refers_uri string, payload_bytes long, payload_digest string"
+    got = materialize(joined.mapInArrow(_rebuilt(FACTS, facts), schema), "records")
+    delete(spark, path)
+    # A revisit names the record that it refers to.
+    named = got.where("record_type = 'response'").select(F.col("record_uri").alias("refers_uri"), F.col("id").alias("refers_to")).distinct()
+    alone = got.where("refers_uri is null").withColumn("refers_to", F.lit(None).cast(kind))
+    every = alone.unionByName(got.where("refers_uri is not null").join(named, "refers_uri", "left"))
+    return every.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_uri")
 
 
 #: DuckDB SQL of op1's result.
