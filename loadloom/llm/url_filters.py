@@ -2,10 +2,11 @@
 
 All work on the URLs is done by Spark's own functions. The model is fitted on the
 driver from a small labelled table (at most ``MOST_LABELLED`` rows), with features that the same
-expression gives.
+expression gives: weights and constant, by gradient descent with a decay of the weights.
 
 Defined results. A null url, or one without ``://``, has empty host and path; no rule fits
-it, and the model judges it by its constant alone. Repeated rows are judged alike. Of rules of the
+it, and the model judges it by what an empty host and path say. Repeated rows are judged alike, urls are taken whole whatever their length, and an
+empty table gives an empty result. Of rules of the
 same length the one that comes first in the list wins. Columns of the input with the name of one of
 the operator's own are replaced.
 """
@@ -13,6 +14,7 @@ the operator's own are replaced.
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,36 +26,44 @@ SLOTS = 4096
 SIZES = (3, 4, 5)
 MOST_LABELLED = 10_000
 THRESHOLD = 0.5
-#: The constant: what the n-grams say nothing of is allowed.
-PRIOR = -2.0
 #: Verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 OWN = ("host", "path", "rule", "verdict", "score")
 
-#: The labelled table: words of hosts that are blocked, and of hosts that are not.
-BLOCKED_WORDS = """casino poker slots jackpot roulette betting free-bets sports-bets big-win casino-win lucky-win
-cheap-pills pharma-pills viagra-shop pills-online adult-x xxx-video porn-tube sex-cams adult-dating hot-singles
-spam-farm link-farm seo-links click-farm ads-track track-ads ad-server popup-ads banner-ads malware-drop phish-login
-crack-keygen warez-dl torrent-hub free-iphone prize-claim payday-loan quick-cash crypto-double fake-watch replica-bags""".split()
+#: The labelled table: topics of hosts that are blocked, words that such names combine with, and words of hosts that are not blocked.
+BLOCKED_TOPICS = """casino poker slots jackpot roulette blackjack betting bets gambling bingo pills pharma viagra cialis
+adult porn xxx sex cams escort hookup nude spam ads adserver adclick tracker popups clickbait malware phishing
+warez crack keygen torrent payday replica lottery""".split()
+MODIFIERS = "best online top my super real mega royal lucky hot vip gold quick direct world club zone land".split()
 ALLOWED_WORDS = """news library university school museum archive weather city garden kitchen recipes history science
 nature travel mountain river forest music theatre gallery journal review reader writer village council hospital clinic
 doctor bakery market books maps train station harbour island football tennis chess physics biology chemistry algebra
 teacher student forum wiki docs manual handbook software compiler database kernel network photo camera film cinema
-winter windows finance""".split()
-#: Frequent pairs of letters; hosts that are allowed are also made of three of them, by a rule.
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea".split()
+winter windows finance address addons leads pocket essex class trade roads threads""".split()
+#: Invented names, of consonants and vowels in turn, are allowed too.
+CONSONANTS, VOWELS = "b d f g h k l m n p r s t v w z th sh ch st".split(), "a e i o u ai ea ou".split()
+ENDINGS = ["", "n", "r", "s", "nd", "nt"]
+KINDS = (("https://", "", "com", "/en/12"), ("http://www.", "", "net", "/de/7.html"), ("https://m.", ".example", "org", "/fr/340?page=2"), ("http://blog.", ".example", "com", "/es/9/"))
 
 
-def plain_hosts(number: int = 300) -> list[str]:
-    return ["".join(PAIRS[(k * step + k // 7) % len(PAIRS)] for step in (1, 11, 23)) for k in range(number)]
+def invented(number: int = 400) -> list[str]:
+    def pick(of: list[str], k: int) -> str:
+        return of[zlib.crc32(str(k).encode()) % len(of)]
+
+    return ["".join(pick(CONSONANTS, 31 * k + j) + pick(VOWELS, 17 * k + j + 1) for j in range(1 + k % 3)) + pick(ENDINGS, k) for k in range(number)]
 
 
 def labelled() -> list[tuple[str, int]]:
-    """The labelled URLs: each word below every kind of host and path, 1 for blocked."""
-    kinds = (("https://", "", "com", "/en/12"), ("http://www.", "", "net", "/de/7.html"), ("https://m.", ".example", "org", "/fr/340?page=2"), ("http://blog.", ".example", "com", "/es/9/"))
+    """The labelled URLs: each name below two kinds of host and path, 1 for blocked."""
+    blocked = [x for k, t in enumerate(BLOCKED_TOPICS) for m in (MODIFIERS[k % len(MODIFIERS)], MODIFIERS[(5 * k + 3) % len(MODIFIERS)]) for x in (f"{t}-{m}", f"{m}{t}")] + BLOCKED_TOPICS
+    words = ALLOWED_WORDS
+    pairs = [f"{w}{'-' if k % 2 else ''}{words[(7 * k + 3) % len(words)]}" for k, w in enumerate(words)]
+    mixed = [f"{m}-{words[(11 * k) % len(words)]}" for k, m in enumerate(MODIFIERS)] + [f"{words[(13 * k + 5) % len(words)]}{m}" for k, m in enumerate(MODIFIERS)]
     out = []
-    for label, words in ((1, BLOCKED_WORDS), (0, [*ALLOWED_WORDS, *plain_hosts()])):
-        out += [(f"{scheme}{w}{mid}.{tld}{path}", label) for w in words for scheme, mid, tld, path in kinds]
+    for label, names in ((1, blocked), (0, [*words, *pairs, *mixed, *invented()])):
+        for k, name in enumerate(names):
+            for scheme, mid, tld, path in (KINDS[k % 4], KINDS[(k + 1) % 4]):
+                out.append((f"{scheme}{name}{mid}.{tld}{path}", label))
     return out
 
 
@@ -97,19 +107,19 @@ def slots(host: Column, path: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=8)
-def _fit(rows: tuple[tuple[tuple[int, ...], int], ...], rounds: int = 300, decay: float = 1e-3) -> tuple[tuple[float, ...], float]:
-    """Gradient descent on a bounded table: weights by slot; the constant stays as set."""
-    x = np.zeros((len(rows), SLOTS))
-    for i, (at, _) in enumerate(rows):
-        for k in at:
-            x[i, k] += 1
-        x[i] /= max(1.0, np.sqrt(len(at)))
+def _fit(rows: tuple[tuple[tuple[int, ...], int], ...], rounds: int = 600, rate: float = 20.0, decay: float = 2e-4) -> tuple[tuple[float, ...], float]:
+    """Gradient descent on a bounded table: weights by slot, and the constant."""
+    size = np.array([len(at) for at, _ in rows], np.int64)
+    flat = np.fromiter((k for at, _ in rows for k in at), np.int64, int(size.sum()))
+    row = np.repeat(np.arange(len(rows)), size)
+    value = (1 / np.sqrt(np.maximum(size, 1)))[row]
     y = np.array([label for _, label in rows], float)
-    w, b = np.zeros(SLOTS), PRIOR
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    w, b = np.zeros(SLOTS), 0.0
     for _ in range(rounds):
-        miss = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight
-        w -= 40 * (x.T @ miss + decay * w / 40)
+        logit = np.bincount(row, w[flat] * value, minlength=len(rows)) + b
+        miss = (1 / (1 + np.exp(-logit)) - y) / max(1, len(rows))
+        w -= rate * (np.bincount(flat, miss[row] * value, minlength=SLOTS) + decay * w)
+        b -= miss.sum()
     return tuple(w.tolist()), float(b)
 
 
@@ -125,7 +135,7 @@ def model(spark: SparkSession, table: list[tuple[str, int]] | None = None) -> tu
 
 def score(host: Column, path: Column, weights: tuple[float, ...], constant: float) -> Column:
     """The probability that the URL is to be blocked."""
-    table = F.lit(list(weights))
+    table = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")
     at = slots(host, path)
     dot = F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(table, i))
     norm = F.sqrt(F.greatest(F.size(at), F.lit(1)).cast("double"))
