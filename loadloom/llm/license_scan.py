@@ -1,114 +1,218 @@
 """Licences of files: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-All of it is DataFrame work in Spark's own functions. From a text come the lines that speak of a licence; their terms
-are compared with each template, weighted by how rare a template's terms are in all such lines of the
-table. A file named like a licence file speaks for its directory, and a file without a licence of its own takes that
+All of it is DataFrame work in Spark's own functions. The passages of a text are its lines, runs of two and four lines, and its blocks
+between lines without letters or digits; a file named like a licence file is also a passage as a whole. Each
+passage is compared with every template by the cosine of their terms (each distinct word once, weighted by how rare it is among the texts of the
+table; words that no template has weigh as the mean of those that one has). A template names a licence only where the passage has all its
+naming words. Texts without any of the heavy words of a template are left out first: without them no cosine reaches the threshold.
+
+A file named like a licence file speaks for its directory, and a file without a licence of its own takes that
 of its nearest directory upwards that has one: distinct directories are joined to their ancestors, files to directories.
 
 Defined results. A null or empty text has no licence of its own. A null path belongs to no directory and inherits
 nothing. Of several licence files in a directory the most similar counts, then the smaller licence id. Ties between templates go
-to the smaller licence id. Repeated rows give equal results. An empty table gives an empty result. Columns of the input
+to the smaller licence id. Texts are taken whole, whatever their length. Repeated rows give equal results. An empty table gives an empty result. Columns of the input
 that have the name of one of the operator's own are replaced.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare, without
+from .common import materialize, spare, without
 
 #: Least cosine of a licence.
 THRESHOLD = 0.6
-CUE = r"(?i)licen[sc]|copyright|spdx|public domain|creative commons"
-LICENSE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([._-][^/]*)?$"
+#: Lines that are also compared together.
+RUNS = (2, 4)
+LICENSE_NAME = r"(?i)(^|/)(licen[sc]es?|copying|copyright|unlicense|notice)([._-][^/]*)?$"
 OWN = ("license", "similarity", "origin", "inherited_from")
 
-#: Notices by licence id, as their licences word them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, Creative Commons Attribution ShareAlike",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+#: By licence id the words that name it, beside those of the id, and texts as their licences word them.
+NAMES = {
+    "AGPL-3.0": "gnu affero general public version",
+    "Apache-2.0": "apache",
+    "BSD-2-Clause": "bsd",
+    "BSD-3-Clause": "bsd neither",
+    "CC0-1.0": "cc0 zero",
+    "GPL-2.0": "gnu general public",
+    "GPL-3.0": "gnu general public",
+    "ISC": "isc",
+    "LGPL-2.1": "gnu lesser general public",
+    "LGPL-3.0": "gnu lesser general public",
+    "MIT": "mit",
+    "MPL-2.0": "mozilla public",
+    "Unlicense": "unlicense unencumbered",
 }
+TEXTS = {
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "GNU Affero General Public License Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        "Apache License Version 2.0, January 2004",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "BSD-2-Clause": [
+        "Released under the BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ],
+    "BSD-3-Clause": [
+        "Released under the BSD 3-Clause License",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "CC0-1.0": [
+        "Dedicated to the public domain under CC0 1.0 Universal",
+        "Creative Commons CC0 1.0 Universal Public Domain Dedication",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "Released under the ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MIT": [
+        "Released under the MIT License",
+        "MIT License",
+        "The MIT License (MIT)",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released into the public domain under the Unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
+#: The parts of Creative Commons licences and their names.
+CREATIVE = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+
 
+def words_in(text: str) -> set[str]:
+    return {w for w in re.split(r"[\W_]+", text.lower()) if w}
+
+
+def templates() -> list[tuple[str, str, set[str]]]:
+    """Licence, text, and the words that a passage must have: the texts above, Creative Commons notices and SPDX tags by rule."""
+    texts = {k: list(v) for k, v in TEXTS.items()}
+    for parts in (["BY"], ["BY", "SA"], ["BY", "NC"], ["BY", "ND"], ["BY", "NC", "SA"], ["BY", "NC", "ND"]):
+        texts[f"CC-{'-'.join(parts)}-4.0"] = [f"Licensed under CC {'-'.join(parts)} 4.0", f"This work is licensed under a Creative Commons {'-'.join(CREATIVE[p] for p in parts)} 4.0 International License"]
+    out = []
+    for name, of in sorted(texts.items()):
+        naming = words_in(name) | words_in(NAMES.get(name, "")) | (words_in(" ".join(CREATIVE.values())) if name.startswith("CC-") else set())
+        out += [(name, text, words_in(text) & naming) for text in [*of, f"SPDX-License-Identifier: {name}"]]
+    return out
 
-def terms(text: Column) -> Column:
-    """Lower-case words and numbers, with neighbours of two as terms too."""
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
+def words_of(text: Column) -> Column:
+    """The distinct lower-case words and numbers of a text."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
-def template_terms(templates: dict[str, str]) -> dict[str, list[str]]:
-    import re
 
-    out = {}
-    for name, text in templates.items():
-        w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
-        out[name] = w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+def heavy(weights: dict[str, float], threshold: float) -> set[str]:
+    """The heaviest words of a template: those left have less than the square of the threshold of its squared length, so a passage without any heavy word stays below the threshold."""
+    total = sum(w * w for w in weights.values())
+    out, rest = set(weights), 0.0
+    for word, w in sorted(weights.items(), key=lambda x: (x[1], x[0])):
+        rest += w * w
+        if rest >= 0.999 * threshold**2 * total:
+            break
+        out.discard(word)
     return out
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def passages(text: Column, whole: Column) -> Column:
+    lines = F.split(text, r"\r?\n")
+    out = [lines]
+    for k in RUNS:
+        starts = F.sequence(F.lit(1), F.size(lines) - (k - 1))
+        runs = F.transform(starts, lambda i, k=k: F.concat_ws("\n", F.slice(lines, i, F.lit(k))))
+        out.append(F.when(F.size(lines) >= k, runs).otherwise(F.array().cast("array<string>")))
+    out.append(F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)"))
+    out.append(F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*out))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", known: list[tuple[str, str, set[str]]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` without its text, with ``license``, ``similarity``, ``origin`` (file, header, inherited or none) and ``inherited_from``."""
-    words = template_terms(TEMPLATES if templates is None else templates)
-    vocabulary = sorted({t for ws in words.values() for t in ws})
+    known = templates() if known is None else known
+    vocabulary = sorted({w for _, text, _ in known for w in words_in(text)})
+    words = lambda of: F.array(*[F.lit(w) for w in sorted(of)]) if of else F.array().cast("array<string>")
     base = without(df, *[o for o in OWN if o not in (id_col, path_col, text_col)])
-    lines_, line_, score_, dir_, own_ = spare(base, "_lines", "_line", "_score", "_dir", "_own")
-    # Only texts with a cue are cut into lines.
-    lines = F.when(F.col(text_col).rlike(CUE), F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
-    cut = base.withColumn(lines_, F.coalesce(lines, F.array().cast("array<string>"))).drop(text_col)
-
-    # How many lines about licences have each template term: as many rows as the templates have terms.
-    counted = cut.select(F.explode(lines_).alias(line_)).select(F.explode(F.array_intersect(terms(F.col(line_)), F.array(*map(F.lit, vocabulary)))).alias("t"))
-    total = cut.agg(F.coalesce(F.sum(F.size(lines_)), F.lit(0)).alias("n")).first()["n"]
-    found = {r["t"]: r["n"] for r in counted.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    import math
+    score_, dir_, own_ = spare(base, "_score", "_dir", "_own")
 
+    # How many texts have each word of a template: as many rows as the templates have words.
+    counted = base.select(F.explode(F.array_intersect(F.concat(F.array(F.lit("")), words_of(F.coalesce(text_col, F.lit("")))), words([*vocabulary, ""]))).alias("t"))
+    found = {r["t"]: r["n"] for r in counted.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = found.get("", 0)
     idf = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in vocabulary}
-    known = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))])
-    rare = math.log(1 + total) + 1  # a term that no template has
-
-    def adder(weights: Column):
-        return lambda a, t: a + F.coalesce(weights[t], F.lit(0.0))
-
-    def cosine(line: Column) -> Column:
-        """The best template of a line: (similarity, licence)."""
-        own = F.array_distinct(terms(line))
-        norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, t: a + F.pow(F.coalesce(known[t], F.lit(rare * 0.5)), 2)))
+    weight = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(idf[t] ** 2))])
+    other = (sum(idf.values()) / max(1, len(idf))) ** 2
+    telling = words(set().union(*[heavy({w: idf[w] for w in words_in(text)}, threshold) for _, text, _ in known]))
+
+    def cosine(own: Column) -> Column:
+        """The best template for a passage of these words: (negated similarity, licence)."""
+        hits = F.transform(F.array_intersect(own, words(vocabulary)), lambda t: F.struct(t.alias("t"), weight[t].alias("w")))
+        sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, h: a + h["w"])
+        norm = F.sqrt(sum_of(hits) + (F.size(own) - F.size(hits)) * F.lit(other))
         options = []
-        for name, ws in sorted(words.items()):
-            distinct = sorted(set(ws))
-            size = math.sqrt(sum(idf[t] ** 2 for t in distinct))
-            weights = F.create_map(*[x for t in distinct for x in (F.lit(t), F.lit(idf[t] ** 2 / size))])
-            dot = F.aggregate(own, F.lit(0.0), adder(weights))
-            options.append(F.struct(F.round(F.try_divide(dot, norm), 9).alias("s"), F.lit(name).alias("l")))
+        for name, text, must in known:
+            held = words(words_in(text))
+            size = math.sqrt(sum(idf[t] ** 2 for t in words_in(text)))
+            dot = sum_of(F.filter(hits, lambda h, held=held: F.array_contains(held, h["t"])))
+            score = F.when(F.size(F.array_except(words(must), own)) == 0, F.round(F.try_divide(dot, norm * F.lit(size)), 9)).otherwise(F.lit(0.0))
+            options.append(F.struct((-F.coalesce(score, F.lit(0.0))).alias("s"), F.lit(name).alias("l")))
         # Ties go to the smaller id: the negated similarity comes first, then the id.
-        return F.array_min(F.array(*[F.struct((-o["s"]).alias("s"), o["l"].alias("l")) for o in options]))
+        return F.array_min(F.array(*options))
 
-    best = F.array_min(F.transform(lines_, cosine))
-    held = cut.withColumn(score_, best).withColumn(own_, F.col(f"{score_}.s") <= -threshold)
-    held = held.withColumn(dir_, F.when(F.col(path_col).isNotNull(), F.regexp_replace(F.col(path_col), r"(^|/)[^/]*$", "")))
-    held = held.drop(lines_)
-    is_file = F.col(path_col).rlike(LICENSE_NAME)
+    text = F.col(text_col)
+    is_file = F.coalesce(F.col(path_col).rlike(LICENSE_NAME), F.lit(False))
+    parts = F.filter(F.transform(passages(text, is_file), words_of), lambda w: F.arrays_overlap(w, telling))
+    best = F.when(F.arrays_overlap(words_of(text), telling), F.array_min(F.transform(parts, cosine)))
+    scored = base.withColumns({score_: best, dir_: F.when(F.col(path_col).isNotNull(), F.regexp_replace(F.col(path_col), r"(^|/)[^/]*$", ""))})
+    held = materialize(scored.withColumn(own_, F.coalesce(F.col(f"{score_}.s") <= -threshold, F.lit(False))).drop(text_col), "licences")
 
     speaks = held.where(F.col(own_) & is_file).groupBy(F.col(dir_).alias("at")).agg(F.min(score_).alias("given"))
     dirs = held.where(F.col(dir_).isNotNull()).select(F.col(dir_).alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(parts))
-    up = dirs.withColumn("k", F.explode(F.sequence(F.lit(0), depth))).withColumn("at", F.concat_ws("/", F.slice(parts, F.lit(1), F.col("k"))))
+    steps = F.split("dir", "/")
+    depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(steps))
+    up = dirs.withColumn("k", F.explode(F.sequence(F.lit(0), depth))).withColumn("at", F.concat_ws("/", F.slice(steps, F.lit(1), F.col("k"))))
     nearest = up.join(speaks, "at").groupBy("dir").agg(F.max(F.struct("k", "at", "given")).alias("near"))
     joined = held.join(nearest, held[dir_] == nearest["dir"], "left")
-    own = F.coalesce(F.col(own_), F.lit(False))
+    own = F.col(own_)
     inherits = ~own & F.col("near").isNotNull()
     result = {
         "license": F.when(own, F.col(f"{score_}.l")).when(inherits, F.col("near.given.l")),

@@ -12,6 +12,10 @@ from . import exact_dedup, html_text, jaccard_join, license_scan, packing, quali
 from .common import table
 
 
+#: By this first line a document stands for its directory's licence file.
+LICENSE_LINE = r"(?i)licen[sc]|copyright|public domain|creative commons"
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: their source and language are directories; one whose text begins with a licence line is its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.substring_index("text", "\n", 1).rlike(license_scan.CUE), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    name = F.when(F.substring_index("text", "\n", 1).rlike(LICENSE_LINE), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     shelf = F.floor(F.col("doc_id") / 1000)
     path = F.concat_ws("/", "source", "lang", shelf, name)
     got = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
