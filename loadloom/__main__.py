@@ -66,11 +66,11 @@ def main() -> None:
         v = vectors(meas).join(dim.select("pod", "l1"), "pod", "left").withColumn("grp", F.coalesce("l1", F.lit("N/A")))
         if args.analysis == "cluster":
             got = clustering.assign(v, "grp", "pod", "features", args.clusters).withColumn("cluster", F.concat_ws("-", "grp", "cluster")).select(F.col("key").alias("pod"), "cluster").persist()
-            save("clustering.zip", reports.clustering_bundle(got, composition.long_form(v.join(got, "pod"), "pod", "cluster", "features"), dim, "l1", issues=tables["issues"]))
+            save("clustering.zip", reports.clustering_bundle(got, composition.long_form(v.join(got, "pod"), "pod", "cluster", "features"), dim, "l1", issues=tables["issues"], large=os.path.join(args.out, "tables")))
         else:
             got = clustering.outliers(v.withColumn("grp", F.lit("all")), "grp", "pod", "features", args.clusters or 20).persist()
             gaps = funnel.gaps(meas.join(got.select(F.col("key").alias("pod")), "pod", "left_semi"), "pod", "date")
-            save("outliers.zip", reports.outlier_bundle(got, dim, "l1", "pod", gaps))
+            save("outliers.zip", reports.outlier_bundle(got, dim, "l1", "pod", gaps, large=os.path.join(args.out, "tables")))
 
 
 if __name__ == "__main__":

@@ -18,11 +18,9 @@ DISTRIBUTOR_CODES = {
 
 
 def level(code: Column, n: int) -> Column:
-    """The first n parts of a dotted code, null where it has fewer or the n-th is blank."""
+    """The first n parts of a dotted code, null where it has fewer or the n-th is empty; an empty part before it stays."""
     parts = F.split(F.trim(code), r"\.")
-    have = F.slice(parts, 1, n)
-    whole = (F.size(have) == n) & ~F.exists(have, lambda p: F.trim(p) == "")
-    return F.when(whole, F.concat_ws(".", have))
+    return F.when(F.get(parts, F.lit(n - 1)) != "", F.concat_ws(".", F.slice(parts, 1, n)))
 
 
 def levels(df: DataFrame, code: str, names: tuple[str, str, str] = ("l1", "l2", "l3")) -> DataFrame:
@@ -76,3 +74,9 @@ def reference_columns(l1: Column) -> Column:
     """Which reference profiles a code is compared with: a struct of the mono-rate and the time-of-use one, or null."""
     pair = lambda m, f: F.struct(F.lit(m).alias("mono"), F.lit(f).alias("bands"))
     return F.when(l1.isNull() | l1.isin("IL", "N/A"), F.lit(None)).when(l1 == "DO", pair("PDMM", "PDMF")).otherwise(pair("PAUM", "PAUF"))
+
+
+def search(df: DataFrame, pattern: str, code: str = "code", title: str = "description") -> DataFrame:
+    """Rows whose code or title has the pattern, whatever the letter case."""
+    found = F.col(code).rlike(f"(?i){pattern}") | F.col(title).rlike(f"(?i){pattern}")
+    return df.where(F.coalesce(found, F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of the parts of a typology label, by their number.
@@ -39,3 +39,10 @@ def count_and_percent(n: Column, total: Column) -> Column:
 def thousands(n: Column) -> Column:
     """Thousands parted by narrow no-break spaces."""
     return F.translate(F.format_number(n, 0), ",", " ")
+
+
+def distinct_in_order(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """By group its distinct values as an array, in the order in which they first come."""
+    first = df.groupBy(*by, value).agg(F.min(order).alias("__first"))
+    got = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__first", F.col(value).alias("__v")))).alias("__all"))
+    return got.select(*by, F.transform("__all", lambda x: x["__v"]).alias(value))

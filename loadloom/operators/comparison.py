@@ -65,8 +65,7 @@ def code_comparison(rows: DataFrame, dim: DataFrame, reference: DataFrame, key:
     monthly = compare.pair_metrics(out, [*keys, "month"], "pct", "ref")
     yearly = compare.pair_metrics(out, keys, "pct", "ref")
     combined = yearly.groupBy("grp", "level", "code").agg(F.avg("rmse").alias("rmse"), F.avg("r").alias("r"), F.avg("mae").alias("mae"))
-    w = Window.orderBy(F.col("rmse").asc_nulls_last(), "grp")
-    return monthly, combined.withColumns({"rank": F.row_number().over(w), "quality": quality(F.col("rmse"))})
+    return monthly, compare.ranking(combined)
 
 
 def monthly_quality(monthly: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import count_and_percent
@@ -64,6 +66,19 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return float(front * (f - 1))
 
 
+def with_p(pairs: DataFrame) -> DataFrame:
+    """Pairs of clusters with ``r`` and ``n``, and the p-value of each."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("p", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            r, n = (batch.column(c).to_pylist() for c in ("r", "n"))
+            p = pa.array([pearson_p(*x) for x in zip(r, n, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, p], [*batch.schema.names, "p"])
+
+    return pairs.mapInArrow(run, schema)
+
+
 def inertia(long: DataFrame) -> DataFrame:
     """Sum of squared distances to the own centroid, by cluster."""
     w = Window.partitionBy("cluster", "slot")
@@ -95,20 +110,53 @@ def davies_bouldin(long: DataFrame) -> DataFrame:
     return ratios.groupBy("a").agg(F.max("r").alias("r")).agg(F.count(F.lit(1)).alias("k"), F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
-    """Mean silhouette with Euclidean distances.
-
-    Squared distances to whole clusters don't give Euclidean ones, so the members of a table are compared
-    pairwise: for the tables of profiles that clustering itself can take.
+#: Members of a block, whose distances to another block's are one matrix product.
+BLOCK = 1024
+
+
+def _products(batches):
+    """Pairs of blocks -> for each member the sum of its distances to the other block's members, by their cluster."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            x, y = (batch.column(c)[row].values for c in ("x", "y"))
+            m, o = (np.array(s.field("vector").to_pylist(), float).reshape(len(s), -1) for s in (x, y))
+            d = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (o * o).sum(1)[None, :] - 2 * m @ o.T, 0))
+            if batch.column("i")[row] == batch.column("j")[row]:
+                np.fill_diagonal(d, 0.0)
+                sides = [(x, y, d)]
+            else:
+                sides = [(x, y, d), (y, x, d.T)]
+            for own, other, far in sides:
+                found = other.field("cluster").dictionary_encode()
+                code = found.indices.to_numpy()
+                sums = np.stack([far[:, code == k].sum(1) for k in range(len(found.dictionary))], 1)
+                n, k = sums.shape
+                at = pa.array(np.repeat(np.arange(n), k))
+                yield pa.RecordBatch.from_arrays(
+                    [own.field("key").take(at), own.field("cluster").take(at), found.dictionary.take(pa.array(np.tile(np.arange(k), n))), pa.array(sums.ravel()), pa.array(np.tile(np.bincount(code, minlength=k), n))],
+                    ["ka", "ca", "cb", "s", "n"],
+                )
+
+
+def distance_sums(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
+    """``ka, ca, cb, s, n``: each member's Euclidean distances to the members of each cluster, their sum and number (itself included, at 0).
+
+    Members are dealt into blocks of about BLOCK; a pair of blocks is one matrix product, and its sums by cluster are added up. The
+    work is the square of the members, for the tables of profiles that are clustered.
     """
-    a = df.select(F.col(key).alias("ka"), F.col(cluster).alias("ca"), F.col(vector).alias("x"))
-    b = df.select(F.col(cluster).alias("cb"), F.col(key).alias("kb"), F.col(vector).alias("y"))
-    # Members are dealt into blocks; a pair of blocks meets on its numbers.
-    blocks = 8
-    a = a.withColumn("i", F.pmod(F.xxhash64("ka"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    b = b.withColumn("j", F.pmod(F.xxhash64("kb"), F.lit(blocks))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v))
-    sums = a.join(b, ["i", "j"]).groupBy("ka", "ca", "cb").agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null and cluster is not null")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("i")).agg(F.collect_list(F.struct("key", "cluster", "vector")).alias("x"))
+    left = packed.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    pairs = left.join(packed.select(F.col("i").alias("j"), F.col("x").alias("y")), "j").select("i", "j", "x", "y").repartition(max(1, blocks * (blocks + 1) // 2), "i", "j")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    sums = pairs.mapInArrow(_products, f"ka {kinds['key']}, ca {kinds['cluster']}, cb {kinds['cluster']}, s double, n long")
+    return sums.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
+    """Mean silhouette with Euclidean distances, over the sums of :func:`distance_sums`."""
+    sums = distance_sums(df, key, cluster, vector)
     own = F.max(F.when(F.col("ca") == F.col("cb"), F.try_divide(F.col("s"), F.col("n") - 1)))
     size = F.max(F.when(F.col("ca") == F.col("cb"), F.col("n")))
     near = F.min(F.when(F.col("ca") != F.col("cb"), F.col("s") / F.col("n")))
@@ -117,8 +165,14 @@ def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
 
 
+def mean_distances(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
+    """By cluster the mean distance of two of its members; 0 where it has one."""
+    own = distance_sums(df, key, cluster, vector).where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.sum("s").alias("s"), F.max("n").alias("n"))
+    return own.select("cluster", F.coalesce(F.try_divide(F.col("s"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("mean_distance"))
+
+
 def stats(long: DataFrame) -> DataFrame:
-    """Size, share, slots of the peak and of the trough, and greatest, least and mean value of each centroid."""
+    """Size, share, slots of the peak and of the trough, greatest, least and mean value of each centroid, and the mean over slots of the standard deviation."""
     c = centroids(long)
     sizes = long.groupBy("cluster").agg(F.countDistinct("key").alias("size"))
     sizes = sizes.withColumn("pct", F.round(100.0 * F.col("size") / F.sum("size").over(Window.partitionBy()), 2))
@@ -126,7 +180,8 @@ def stats(long: DataFrame) -> DataFrame:
     low = F.min(F.struct("v", F.col("slot").alias("s")))
     got = c.groupBy("cluster").agg(peak.alias("p"), low.alias("t"), F.avg("v").alias("mean"))
     got = got.select("cluster", (-F.col("p.s")).alias("peak_slot"), F.col("t.s").alias("trough_slot"), F.col("p.v").alias("max"), F.col("t.v").alias("min"), "mean")
-    return sizes.join(got, "cluster")
+    spread = long.groupBy("cluster", "slot").agg(F.stddev_samp("v").alias("sd")).groupBy("cluster").agg(F.avg("sd").alias("mean_std"))
+    return sizes.join(got, "cluster").join(spread, "cluster")
 
 
 def crosstab_text(df: DataFrame, row: str, column: str, columns: list) -> DataFrame:
@@ -144,11 +199,13 @@ def ranked(df: DataFrame, by: str, category: str) -> DataFrame:
 
 
 def elbow(table: DataFrame, k: str = "k", value: str = "inertia") -> DataFrame:
-    """The first k whose relative drop is below the mean drop, else the first k; needs three values."""
+    """The first k whose relative drop is below the mean drop, else the first that has a drop; needs three values. The table has a row for each k."""
     w = Window.orderBy(k)
-    drops = table.withColumn("drop", F.try_divide(F.lag(value).over(w) - F.col(value), F.lag(value).over(w)))
+    before = F.lag(value).over(w)
+    drops = table.withColumn("drop", F.when(before > 0, (before - F.col(value)) / before))
     drops = drops.withColumn("mean", F.avg("drop").over(Window.partitionBy()))
-    n = drops.agg(F.count(F.lit(1)).alias("n"), F.min(k).alias("first"), F.min(F.when(F.col("drop") < F.col("mean"), F.col(k))).alias("hit"))
+    hit, first = F.min(F.when(F.col("drop") < F.col("mean"), F.col(k))), F.min(F.when(F.col("drop").isNotNull(), F.col(k)))
+    n = drops.agg(F.count(F.lit(1)).alias("n"), first.alias("first"), hit.alias("hit"))
     return n.select(F.when(F.col("n") >= 3, F.coalesce("hit", "first")).alias("elbow_k"))
 
 

@@ -171,3 +171,43 @@ def kind_or_all(df: DataFrame, kind: str, wanted: str) -> DataFrame:
 def in_bins_or_missing(df: DataFrame, number: Column, bins: list[int], missing: bool) -> DataFrame:
     keep = number.isin(bins)
     return df.where(keep | number.isNull()) if missing else df.where(keep)
+
+
+def at_levels(df: DataFrame, number: str, levels: list[float], missing: bool = False) -> DataFrame:
+    """Rows whose number is exactly one of the levels; with ``missing`` also those without a number."""
+    keep = F.col(number).isin([float(x) for x in levels])
+    return df.where(keep | F.col(number).isNull()) if missing else df.where(keep)
+
+
+#: What stands for every code of a level.
+ALL = "All"
+
+
+def cascade(df: DataFrame, picks: dict[str, list[str] | str | None]) -> DataFrame:
+    """Rows with a picked code at each level; nothing, ``All`` or an empty list at a level picks every code. A pick may be one code or several."""
+    for level, codes in picks.items():
+        codes = [codes] if isinstance(codes, str) else list(codes or [])
+        if codes and ALL not in codes:
+            df = df.where(F.col(level).isin(codes))
+    return df
+
+
+def options(df: DataFrame, key: str, levels: list[str], picks: dict[str, list[str] | str | None]) -> DataFrame:
+    """What can be picked at each level, given the picks of the levels above it: ``level``, ``code`` and its number of keys."""
+    out = None
+    for n, level in enumerate(levels, 1):
+        there = cascade(df, {c: picks.get(c) for c in levels[: n - 1]})
+        part = there.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("code")).agg(F.countDistinct(key).alias("n")).select(F.lit(n).alias("level"), "code", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pruned(df: DataFrame, levels: list[str], picks: dict[str, list[str] | str | None]) -> dict[str, list[str]]:
+    """The picks without those that the levels above no longer offer. At most as many codes as are picked come to the driver."""
+    out: dict[str, list[str]] = {}
+    for level in levels:
+        codes = picks.get(level)
+        codes = [codes] if isinstance(codes, str) else list(codes or [])
+        there = {r[0] for r in cascade(df, out).where(F.col(level).isin(codes)).select(level).distinct().collect()} if codes else set()
+        out[level] = [c for c in codes if c == ALL or c in there]
+    return out

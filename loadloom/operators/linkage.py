@@ -178,12 +178,14 @@ def gaps(x: np.ndarray, z: np.ndarray, ks: list[int], references: int = 10, seed
 
 
 def elbow(ks: list[int], values: list[float]) -> int | None:
-    """The first k whose relative drop is below the mean drop, else the first."""
+    """The first k whose relative drop is below the mean drop, else the first that has a drop; none after an inertia of 0."""
     if len(values) < 3:
         return None
-    drops = [(a - b) / a if a else 0.0 for a, b in zip(values, values[1:], strict=False)]
-    mean = sum(drops) / len(drops)
-    return next((ks[i + 1] for i, d in enumerate(drops) if d < mean), ks[0])
+    drops = {k: (a - b) / a for k, a, b in zip(ks[1:], values, values[1:], strict=False) if a > 0}
+    if not drops:
+        return None
+    mean = sum(drops.values()) / len(drops)
+    return next((k for k, d in drops.items() if d < mean), next(iter(drops)))
 
 
 def votes(x: np.ndarray, z: np.ndarray, ks: list[int]) -> dict[str, int]:

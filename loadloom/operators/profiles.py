@@ -132,3 +132,9 @@ def sigma_band(df: DataFrame, keys: list[str], value: str, clip: bool = True) ->
     if clip:
         low, high = F.greatest(F.lit(0.0), low), F.least(F.lit(1.0), high)
     return got.select(*keys, F.col("m").alias("mean"), low.alias("low"), high.alias("high"))
+
+
+def year_vector(df: DataFrame, keys: list[str], month: str, hour: str, value: str) -> DataFrame:
+    """Twelve months of 24 hours in a row as one array of 288; only groups with all of them."""
+    got = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(month, hour, value))).alias("p"))
+    return got.where(F.size("p") == 288).select(*keys, F.transform("p", lambda s: s[value]).alias("vector"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import clustering, composition, funnel, profiles
 from .frames import READINGS, VECTORS, readings, vectors
@@ -23,6 +24,25 @@ def _profiles(spark, sf):
     return grid.select("key", (F.col("key") % 5).alias("grp"), q.alias("features"))
 
 
+#: The same in SQL, and the distances of the members of each group. Members are numbered by their key as text.
+POINTS = f"""p AS MATERIALIZED (SELECT key, key % 5 AS grp, list(v ORDER BY hour) AS q, row_number() OVER (PARTITION BY key % 5 ORDER BY CAST(key AS VARCHAR)) AS i FROM (SELECT k.key, h.hour, coalesce(avg(v), 0) AS v
+FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT range AS hour FROM range(24)) h LEFT JOIN (SELECT key, month(ts) AS month, hour(ts) AS hour, avg(value) AS v FROM {READINGS} GROUP BY ALL) r ON r.key = k.key AND r.hour = h.hour GROUP BY ALL) GROUP BY key),
+d AS MATERIALIZED (SELECT a.grp, a.i, b.i AS j, list_distance(a.q, b.q) AS d FROM p a JOIN p b ON a.grp = b.grp)"""
+#: Average linkage, a merge a step: by member the label and the number of its cluster, and the merge that was made.
+AVERAGE = f"""{POINTS}, c(grp, step, labels, ids, a, b, height) AS (SELECT grp, 0, list(i ORDER BY i), list(i - 1 ORDER BY i), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM p GROUP BY grp
+UNION ALL SELECT c.grp, step + 1, list_transform(labels, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END), list_transform(ids, lambda x, k: CASE WHEN labels[k] = m.a OR labels[k] = m.b THEN len(labels) + step ELSE x END), ids[m.a], ids[m.b], m.h
+FROM c, LATERAL (SELECT a, b, h FROM (SELECT c.labels[d.i] AS a, c.labels[d.j] AS b, avg(d.d) AS h FROM d WHERE d.grp = c.grp AND c.labels[d.i] < c.labels[d.j] GROUP BY ALL) ORDER BY h, a, b LIMIT 1) m)"""
+#: Single linkage: of each pair the largest step on the best way between them, for up to 2^8 members; the heights of the merges are those of the pairs without a better way.
+NEAREST = "".join(f", m{n} AS MATERIALIZED (SELECT a.grp, a.i, b.j, min(greatest(a.d, b.d)) AS d FROM {'d' if n == 1 else f'm{n - 1}'} a JOIN {'d' if n == 1 else f'm{n - 1}'} b ON a.grp = b.grp AND a.j = b.i GROUP BY ALL)" for n in range(1, 9))
+OUTLIERS = f"""{POINTS}{NEAREST}, h AS (SELECT d.grp, d.d, row_number() OVER (PARTITION BY d.grp ORDER BY d.d) AS k FROM d JOIN m8 USING (grp, i, j) WHERE i < j AND d.d = m8.d), n AS (SELECT grp, count(*) AS n FROM p GROUP BY grp HAVING count(*) >= 10),
+t AS (SELECT n.grp, coalesce(max(h.d) FILTER (k = n - 20), -1) AS t FROM n LEFT JOIN h USING (grp) GROUP BY n.grp), f AS (SELECT CAST(m8.grp AS VARCHAR) AS grp, CAST(p.key AS VARCHAR) AS key, min(CAST(o.key AS VARCHAR)) AS cluster, count(*) AS size FROM m8 JOIN t USING (grp) JOIN p ON p.grp = m8.grp AND p.i = m8.i JOIN p o ON o.grp = m8.grp AND o.i = m8.j WHERE m8.d <= t OR m8.i = m8.j GROUP BY m8.grp, p.key HAVING count(*) < 5)"""
+
+
+def _by_least_key(df):
+    """Clusters by the least key of their members in place of a number."""
+    return df.withColumn("cluster", F.min("key").over(Window.partitionBy("grp", "cluster")))
+
+
 @register("centroids", f"SELECT cluster, slot, round(v, 5) AS v FROM {CENTROIDS}")
 def centroids(spark, sf):
     return composition.centroids(_long(spark, sf)).withColumn("v", F.round("v", 5))
@@ -33,16 +53,12 @@ def centroid_pearson(spark, sf):
     return composition.centroid_pearson(_long(spark, sf)).withColumn("r", F.round("r", 5))
 
 
-@register("centroid_pearson_p")
+@register("centroid_pearson_p", f"""WITH r AS (SELECT a.cluster AS a, b.cluster AS b, count(*) AS n, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS r FROM {CENTROIDS} a JOIN {CENTROIDS} b USING (slot) WHERE a.cluster < b.cluster GROUP BY ALL)
+SELECT a, b, n, round(r, 6) AS r, round(1 - abs(r) * (SELECT sum(exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4)) * pow(1 - r * r, j)) FROM range(CAST((n - 2) / 2 AS BIGINT)) t(j)), 6) AS p FROM r""")
 def centroid_pearson_p(spark, sf):
     """Correlations of centroids with their p-values: as many rows as pairs of clusters."""
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(p=pd.Series([composition.pearson_p(r, n) for r, n in zip(pdf["r"], pdf["n"], strict=True)], dtype=float))
-
-    return composition.centroid_pearson(_long(spark, sf)).mapInPandas(run, "a int, b int, n long, r double, p double")
+    got = composition.with_p(composition.centroid_pearson(_long(spark, sf)))
+    return got.withColumns({c: F.round(c, 6) for c in ("r", "p")})
 
 
 @register("inertia", f"SELECT cluster, round(sum(pow(x.v - c.v, 2)), 3) AS within, count(DISTINCT key) AS size FROM {VECTORS} x JOIN {CENTROIDS} c USING (cluster, slot) GROUP BY cluster")
@@ -71,10 +87,13 @@ def silhouette(spark, sf):
 
 
 @register("cluster_stats", f"""WITH s AS (SELECT cluster, count(DISTINCT key) AS size FROM {VECTORS} GROUP BY cluster), c AS (SELECT cluster, slot, v, row_number() OVER (PARTITION BY cluster ORDER BY v DESC, slot) AS up, row_number() OVER (PARTITION BY cluster ORDER BY v, slot) AS down FROM {CENTROIDS})
-SELECT cluster, size, round(100.0 * size / sum(size) OVER (), 2) AS pct, max(CASE WHEN up = 1 THEN slot END) AS peak_slot, max(CASE WHEN down = 1 THEN slot END) AS trough_slot, round(max(v), 5) AS max, round(min(v), 5) AS min, round(avg(v), 5) AS mean FROM c JOIN s USING (cluster) GROUP BY cluster, size""")
+SELECT cluster, size, round(100.0 * size / sum(size) OVER (), 2) AS pct, max(CASE WHEN up = 1 THEN slot END) AS peak_slot, max(CASE WHEN down = 1 THEN slot END) AS trough_slot, round(max(v), 5) AS max, round(min(v), 5) AS min, round(avg(v), 5) AS mean,
+(SELECT round(avg(sd), 5) FROM (SELECT stddev_samp(v) AS sd FROM {VECTORS} x WHERE x.cluster = c.cluster GROUP BY slot)) AS mean_std,
+(SELECT round(coalesce(avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 4) FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.label = c.cluster) AS mean_distance FROM c JOIN s USING (cluster) GROUP BY cluster, size""")
 def cluster_stats(spark, sf):
     got = composition.stats(_long(spark, sf))
-    return got.select("cluster", "size", "pct", "peak_slot", "trough_slot", *[F.round(c, 5).alias(c) for c in ("max", "min", "mean")])
+    got = got.join(composition.mean_distances(vectors(spark, sf), "key", "cluster", "features"), "cluster")
+    return got.select("cluster", "size", "pct", "peak_slot", "trough_slot", *[F.round(c, 5).alias(c) for c in ("max", "min", "mean", "mean_std")], F.round("mean_distance", 4).alias("mean_distance"))
 
 
 @register("cluster_band", f"SELECT cluster, CAST(slot AS INT) AS slot, round(avg(v), 5) AS mean, round(avg(v) - stddev_samp(v), 5) AS low, round(avg(v) + stddev_samp(v), 5) AS high FROM {VECTORS} GROUP BY ALL")
@@ -93,17 +112,21 @@ def cluster_dominant(spark, sf):
     return funnel.dominant(vectors(spark, sf).withColumn("code", F.col("key") % 7), ["code"], "cluster")
 
 
-@register("elbow_k", "SELECT 4 AS elbow_k")
+@register("elbow_k", f"""WITH c AS (SELECT k, cluster % k AS c, slot, v FROM {VECTORS} CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range(2, 10))), i AS (SELECT k, sum(d) AS i FROM (SELECT k, pow(v - avg(v) OVER (PARTITION BY k, c, slot), 2) AS d FROM c) GROUP BY k),
+d AS (SELECT k, CASE WHEN lag(i) OVER (ORDER BY k) > 0 THEN (lag(i) OVER (ORDER BY k) - i) / lag(i) OVER (ORDER BY k) END AS d FROM i)
+SELECT coalesce(min(k) FILTER (d < (SELECT avg(d) FROM d)), min(k) FILTER (d IS NOT NULL)) AS elbow_k FROM d""")
 def elbow_k(spark, sf):
-    """The elbow of a fixed table of inertias."""
-    t = spark.createDataFrame([(2, 100.0), (3, 60.0), (4, 50.0), (5, 30.0), (6, 15.0)], "k int, inertia double")
-    return composition.elbow(t)
+    """The elbow over clusterings of the vectors into two to nine clusters."""
+    long = _long(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, range(2, 10)))))
+    each = composition.inertia(long.select(F.concat_ws("/", "k", "key").alias("key"), F.struct("k", (F.col("cluster") % F.col("k")).alias("c")).alias("cluster"), "slot", "v"))
+    return composition.elbow(each.groupBy(F.col("cluster.k").alias("k")).agg(F.sum("within").alias("inertia")))
 
 
-@register("cluster_average")
+@register("cluster_average", f"""WITH RECURSIVE {AVERAGE}, l AS (SELECT grp, labels FROM c WHERE step = len(labels) - 4 AND len(labels) >= 5), u AS (SELECT p.grp, p.key, l.labels[p.i] AS label FROM p JOIN l USING (grp))
+SELECT CAST(grp AS VARCHAR) AS grp, CAST(key AS VARCHAR) AS key, min(CAST(key AS VARCHAR)) OVER (PARTITION BY grp, label) AS cluster, CAST(4 AS INT) AS k FROM u""")
 def cluster_average(spark, sf):
-    """Average linkage by group, cut into four."""
-    return clustering.assign(_profiles(spark, sf), "grp", "key", "features", 4)
+    """Average linkage by group, cut into four; clusters by their least key."""
+    return _by_least_key(clustering.assign(_profiles(spark, sf), "grp", "key", "features", 4))
 
 
 @register("auto_k_vote")
@@ -116,34 +139,36 @@ def gap_statistic(spark, sf):
     return clustering.gap_table(_profiles(spark, sf), "grp", "key", "features").withColumn("gap", F.round("gap", 6))
 
 
-@register("dendrogram")
+@register("dendrogram", f"""WITH RECURSIVE {AVERAGE} SELECT CAST(grp AS VARCHAR) AS grp, step - 1 AS step, CAST(least(a, b) AS INT) AS a, CAST(greatest(a, b) AS INT) AS b, round(height, 6) AS distance, CAST(len(list_filter(ids, lambda x: x = len(ids) + step - 1)) AS INT) AS size FROM c WHERE step > 0""")
 def dendrogram(spark, sf):
     return clustering.merges(_profiles(spark, sf), "grp", "key", "features").withColumn("distance", F.round("distance", 6))
 
 
-@register("outliers_single_linkage")
+@register("outliers_single_linkage", f"WITH {OUTLIERS} SELECT * FROM f")
 def outliers_single_linkage(spark, sf):
-    return clustering.outliers(_profiles(spark, sf), "grp", "key", "features")
+    """Clusters by their least key."""
+    return _by_least_key(clustering.outliers(_profiles(spark, sf), "grp", "key", "features"))
 
 
-@register("outlier_report")
+@register("outlier_report", f"""WITH {OUTLIERS}, g AS (SELECT CAST(key AS VARCHAR) AS key, count(DISTINCT ts::DATE) AS n_days, min(ts::DATE) AS first, max(ts::DATE) AS last, date_diff('day', min(ts::DATE), max(ts::DATE)) + 1 AS expected FROM {READINGS} GROUP BY key)
+SELECT f.*, n_days, first, last, expected, greatest(0, expected - n_days) AS missing, round(100.0 * greatest(0, expected - n_days) / expected, 2) AS missing_pct FROM f LEFT JOIN g USING (key)""")
 def outlier_report(spark, sf):
-    found = clustering.outliers(_profiles(spark, sf), "grp", "key", "features")
+    found = _by_least_key(clustering.outliers(_profiles(spark, sf), "grp", "key", "features"))
     return clustering.outlier_report(found, readings(spark, sf).withColumnRenamed("key", "user"), "user", "ts")
 
 
 
 @register("single_linkage_at_distance", f"""WITH RECURSIVE p AS (SELECT key, list(v ORDER BY hour) AS q FROM (SELECT k.key, h.hour, coalesce(round(avg(value), 6), 0) AS v FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT range AS hour FROM range(24)) h LEFT JOIN {READINGS} r ON r.key = k.key AND hour(r.ts) = h.hour GROUP BY ALL) GROUP BY key),
-e AS (SELECT a.key AS a, b.key AS b FROM p a JOIN p b ON list_distance(a.q, b.q) <= 150), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS key, min(b) AS cluster FROM c GROUP BY a""")
+e AS (SELECT a.key AS a, b.key AS b FROM p a JOIN p b ON a.key % 5 = b.key % 5 AND list_distance(a.q, b.q) <= 150), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS key, min(b) AS cluster FROM c GROUP BY a""")
 def single_linkage_at_distance(spark, sf):
-    """Single linkage cut at a distance: components of the merges below it, named by their least key."""
+    """Single linkage of each group of keys cut at a distance: components of the merges below it, named by their least key."""
     import pandas as pd
 
     from ..operators import linkage
 
     h = readings(spark, sf).groupBy("key", F.hour("ts").alias("hour")).agg(F.round(F.avg("value"), 6).alias("v"))
     grid = h.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("m"))
-    q = grid.select("key", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("features"), F.lit(1).alias("grp"))
+    q = grid.select("key", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("features"), (F.col("key") % 5).alias("grp"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key").reset_index(drop=True)
@@ -157,7 +182,7 @@ def single_linkage_at_distance(spark, sf):
     return q.groupBy("grp").applyInPandas(run, "key long, cluster long")
 
 
-EVENTS = "(SELECT user_id AS key, ts, value, event_type AS kind, CAST(user_id % 4 AS INT) AS cluster, CAST(user_id % 3 AS INT) AS other FROM events)"
+EVENTS = f"(SELECT *, CAST(key % 4 AS INT) AS cluster, CAST(key % 3 AS INT) AS other FROM {READINGS})"
 
 
 def _members(spark, sf):
@@ -214,8 +239,8 @@ def sorted_columns(spark, sf):
 
 @register("monthly_recluster")
 def monthly_recluster(spark, sf):
-    """Each third of the month clustered anew with its own k."""
-    h = readings(spark, sf).groupBy("key", (F.day("ts") % 3).alias("grp"), F.hour("ts").alias("hour")).agg(F.avg("value").alias("v"))
+    """Each of the twelve months clustered anew with its own k."""
+    h = readings(spark, sf).groupBy("key", F.month("ts").alias("grp"), F.hour("ts").alias("hour")).agg(F.avg("value").alias("v"))
     grid = h.groupBy("key", "grp").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("m"))
     q = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
     return clustering.assign(grid.select("key", "grp", q.alias("features")), "grp", "key", "features")
@@ -225,4 +250,4 @@ def monthly_recluster(spark, sf):
 def k_per_group(spark, sf):
     """One row with the k of each group."""
     got = monthly_recluster(spark, sf).groupBy("grp").agg(F.max("k").alias("k"))
-    return got.groupBy().pivot("grp", ["0", "1", "2"]).agg(F.max("k"))
+    return got.groupBy().pivot("grp", [str(m) for m in range(1, 13)]).agg(F.max("k"))

@@ -21,8 +21,9 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Metered points are users, readings their events."""
-    return table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", "value", F.col("event_type").alias("kind"), "event_id")
+    """Metered points are users, readings their events. The events of one month are dealt over twelve, so that rules of months have several."""
+    ts = F.col("ts") + F.make_ym_interval(F.lit(0), (F.col("event_id") % 12).cast("int"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("key"), ts.alias("ts"), "value", F.col("event_type").alias("kind"), "event_id")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +37,6 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 #: The same in SQL.
 ORDERS = "(SELECT o_custkey AS key, o_orderdate AS ts, o_totalprice AS value, o_orderkey, o_orderpriority FROM orders)"
 PLACES = "(SELECT c_custkey AS key, c_mktsegment AS segment, n_name AS nation, r_name AS region, c_acctbal AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-READINGS = "(SELECT user_id AS key, ts, value, event_type AS kind, event_id FROM events)"
+READINGS = "(SELECT user_id AS key, ts + to_months(CAST(event_id % 12 AS INTEGER)) AS ts, value, event_type AS kind, event_id FROM events)"
 LINES = "(SELECT l_suppkey AS key, l_partkey AS part, l_shipdate AS ts, l_extendedprice AS value, l_quantity AS quantity, l_returnflag AS flag, l_linestatus AS status FROM lineitem)"
 VECTORS = "(SELECT key, cluster, unnest(range(len(embedding))) AS slot, unnest(embedding)::DOUBLE AS v FROM (SELECT vec_id AS key, label AS cluster, embedding FROM embeddings))"

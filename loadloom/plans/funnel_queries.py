@@ -265,9 +265,10 @@ def set_intersect(spark, sf):
     return funnel.covered(orders(spark, sf), "key", "ts").join(places(spark, sf).where("region = 'ASIA'"), "key", "left_semi")
 
 
-@register("set_except", f"SELECT key FROM {PLACES} EXCEPT SELECT key FROM {ORDERS}")
+@register("set_except", f"SELECT key FROM {PLACES} EXCEPT SELECT key FROM {ORDERS} WHERE value > 300000")
 def set_except(spark, sf):
-    return places(spark, sf).select("key").join(orders(spark, sf), "key", "left_anti")
+    """Keys without an order above a value."""
+    return places(spark, sf).select("key").join(orders(spark, sf).where("value > 300000"), "key", "left_anti")
 
 
 @register("set_union", f"SELECT DISTINCT key FROM (SELECT key FROM {PLACES} WHERE region = 'ASIA' UNION ALL SELECT key FROM {ORDERS} WHERE value > 300000)")
@@ -276,13 +277,29 @@ def set_union(spark, sf):
 
 
 @register("cascade_counts", f"""SELECT 1 AS level, region AS code, count(DISTINCT key) AS n FROM {PLACES} GROUP BY region UNION ALL SELECT 2, nation, count(DISTINCT key) FROM {PLACES} WHERE region IN ('ASIA', 'EUROPE') GROUP BY nation
-UNION ALL SELECT 3, segment, count(DISTINCT key) FROM {PLACES} WHERE region IN ('ASIA', 'EUROPE') AND nation IN ('CHINA', 'FRANCE') GROUP BY segment""")
+UNION ALL SELECT 3, segment, count(DISTINCT key) FROM {PLACES} WHERE region IN ('ASIA', 'EUROPE') AND nation IN ('NATION_2', 'NATION_3') GROUP BY segment""")
 def cascade_counts(spark, sf):
     """Keys behind each choice of a level, given the choices above it."""
+    return funnel.options(places(spark, sf), "key", ["region", "nation", "segment"], {"region": ["ASIA", "EUROPE"], "nation": ["NATION_2", "NATION_3"]})
+
+
+@register("cascade_single", f"SELECT key, nation, segment FROM {PLACES} WHERE region = 'ASIA' AND segment = 'BUILDING'")
+def cascade_single(spark, sf):
+    """One code a level, and every code of another."""
+    return funnel.cascade(places(spark, sf), {"region": "ASIA", "nation": "All", "segment": "BUILDING"}).select("key", "nation", "segment")
+
+
+@register("cascade_pruned", f"SELECT nation, count(*) AS n FROM {PLACES} WHERE region = 'ASIA' AND nation IN ('NATION_2', 'NATION_7') GROUP BY nation")
+def cascade_pruned(spark, sf):
+    """A pick that the level above no longer offers is dropped."""
     p = places(spark, sf)
-    upper = F.col("region").isin("ASIA", "EUROPE")
-    one = lambda n, c, df: df.groupBy(F.col(c).alias("code")).agg(F.countDistinct("key").alias("n")).select(F.lit(n).alias("level"), "code", "n")
-    return one(1, "region", p).unionByName(one(2, "nation", p.where(upper))).unionByName(one(3, "segment", p.where(upper & F.col("nation").isin("CHINA", "FRANCE"))))
+    picks = funnel.pruned(p, ["region", "nation"], {"region": "ASIA", "nation": ["NATION_2", "NATION_3", "NATION_7"]})
+    return funnel.cascade(p, picks).groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("exact_levels", f"SELECT key, quantity, value FROM {LINES} WHERE quantity IN (1, 3, 50) OR quantity IS NULL")
+def exact_levels(spark, sf):
+    return funnel.at_levels(lines(spark, sf), "quantity", [1, 3, 50], True).select("key", "quantity", "value")
 
 
 @register("gap_stats", f"""SELECT key, n_days, first, last, expected, greatest(0, expected - n_days) AS missing, round(100.0 * greatest(0, expected - n_days) / expected, 2) AS missing_pct FROM (

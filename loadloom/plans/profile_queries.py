@@ -29,12 +29,12 @@ def month_slice(spark, sf):
     return _hourly(spark, sf).where("month = 1 AND v IS NOT NULL").select("key", "hour", F.round("v", 4).alias("v"))
 
 
-@register("overall_profile", f"SELECT key, hour, round(avg(v), 4) AS v FROM {HOURLY} GROUP BY key, hour")
+@register("overall_profile", f"SELECT key, hour, round(avg(v), 6) AS v FROM {HOURLY} GROUP BY key, hour")
 def overall_profile(spark, sf):
-    return profiles.overall(_hourly(spark, sf), "key").withColumn("v", F.round("v", 4))
+    return profiles.overall(_hourly(spark, sf), "key").withColumn("v", F.round("v", 6))
 
 
-@register("slot_means", """WITH e AS (SELECT user_id AS key, CAST(month(ts) AS INT) AS month, CAST(hour(ts) * 4 + minute(ts) // 15 + 1 AS INT) AS slot, value AS v FROM events)
+@register("slot_means", f"""WITH e AS (SELECT key, CAST(month(ts) AS INT) AS month, CAST(hour(ts) * 4 + minute(ts) // 15 + 1 AS INT) AS slot, value AS v FROM {READINGS})
 SELECT key, month, slot, printf('%02d:%02d', (slot - 1) // 4, (slot - 1) % 4 * 15) AS label, round(avg(v), 4) AS v FROM e GROUP BY key, month, slot""")
 def slot_means(spark, sf):
     """Quarter-hours of a day packed into a vector, and the means of its slots."""
@@ -91,9 +91,9 @@ DAYTYPES = f"""(WITH k AS (SELECT key, {DAYTYPE} AS daytype, CAST(month(ts) AS I
 SELECT * FROM m UNION ALL SELECT daytype, 0, hour, avg(v) FROM m GROUP BY ALL)"""
 
 
-@register("daytype_profile", f"SELECT daytype, month, hour, round(v, 4) AS v FROM {DAYTYPES}")
+@register("daytype_profile", f"SELECT daytype, month, hour, round(v, 8) AS v FROM {DAYTYPES}")
 def daytype_profile(spark, sf):
-    return profiles.by_day_type(readings(spark, sf), "key", "ts", "value").withColumn("v", F.round("v", 4))
+    return profiles.by_day_type(readings(spark, sf), "key", "ts", "value").withColumn("v", F.round("v", 8))
 
 
 @register("reference_means", f"SELECT m.month, CAST(h AS INT) AS hour, round(v, 4) AS v FROM (SELECT DISTINCT CAST(month(ts) AS INT) AS month FROM {READINGS}) m CROSS JOIN range(24) t(h) LEFT JOIN (SELECT CAST(month(ts) AS INT) AS month, CAST(hour(ts) AS INT) AS hour, avg(value) AS v FROM {READINGS} WHERE hour(ts) <> 3 GROUP BY ALL) r ON r.month = m.month AND r.hour = h")
@@ -110,9 +110,9 @@ def reference_vector(spark, sf):
     return got.select("kind", F.round(F.col("vector")[0], 5).alias("first"), F.round(arrays.total(F.col("vector")), 2).alias("total"), F.size("vector").cast("long").alias("n"))
 
 
-# Gaps for the filling queries: hours of which the number and the key agree are missing.
+# The cells of three months for the filling queries. Most users have no reading in some of their hours.
 GRID = f"""(SELECT k.key, m.month, s.slot, v FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) t(month)) m CROSS JOIN (SELECT CAST(range + 1 AS INT) AS slot FROM range(24)) s
-LEFT JOIN (SELECT key, CAST(day(ts) % 3 + 1 AS INT) AS month, CAST(hour(ts) + 1 AS INT) AS slot, avg(value) AS v FROM {READINGS} WHERE (hour(ts) + key) % 7 > 2 AND NOT (hour(ts) BETWEEN 5 AND 9 AND key % 5 = 0) GROUP BY ALL) p USING (key, month, slot))"""
+LEFT JOIN (SELECT key, CAST(day(ts) % 3 + 1 AS INT) AS month, CAST(hour(ts) + 1 AS INT) AS slot, avg(value) AS v FROM {READINGS} GROUP BY ALL) p USING (key, month, slot))"""
 FILLED = f"""(WITH g AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot, month) AS i FROM {GRID}), w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS p, last_value(v IGNORE NULLS) OVER b AS pv,
 first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS n, first_value(v IGNORE NULLS) OVER a AS nv FROM g WINDOW b AS (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT key, month, slot, CASE WHEN v IS NOT NULL THEN v WHEN coalesce(i - p <= 4, false) OR coalesce(n - i <= 4, false) THEN coalesce(pv + (nv - pv) * (i - p) / nullif(n - p, 0), pv, nv) END AS v FROM w)"""
@@ -123,8 +123,7 @@ SELECT key, month, slot, coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION
 def _grid(spark, sf):
     r = readings(spark, sf)
     keys = r.select("key").distinct()
-    there = r.where(((F.hour("ts") + F.col("key")) % 7 > 2) & ~(F.hour("ts").between(5, 9) & (F.col("key") % 5 == 0)))
-    there = there.groupBy("key", (F.day("ts") % 3 + 1).alias("month"), (F.hour("ts") + 1).alias("slot")).agg(F.avg("value").alias("v"))
+    there = r.groupBy("key", (F.day("ts") % 3 + 1).alias("month"), (F.hour("ts") + 1).alias("slot")).agg(F.avg("value").alias("v"))
     blank = keys.select("key", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("month"), F.lit(1).alias("slot"), F.lit(None).cast("double").alias("v"))
     missing = blank.join(there, ["key", "month", "slot"], "left_anti")
     return profiles.complete_grid(there.unionByName(missing), "key", "slot", 24)
@@ -222,11 +221,11 @@ def metrics_grid(spark, sf):
     return got.select("daytype", "month", "n", F.round("r", 5).alias("r"), F.round("cv_rmse", 3).alias("cv_rmse"), F.round("cv_mae", 3).alias("cv_mae"))
 
 
-@register("export_grid", f"""SELECT hour, {', '.join(f"round(max(v) FILTER (daytype = '{d}'), 4) AS {d}" for d in ('Weekday', 'Saturday', 'Sunday'))} FROM {DAYTYPES} WHERE month = 0 GROUP BY hour""")
+@register("export_grid", f"""SELECT hour, {', '.join(f"round(max(v) FILTER (daytype = '{d}'), 6) AS {d}" for d in ('Weekday', 'Saturday', 'Sunday'))} FROM {DAYTYPES} WHERE month = 0 GROUP BY hour""")
 def export_grid(spark, sf):
     """Hours down, day types across."""
     d = profiles.by_day_type(readings(spark, sf), "key", "ts", "value").where("month = 0")
-    return d.groupBy("hour").pivot("daytype", ["Weekday", "Saturday", "Sunday"]).agg(F.round(F.max("v"), 4))
+    return d.groupBy("hour").pivot("daytype", ["Weekday", "Saturday", "Sunday"]).agg(F.round(F.max("v"), 6))
 
 
 @register("quality_bands", f"SELECT CASE WHEN value < 5 THEN 'Good' WHEN value < 10 THEN 'Acceptable' WHEN value < 20 THEN 'Not Comparable' ELSE 'Very Different' END AS quality, count(*) AS n FROM {READINGS} GROUP BY ALL")
@@ -254,7 +253,7 @@ def code_ranking(spark, sf):
 
     r = readings(spark, sf)
     dim = r.select("key", (F.col("key") % 3).cast("string").alias("l1")).distinct()
-    ref = spark.range(24).select(F.lit(1).alias("month"), F.col("id").cast("int").alias("hour"))
+    ref = spark.range(12 * 24).select((F.col("id") % 12 + 1).cast("int").alias("month"), F.floor(F.col("id") / 12).cast("int").alias("hour"))
     ref = ref.withColumns({c: F.col("hour") * f for c, f in (("PDMM", 0.01), ("PDMF", 0.02), ("PAUM", 0.01), ("PAUF", 0.02))})
     _, ranking = comparison.code_comparison(r, dim, ref, "key", ("l1",))
     return ranking.select("code", F.round("rmse", 4).alias("rmse"), "rank")
@@ -270,3 +269,59 @@ def strict_profile(spark, sf):
     q = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.col("m")[i])
     got = comparison.strict_profiles(h.select("key", "date", q.alias("q")), "key", "date", "q", 24, 0)
     return got.select("key", "month", "slot", F.round("norm", 5).alias("norm"))
+
+
+@register("year_vector", f"SELECT kind, round(list(v ORDER BY month, hour)[1], 5) AS first, round(list(v ORDER BY month, hour)[288], 5) AS last, round(sum(v), 2) AS total FROM (SELECT kind, month(ts) AS month, hour(ts) AS hour, avg(value) AS v FROM {READINGS} GROUP BY ALL) GROUP BY kind HAVING count(*) = 288")
+def year_vector(spark, sf):
+    h = readings(spark, sf).groupBy("kind", F.month("ts").alias("month"), F.hour("ts").alias("hour")).agg(F.avg("value").alias("v"))
+    got = profiles.year_vector(h, ["kind"], "month", "hour", "v")
+    return got.select("kind", F.round(F.col("vector")[0], 5).alias("first"), F.round(F.col("vector")[287], 5).alias("last"), F.round(arrays.total(F.col("vector")), 2).alias("total"))
+
+
+GROUPED = f"(SELECT *, CASE key % 4 WHEN 0 THEN 'DO.R' WHEN 1 THEN 'DO.NR' WHEN 3 THEN 'Other' END AS grp FROM {READINGS} WHERE key % 4 <> 2)"
+SHARES = f"""(WITH d AS (SELECT grp, key, ts::DATE AS day, hour(ts) AS hour, sum(value) AS v FROM {GROUPED} GROUP BY ALL), t AS (SELECT grp, key, month(day) AS month, count(DISTINCT day) AS days, sum(v) AS t FROM d GROUP BY ALL HAVING sum(v) > 0)
+SELECT grp, CAST(month AS INT) AS month, CAST(hour AS INT) AS hour, avg(s / days / t * 100) AS pct FROM (SELECT grp, key, month(day) AS month, hour, sum(v) AS s FROM d GROUP BY ALL) JOIN t USING (grp, key, month) GROUP BY ALL)"""
+NATIONAL = f"(SELECT CAST(month(ts) AS INT) AS month, CAST(hour(ts) AS INT) AS hour, avg(value) / 1000 AS a, max(value) / 1000 AS b FROM {READINGS} GROUP BY ALL)"
+
+
+@register("national_metrics", f"""SELECT grp, month, pairing, count(*) AS n, round(covar_pop(pct, ref) / nullif(stddev_pop(pct) * stddev_pop(ref), 0), 5) AS r, round(sqrt(avg(pow(pct - ref, 2))) * 100, 4) AS rmse, round(avg(abs(pct - ref)) * 100, 4) AS mae
+FROM (SELECT grp, month, 'mono' AS pairing, pct, CASE WHEN grp LIKE 'DO%' THEN a ELSE a * 2 END AS ref FROM {SHARES} JOIN {NATIONAL} USING (month, hour) UNION ALL SELECT grp, month, 'bands', pct, CASE WHEN grp LIKE 'DO%' THEN b ELSE b * 2 END FROM {SHARES} JOIN {NATIONAL} USING (month, hour)) GROUP BY ALL""")
+def national_metrics(spark, sf):
+    """Homes of residents, other homes and other uses against a national reference, by month and pairing."""
+    from ..operators import comparison
+
+    r = readings(spark, sf)
+    k = F.col("key") % 4
+    dim = r.select("key").distinct().withColumns({"l1": F.when(k < 2, "DO").when(k == 2, "IL").otherwise("47"), "l2": F.when(k == 0, "DO.R").when(k == 1, "DO.NR").otherwise("47.1")})
+    reference = r.groupBy(F.month("ts").alias("month"), F.hour("ts").alias("hour")).agg((F.avg("value") / 1000).alias("PDMM"), (F.max("value") / 1000).alias("PDMF"))
+    reference = reference.withColumns({"PAUM": F.col("PDMM") * 2, "PAUF": F.col("PDMF") * 2})
+    got = comparison.national_metrics(comparison.group_shares(r, comparison.groups(dim), "key", "grp"), reference)
+    return got.select("grp", "month", "pairing", "n", F.round("r", 5).alias("r"), F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
+
+
+RESIDENCE = "CASE WHEN key % 3 = 0 THEN 'Residente' ELSE 'Non residente' END"
+BY_RESIDENCE = f"""(WITH k AS (SELECT {RESIDENCE} AS residence, key, {DAYTYPE} AS daytype, CAST(month(ts) AS INT) AS month, CAST(hour(ts) AS INT) AS hour, avg(value) / 1000 AS v FROM {READINGS} GROUP BY ALL), m AS (SELECT residence, daytype, month, hour, avg(v) AS v FROM k GROUP BY ALL)
+SELECT * FROM m UNION ALL SELECT residence, daytype, 0, hour, avg(v) FROM m GROUP BY ALL)"""
+PROVINCIAL = f"""(SELECT 'Residente' AS residence, market, CASE kind WHEN 0 THEN 'Weekday' WHEN 1 THEN 'Saturday' ELSE 'Sunday' END AS daytype, CAST(m AS INT) AS month, CAST(h AS INT) AS hour, (h + 1) * f / 24 AS kwh FROM range(24) a(h), range(13) b(m), range(3) c(kind), (VALUES ('libero', 0.3), ('tutelato', 0.2)) t(market, f) WHERE m <> 5 OR h <> 7
+UNION ALL SELECT 'Non residente', 'libero', 'Weekday', 0, CAST(h AS INT), 0.1 + h / 100.0 FROM range(24) a(h))"""
+
+
+@register("provincial_metrics", f"""WITH f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY residence, market, daytype, month) AS hours FROM {PROVINCIAL}) WHERE hours = 24), b AS (SELECT residence, market, daytype, month, hour, v, kwh FROM {BY_RESIDENCE} JOIN f USING (residence, daytype, month, hour)),
+s AS (SELECT *, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS x, coalesce((kwh - min(kwh) OVER w) / nullif(max(kwh) OVER w - min(kwh) OVER w, 0), 0) AS y FROM b WINDOW w AS (PARTITION BY residence, market, daytype, month))
+SELECT residence, market, daytype, month, count(*) AS n, round(CASE WHEN avg(kwh) > 0 THEN 100 * sqrt(avg(pow(v - kwh, 2))) / avg(kwh) ELSE 0 END, 3) AS cv_rmse, round(CASE WHEN avg(kwh) > 0 THEN 100 * avg(abs(v - kwh)) / avg(kwh) ELSE 0 END, 3) AS cv_mae, round(sqrt(avg(pow(x - y, 2))) * 100, 3) AS shape_rmse FROM s GROUP BY ALL""")
+def provincial_metrics(spark, sf):
+    """Homes by residence against an hourly reference by market, day type and month; a month without all hours is left out."""
+    from ..operators import comparison
+
+    r = readings(spark, sf)
+    members = r.select("key").distinct().withColumn("residence", F.when(F.col("key") % 3 == 0, "Residente").otherwise("Non residente"))
+    names = F.array(F.lit("Giorno feriale"), F.lit("Sabato"), F.lit("Domenica"))
+    grid = spark.range(24).select(F.col("id").cast("int").alias("hour"))
+    for name, values in (("month", F.sequence(F.lit(0), F.lit(12))), ("daytype", names), ("m", F.array(F.struct(F.lit("libero").alias("market"), F.lit(0.3).alias("f")), F.struct(F.lit("tutelato").alias("market"), F.lit(0.2).alias("f"))))):
+        grid = grid.withColumn(name, F.explode(values))
+    many = grid.where("month <> 5 OR hour <> 7").select(F.lit("Residente").alias("residence"), "m.market", "daytype", "month", "hour", ((F.col("hour") + 1) * F.col("m.f") / 24).alias("kwh"))
+    one = spark.range(24).select(F.lit("Non residente").alias("residence"), F.lit("libero").alias("market"), F.lit("Giorno feriale").alias("daytype"), F.lit(0).alias("month"), F.col("id").cast("int").alias("hour"), (0.1 + F.col("id") / 100).alias("kwh"))
+    energy, shape = comparison.provincial_metrics(r, members, many.unionByName(one), "key")
+    keys = ["residence", "market", "daytype", "month"]
+    got = energy.join(shape.select(*keys, F.round("rmse", 3).alias("shape_rmse")), keys)
+    return got.select(*keys, "n", F.round("cv_rmse", 3).alias("cv_rmse"), F.round("cv_mae", 3).alias("cv_mae"), "shape_rmse")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cleaning, taxonomy, text
-from ..operators import composition, funnel
+from ..operators import comparison, composition, funnel
 from .frames import PLACES, READINGS, places, readings
 from .registry import register
 
@@ -68,9 +68,11 @@ def taxonomy_legend(spark, sf):
     return _legend(spark, sf)
 
 
-@register("legend_search", f"SELECT * FROM {LEGEND} WHERE regexp_matches(code, '(?i)^(do|1)')")
+@register("legend_search", f"SELECT l.*, t.title FROM {LEGEND} l LEFT JOIN {TITLES} t USING (code) WHERE regexp_matches(code, '(?i)^(do|1)|gre') OR coalesce(regexp_matches(title, '(?i)^(do|1)|gre'), false)")
 def legend_search(spark, sf):
-    return _legend(spark, sf).where(F.col("code").rlike("(?i)^(do|1)"))
+    """Codes of the legend by a pattern over code and title."""
+    titles = _parts(spark, sf).where("key % 3 = 0 AND code <> ''").groupBy("code").agg(F.min("name").alias("title"))
+    return taxonomy.search(_legend(spark, sf).join(titles, "code", "left"), "^(do|1)|gre", title="title")
 
 
 @register("level_counts", f"SELECT l1, n, round(100.0 * n / sum(n) OVER (), 2) AS pct FROM (SELECT l1, count(*) AS n FROM {LEVELS} GROUP BY l1)")
@@ -102,15 +104,14 @@ def reference_router(spark, sf):
     return got.groupBy("l1", F.col("r.mono").alias("mono"), F.col("r.bands").alias("bands")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("group_predicates", f"SELECT CASE WHEN l2 = 'DO.R' THEN 'resident' WHEN l2 = 'DO.NR' THEN 'other home' WHEN l1 NOT LIKE 'DO%' AND l1 NOT LIKE 'IL%' AND l1 <> 'N/A' THEN 'other' END AS grp, count(*) AS n FROM {RECLASS} GROUP BY ALL")
+@register("group_predicates", f"SELECT * FROM (SELECT CASE WHEN l2 = 'DO.R' THEN 'DO.R' WHEN l2 = 'DO.NR' THEN 'DO.NR' WHEN l1 NOT LIKE 'DO%' AND l1 NOT LIKE 'IL%' AND l1 <> 'N/A' THEN 'Other' END AS grp, count(*) AS n FROM {RECLASS} GROUP BY ALL) WHERE grp IS NOT NULL")
 def group_predicates(spark, sf):
-    other = ~F.col("l1").startswith("DO") & ~F.col("l1").startswith("IL") & (F.col("l1") != "N/A")
-    return _reclass(spark, sf).groupBy(F.when(F.col("l2") == "DO.R", "resident").when(F.col("l2") == "DO.NR", "other home").when(other, "other").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    return comparison.groups(_reclass(spark, sf)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("label_typology", f"SELECT key, substr(region, 1, 20) || ' | ' || substr(nation, 1, 20) || ' | ' || substr(segment, 1, 35) AS label, CASE WHEN nation = 'FRANCE' THEN NULL ELSE substr(nation, 1, 25) || ' | ' || substr(segment, 1, 30) END AS two FROM {PLACES}")
+@register("label_typology", f"SELECT key, substr(region, 1, 20) || ' | ' || substr(nation, 1, 20) || ' | ' || substr(segment, 1, 35) AS label, CASE WHEN nation = 'NATION_3' THEN NULL ELSE substr(nation, 1, 25) || ' | ' || substr(segment, 1, 30) END AS two FROM {PLACES}")
 def label_typology(spark, sf):
-    nation = F.when(F.col("nation") != "FRANCE", F.col("nation"))
+    nation = F.when(F.col("nation") != "NATION_3", F.col("nation"))
     return places(spark, sf).select("key", text.typology_label(F.col("region"), F.col("nation"), F.col("segment")).alias("label"), text.typology_label(nation, F.col("segment")).alias("two"))
 
 
@@ -185,10 +186,11 @@ def dominant_category(spark, sf):
     return funnel.dominant(places(spark, sf), ["nation"], "segment")
 
 
-@register("distinct_labels", f"SELECT kind, list_sort(list(DISTINCT dayname(ts)))[1] AS first FROM {READINGS} GROUP BY kind")
+@register("distinct_labels", f"SELECT kind, string_agg(d, ' ' ORDER BY first) AS labels FROM (SELECT kind, dayname(ts) AS d, min(event_id) AS first FROM {READINGS} GROUP BY ALL) GROUP BY kind")
 def distinct_labels(spark, sf):
-    r = readings(spark, sf).groupBy("kind").agg(F.array_sort(F.collect_set(F.date_format("ts", "EEEE"))).alias("d"))
-    return r.select("kind", F.array_distinct("d")[0].alias("first"))
+    """Each label once, in the order in which they first come."""
+    got = text.distinct_in_order(readings(spark, sf).withColumn("day", F.date_format("ts", "EEEE")), ["kind"], "day", "event_id")
+    return got.select("kind", F.array_join("day", " ").alias("labels"))
 
 
 @register("label_threshold", f"SELECT segment, n, CASE WHEN pct >= 20 THEN CAST(pct AS VARCHAR) || '%' ELSE '' END AS label FROM (SELECT segment, count(*) AS n, CAST(round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS DECIMAL(5,1)) AS pct FROM {PLACES} GROUP BY segment)")
@@ -203,10 +205,16 @@ def thousands_text(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", text.thousands(F.col("o_orderkey") * 1000).alias("label"))
 
 
-@register("power_resolver", "SELECT * FROM (VALUES ('Pot. impegnata', 'POTENZA x'), ('exact', 'POTCONTR'), ('case', 'potenza contrattuale')) t(kind, found)")
+@register("power_resolver", f"SELECT kind, found, round(sum(balance), 2) AS total FROM {PLACES}, (VALUES ('Pot. impegnata', 'POTENZA x'), ('exact', 'POTCONTR'), ('case', 'potenza contrattuale')) t(kind, found) GROUP BY kind, found")
 def power_resolver(spark, sf):
-    """What the column resolver finds in three headers."""
-    heads = {"Pot. impegnata": ["POD", "POTENZA x"], "exact": ["a_potenza", "POTCONTR"], "case": ["potenza contrattuale", "x"]}
-    return spark.createDataFrame([(k, cleaning.resolve_power_column(v)) for k, v in heads.items()], "kind string, found string")
+    """The column that the resolver finds in a table under three headers, and its sum."""
+    heads = {"Pot. impegnata": ["POD", "POTENZA x"], "exact": ["a_potenza", "POTCONTR"], "case": ["x", "potenza contrattuale"]}
+    out = None
+    for kind, (key, value) in heads.items():
+        df = places(spark, sf).select(F.col("key").alias(key), F.col("balance").alias(value))
+        found = cleaning.resolve_power_column(df.columns)
+        part = df.agg(F.round(F.sum(F.col(f"`{found}`")), 2).alias("total")).select(F.lit(kind).alias("kind"), F.lit(found).alias("found"), "total")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 

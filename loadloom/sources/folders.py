@@ -1,13 +1,12 @@
 """Monthly folders of metadata workbooks and measure files, read into typed tables.
 
-Folders are listed on the driver, which knows a handful of them for each year; measure files are read by Spark as texts, one
+Folders, in any store that Spark reads, are listed on the driver, which knows a handful of them for each year; measure files are read by Spark as texts, one
 reader for each delimiter and header, and typed in the plan. What can't be read becomes a row of the issues table.
 """
 
 from __future__ import annotations
 
 import csv
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import cleaning
 from ..functions.calendar import MONTHS
-from . import xlsx
+from . import files, xlsx
 
 SLOTS = 96
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("pod", "d49", "fdesc", "tate3", "ccatete", "periodo")] + [T.StructField("row_ord", T.LongType())])
@@ -32,28 +31,26 @@ def folder_month(name: str) -> tuple[str, int, int] | None:
 
 def folders(root: str) -> list[tuple[str, str]]:
     """(path, yyyy-MM) of the monthly folders, in order of time."""
-    found = [(folder_month(n), n) for n in os.listdir(root) if os.path.isdir(os.path.join(root, n))]
-    return [(os.path.join(root, n), f"{m[2]}-{m[1]:02d}") for m, n in sorted((x for x in found if x[0]), key=lambda x: (x[0][2], x[0][1]))]
+    found = [(folder_month(e.name), e.name) for e in files.entries(root) if e.is_folder]
+    return [(f"{root}/{n}", f"{m[2]}-{m[1]:02d}") for m, n in sorted((x for x in found if x[0]), key=lambda x: (x[0][2], x[0][1]))]
 
 
 def metadata_file(folder: str) -> str | None:
-    name = os.path.basename(folder)
-    exact = os.path.join(folder, f"Metadati POD {name}.xlsx")
-    if os.path.exists(exact):
-        return exact
-    return next((os.path.join(folder, f) for f in sorted(os.listdir(folder)) if f.lower().endswith(".xlsx") and "metadati" in f.lower()), None)
+    exact = f"Metadati POD {folder.rstrip('/').rpartition('/')[2]}.xlsx"
+    names = [e.name for e in files.entries(folder)]
+    pick = [f for f in names if f == exact] or [f for f in names if f.lower().endswith(".xlsx") and "metadati" in f.lower()]
+    return f"{folder}/{pick[0]}" if pick else None
 
 
 def measures_file(folder: str) -> str | None:
-    files = sorted(f for f in os.listdir(folder) if f.lower().endswith(".csv"))
-    pick = [f for f in files if f.lower().startswith("misure_")] or [f for f in files if "misure" in f.lower()]
-    return os.path.join(folder, pick[0]) if pick else None
+    names = [e.name for e in files.entries(folder) if e.name.lower().endswith(".csv")]
+    pick = [f for f in names if f.lower().startswith("misure_")] or [f for f in names if "misure" in f.lower()]
+    return f"{folder}/{pick[0]}" if pick else None
 
 
 def delimiter(path: str) -> str:
     """By the first line: what csv's sniffer says, else the most frequent of the usual ones."""
-    with open(path, encoding="utf-8-sig", errors="replace") as f:
-        line = f.readline()
+    line = files.first_line(path)
     try:
         return csv.Sniffer().sniff(line, delimiters=";,\t|").delimiter
     except csv.Error:
@@ -61,8 +58,7 @@ def delimiter(path: str) -> str:
 
 
 def metadata(spark: SparkSession, path: str, period: str) -> DataFrame:
-    with open(path, "rb") as f:
-        header, rows = xlsx.table(f.read())
+    header, rows = xlsx.table(files.content(path))
     at = [cleaning.resolve_column(header, s) for s in cleaning.META_SPELLINGS.values()]
     if at[0] is None:
         raise ValueError("no POD column")
@@ -128,12 +124,10 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def input_size(root: str, skip: str = "_cache") -> int:
     """Bytes below a folder, without its cache."""
-    total = 0
-    for base, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if d != skip]
-        total += sum(os.path.getsize(os.path.join(base, f)) for f in files)
-    return total
+    return sum(input_size(f"{root}/{e.name}", skip) if e.is_folder else e.size for e in files.entries(root) if not (e.is_folder and e.name == skip))
 
 
 def newest(root: str) -> float:
-    return max([os.path.getmtime(p) for p, _ in folders(root)], default=0.0)
+    """The time of the monthly folder that was changed last."""
+    there = {p for p, _ in folders(root)}
+    return max([e.modified for e in files.entries(root) if f"{root}/{e.name}" in there], default=0.0)

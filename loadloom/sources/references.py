@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning
 from ..functions.taxonomy import with_distributors
-from . import xlsx
+from . import files, xlsx
 
 #: Files of the hourly reference by class of power (label of the class -> part of the file's name).
 POWER_CLASS_FILES = {"≤ 1.5 kW": "0_a_1_5", "1.5–3 kW": "1_5_a_3", "3–4.5 kW": "3_a_4_5", "4.5–6 kW": "4_5_a_6", "> 6 kW": "potenza6"}
@@ -15,8 +15,7 @@ POWER_CLASS_FILES = {"≤ 1.5 kW": "0_a_1_5", "1.5–3 kW": "1_5_a_3", "3–4.5
 
 def sheet(spark: SparkSession, path: str, number: int | str = 0) -> DataFrame:
     """A sheet as texts with trimmed headers."""
-    with open(path, "rb") as f:
-        header, rows = xlsx.table(f.read(), number)
+    header, rows = xlsx.table(files.content(path), number)
     names = [h.strip() for h in header]
     return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)) if names else spark.createDataFrame([], "empty string")
 
@@ -52,8 +51,6 @@ def provincial(spark: SparkSession, path: str, province: str = "Trento") -> Data
 
 def for_power_class(spark: SparkSession, folder: str, label: str, province: str = "Trento") -> DataFrame:
     """The hourly reference of the file that belongs to a class of power."""
-    import os
-
     mark = POWER_CLASS_FILES[label]
-    name = next(f for f in sorted(os.listdir(folder)) if f.endswith(".xlsx") and mark in f)
-    return provincial(spark, os.path.join(folder, name), province)
+    name = next(e.name for e in files.entries(folder) if e.name.endswith(".xlsx") and mark in e.name)
+    return provincial(spark, f"{folder}/{name}", province)

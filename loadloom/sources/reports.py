@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import taxonomy
 from ..functions.binning import quality
 from ..operators import composition, funnel
 from . import store
@@ -19,38 +20,60 @@ def summary_workbook(meta: DataFrame, rows: DataFrame, group: str, key: str = "p
     return store.workbook({"Numeri_Chiave": funnel.coverage(rows, key, ts), "Tipologie_Tutti_POD": funnel.census(meta, [group], key), "Tipologie_12mesi": funnel.census(dim, [group], key), "Riepilogo_per_Tipologia": by})
 
 
-def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code: str, key: str = "pod", issues: DataFrame | None = None) -> bytes:
-    """Statistics, validity, correlations, members, composition and centroids of one level's clusters.
+def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code: str, key: str = "pod", issues: DataFrame | None = None, large: str | None = None) -> bytes:
+    """The fifteen sheets of one level's clusters, the breakdown pages, the statistics page, and what went wrong on loading.
 
-    ``assigned`` has the key and ``cluster``; ``long`` has ``key, cluster, slot, v``.
+    ``assigned`` has the key and ``cluster``; ``long`` has ``key, cluster, slot, v``; ``dim`` the levels of each key.
     """
-    named = assigned.join(dim.select(key, code), key, "left")
+    named = assigned.join(dim, key, "left")
     numbers = [r[0] for r in assigned.select("cluster").distinct().orderBy("cluster").collect()]
+    by = [c for c in ("l1", "l2") if c in dim.columns]
+    vectors = long.groupBy("key", "cluster").agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("p"))
+    vectors = vectors.select("key", "cluster", F.transform("p", lambda s: s["v"]).alias("vector"))
+    pearson = composition.centroid_pearson(long)
+    stats = composition.stats(long).join(composition.mean_distances(vectors, "key", "cluster", "vector"), "cluster")
     book = {
-        "Cluster_Stats": composition.stats(long),
-        "Global_Metrics": composition.calinski_harabasz(long).join(F.broadcast(composition.davies_bouldin(long).drop("k"))),
-        "Pearson_Corr": composition.centroid_pearson(long),
-        "POD_List": assigned,
+        "Cluster_Stats": stats,
+        "Global_Metrics": composition.calinski_harabasz(long).join(F.broadcast(composition.davies_bouldin(long).drop("k"))).join(F.broadcast(composition.silhouette(vectors, "key", "cluster", "vector").drop("n"))),
+        "Pearson_Corr": pearson,
+        "Pearson_PValues": composition.with_p(pearson),
+        "POD_List": named,
         "Cluster_Composition": funnel.share(named, ["cluster", code], ["cluster"]),
+        **{f"Composition_by_{c.upper()}": funnel.share(named, ["cluster", c], ["cluster"]) for c in by},
+        "Profiles_with_Cluster": vectors.select("key", "cluster", F.concat_ws(";", F.transform("vector", lambda v: F.round(v, 6).cast("string"))).alias("profile")),
         "All_Centroids": composition.centroids(long),
         "ATECO_Dominant_Cluster": funnel.dominant(named, [code], "cluster"),
         "ATECO_Breakdown": composition.crosstab_text(named, code, "cluster", numbers),
         "Cluster_ATECO_Breakdown": composition.ranked(named, "cluster", code),
+        **{f"Breakdown_by_{c.upper()}": composition.crosstab_text(named, c, "cluster", numbers) for c in by},
     }
     texts = {"issues.txt": "\n".join(" ".join(map(str, r)) for r in store.small(issues)[1])} if issues is not None else None
-    return store.bundle({"clustering": book}, {"cluster_breakdown": book["Cluster_ATECO_Breakdown"], "statistics": book["Cluster_Stats"]}, texts)
+    pages = {"ateco_breakdown": book["ATECO_Breakdown"], "cluster_breakdown": book["Cluster_ATECO_Breakdown"], "global_metrics": book["Global_Metrics"], "statistics": stats}
+    return store.bundle({"clustering": book}, pages, texts, large)
 
 
-def comparison_bundle(metrics: DataFrame, profile: DataFrame, ranking: DataFrame | None = None) -> bytes:
-    """Metrics with grades, the profiles compared, and a ranking where there is one."""
-    book = {"Metrics": metrics.withColumn("quality", quality(F.col("rmse"))) if "rmse" in metrics.columns else metrics, "Profile_Data": profile}
+def comparison_bundle(metrics: DataFrame, profile: DataFrame, ranking: DataFrame | None = None, large: str | None = None) -> bytes:
+    """Metrics with grades, the profiles compared, and, where there is a ranking, that and the year's summary; a page for each."""
+    graded = metrics.withColumn("quality", quality(F.col("rmse"))) if "rmse" in metrics.columns else metrics
+    book = {"Monthly_Metrics": graded, "Profile_Data": profile}
     if ranking is not None:
-        book["Ranking"] = ranking
-    return store.bundle({"comparison": book}, {"metrics": book["Metrics"]})
+        held = [c for c in ("grp", "level", "code") if c in metrics.columns]
+        book |= {"Ranking": ranking, "Annual_Summary": metrics.groupBy(*held, "pairing").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("r", "rmse", "mae")])}
+    return store.bundle({"comparison": book}, {"metrics": graded, "profiles": profile} | ({"ranking": ranking} if ranking is not None else {}), large=large)
 
 
-def outlier_bundle(outliers: DataFrame, dim: DataFrame, code: str, key: str, gaps: DataFrame) -> bytes:
-    """Outliers with their dimension, their codes, cluster sizes and data gaps."""
+def provincial_bundle(energy: DataFrame, shape: DataFrame, own: DataFrame, large: str | None = None) -> bytes:
+    """Energy and shape metrics against the provincial reference, and the profiles in kWh."""
+    book = {"Metrics_Energy": energy, "Metrics_Shape": shape, "Profile_Data_kWh": own}
+    return store.bundle({"provincial": book}, {"metrics": energy}, large=large)
+
+
+def outlier_bundle(outliers: DataFrame, dim: DataFrame, code: str, key: str, gaps: DataFrame, titles: DataFrame | None = None, large: str | None = None) -> bytes:
+    """Outliers with their dimension, their codes (with titles, where given), cluster sizes and data gaps with their severity."""
     named = outliers.join(dim, outliers["key"] == dim[key].cast("string"), "left")
-    book = {"Outlier_PODs": named, "ATECO_Composition": funnel.share(named, [code], []), "Cluster_Sizes": outliers.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "Data_Gaps": gaps}
-    return store.bundle({"outliers": book})
+    composed = funnel.share(named, [code], [])
+    if titles is not None:
+        composed = taxonomy.describe(composed, code, titles)
+    gaps = gaps.withColumn("severe", F.col("missing_pct") > 20) if "missing_pct" in gaps.columns else gaps
+    book = {"Outlier_PODs": named, "ATECO_Composition": composed, "Cluster_Sizes": outliers.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "Data_Gaps": gaps}
+    return store.bundle({"outliers": book}, {"composition": composed}, large=large)

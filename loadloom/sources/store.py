@@ -6,12 +6,11 @@ import csv
 import html
 import io
 import os
-import shutil
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import folders, xlsx
+from . import files, folders, xlsx
 
 #: Most rows of a table that goes into a report file; a report is read by people.
 MOST_ROWS = 100_000
@@ -31,10 +30,11 @@ def save_cache(tables: dict[str, DataFrame], cache: str) -> list[str]:
 
 def load_cached(spark: SparkSession, root: str, cache: str | None = None) -> dict[str, DataFrame]:
     """The tables of a root folder, from its cache if that is newer than every monthly folder and can be read."""
-    cache = cache or os.path.join(root, "_cache")
+    cache = cache or f"{root}/_cache"
     names = ("meta", "meas", "power")
-    paths = [os.path.join(cache, f"{n}.parquet") for n in names]
-    if all(os.path.exists(p) for p in paths) and min(map(os.path.getmtime, paths)) > folders.newest(root):
+    paths = [f"{cache}/{n}.parquet" for n in names]
+    there = [files.entry(p) for p in paths]
+    if all(there) and min(e.modified for e in there) > folders.newest(root):
         try:
             return {n: spark.read.parquet(p) for n, p in zip(names, paths, strict=True)} | {"issues": spark.createDataFrame([], "folder string, kind string, issue string")}
         except Exception:
@@ -45,17 +45,29 @@ def load_cached(spark: SparkSession, root: str, cache: str | None = None) -> dic
 
 
 def drop_cache(root: str, cache: str | None = None) -> None:
-    shutil.rmtree(cache or os.path.join(root, "_cache"), ignore_errors=True)
+    files.delete(cache or f"{root}/_cache")
+
+
+def reload(spark: SparkSession, root: str, held: dict[str, DataFrame] | None = None, cache: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a root folder anew: what Spark keeps of ``held`` and the cache on disk go first."""
+    for df in (held or {}).values():
+        df.unpersist()
+    drop_cache(root, cache)
+    return load_cached(spark, root, cache)
 
 
 def small(df: DataFrame) -> tuple[list[str], list[tuple]]:
-    """Header and rows of a report table; too large a one is refused."""
+    """Header and rows of a report table; one that is too large for a report raises :class:`TooLarge`."""
     rows = df.limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
-        raise ValueError(f"a report table has over {MOST_ROWS} rows; write it as Parquet")
+        raise TooLarge(f"a report table has over {MOST_ROWS} rows; give a folder for large tables")
     return df.columns, [tuple(r) for r in rows]
 
 
+class TooLarge(ValueError):
+    """A table that doesn't fit a report file."""
+
+
 def csv_bytes(df: DataFrame, sep: str = ";") -> bytes:
     """UTF-8 with a byte order mark."""
     header, rows = small(df)
@@ -66,12 +78,19 @@ def csv_bytes(df: DataFrame, sep: str = ";") -> bytes:
     return out.getvalue().encode("utf-8-sig")
 
 
-def workbook(tables: dict[str, DataFrame]) -> bytes:
-    """A sheet for each table; one that fails has the reason in it."""
+def workbook(tables: dict[str, DataFrame], large: str | None = None) -> bytes:
+    """A sheet for each table. What can't be worked out has the reason in its sheet. A table of over MOST_ROWS rows is written
+    by Spark, whole, as Parquet under ``large``, and its sheet says where; without such a folder it raises.
+    """
     sheets = {}
     for name, df in tables.items():
         try:
             sheets[name] = small(df)
+        except TooLarge:
+            if large is None:
+                raise
+            df.write.mode("overwrite").parquet(f"{large}/{name}.parquet")
+            sheets[name] = (["Table"], [[f"{large}/{name}.parquet"]])
         except Exception as e:
             sheets[name] = (["Note"], [[str(e).splitlines()[0]]])
     return xlsx.write(sheets)
@@ -93,12 +112,12 @@ def save_table(df: DataFrame, folder: str, name: str) -> None:
             f.write(data)
 
 
-def bundle(workbooks: dict[str, dict[str, DataFrame]], pages: dict[str, DataFrame] | None = None, texts: dict[str, str] | None = None) -> bytes:
-    """A zip of workbooks (tables by sheet), pages (a table each) and texts."""
+def bundle(workbooks: dict[str, dict[str, DataFrame]], pages: dict[str, DataFrame] | None = None, texts: dict[str, str] | None = None, large: str | None = None) -> bytes:
+    """A zip of workbooks (tables by sheet), pages (a table each) and texts; tables too large for it go to the folder ``large``."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, tables in workbooks.items():
-            z.writestr(f"{name}.xlsx", workbook(tables))
+            z.writestr(f"{name}.xlsx", workbook(tables, large and f"{large}/{name}"))
         for name, df in (pages or {}).items():
             z.writestr(f"{name}.html", html_table(df, name))
         for name, text in (texts or {}).items():

@@ -74,3 +74,14 @@ def test_text_and_arrays(spark):
     assert got[0] == (4.0, 1, [pytest.approx(1 / 3), None, 1.0, 0.0], True) and got[1][:2] == (0.0, 4) and got[2][2] == [0.0] * 4
     assert one(spark, [(1, 3)], "n int, t int", text.count_and_percent(F.col("n"), F.col("t"))) == [("1 (33.3%)",)]
     assert one(spark, [("a", None)], "a string, b string", text.typology_label(F.col("a"), F.col("b"))) == [(None,)]
+
+
+def test_levels_with_empty_parts(spark):
+    rows = [("47..10",), (".5",), ("47.11",)]
+    df = taxonomy.levels(spark.createDataFrame(rows, "c string"), "c")
+    assert [tuple(r)[1:] for r in df.collect()] == [("47", None, "47..10"), (None, ".5", None), ("47", "47.11", None)]
+
+
+def test_distinct_in_order(spark):
+    df = spark.createDataFrame([("g", "b", 1), ("g", "a", 2), ("g", "b", 3), ("h", "a", 4)], "k string, v string, i int")
+    assert {r.k: r.v for r in text.distinct_in_order(df, ["k"], "v", "i").collect()} == {"g": ["b", "a"], "h": ["a"]}

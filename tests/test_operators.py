@@ -161,9 +161,59 @@ def test_outlier_queries_use_the_operators_defaults(spark, monkeypatch):
 
     seen = []
     monkeypatch.setattr(cluster_queries, "_profiles", lambda *a: None)
+    monkeypatch.setattr(cluster_queries, "_by_least_key", lambda df: df)
     monkeypatch.setattr(cluster_queries, "readings", lambda *a: spark.range(1).withColumnRenamed("id", "key"))
     monkeypatch.setattr(cluster_queries.clustering, "outlier_report", lambda *a: None)
     monkeypatch.setattr(cluster_queries.clustering, "outliers", lambda *a, k=20, below=5: seen.append((k, below)))
     cluster_queries.outliers_single_linkage(spark, "")
     cluster_queries.outlier_report(spark, "")
     assert seen == [(20, 5)] * 2
+
+
+def test_elbow(spark):
+    cases = {"first that has a drop": ([3, 4, 5], [10.0, 5.0, 2.5], 4), "below the mean": ([2, 3, 4, 5], [100.0, 60.0, 50.0, 30.0], 4), "after zero": ([2, 3, 4, 5], [8.0, 0.0, 0.0, 0.0], 3), "all zero": ([2, 3, 4], [0.0, 0.0, 0.0], None), "two": ([2, 3], [2.0, 1.0], None)}
+    for ks, values, want in cases.values():
+        assert linkage.elbow(ks, values) == want
+        assert composition.elbow(spark.createDataFrame(list(zip(ks, values)), "k int, inertia double")).first()[0] == want
+
+
+def test_distance_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(composition, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x, labels = rng.normal(size=(30, 4)), rng.integers(0, 3, 30)
+    df = spark.createDataFrame([(f"k{i}", f"c{c}", v.tolist()) for i, (c, v) in enumerate(zip(labels, x))] + [("none", "c0", None)], "key string, cluster string, f array<float>")
+    d = linkage.distances(x.astype(np.float32).astype(float))
+    got = {(r.ka, r.cb): (r.s, r.n) for r in composition.distance_sums(df, "key", "cluster", "f").collect()}
+    for i in range(30):
+        for c in range(3):
+            assert got[f"k{i}", f"c{c}"] == (pytest.approx(d[i, labels == c].sum(), abs=1e-6), (labels == c).sum())
+    mean = {r.cluster: r.mean_distance for r in composition.mean_distances(df, "key", "cluster", "f").collect()}
+    for c in range(3):
+        own = d[np.ix_(labels == c, labels == c)]
+        assert mean[f"c{c}"] == pytest.approx(own.sum() / (len(own) * (len(own) - 1)))
+    assert composition.silhouette(df.limit(0), "key", "cluster", "f").first()["n"] == 0
+
+
+def test_ranking_without_one_task(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i:04d}", None if i % 17 == 0 else float(rng.integers(0, 200))) for i in range(3000)]
+    got = {r.grp: r["rank"] for r in compare.ranking(spark.createDataFrame(rows, "grp string, rmse double")).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert got == {g: i for i, (g, _) in enumerate(want, 1)}
+
+
+def test_cascades(spark):
+    df = spark.createDataFrame([(1, "A", "A.1"), (2, "A", "A.2"), (3, "B", "B.1"), (4, None, None)], "key int, l1 string, l2 string")
+    keys = lambda picks: sorted(r.key for r in funnel.cascade(df, picks).collect())
+    assert keys({}) == keys({"l1": "All"}) == keys({"l1": []}) == [1, 2, 3, 4] and keys({"l1": "A", "l2": ["A.2", "B.1"]}) == [2]
+    assert funnel.pruned(df, ["l1", "l2"], {"l1": ["A", "Z"], "l2": ["A.2", "B.1", "All"]}) == {"l1": ["A"], "l2": ["A.2", "All"]}
+    assert {(r.level, r.code, r.n) for r in funnel.options(df, "key", ["l1", "l2"], {"l1": "B"}).collect()} == {(1, "A", 2), (1, "B", 1), (2, "B.1", 1)}
+    assert [r.key for r in funnel.at_levels(df, "key", [2, 9]).collect()] == [2]
+
+
+def test_planted_gaps(spark):
+    """Cells taken out of a full grid come back on the line between their neighbours, within the limit."""
+    whole = [float(3 * i) for i in range(48)]
+    holes = {5, 6, 20, 21, 22, 23, 40}
+    got = filled(spark, [None if i in holes else v for i, v in enumerate(whole)], (1, 2))
+    assert got == pytest.approx(whole)

@@ -4,7 +4,9 @@ import os
 import zipfile
 from io import BytesIO
 
-from loadloom.sources import folders, references, store, xlsx
+import pytest
+
+from loadloom.sources import folders, references, reports, store, xlsx
 
 
 def make_root(tmp_path):
@@ -69,3 +71,44 @@ def test_reports(spark, tmp_path):
     with zipfile.ZipFile(BytesIO(store.bundle({"w": {"s": df}}, {"p": df}, {"issues.txt": "none"}))) as z:
         assert sorted(z.namelist()) == ["issues.txt", "p.html", "w.xlsx"] and "<td>a;b</td>" in z.read("p.html").decode()
     assert all(os.path.isdir(p) for p in store.results_folders(str(tmp_path)))
+
+
+def test_large_tables(spark, tmp_path, monkeypatch):
+    """A table that a workbook can't hold is written whole, or raises; no sheet lacks rows in silence."""
+    monkeypatch.setattr(store, "MOST_ROWS", 10)
+    df, ok = spark.range(25), spark.range(3)
+    with pytest.raises(store.TooLarge):
+        store.bundle({"w": {"s": df}})
+    data = store.workbook({"s": df, "t": ok}, str(tmp_path / "tables"))
+    assert spark.read.parquet(f"{tmp_path}/tables/s.parquet").count() == 25
+    assert xlsx.table(data, "s") == (["Table"], [[f"{tmp_path}/tables/s.parquet"]]) and len(xlsx.table(data, "t")[1]) == 3
+
+
+def test_clustering_bundle(spark):
+    dim = spark.createDataFrame([(f"p{i}", f"{i % 2}", f"{i % 2}.{i % 3}") for i in range(12)], "pod string, l1 string, l2 string")
+    pods = dim.selectExpr("pod", "cast(substr(pod, 2) as int) % 3 as cluster")
+    long = pods.selectExpr("pod as key", "cluster", "explode(sequence(0, 3)) as slot").selectExpr("*", "cast(slot * (cluster + 1) as double) + length(key) as v")
+    with zipfile.ZipFile(BytesIO(reports.clustering_bundle(pods, long, dim, "l2"))) as z:
+        assert {"clustering.xlsx", "ateco_breakdown.html", "cluster_breakdown.html", "statistics.html"} <= set(z.namelist())
+        book = z.read("clustering.xlsx")
+    names = "Cluster_Stats Global_Metrics Pearson_Corr Pearson_PValues POD_List Cluster_Composition Composition_by_L1 Composition_by_L2 Profiles_with_Cluster All_Centroids ATECO_Dominant_Cluster ATECO_Breakdown Cluster_ATECO_Breakdown Breakdown_by_L1 Breakdown_by_L2"
+    for name in names.split():
+        head, rows = xlsx.table(book, name)
+        assert head != ["Note"] and rows, name
+
+
+def test_comparison_bundles(spark):
+    metrics = spark.createDataFrame([("g", 1, "mono", 0.9, 4.0, 3.0), ("g", 2, "mono", 0.8, 6.0, 5.0)], "grp string, month int, pairing string, r double, rmse double, mae double")
+    ranking = metrics.groupBy("grp").avg("rmse")
+    with zipfile.ZipFile(BytesIO(reports.comparison_bundle(metrics, metrics, ranking))) as z:
+        assert xlsx.table(z.read("comparison.xlsx"), "Annual_Summary")[1] == [["g", "mono", "0.85", "5.0", "4.0"]]
+    with zipfile.ZipFile(BytesIO(reports.provincial_bundle(metrics, metrics, metrics))) as z:
+        assert len(xlsx.table(z.read("provincial.xlsx"), "Profile_Data_kWh")[1]) == 2
+
+
+def test_reload(spark, tmp_path):
+    root = make_root(tmp_path)
+    held = store.load_cached(spark, root)
+    (tmp_path / "feb25extra").mkdir()
+    got = store.reload(spark, root, held)
+    assert got["meas"].count() == 2 and os.path.exists(os.path.join(root, "_cache"))
