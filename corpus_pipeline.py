@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; the driver, and :func:`run`, write it as
 Parquet and read it again for the next. All stages but the last keep the columns of documents.
+
+Defined results. Null and empty texts, and those of fewer than 50 words, go with the quality rules. Without labels nothing is toxic. Of rows with equal
+texts one stays, whatever their ids; rows with a null id stay among near copies. Very long texts are taken whole. An empty table gives no
+sequence.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loadloom.llm import exact_dedup, jaccard_join, packing, quality_rules, toxicity
-from loadloom.llm.common import materialize, table
+from loadloom.llm.common import Shelf, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), Shelf(spark)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        after = Shelf(spark)
+        docs = after.put(stage(spark, docs, sf_dir), f"stage-{name}")
+        before.clear()  # of what a stage took only its result is needed on
+        before = after
     return docs
