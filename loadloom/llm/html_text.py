@@ -64,6 +64,11 @@ class Node:
         #: Points as a container, points of all blocks below, and characters below, all of them and those in links.
         self.points, self.total, self.chars, self.link_chars, self.bonus = 0.0, 0.0, 0, 0, 0.0
 
+    @property
+    def density(self) -> float:
+        """The share of its text that is in links."""
+        return self.link_chars / max(1, self.chars)
+
 
 @functools.lru_cache(maxsize=4096)
 def judged(value: str) -> tuple[bool, bool]:
@@ -206,15 +211,12 @@ def outside_furniture(found: list[tuple[Node, str, int]]) -> list[tuple[Node, st
     return [x for x in found if not any(is_away(n) for n in _upward(x[0]))]
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the best container and its siblings, joined by line ends."""
-    found = outside_furniture(blocks(page)) if page else []
-    if not found:
-        return ""
+def best_container(found: list[tuple[Node, str, int]]) -> Node:
+    """The node with the most points from its blocks, less its share of text in links."""
     scored: dict[int, Node] = {}
     for node, _, _ in found:
         for up in _upward(node):
-            up.total = 0.0
+            up.points, up.total, up.chars, up.link_chars = 0.0, 0.0, 0, 0
     for node, text, linked in found:
         got = points(text, linked)
         for up in _upward(node):
@@ -226,11 +228,18 @@ def main_text(page: str | None) -> str:
         for depth, up in enumerate(_upward(container)):
             up.points += got / (1, 2)[depth] if depth < 2 else got / (3 * (depth - 1))
             scored[id(up)] = up
-    density = lambda n: n.link_chars / max(1, n.chars)
-    best = max(scored.values(), key=lambda n: (n.points + n.bonus) * (1 - density(n)))
+    return max(scored.values(), key=lambda n: (n.points + n.bonus) * (1 - n.density))
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the best container and its siblings, joined by line ends."""
+    found = outside_furniture(blocks(page)) if page else []
+    if not found:
+        return ""
+    best = best_container(found)
     top = best
     for up in _upward(best.parent):
-        if up.total * (1 - density(up)) >= CLEARLY * top.total * (1 - density(top)):
+        if up.total * (1 - up.density) >= CLEARLY * top.total * (1 - top.density):
             top = up
     around = top.parent
     framed = around is not None and around.tag not in ("html", "body")
@@ -242,7 +251,7 @@ def main_text(page: str | None) -> str:
                 return True
             if n is around:
                 # A sibling; below the page's body it must be made of paragraphs or headings.
-                return 2 * density(below) <= 1 and (framed or node.tag in LEAVES)
+                return 2 * below.density <= 1 and (framed or node.tag in LEAVES)
             below = n
         return False
 

@@ -156,11 +156,12 @@ def heavy(weights: dict[str, float], threshold: float) -> set[str]:
 
 def passages(text: Column, whole: Column) -> Column:
     lines = F.split(text, r"\r?\n")
-    out = [lines]
-    for k in RUNS:
-        starts = F.sequence(F.lit(1), F.size(lines) - (k - 1))
-        runs = F.transform(starts, lambda i, k=k: F.concat_ws("\n", F.slice(lines, i, F.lit(k))))
-        out.append(F.when(F.size(lines) >= k, runs).otherwise(F.array().cast("array<string>")))
+
+    def runs(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(lines) - (k - 1)), lambda i: F.concat_ws("\n", F.slice(lines, i, F.lit(k))))
+        return F.when(F.size(lines) >= k, found).otherwise(F.array().cast("array<string>"))
+
+    out = [lines, *map(runs, RUNS)]
     out.append(F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)"))
     out.append(F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.concat(*out))
@@ -187,12 +188,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
         """The best template for a passage of these words: (negated similarity, licence)."""
         hits = F.transform(F.array_intersect(own, words(vocabulary)), lambda t: F.struct(t.alias("t"), weight[t].alias("w")))
         sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, h: a + h["w"])
+        among = lambda held: F.filter(hits, lambda h: F.array_contains(held, h["t"]))
         norm = F.sqrt(sum_of(hits) + (F.size(own) - F.size(hits)) * F.lit(other))
         options = []
         for name, text, must in known:
             held = words(words_in(text))
             size = math.sqrt(sum(idf[t] ** 2 for t in words_in(text)))
-            dot = sum_of(F.filter(hits, lambda h, held=held: F.array_contains(held, h["t"])))
+            dot = sum_of(among(held))
             score = F.when(F.size(F.array_except(words(must), own)) == 0, F.round(F.try_divide(dot, norm * F.lit(size)), 9)).otherwise(F.lit(0.0))
             options.append(F.struct((-F.coalesce(score, F.lit(0.0))).alias("s"), F.lit(name).alias("l")))
         # Ties go to the smaller id: the negated similarity comes first, then the id.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, without
 
-SLOTS = 4096
+SLOTS = 16384
 SIZES = (3, 4, 5)
 MOST_LABELLED = 10_000
 THRESHOLD = 0.5
@@ -54,16 +54,14 @@ def invented(number: int = 400) -> list[str]:
 
 
 def labelled() -> list[tuple[str, int]]:
-    """The labelled URLs: each name below two kinds of host and path, 1 for blocked."""
-    blocked = [x for k, t in enumerate(BLOCKED_TOPICS) for m in (MODIFIERS[k % len(MODIFIERS)], MODIFIERS[(5 * k + 3) % len(MODIFIERS)]) for x in (f"{t}-{m}", f"{m}{t}")] + BLOCKED_TOPICS
+    """The labelled URLs: each name below every kind of host and path, 1 for blocked; and what has no host, which is allowed."""
+    blocked = [x for k, t in enumerate(BLOCKED_TOPICS) for m in (MODIFIERS[(5 * k + j) % len(MODIFIERS)] for j in (0, 3, 7, 12)) for x in (f"{t}-{m}", f"{m}{t}")] + BLOCKED_TOPICS
     words = ALLOWED_WORDS
     pairs = [f"{w}{'-' if k % 2 else ''}{words[(7 * k + 3) % len(words)]}" for k, w in enumerate(words)]
     mixed = [f"{m}-{words[(11 * k) % len(words)]}" for k, m in enumerate(MODIFIERS)] + [f"{words[(13 * k + 5) % len(words)]}{m}" for k, m in enumerate(MODIFIERS)]
-    out = []
+    out = [("", 0)] * 8
     for label, names in ((1, blocked), (0, [*words, *pairs, *mixed, *invented()])):
-        for k, name in enumerate(names):
-            for scheme, mid, tld, path in (KINDS[k % 4], KINDS[(k + 1) % 4]):
-                out.append((f"{scheme}{name}{mid}.{tld}{path}", label))
+        out += [(f"{scheme}{name}{mid}.{tld}{path}", label) for name in names for scheme, mid, tld, path in KINDS]
     return out
 
 
@@ -107,7 +105,7 @@ def slots(host: Column, path: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=8)
-def _fit(rows: tuple[tuple[tuple[int, ...], int], ...], rounds: int = 600, rate: float = 20.0, decay: float = 2e-4) -> tuple[tuple[float, ...], float]:
+def _fit(rows: tuple[tuple[tuple[int, ...], int], ...], rounds: int = 800, rate: float = 40.0, decay: float = 2e-5) -> tuple[tuple[float, ...], float]:
     """Gradient descent on a bounded table: weights by slot, and the constant."""
     size = np.array([len(at) for at, _ in rows], np.int64)
     flat = np.fromiter((k for at, _ in rows for k in at), np.int64, int(size.sum()))

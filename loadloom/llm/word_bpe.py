@@ -15,7 +15,7 @@ linearly with the word. Words seen before are looked up.
 Defined results. A null text counts as empty; an empty text has no ids and decodes to an empty text. Texts are
 taken whole. Symbols that the vocabulary lacks are left out, as the tokenizers library does for a
 vocabulary without an unknown token. Strings of special tokens in a text give those tokens. Repeated rows
-give equal results. Columns of the input that have the name of one of the operator's own are replaced.
+give equal results, and an empty table an empty one. Columns of the input that have the name of one of the operator's own are replaced.
 """
 
 from __future__ import annotations

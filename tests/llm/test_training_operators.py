@@ -114,6 +114,33 @@ def test_quality_rules(docs, texts, spark):
     assert quality_rules.verdicts(docs.limit(0)).count() == 0
 
 
+def brute_kept(t):
+    """All rules, by counting."""
+    n_words, chars, symbols, dup_lines, repeat = brute_rules(t)
+    if n_words < 50 or 100 * repeat > 50 * n_words:
+        return False
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    again = [x for k, x in enumerate(lines) if x in lines[:k]]
+    over = dup_lines / len(lines) > 0.5 or sum(map(len, again)) / sum(map(len, lines)) > 0.3 or symbols / n_words > 0.1
+    w = WORD.findall(t)
+    for n, most in quality_rules.COVERAGE.items():
+        grams = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        marked = {i + k for i in range(len(w) - n + 1) for k in range(n) if grams[tuple(w[i : i + n])] > 1}
+        over = over or sum(len(w[i]) for i in marked) / chars > most
+    return not over
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        parts = [prose(rng, rng.choice([10, 30, 80])) for _ in range(rng.randint(2, 5))]
+        text = rng.choice(["\n", " ", "\n\n"]).join(rng.choice(parts) if rng.random() < 0.5 else prose(rng, 30) for _ in range(rng.randint(2, 8)))
+        rows.append((k, text + rng.choice(["", " # $ | <" * rng.randint(1, 8)])))
+    got = {r.doc_id: r.kept for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute_kept(t) for i, t in rows} and len(set(got.values())) == 2
+
+
 def test_quality_coverage():
     rng = random.Random(2)
     passage = prose(rng, 30)
@@ -247,7 +274,7 @@ def test_sum_of_squares_rule():
     for _ in range(400):
         size = rng.randint(1, 20)
         before = p.count.copy()
-        p.place(size, size)
+        p.place([size], size)
 
         def after(level):
             c = before.copy()
@@ -263,6 +290,31 @@ def test_sum_of_squares_rule():
     assert all(sum(w) == 20 for w in closed)
 
 
+@pytest.mark.parametrize("number", [1, 40, 300, 3000])
+def test_packing_is_by_the_rule(number):
+    """Few ids are moved from where the rule had put them, and no sequence is padded."""
+    rng = np.random.default_rng(number)
+    closed = []
+    p = packing.Packer(2048, closed.append)
+    lengths = np.minimum(rng.lognormal(6.2, 1.2, number).astype(int) + 1, 60_000)
+    for k, n in enumerate(lengths.tolist()):
+        p.add(k, np.arange(n, dtype="<u4").tobytes())
+    p.finish()
+    sizes = [sum(len(i[1]) // 4 for i in w) for w in closed]
+    assert sum(sizes) == p.seen == lengths.sum() and all(n == 2048 or n & (n - 1) == 0 for n in sizes)
+    assert sum(n < 2048 for n in sizes) <= 11
+    if number >= 300:
+        assert p.moved <= 0.05 * p.seen
+    got = collections.defaultdict(list)
+    for w in closed:
+        for key, ids, start, total in w:
+            assert np.array_equal(np.frombuffer(ids, "<u4"), np.arange(start, start + len(ids) // 4)) and total == lengths[key]
+            got[key].append((start, len(ids) // 4))
+    for key, spans in got.items():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) == lengths[key]
+
+
 def test_word_bpe(docs, texts, spark):
     from tokenizers import Tokenizer
 
@@ -318,9 +370,95 @@ def test_html_text(spark):
     assert got[1].text == want and got[1].n_chars == len(want)
     assert [got[i].text for i in (2, 3, 4, 5)] == ["", "", "short", "no markup"]
     assert got[6].text.count("\n") == 2999
+    assert html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string").limit(0)).count() == 0
+    tie = "<p>Twenty letters, and five more.</p>"
+    assert html_text.main_text(f"<div><div>{tie * 2}</div><div>{tie * 2}</div></div>").count("\n") == 3
     assert html_text.main_text("<div id=a>" * 3000 + "<p>deep, deep, and deeper still, all the way down.") .startswith("deep")
 
 
+def test_names_are_judged_word_by_word():
+    away = lambda name: html_text.judged(name)[0]
+    assert all(map(away, ["main-menu", "post-comments", "entry-footer", "content-sidebar", "article-share", "text-ad", "siteHeader", "side-bar", "x cookie_notice", "navbar"]))
+    assert not any(map(away, ["content", "post-body", "article-header", "has-sidebar", "with_menu", "shadow", "adapter", "commentary", "footnotes", ""]))
+
+
+def made_page(rng):
+    """A page whose main text is known: an article in divs, with and without its element, amid furniture."""
+    def sentence(n):
+        return ", ".join(prose(rng, rng.randint(3, 9)) for _ in range(n)).capitalize() + "."
+
+    junk = lambda: rng.choice([
+        lambda: "<nav><ul>" + "".join(f"<li><a href=/{i}>{prose(rng, 2)}</a>" for i in range(5)) + "</ul></nav>",
+        lambda: f"<div class='{rng.choice(['sidebar', 'main-menu', 'ad', 'text-ad', 'cookie-notice', 'share-links', 'related posts'])}'><p>{sentence(3)}</p></div>",
+        lambda: f"<aside><p>{sentence(4)}</p></aside>",
+        lambda: f"<form><label>{prose(rng, 3)}</label><input></form>",
+        lambda: f"<section id='comments'><h3>{prose(rng, 2)}</h3><div class='comment'><p>{sentence(5)}</p></div></section>",
+        lambda: "<div>" + "".join(f"<a href=/{i}>{prose(rng, 3)}</a> " for i in range(8)) + "</div>",
+        lambda: f"<script>var x = '<p>{prose(rng, 4)}</p>';</script><style>p{{}}</style><!-- {prose(rng, 3)} -->",
+    ])()
+    want, body = [], []
+    title = prose(rng, 5)
+    want.append(title)
+    body.append(f"<h1>{title}</h1>")
+    for _ in range(rng.randint(2, 8)):
+        text = sentence(rng.randint(1, 12))
+        want.append(text)
+        body.append(rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<p>{text.replace(' ', chr(10) + '  ', 2)}</p>", f"<blockquote>{text}</blockquote>"]))
+        if rng.random() < 0.4:
+            body.append(f"<div class='{rng.choice(['ad', 'article-share', 'post-comments'])}'><p>{sentence(3)}</p></div>")
+    body.append("<p>The end.</p>")
+    want.append("The end.")
+    tag = rng.choice(["article", "main", "div", "section", "div class='post-body'"])
+    inner = "".join(body)
+    if rng.random() < 0.4:
+        half = rng.randint(1, len(body) - 1)
+        inner = f"<div>{''.join(body[:half])}</div><div>{''.join(body[half:])}</div>"
+    article = f"<{tag}>{inner}</{tag.split()[0]}>"
+    around = [*(junk() for _ in range(rng.randint(0, 3))), article, *(junk() for _ in range(rng.randint(0, 3)))]
+    page = f"<header><p>{sentence(2)}</p></header>" + "".join(around) + f"<footer><p>{sentence(2)}</p></footer>"
+    wrap = rng.choice(["{}", "<div id='page'>{}</div>", "<div class='wrapper has-sidebar'><div>{}</div></div>", "<form id='f'>{}</form>"])
+    return f"<html><head><title>x</title></head><body>{wrap.format(page)}</body></html>", "\n".join(" ".join(w.split()) for w in want)
+
+
+def test_html_text_of_made_pages():
+    rng = random.Random(12)
+    right = 0
+    for _ in range(300):
+        page, want = made_page(rng)
+        right += html_text.main_text(page) == want
+    assert right >= 297
+
+
+def brute_best(page):
+    """The container with the most points, all sums worked out anew for each candidate."""
+    found = html_text.outside_furniture(html_text.blocks(page))
+    ups = lambda n: [n, *ups(n.parent)] if n else []
+    score = {}
+    for candidate in dict.fromkeys(u for n, _, _ in found for u in ups(n)):
+        total = 0.0
+        for node, text, linked in found:
+            start = node.parent if node.tag in html_text.LEAVES and node.parent else node
+            chain = ups(start)
+            if candidate in chain:
+                d = chain.index(candidate)
+                total += html_text.points(text, linked) * ([1, 1 / 2][d] if d < 2 else 1 / (3 * (d - 1)))
+        inside = [(t, linked) for n, t, linked in found if candidate in ups(n)]
+        score[candidate] = (total + candidate.bonus) * (1 - sum(x for _, x in inside) / sum(len(t) for t, _ in inside)) if total else -1
+    return found, ups, max(score.values())
+
+
+def test_html_scores_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(40):
+        page, _ = made_page(rng)
+        found, ups, most = brute_best(page)
+        text = html_text.main_text(page)
+        # What the operator keeps holds the best container's blocks, and its points are those of the plain sums.
+        top = html_text.best_container(found)
+        assert abs((top.points + top.bonus) * (1 - top.link_chars / max(1, top.chars)) - most) < 1e-9
+        assert all(t in text.split("\n") for n, t, _ in found if top in ups(n))
+
+
 def test_warc(spark):
     big = "x" * 1500
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (3, "http://a\r\n/3", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "é" * 600)]
@@ -333,12 +471,16 @@ def test_warc(spark):
     path = shared_path(spark, "test")
     warc.write(df, path)
     assert warc.payloads(spark, path).count() == 4
-    records = {r.id: bytes(r.record) for r in warc.export(warc.read(spark, path)).collect()}
+    records = {r.id: bytes(r.record) for r in warc.records(spark, path).collect()}
     for i, _, t in rows:
         p = warc.parse(records[i])
         assert p["tail"] == b"\r\n\r\n" and p["fields"]["WARC-Type"] == got[i].record_type
         assert p["payload"] == ((t or "").encode() if got[i].record_type == "response" else b"")
     assert warc.archive(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "u", big), (None, "u", big), (4, "u", big), (4, "u", big), (2, "u", big)], "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive(odd).collect())
+    assert got == [(0, "revisit", 4), (0, "revisit", 4), (2, "revisit", 4), (4, "response", None), (4, "response", None)]
+
 
 
 def test_url_filters(spark):
@@ -351,16 +493,111 @@ def test_url_filters(spark):
     assert got[7][:3] == got[8][:3] == ("", "", None) and got[9][:2] == ("b:", "//c/d") and got[10][2] is None
 
 
+def brute_slots(host, path):
+    """Slots of the framed host's and path's n-grams, by the same hash as Spark's."""
+    xxhash = pytest.importorskip("xxhash")
+    out = []
+    for mark, text in (("h", host), ("p", re.sub("[0-9]+", "0", path))):
+        framed = f"^{text}$"
+        for n in url_filters.SIZES:
+            for i in range(len(framed) - n + 1):
+                h = xxhash.xxh64_intdigest(f"{mark}{n}:{framed[i : i + n]}".encode(), seed=42)
+                out.append((h - (1 << 64) * (h >> 63)) % url_filters.SLOTS)
+    return out
+
+
+def test_url_model_against_brute_force(spark):
+    weights, constant = url_filters.model(spark)
+    urls = ["http://x.com/", "https://top-casino.org/de/77/1?x", "nothing", None, "a://" + "é" * 5000 + "/long/" + "9a" * 3000, "HTTP://News.Example.ORG/fr/1#t"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    for r in url_filters.judge(df).collect():
+        at = brute_slots(r.host, r.path)
+        logit = sum(weights[k] for k in at) / max(1, len(at)) ** 0.5 + constant
+        assert abs(r.score - 1 / (1 + np.exp(-logit))) < 1e-9
+        assert r.rule or r.verdict == ("block" if r.score >= 0.5 else "allow")
+    assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_url_model_on_held_out_names(spark):
+    """Names that the fit has not seen, of topics that it has seen with other words."""
+    table = url_filters.labelled()
+    name = lambda u: re.sub(r"^.*?://(www|m|blog)?\.?", "", u).split(".")[0]
+    held = lambda u: bool(u) and zlib.crc32(name(u).encode()) % 4 == 0
+    rest = [x for x in table if held(x[0])]
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rest)], "page_id int, url string, y int")
+    got = url_filters.judge(df, rules=[], table=[x for x in table if not held(x[0])]).collect()
+    blocked, allowed = [r.verdict for r in got if r.y], [r.verdict for r in got if not r.y]
+    assert blocked.count("block") / len(blocked) >= 0.85 and allowed.count("allow") / len(allowed) >= 0.95
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD_HEADER = """# Copyright 2020 The Authors. All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:
+#
+import os
+"""
+APACHE_HEADER = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//     http://www.apache.org/licenses/LICENSE-2.0
+package main
+"""
+
+
+def brute_license(texts, wanted, whole):
+    """The best (similarity, licence) of one of the texts, by the module's docstring."""
+    known = license_scan.templates()
+    words = lambda t: {w for w in re.split(r"[^\w]|_", t.lower()) if w}
+    vocabulary = {w for _, t, _ in known for w in license_scan.words_in(t)}
+    sets = [words(t or "") for t in texts]
+    idf = {w: np.log((1 + len(texts)) / (1 + sum(w in s for s in sets))) + 1 for w in vocabulary}
+    other = np.mean(list(idf.values()))
+    lines = re.split(r"\r?\n", wanted)
+    parts = [*lines, *("\n".join(lines[i : i + k]) for k in (2, 4) for i in range(len(lines) - k + 1)), *re.split(r"\n[\W_]*?(?=\n)", wanted)] + ([wanted] if whole else [])
+    best = (0.0, "")
+    for part in parts:
+        own = words(part)
+        norm = np.sqrt(sum(idf.get(w, other) ** 2 for w in own))
+        for name, text, must in known:
+            held = license_scan.words_in(text)
+            if own and must <= own:
+                s = sum(idf[w] ** 2 for w in own & held) / norm / np.sqrt(sum(idf[w] ** 2 for w in held))
+                best = min(best, (-round(float(s), 9), name))
+    return -best[0], best[1]
+
+
 def test_license_scan(spark):
-    mit = license_scan.TEMPLATES["MIT"]
     rows = [
-        ("r/LICENSE", mit + ".\nmore text"), ("r/a/b/x.txt", "plain"), ("r/a/COPYING", license_scan.TEMPLATES["GPL-3.0"]), ("r/a/b/y.txt", "text\nLicensed under the Apache License, Version 2.0."),
-        ("q/z.txt", "plain"), (None, mit), (None, None), ("r/w.txt", ""), ("top.txt", "x"),
+        ("r/LICENSE", MIT_FILE), ("r/a/b/x.txt", "plain"), ("r/a/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nmore"), ("r/a/b/y.txt", "text\nLicensed under the Apache License, Version 2.0."),
+        ("q/z.txt", "plain"), (None, "prose\nReleased under the MIT License."), (None, None), ("r/w.txt", ""), ("top.txt", "x"),
+        ("s/1.py", "# SPDX-License-Identifier: MIT\nimport os"), ("s/2.py", BSD_HEADER), ("s/3.go", APACHE_HEADER), ("s/4.c", "/* SPDX-License-Identifier: Zlib */\nint x;"), ("s/5.txt", "Released under the Foo License."),
+        ("s/6.txt", MIT_FILE.split("\n\n")[2]), ("s/7.txt", "Licensed under CC BY-NC 4.0."), ("s/8.txt", "words of a very long text " * 20_000 + "\nThis work is licensed under the GNU General Public License, version 3.\n"),
     ]
     df = spark.createDataFrame([(i, *r, "old") for i, r in enumerate(rows)], "doc_id int, path string, text string, license string")
-    got = {r.doc_id: (r.license, r.origin, r.inherited_from) for r in license_scan.scan(df).collect()}
+    found = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    got = {i: (r.license, r.origin, r.inherited_from) for i, r in found.items()}
     assert got[0] == ("MIT", "file", None) and got[1] == ("GPL-3.0", "inherited", "r/a") and got[2][:2] == ("GPL-3.0", "file") and got[3] == ("Apache-2.0", "header", None)
     assert got[4] == (None, "none", None) and got[5][:2] == ("MIT", "header") and got[6][1] == "none" and got[7] == ("MIT", "inherited", "r") and got[8][1] == "none"
+    assert [got[i][0] for i in range(9, 17)] == ["MIT", "BSD-2-Clause", "Apache-2.0", None, None, "MIT", "CC-BY-NC-4.0", "GPL-3.0"]
+    for i, (path, text) in enumerate(rows):
+        s, name = brute_license([t for _, t in rows], text or "", bool(path) and bool(re.search(license_scan.LICENSE_NAME, path)))
+        if s >= license_scan.THRESHOLD:
+            assert found[i].license == name and abs(found[i].similarity - s) < 1e-8
+        else:
+            assert found[i].origin in ("none", "inherited")
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
@@ -422,13 +659,13 @@ def test_pipeline(spark, tmp_path, texts):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = materialize(stage(spark, kept, str(tmp_path)), name)
         assert kept.columns == docs.columns
-    poor = {i for i, t in texts if (w := brute_rules(t))[0] < 50 or 100 * w[4] > 50 * w[0]}
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    rest = [(i, t) for i, t in texts if i not in poor]
+    # With three labels nothing is learnt, and nothing is toxic.
+    rest = [(i, t) for i, t in texts if brute_kept(t)]
     seen, once = {}, []
     for i, t in sorted(rest, key=lambda x: (-len(x[1]), x[0])):
         if seen.setdefault(BLANK.sub("", t), i) == i:
             once.append((i, t))
-    assert ids <= {c for _, c in brute_components(once).values()}
+    assert ids == {c for _, c in brute_components(once).values()} and len(ids) > 20
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
