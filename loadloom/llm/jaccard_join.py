@@ -70,6 +70,8 @@ GROWTH = 1.3
 #: Rounds in which each member meets so many of the closest members of other components, in so many of its buckets, before all pairs that are left;
 #: the rounds end where fewer than half of the pairs link.
 ROUNDS, CLOSEST, THIN = 4, 3, 4
+#: Buckets of a set that are sent along, so that a pair which meets in several is taken once.
+FEW = 8
 #: The low bits of a signature name its band and name space.
 FLAGS = np.uint64(7)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -442,7 +444,8 @@ def _verified(words: int):
 def _across(nearest: bool):
     """Rows of buckets' blocks, in order of their group -> pairs across components that may link.
 
-    ``nearest`` keeps the few closest pairs of each member alone.
+    A pair meets once in each bucket (``at``) that both have. ``own`` has a row's least buckets; where those of two rows have one in common, the
+    pair is taken in the least such bucket alone. ``nearest`` keeps the few closest pairs of each member alone.
     """
 
     def tiles(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -470,7 +473,16 @@ def _across(nearest: bool):
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         group, node, root, n, side = (rows[c].to_numpy() for c in ("grp", "node", "root", "n", "side"))
-        marks = rows["data"].to_pylist()
+        marks, own_, at_ = rows["data"].to_pylist(), rows["own"].combine_chunks(), rows["at"].to_numpy()
+        held: dict[int, frozenset] = {}
+
+        def once(x: int, y: int) -> bool:
+            for k in (x, y):
+                if node[k] not in held:
+                    held[node[k]] = frozenset(own_[k].values.to_pylist())
+            both = held[node[x]] & held[node[y]]
+            return not both or min(both) == at_[x]
+
         width = np.array([len(m) for m in marks])
         found = []
         for x, y in tiles(group, side):
@@ -492,6 +504,8 @@ def _across(nearest: bool):
                     apart[w] = np.bitwise_count(table[i] ^ table[j]).sum(axis=1)
             ok = np.flatnonzero(apart * (DEN + NUM) <= (DEN - NUM) * (n[x] + n[y]))
             x, y, apart = x[ok], y[ok], apart[ok]
+            ok = np.fromiter(map(once, x.tolist(), y.tolist()), bool, len(x))
+            x, y, apart = x[ok], y[ok], apart[ok]
             if nearest:
                 found.append((x, y, apart))
             elif len(x):
@@ -546,12 +560,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             pairs = pairs.join(to.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]), x)
         return pairs.select("a", "b", *[f"{c}_{x}" for c in cols for x in ("a", "b")])
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link. Only their texts are read again."""
+    def verify(pairs: DataFrame, name: str, count: int) -> DataFrame:
+        """Those of ``count`` pairs that link. Only their texts are read again."""
         need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc"), "node")
-        need = shelf.put(need, f"{name}-nodes")
-        count = need.count()
-        texts = shelf.put(rows.join(F.broadcast(need) if count <= MOST_BROADCAST else need, "doc").select("node", "text"), f"{name}-texts")
+        texts = shelf.put(rows.join(F.broadcast(need) if 2 * count <= MOST_BROADCAST else need, "doc").select("node", "text"), f"{name}-texts")
         return shelf.put(attach(pairs.select("a", "b"), texts, "text").mapInArrow(_verified(words), "a long, b long").distinct(), f"{name}-links")
 
     def with_roots(df_: DataFrame, *names: str) -> DataFrame:
@@ -580,12 +592,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
     nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     tested = shelf.put(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
-    links = verify(tested, "near")
+    links = verify(tested, "near", tested.count())
     roots = shelf.put(components(links, shelf), "roots")
 
     def crossing(dealt: DataFrame, nearest_only: bool) -> DataFrame:
-        """Pairs across components that may link, within the groups of (``grp``, ``side``, ``node``, ``root``)."""
-        wide = dealt.join(classes.select("node", "n", "data"), "node").select("grp", "node", "root", "side", "n", "data")
+        """Pairs across components that may link, within the groups of (``grp``, ``at``, ``side``, ``node``, ``root``)."""
+        own = dealt.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("at")), 1, FEW).alias("own"))
+        wide = dealt.join(classes.select("node", "n", "data").join(own, "node"), "node").select("grp", "at", "node", "root", "side", "n", "data", "own")
         return wide.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(nearest_only), "a long, b long, apart long")
 
     def several(of: DataFrame, key: str) -> DataFrame:
@@ -598,21 +611,20 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         rooted = with_roots(members, "node")
         rooted = rooted.join(several(rooted, "bucket").select("bucket", F.ceil(F.col("size") / BLOCK).alias("cells")), "bucket")
         cell = F.pmod(F.xxhash64("node"), F.col("cells"))
-        thin = rooted.select("node", "root", F.xxhash64("bucket", cell).alias("grp"), F.lit(-1).alias("side"))
+        thin = rooted.select("node", "root", F.xxhash64("bucket", cell).alias("grp"), F.lit(-1).alias("side")).withColumn("at", F.col("grp"))
         thin = thin.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("grp"))).where(F.col("rn") <= THIN).drop("rn")
         few = F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, CLOSEST)
         close = crossing(thin, True).groupBy("a").agg(few.alias("x")).select("a", F.explode("x.b").alias("b"))
         new = shelf.put(untested(close.union(rest) if turn == 0 else close), f"closest-{turn}")
         tried = new.count()
-        if tried:
-            tested = tested.union(new)
-            found = verify(new, f"closest-{turn}")
-            more = found.count()
-            if more:
-                links = links.union(found)
-                roots = shelf.put(components(links, shelf), f"roots-{turn}")
-        if not tried or 2 * more < tried:
+        if not tried:
             break
+        tested = tested.union(new)
+        found = verify(new, f"closest-{turn}", tried)
+        links = links.union(found)
+        if 2 * found.count() < tried:
+            break  # what these links join is looked at once more below, which changes nothing
+        roots = shelf.put(components(links, shelf), f"roots-{turn}")
 
     # At last every bucket that has several components, whole.
     rooted = with_roots(members, "node").select("bucket", "node", "root")
@@ -632,9 +644,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         left = shelf.put(left.where(outside <= AGAIN * BLOCK).union(more), "several-parted")
     dealt = rooted.join(left.select("bucket", "size", outside.alias("outside"), F.col("top.root").alias("top")), "bucket")
     cross = shelf.put(untested(crossing(in_blocks(dealt), False)), "cross")
-    if not cross.isEmpty():
-        links = links.union(verify(cross, "cross"))
-        roots = shelf.put(components(links, shelf), "all-roots")
+    if left := cross.count():
+        links = links.union(verify(cross, "cross", left))
+    roots = shelf.put(components(links, shelf), "all-roots")
 
     least = roots.join(classes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
     least = roots.join(least, "root").select("node", "component")
@@ -666,7 +678,7 @@ def in_blocks(dealt: DataFrame) -> DataFrame:
     whole = F.array(at(2, F.lit(0), F.lit(0), F.lit(-1)))
     groups = F.when(F.col("size") <= 2 * BLOCK, whole).when(F.col("is_top"), of_top).otherwise(F.concat(among, to_top))
     rows = rows.select("bucket", "node", "root", F.explode(groups).alias("g"))
-    return rows.select(F.xxhash64("bucket", "g.kind", "g.i", "g.j").alias("grp"), "node", "root", F.col("g.side").alias("side"))
+    return rows.select(F.xxhash64("bucket", "g.kind", "g.i", "g.j").alias("grp"), F.col("bucket").alias("at"), "node", "root", F.col("g.side").alias("side"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
