@@ -126,6 +126,10 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
+#: Values of a range that one polynomial covers.
+CHUNK = 256
+
+
 class Rolling:
     """Prefix sums of a polynomial over uint64 that give the hash of any range in one step."""
 
@@ -152,9 +156,25 @@ class Rolling:
         return out
 
     def ranges(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The polynomial of each range; for ranges of up to CHUNK values."""
         _, q = self.powers(len(prefix) + 1)
         return (prefix[hi] - prefix[lo]) * q[lo]
 
+    def spans(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The hash of each range of any length. Polynomials modulo a power of two are weak over thousands of values, so a longer range is the sum of its mixed chunks."""
+        number = np.maximum(1, -(-(hi - lo) // CHUNK))
+        if number.max(initial=1) == 1:
+            return mix(self.ranges(prefix, lo, hi) + (hi - lo).astype(np.uint64))
+        first = np.concatenate(([0], np.cumsum(number)[:-1]))
+        place = np.arange(int(number.sum())) - np.repeat(first, number)
+        start = np.repeat(lo, number) + place * CHUNK
+        end = np.minimum(start + CHUNK, np.repeat(hi, number))
+        # The first chunk counts as it is, so that a range of one chunk has the same hash in either way.
+        each = self.ranges(prefix, start, end)
+        later = place > 0
+        each[later] = mix(each[later] + mix(place[later].astype(np.uint64)))
+        return mix(np.add.reduceat(each, first) + (hi - lo).astype(np.uint64))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 in which each bit of the input moves half of the output's."""
@@ -186,5 +206,5 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     lo = np.flatnonzero(solid & first)
     hi = np.flatnonzero(solid & last) + 1
     sums = ROLL.prefix(BYTE_CODE[part])
-    codes = mix(ROLL.ranges(sums, lo, hi) + (hi - lo).astype(np.uint64))
+    codes = ROLL.spans(sums, lo, hi)
     return lo, hi, np.searchsorted(edge, lo, side="right") - 1, codes

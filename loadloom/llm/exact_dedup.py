@@ -76,18 +76,18 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters
     """Every row of ``df`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Of equal texts the row with the most code points stays, then the smallest id.
-    ``carry=False`` leaves only the id of the input's columns, and reads the texts once.
+    ``carry=False`` leaves only the id of the input's columns. Texts are read once; rows are written with their digest and a number of their
+    own, by which one of a repeated row stays wherever they lie.
     """
     base = without(df, *OWN) if carry else df.select(id_col, text_col)
-    dig, size, win, n = spare(base, "_digest", "_size", "_win", "_n")
-    keyed = base.withColumns({dig: digest(F.col(text_col)), size: F.coalesce(F.length(text_col), F.lit(0)).cast("long")})
-    narrow = materialize(keyed.select(id_col, dig, size), "digests")
-    total = narrow.count()
+    dig, size, win, n, row = spare(base, "_digest", "_size", "_win", "_n", "_row")
+    keyed = base.withColumns({dig: digest(F.col(text_col)), size: F.coalesce(F.length(text_col), F.lit(0)).cast("long"), row: F.monotonically_increasing_id()})
+    rows = materialize(keyed if carry else keyed.select(id_col, dig, size, row), "digests")
+    total = rows.count()
     bound = max(least, -(-total // counters))
     # Counts sum to at most the number of rows, so at most `counters` keys reach the bound.
-    found = [r["key"] for r in frequent(narrow, dig, 2 * counters).where(F.col("n") * 2 >= bound).select("key").collect()]
-    order = F.struct((-F.col(size)).alias("a"), F.col(id_col).isNull().alias("b"), F.col(id_col).alias("c"))
-    rows = keyed if carry else narrow
+    found = [r["key"] for r in frequent(rows.select(dig), dig, 2 * counters).where(F.col("n") * 2 >= bound).select("key").collect()]
+    order = F.struct((-F.col(size)).alias("a"), F.col(id_col).isNull().alias("b"), F.col(id_col).alias("c"), F.col(row).alias("d"))
     by = Window.partitionBy(dig).orderBy(F.col(size).desc(), F.col(id_col).asc_nulls_last())
     full = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -102,15 +102,11 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters
         return by_shuffle(rows)
     spark = df.sparkSession
     candidates = F.broadcast(spark.createDataFrame([(bytes(k),) for k in found], f"`{dig}` binary"))
-    heavy = narrow.join(candidates, dig).groupBy(dig).agg(F.count(F.lit(1)).alias(n), F.min(order).alias(win))
+    heavy = rows.join(candidates, dig).groupBy(dig).agg(F.count(F.lit(1)).alias(n), F.min(order).alias(win))
     heavy = materialize(heavy.where(F.col(n) >= least), "winners")  # at most 4 * counters rows
     joined = rows.join(F.broadcast(heavy), dig, "left")
     light = by_shuffle(joined.where(F.col(n).isNull()).drop(n, win))
-    same = (-F.col(size) == F.col(f"{win}.a")) & F.col(id_col).eqNullSafe(F.col(f"{win}.c"))
-    hot = joined.where(F.col(n).isNotNull())
-    losers = out(hot.where(~same), F.col(f"{win}.c"), F.col(n), F.lit(False))
-    winners = out(hot.where(same), F.col(f"{win}.c"), F.col(n), F.row_number().over(by) == 1)
-    return light.unionByName(losers).unionByName(winners)
+    return light.unionByName(out(joined.where(F.col(n).isNotNull()), F.col(f"{win}.c"), F.col(n), F.col(row) == F.col(f"{win}.d")))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:

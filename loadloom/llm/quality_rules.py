@@ -90,7 +90,7 @@ def measure(raw: np.ndarray, at: np.ndarray, lengths: tuple[int, ...]) -> dict[s
     starts, ends, owner = starts[full], ends[full], owner[full]
     owner = np.searchsorted(edge, starts, side="right") - 1
     sums = ROLL.prefix(BYTE_CODE[part])
-    line = mix(ROLL.ranges(sums, starts, ends) + (ends - starts).astype(np.uint64)) + mix(owner.astype(np.uint64) + np.uint64(1))
+    line = ROLL.spans(sums, starts, ends) + mix(owner.astype(np.uint64) + np.uint64(1))
     order = np.argsort(line, kind="stable")
     again = np.zeros(len(line), bool)
     again[order[1:]] = line[order[1:]] == line[order[:-1]]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
 
-from loadloom.llm import exact_dedup, html_text, jaccard_join, license_scan, packing, quality_rules, toxicity, url_filters, warc, word_bpe  # noqa: E402
+from loadloom.llm import common, exact_dedup, html_text, jaccard_join, license_scan, packing, quality_rules, toxicity, url_filters, warc, word_bpe  # noqa: E402
 from loadloom.llm.common import materialize, shared_path  # noqa: E402
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -141,6 +141,18 @@ def test_quality_verdicts(spark):
     assert got == {i: brute_kept(t) for i, t in rows} and len(set(got.values())) == 2
 
 
+def test_hashes_of_long_words():
+    """Long words of two letters whose polynomials agree modulo a power of two."""
+    one, other = "a", "b"
+    for _ in range(12):
+        one, other = one + other, other + one
+    raw = f"{one} {other} {one} {one[:300]} {one[:256]} x".encode()
+    got = common.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3]
+    assert got[0] == got[2] and len(set(got.tolist())) == 5
+    short = common.words_of(np.frombuffer(one[:256].encode(), np.uint8), np.array([0, 256]))[3]
+    assert short[0] == got[4]
+
+
 def test_quality_coverage():
     rng = random.Random(2)
     passage = prose(rng, 30)
