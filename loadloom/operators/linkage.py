@@ -10,6 +10,8 @@ import numpy as np
 
 #: Points that one task clusters at most: the distances of 6000 take 288 MB.
 MOST_POINTS = 6000
+#: Most points of a group for single linkage.
+MOST_SINGLE = 50_000
 
 
 def distances(x: np.ndarray) -> np.ndarray:
@@ -76,8 +78,10 @@ def average(x: np.ndarray) -> np.ndarray:
 
 
 def single(x: np.ndarray) -> np.ndarray:
-    """Single linkage by the shortest spanning tree; needs one row of distances at a time."""
+    """Single linkage by the shortest spanning tree; needs one row of distances at a time, and time for the square of the points."""
     n = len(x)
+    if n > MOST_SINGLE:
+        raise ValueError(f"{n} points in one group; at most {MOST_SINGLE} are linked in one task")
     best, source = np.full(n, np.inf), np.zeros(n, int)
     outside = np.ones(n, bool)
     at, merges = 0, []

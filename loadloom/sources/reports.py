@@ -62,6 +62,21 @@ def comparison_bundle(metrics: DataFrame, profile: DataFrame, ranking: DataFrame
     return store.bundle({"comparison": book}, {"metrics": graded, "profiles": profile} | ({"ranking": ranking} if ranking is not None else {}), large=large)
 
 
+def national_bundle(metrics: DataFrame, profile: DataFrame, group: str = "grp", large: str | None = None) -> bytes:
+    """Metrics with grades and the profiles of the groups against the national reference: an overview page, and one for each group and month."""
+    graded = metrics.withColumn("quality", quality(F.col("rmse")))
+    keys = profile.select(group, "month").distinct().orderBy(group, "month").collect()
+    pages = {f"{g}_{m:02d}": profile.where((F.col(group) == g) & (F.col("month") == m)).orderBy("hour") for g, m in keys}
+    return store.bundle({"national": {"Metrics": graded, "Profiles": profile}}, {"overview": graded} | pages, large=large)
+
+
+def descriptive_bundle(measures: DataFrame, assigned: DataFrame, long: DataFrame, large: str | None = None) -> bytes:
+    """The older bundle: measures with their cluster, and summary, centroids, members and sizes of the clusters."""
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    book = {"Summary": composition.stats(long), "Centroids": composition.centroids(long), "POD_Cluster_List": assigned, "Cluster_Sizes": sizes}
+    return store.bundle({"measures_with_cluster": {"Measures": measures}, "descriptives": book}, large=large)
+
+
 def provincial_bundle(energy: DataFrame, shape: DataFrame, own: DataFrame, large: str | None = None) -> bytes:
     """Energy and shape metrics against the provincial reference, and the profiles in kWh."""
     book = {"Metrics_Energy": energy, "Metrics_Shape": shape, "Profile_Data_kWh": own}

@@ -112,3 +112,15 @@ def test_reload(spark, tmp_path):
     (tmp_path / "feb25extra").mkdir()
     got = store.reload(spark, root, held)
     assert got["meas"].count() == 2 and os.path.exists(os.path.join(root, "_cache"))
+
+
+def test_older_and_national_bundles(spark):
+    pods = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "pod string, cluster int")
+    long = pods.selectExpr("pod as key", "cluster", "explode(sequence(0, 3)) as slot").selectExpr("*", "cast(slot as double) as v")
+    with zipfile.ZipFile(BytesIO(reports.descriptive_bundle(long, pods, long))) as z:
+        assert len(xlsx.table(z.read("measures_with_cluster.xlsx"), "Measures")[1]) == 12
+        assert all(xlsx.table(z.read("descriptives.xlsx"), n)[0] != ["Note"] for n in ("Summary", "Centroids", "POD_Cluster_List", "Cluster_Sizes"))
+    metrics = spark.createDataFrame([("g", 1, "mono", 4.0)], "grp string, month int, pairing string, rmse double")
+    profile = spark.createDataFrame([("g", m, h, 1.0) for m in (1, 2) for h in range(24)], "grp string, month int, hour int, pct double")
+    with zipfile.ZipFile(BytesIO(reports.national_bundle(metrics, profile))) as z:
+        assert {"overview.html", "g_01.html", "g_02.html", "national.xlsx"} == set(z.namelist())
