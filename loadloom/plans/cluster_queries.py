@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import clustering, composition, funnel, profiles
-from .frames import READINGS, VECTORS, readings, vectors
+from .frames import PLACES, READINGS, VECTORS, places, readings, vectors
 from .registry import register
 
 CENTROIDS = f"(SELECT cluster, CAST(slot AS INT) AS slot, avg(v) AS v FROM {VECTORS} GROUP BY ALL)"
@@ -144,6 +144,12 @@ def dendrogram(spark, sf):
     return clustering.merges(_profiles(spark, sf), "grp", "key", "features").withColumn("distance", F.round("distance", 6))
 
 
+@register("dendrogram_cut", f"""WITH RECURSIVE {AVERAGE} SELECT CAST(grp AS VARCHAR) AS grp, round(height, 6) AS height FROM c WHERE step = len(labels) - 3 AND step > 0""")
+def dendrogram_cut(spark, sf):
+    """The height at which each tree falls into four."""
+    return clustering.cut_heights(_profiles(spark, sf), "grp", "key", "features", 4).withColumn("height", F.round("height", 6))
+
+
 @register("outliers_single_linkage", f"WITH {OUTLIERS} SELECT * FROM f")
 def outliers_single_linkage(spark, sf):
     """Clusters by their least key."""
@@ -157,6 +163,13 @@ def outlier_report(spark, sf):
     return clustering.outlier_report(found, readings(spark, sf).withColumnRenamed("key", "user"), "user", "ts")
 
 
+@register("outlier_composition", f"WITH {OUTLIERS} SELECT segment, n, round(100.0 * n / sum(n) OVER (), 2) AS pct FROM (SELECT segment, count(*) AS n FROM f LEFT JOIN {PLACES} p ON CAST(p.key AS VARCHAR) = f.key GROUP BY segment)")
+def outlier_composition(spark, sf):
+    """What the outliers are, by segment."""
+    found = clustering.outliers(_profiles(spark, sf), "grp", "key", "features")
+    dim = places(spark, sf).select(F.col("key").cast("string").alias("key"), "segment")
+    return funnel.share(found.join(dim, "key", "left"), ["segment"], [])
+
 
 @register("single_linkage_at_distance", f"""WITH RECURSIVE p AS (SELECT key, list(v ORDER BY hour) AS q FROM (SELECT k.key, h.hour, coalesce(round(avg(value), 6), 0) AS v FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT range AS hour FROM range(24)) h LEFT JOIN {READINGS} r ON r.key = k.key AND hour(r.ts) = h.hour GROUP BY ALL) GROUP BY key),
 e AS (SELECT a.key AS a, b.key AS b FROM p a JOIN p b ON a.key % 5 = b.key % 5 AND list_distance(a.q, b.q) <= 150), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS key, min(b) AS cluster FROM c GROUP BY a""")
@@ -211,8 +224,6 @@ def cluster_other_level(spark, sf):
 
 @register("measures_with_cluster", f"SELECT event_id, e.user_id AS key, CAST(e.user_id % 4 AS INT) AS cluster, c_mktsegment AS segment, value FROM events e LEFT JOIN customer ON c_custkey = e.user_id")
 def measures_with_cluster(spark, sf):
-    from .frames import places
-
     r = readings(spark, sf)
     labels = r.select("key").distinct().withColumn("cluster", (F.col("key") % 4).cast("int"))
     return r.join(labels, "key", "left").join(places(spark, sf).select("key", "segment"), "key", "left").select("event_id", "key", "cluster", "segment", "value")

@@ -195,7 +195,7 @@ def pair_metrics_unscaled(spark, sf):
 @register("cv_metrics", f"SELECT key, count(*) AS n, round({R}, 5) AS r, round(CASE WHEN avg(ref) > 0 THEN 100 * sqrt(avg(pow(v - ref, 2))) / avg(ref) ELSE 0 END, 3) AS cv_rmse, round(CASE WHEN avg(ref) > 0 THEN 100 * avg(abs(v - ref)) / avg(ref) ELSE 0 END, 3) AS cv_mae FROM {PAIRED} GROUP BY key")
 def cv_metrics(spark, sf):
     got = compare.cv_metrics(_paired(spark, sf), ["key"], "v", "ref")
-    return got.select("key", "n", F.round("r", 5).alias("r"), F.round("cv_rmse", 3).alias("cv_rmse"), F.round("cv_mae", 3).alias("cv_mae"))
+    return got.select("key", "n", F.round("r", 5).alias("r"), F.round("cv_rmse", 6).alias("cv_rmse"), F.round("cv_mae", 6).alias("cv_mae"))
 
 
 @register("shape_metrics", f"""WITH s AS (SELECT key, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS v, coalesce((ref - min(ref) OVER w) / nullif(max(ref) OVER w - min(ref) OVER w, 0), 0) AS ref FROM {PAIRED} WINDOW w AS (PARTITION BY key))
@@ -218,7 +218,7 @@ def metrics_grid(spark, sf):
     """Every period by day type against the mean of the day types."""
     d = profiles.by_day_type(readings(spark, sf), "key", "ts", "value")
     got = compare.cv_metrics(compare.against_group(d, "daytype", ["month", "hour"]), ["daytype", "month"], "v", "ref")
-    return got.select("daytype", "month", "n", F.round("r", 5).alias("r"), F.round("cv_rmse", 3).alias("cv_rmse"), F.round("cv_mae", 3).alias("cv_mae"))
+    return got.select("daytype", "month", "n", F.round("r", 5).alias("r"), F.round("cv_rmse", 6).alias("cv_rmse"), F.round("cv_mae", 6).alias("cv_mae"))
 
 
 @register("export_grid", f"""SELECT hour, {', '.join(f"round(max(v) FILTER (daytype = '{d}'), 6) AS {d}" for d in ('Weekday', 'Saturday', 'Sunday'))} FROM {DAYTYPES} WHERE month = 0 GROUP BY hour""")
@@ -308,7 +308,7 @@ UNION ALL SELECT 'Non residente', 'libero', 'Weekday', 0, CAST(h AS INT), 0.1 +
 
 @register("provincial_metrics", f"""WITH f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY residence, market, daytype, month) AS hours FROM {PROVINCIAL}) WHERE hours = 24), b AS (SELECT residence, market, daytype, month, hour, v, kwh FROM {BY_RESIDENCE} JOIN f USING (residence, daytype, month, hour)),
 s AS (SELECT *, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS x, coalesce((kwh - min(kwh) OVER w) / nullif(max(kwh) OVER w - min(kwh) OVER w, 0), 0) AS y FROM b WINDOW w AS (PARTITION BY residence, market, daytype, month))
-SELECT residence, market, daytype, month, count(*) AS n, round(CASE WHEN avg(kwh) > 0 THEN 100 * sqrt(avg(pow(v - kwh, 2))) / avg(kwh) ELSE 0 END, 3) AS cv_rmse, round(CASE WHEN avg(kwh) > 0 THEN 100 * avg(abs(v - kwh)) / avg(kwh) ELSE 0 END, 3) AS cv_mae, round(sqrt(avg(pow(x - y, 2))) * 100, 3) AS shape_rmse FROM s GROUP BY ALL""")
+SELECT residence, market, daytype, month, count(*) AS n, round(CASE WHEN avg(kwh) > 0 THEN 100 * sqrt(avg(pow(v - kwh, 2))) / avg(kwh) ELSE 0 END, 6) AS cv_rmse, round(CASE WHEN avg(kwh) > 0 THEN 100 * avg(abs(v - kwh)) / avg(kwh) ELSE 0 END, 6) AS cv_mae, round(sqrt(avg(pow(x - y, 2))) * 100, 6) AS shape_rmse FROM s GROUP BY ALL""")
 def provincial_metrics(spark, sf):
     """Homes by residence against an hourly reference by market, day type and month; a month without all hours is left out."""
     from ..operators import comparison
@@ -323,5 +323,5 @@ def provincial_metrics(spark, sf):
     one = spark.range(24).select(F.lit("Non residente").alias("residence"), F.lit("libero").alias("market"), F.lit("Giorno feriale").alias("daytype"), F.lit(0).alias("month"), F.col("id").cast("int").alias("hour"), (0.1 + F.col("id") / 100).alias("kwh"))
     energy, shape = comparison.provincial_metrics(r, members, many.unionByName(one), "key")
     keys = ["residence", "market", "daytype", "month"]
-    got = energy.join(shape.select(*keys, F.round("rmse", 3).alias("shape_rmse")), keys)
-    return got.select(*keys, "n", F.round("cv_rmse", 3).alias("cv_rmse"), F.round("cv_mae", 3).alias("cv_mae"), "shape_rmse")
+    got = energy.join(shape.select(*keys, F.round("rmse", 6).alias("shape_rmse")), keys)
+    return got.select(*keys, "n", F.round("cv_rmse", 6).alias("cv_rmse"), F.round("cv_mae", 6).alias("cv_mae"), "shape_rmse")

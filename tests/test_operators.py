@@ -217,3 +217,12 @@ def test_planted_gaps(spark):
     holes = {5, 6, 20, 21, 22, 23, 40}
     got = filled(spark, [None if i in holes else v for i, v in enumerate(whole)], (1, 2))
     assert got == pytest.approx(whole)
+
+
+def test_cut_heights(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9, 3))
+    df = spark.createDataFrame([("g", f"k{i}", v.tolist()) for i, v in enumerate(x)], "grp string, key string, f array<double>")
+    for k in (2, 4, 8):
+        got = clustering.cut_heights(df, "grp", "key", "f", k).first()
+        assert got.height == pytest.approx(linkage.cut_height(linkage.average(x), k))
