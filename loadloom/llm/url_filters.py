@@ -34,7 +34,7 @@ OWN = ("host", "path", "rule", "verdict", "score")
 BLOCKED_TOPICS = """casino poker slots jackpot roulette blackjack betting bets gambling bingo pills pharma viagra cialis
 adult porn xxx sex cams escort hookup nude spam ads adserver adclick tracker popups clickbait malware phishing
 warez crack keygen torrent payday replica lottery""".split()
-MODIFIERS = "best online top my super real mega royal lucky hot vip gold quick direct world club zone land".split()
+MODIFIERS = "best online top my super real mega royal lucky hot vip gold quick direct world club zone land bonus cheap deal free shop win".split()
 ALLOWED_WORDS = """news library university school museum archive weather city garden kitchen recipes history science
 nature travel mountain river forest music theatre gallery journal review reader writer village council hospital clinic
 doctor bakery market books maps train station harbour island football tennis chess physics biology chemistry algebra
