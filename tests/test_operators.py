@@ -226,3 +226,53 @@ def test_cut_heights(spark):
     for k in (2, 4, 8):
         got = clustering.cut_heights(df, "grp", "key", "f", k).first()
         assert got.height == pytest.approx(linkage.cut_height(linkage.average(x), k))
+
+
+def test_gap_statistic_by_loops():
+    """Mean log dispersion of seeded uniform references less that of the points, for each k."""
+    x = np.random.default_rng(6).normal(size=(14, 3))
+    z, ks = linkage.average(x), [2, 3, 4]
+
+    def log_dispersion(points, labels):
+        total = 0.0
+        for c in set(labels.tolist()):
+            own = points[labels == c]
+            total += sum(np.linalg.norm(p - q) for i, p in enumerate(own) for q in own[:i]) / len(own)
+        return np.log(total)
+
+    rng = np.random.default_rng(1)
+    references = [rng.uniform(x.min(axis=0), x.max(axis=0), x.shape) for _ in range(3)]
+    got = linkage.gaps(x, z, ks, references=3, seed=1)
+    for k in ks:
+        mean = np.mean([log_dispersion(r, linkage.cut(linkage.average(r), k)) for r in references])
+        assert got[k] == pytest.approx(mean - log_dispersion(x, linkage.cut(z, k)), abs=1e-6)
+
+
+def test_votes_name_the_best_of_each_method():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(8, 2)) * 0.05 + c for c in ([0, 0], [9, 0], [0, 9], [9, 9])])
+    z, ks = linkage.average(x), [3, 4, 5]
+    got = linkage.votes(x, z, ks)
+    cuts = {k: linkage.cut(z, k) for k in ks}
+    assert got["silhouette"] == max(ks, key=lambda k: linkage.silhouette(linkage.distances(x), cuts[k])) == 4
+    assert got["calinski_harabasz"] == max(ks, key=lambda k: linkage.calinski_harabasz(x, cuts[k]))
+    assert got["davies_bouldin"] == min(ks, key=lambda k: linkage.davies_bouldin(x, cuts[k])) == 4
+    assert got["elbow"] == linkage.elbow(ks, [linkage.inertia(x, cuts[k]) for k in ks])
+
+
+def test_strict_profiles(spark):
+    """Holes of any length are filled on the line; a key with a constant month, or with too few values, goes."""
+    from loadloom.operators import comparison
+
+    day = lambda m: datetime.date(2024, m, 1)
+    rows = [("a", day(1), [0.0, None, 4.0, 8.0]), ("a", day(2), [2.0, None, None, 10.0]), ("flat", day(1), [1.0] * 4), ("flat", day(2), [1.0, 2.0, 3.0, 4.0]), ("few", day(1), [1.0, None, None, 2.0])]
+    df = spark.createDataFrame(rows, "key string, date date, q array<double>")
+    got = comparison.strict_profiles(df, "key", "date", "q", 4, 1).collect()
+    assert {r.key for r in got} == {"a"}
+    line = [0.0, 2.0, None, None, 4.0, None, 8.0, 10.0]  # slot by slot, month by month
+    known = [i for i, v in enumerate(line) if v is not None]
+    full = np.interp(range(8), known, [line[i] for i in known])
+    for m in (1, 2):
+        own = full[m - 1 :: 2]
+        want = (own - own.min()) / (own.max() - own.min())
+        assert [r.norm for r in sorted(got, key=lambda r: r.slot) if r.month == m] == pytest.approx(want.tolist())
