@@ -192,7 +192,7 @@ def pair_metrics_unscaled(spark, sf):
     return got.select("key", F.round("rmse", 5).alias("rmse"), F.round("mae", 5).alias("mae"))
 
 
-@register("cv_metrics", f"SELECT key, count(*) AS n, round({R}, 5) AS r, round(CASE WHEN avg(ref) > 0 THEN 100 * sqrt(avg(pow(v - ref, 2))) / avg(ref) ELSE 0 END, 3) AS cv_rmse, round(CASE WHEN avg(ref) > 0 THEN 100 * avg(abs(v - ref)) / avg(ref) ELSE 0 END, 3) AS cv_mae FROM {PAIRED} GROUP BY key")
+@register("cv_metrics", f"SELECT key, count(*) AS n, round({R}, 5) AS r, round(CASE WHEN avg(ref) > 0 THEN 100 * sqrt(avg(pow(v - ref, 2))) / avg(ref) ELSE 0 END, 6) AS cv_rmse, round(CASE WHEN avg(ref) > 0 THEN 100 * avg(abs(v - ref)) / avg(ref) ELSE 0 END, 6) AS cv_mae FROM {PAIRED} GROUP BY key")
 def cv_metrics(spark, sf):
     got = compare.cv_metrics(_paired(spark, sf), ["key"], "v", "ref")
     return got.select("key", "n", F.round("r", 5).alias("r"), F.round("cv_rmse", 6).alias("cv_rmse"), F.round("cv_mae", 6).alias("cv_mae"))
@@ -212,8 +212,8 @@ def comparison_ranking(spark, sf):
     return compare.ranking(got, "rmse", "key").select("key", F.round("rmse", 3).alias("rmse"), "rank", "quality")
 
 
-@register("metrics_grid", f"""WITH d AS {DAYTYPES}, r AS (SELECT month, hour, avg(v) AS ref FROM d GROUP BY ALL) SELECT daytype, d.month, count(*) AS n, round({R}, 5) AS r, round(CASE WHEN avg(ref) > 0 THEN 100 * sqrt(avg(pow(v - ref, 2))) / avg(ref) ELSE 0 END, 3) AS cv_rmse,
-round(CASE WHEN avg(ref) > 0 THEN 100 * avg(abs(v - ref)) / avg(ref) ELSE 0 END, 3) AS cv_mae FROM d JOIN r USING (month, hour) GROUP BY daytype, d.month""")
+@register("metrics_grid", f"""WITH d AS {DAYTYPES}, r AS (SELECT month, hour, avg(v) AS ref FROM d GROUP BY ALL) SELECT daytype, d.month, count(*) AS n, round({R}, 5) AS r, round(CASE WHEN avg(ref) > 0 THEN 100 * sqrt(avg(pow(v - ref, 2))) / avg(ref) ELSE 0 END, 6) AS cv_rmse,
+round(CASE WHEN avg(ref) > 0 THEN 100 * avg(abs(v - ref)) / avg(ref) ELSE 0 END, 6) AS cv_mae FROM d JOIN r USING (month, hour) GROUP BY daytype, d.month""")
 def metrics_grid(spark, sf):
     """Every period by day type against the mean of the day types."""
     d = profiles.by_day_type(readings(spark, sf), "key", "ts", "value")
