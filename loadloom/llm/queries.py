@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, license_scan, packing, quality_rules, toxicity, url_filters, warc, word_bpe
+from . import exact_dedup, filter_audit, html_text, jaccard_join, license_scan, packing, quality_rules, toxicity, url_filters, warc, word_bpe
 from .common import table
 
 
@@ -67,8 +67,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (~toxicity.teachable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_packing, op7_word_bpe, op8_html_extraction, op9_license_scan, op10_toxicity)
+    f.__name__: f for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_packing, op7_word_bpe, op8_html_extraction, op9_license_scan, op10_toxicity, op13_filter_audit)
 }
 
 
@@ -77,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
