@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, html_text, jaccard_join, license_scan, packing, quality_rules, toxicity, url_filters, warc, word_bpe
+from . import exact_dedup, filter_audit, html_text, jaccard_join, license_scan, packing, quality_rules, tandem_runs, toxicity, url_filters, warc, word_bpe
 from .common import table
 
 
@@ -67,12 +67,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (~toxicity.teachable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth text, by the hash of its id, repeats a stretch of its words from one of them on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", filter_audit.BLANK), "")))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.expr("try_mod(g, n)"))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    turned = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tandem_runs.collapse(planted(table(spark, sf_dir, "documents")), carry=False)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    got = got.withColumns({"best": best, "lines": lines})
+    length = -F.col("best.l")
+    return got.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_packing, op7_word_bpe, op8_html_extraction, op9_license_scan, op10_toxicity, op13_filter_audit)
+    f.__name__: f for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_packing, op7_word_bpe, op8_html_extraction, op9_license_scan, op10_toxicity, op11_periodic_runs, op13_filter_audit)
 }
 
 
