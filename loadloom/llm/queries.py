@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, html_text, jaccard_join, license_scan, packing, quality_rules, tandem_runs, toxicity, url_filters, warc, word_bpe
+from . import exact_dedup, filter_audit, html_text, jaccard_join, language_id, license_scan, packing, quality_rules, tandem_runs, toxicity, url_filters, warc, word_bpe
 from .common import table
 
 
@@ -90,12 +90,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(language_id.teachable(F.col("doc_id"))))
+    got = language_id.predict(docs.select("doc_id", "text"), model, carry=False)
+    return got.select("doc_id", F.coalesce(~language_id.teachable(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_packing, op7_word_bpe, op8_html_extraction, op9_license_scan, op10_toxicity, op11_periodic_runs, op13_filter_audit)
+    f.__name__: f for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_packing, op7_word_bpe, op8_html_extraction, op9_license_scan, op10_toxicity, op11_periodic_runs, op12_language_id, op13_filter_audit)
 }
 
 
