@@ -7,6 +7,9 @@ them to the next and less further up, and a container's points are discounted by
 a few points and decide nothing else. From the best container the choice goes up to an ancestor that holds clearly more such points; its
 blocks are kept, with those of its siblings that are not mostly links.
 
+Optional end tags may be left out: a head ends where the body or its first content begins, a paragraph, list item or cell where the next one does, a button or select where a
+block begins, a menu where the main part does. What a style hides is not seen. A container that begins with a heading for comments or replies is the readers'.
+
 Defined results. A null or empty page, and one without text, gives an empty text. Markup
 that never ends is read as text up to the end. Pages are taken whole, whatever their length. Repeated rows give equal results, an empty table none.
 Of containers with equal points the one whose text begins first counts, an inner one before an outer one.
@@ -31,7 +34,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("nav footer aside form button select dialog menu head".split())
+#: Controls within a line, which hold no block; what a head holds; what can't stand within what.
+INLINE = frozenset("button select".split())
+OF_HEAD = frozenset("head title meta link base script style noscript template".split())
+NEVER_WITHIN = {"main": {"nav", "aside", "header", "footer", "menu", "dialog"}, "article": {"nav", "menu"}, "nav": {"nav"}, "footer": {"nav", "footer"}, "body": {"head", "nav", "header", "aside"}}
 LEAVES = frozenset("p li pre blockquote td th dd dt h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
@@ -43,9 +51,12 @@ AWAY = re.compile(
 UNDOES = frozenset("has with no not without".split())
 OWN_HEADER = frozenset("article entry post story content title".split())
 ADDS = frozenset("article main content post story entry body text".split())
+#: Headings under which readers write, and styles that hide.
+REPLIES = re.compile(r"\W*(?:(?:\d+|no|all|reader|readers'|user|latest|recent|join the|leave a|leave your|post a|add a|write a|view|show)\s+)*(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|commentaires?|comentarios?)\W*(?:\(?\d+\)?)?\W*", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 #: A block of fewer characters gives a small part of its points.
 LEAST_PARAGRAPH, SHORT_SHARE = 25, 0.1
 #: What article and main, and a name with a word of ADDS, add to the points of a container that has some.
@@ -107,6 +118,8 @@ def _new(tag: str, marks: str, parent: Node) -> Node:
                 node.away = node.sure = node.away or value.lower() in ROLES
             elif name == "hidden" or name == "aria-hidden":
                 node.away = node.sure = node.away or name == "hidden" or value.lower() == "true"
+            elif name == "style":
+                node.away = node.sure = node.away or bool(UNSEEN.search(value))
             elif name in ("class", "id"):
                 away, adds = judged(value)
                 node.away = node.away or away
@@ -125,6 +138,8 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     at, end = 0, len(page)
 
     def text_in(lo: int, hi: int) -> None:
+        if hi > lo and stack[-1].tag == "head" and not page[lo:hi].isspace():
+            pop_to(len(stack) - 1)  # text begins the body
         if hi > lo and not stack[-1].sure:
             buffer.append((page[lo:hi], links > 0))
 
@@ -151,6 +166,10 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if not tag:
             continue
         tag, closing = tag.lower(), bool(m[1] or m[4])
+        if stack[-1].tag == "head" and tag not in OF_HEAD and not closing:
+            pop_to(len(stack) - 1)  # the end of the head may be left out
+        if stack[-1].tag in INLINE and not closing and (tag in BLOCK or tag in FURNITURE):
+            stack.pop()  # a control that holds no block ends where one begins
         if tag in RAW:
             if not closing and not m[0].endswith("/>"):
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -159,6 +178,11 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             buffer.append((" ", False))
         elif tag == "a":
             links = 0 if closing else 1
+        elif tag in INLINE:
+            if not closing:
+                stack.append(_new(tag, "", stack[-1]))
+            elif stack[-1].tag == tag:
+                stack.pop()
         elif closing:
             if tag in BLOCK or tag in FURNITURE:
                 for k in range(len(stack) - 1, 0, -1):
@@ -173,6 +197,12 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             links = 0
             if stack[-1].tag == "p":
                 stack.pop()
+            if tag in NEVER_WITHIN:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in NEVER_WITHIN[tag]:
+                        pop_to(k)
+                    elif stack[k].tag in ("article", "main", "body"):
+                        break
             if tag in CLOSES:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in CLOSES[tag]:
@@ -207,6 +237,13 @@ def outside_furniture(found: list[tuple[Node, str, int]]) -> list[tuple[Node, st
             all_points += got
             for n in _upward(node):
                 n.total += got
+    seen: set[int] = set()
+    for node, text, _ in found:
+        around = node.parent
+        # A heading that calls for replies, first in a container of its own, makes that theirs.
+        if around and node.tag in HEADINGS and around.tag not in ("article", "main", "body", "html") and id(around) not in seen and REPLIES.fullmatch(text):
+            around.away = around.sure = True
+        seen.update(id(n) for n in _upward(node))
     is_away = lambda n: n.sure or n.away and not (n.title and 2 * n.total > all_points)
     return [x for x in found if not any(is_away(n) for n in _upward(x[0]))]
 
