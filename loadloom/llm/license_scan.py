@@ -6,12 +6,15 @@ passage is compared with every template by the cosine of their terms (each disti
 table; words that no template has weigh as the mean of those that one has). A template names a licence only where the passage has all its
 naming words. Texts without any of the heavy words of a template are left out first: without them no cosine reaches the threshold.
 
+A licence whose text holds all of another's (WIDER) takes its place if a passage reaches it too. An SPDX tag that joins several known licences by OR, AND or WITH names the whole
+expression.
+
 A file named like a licence file speaks for its directory, and a file without a licence of its own takes that
 of its nearest directory upwards that has one: distinct directories are joined to their ancestors, files to directories.
 
 Defined results. A null or empty text has no licence of its own. A null path belongs to no directory and inherits
 nothing. Of several licence files in a directory the most similar counts, then the smaller licence id. Ties between templates go
-to the smaller licence id. Texts are taken whole, whatever their length. Repeated rows give equal results. An empty table gives an empty result. Columns of the input
+to the one with more naming words, then to the smaller licence id. Texts are taken whole, whatever their length. Repeated rows give equal results. An empty table gives an empty result. Columns of the input
 that have the name of one of the operator's own are replaced.
 """
 
@@ -117,6 +120,11 @@ TEXTS = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
+#: Licences that hold all of another's text and more.
+WIDER = {"BSD-2-Clause": "BSD-3-Clause"}
+#: An SPDX tag and its expression, and what joins the licences of one.
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+\)?(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]+\)?)+)"
+JOINS = r"[ \t]+(?:OR|AND|WITH)[ \t]+"
 #: The parts of Creative Commons licences and their names.
 CREATIVE = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
 
@@ -184,26 +192,35 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     other = (sum(idf.values()) / max(1, len(idf))) ** 2
     telling = words(set().union(*[heavy({w: idf[w] for w in words_in(text)}, threshold) for _, text, _ in known]))
 
-    def cosine(own: Column) -> Column:
-        """The best template for a passage of these words: (negated similarity, licence)."""
+    def cosine(asked: list[tuple[str, str, set[str]]], own: Column) -> Column:
+        """The best of the asked templates for a passage of these words: (negated similarity, negated number of naming words, licence)."""
         hits = F.transform(F.array_intersect(own, words(vocabulary)), lambda t: F.struct(t.alias("t"), weight[t].alias("w")))
         sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, h: a + h["w"])
         among = lambda held: F.filter(hits, lambda h: F.array_contains(held, h["t"]))
         norm = F.sqrt(sum_of(hits) + (F.size(own) - F.size(hits)) * F.lit(other))
         options = []
-        for name, text, must in known:
+        for name, text, must in asked:
             held = words(words_in(text))
             size = math.sqrt(sum(idf[t] ** 2 for t in words_in(text)))
             dot = sum_of(among(held))
             score = F.when(F.size(F.array_except(words(must), own)) == 0, F.round(F.try_divide(dot, norm * F.lit(size)), 9)).otherwise(F.lit(0.0))
-            options.append(F.struct((-F.coalesce(score, F.lit(0.0))).alias("s"), F.lit(name).alias("l")))
-        # Ties go to the smaller id: the negated similarity comes first, then the id.
+            options.append(F.struct((-F.coalesce(score, F.lit(0.0))).alias("s"), F.lit(-len(must)).alias("m"), F.lit(name).alias("l")))
         return F.array_min(F.array(*options))
 
     text = F.col(text_col)
     is_file = F.coalesce(F.col(path_col).rlike(LICENSE_NAME), F.lit(False))
     parts = F.filter(F.transform(passages(text, is_file), words_of), lambda w: F.arrays_overlap(w, telling))
-    best = F.when(F.arrays_overlap(words_of(text), telling), F.array_min(F.transform(parts, cosine)))
+    best = F.when(F.arrays_overlap(words_of(text), telling), F.array_min(F.transform(parts, lambda own: cosine(known, own))))
+    for narrow, wide in WIDER.items():
+        if asked := [t for t in known if t[0] == wide and t[2]]:
+            there = F.when(best["l"] == narrow, F.array_min(F.transform(parts, lambda own: cosine(asked, own))))  # noqa: B023  called at once
+            best = F.when(there["s"] <= -threshold, there).otherwise(best)
+    # Every part of the expression but what follows WITH must be a known licence, perhaps with "-only", "-or-later" or "+".
+    expression = F.regexp_extract(text, SPDX, 1)
+    ids = F.split(F.regexp_replace(F.regexp_replace(expression, r"[ \t]+WITH[ \t]+[^ \t)]+", ""), r"[()]", ""), JOINS)
+    plain = F.transform(ids, lambda i: F.regexp_replace(i, r"(-only|-or-later|\+)$", ""))
+    joined_ = (expression != "") & F.forall(plain, lambda i: i.isin(*sorted({name for name, _, _ in known})))
+    best = F.when(joined_, F.struct(F.lit(-1.0).alias("s"), F.lit(0).alias("m"), expression.alias("l"))).otherwise(best)
     scored = base.withColumns({score_: best, dir_: F.when(F.col(path_col).isNotNull(), F.regexp_replace(F.col(path_col), r"(^|/)[^/]*$", ""))})
     held = materialize(scored.withColumn(own_, F.coalesce(F.col(f"{score_}.s") <= -threshold, F.lit(False))).drop(text_col), "licences")
 

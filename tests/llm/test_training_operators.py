@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -579,7 +580,7 @@ def brute_license(texts, wanted, whole):
     other = np.mean(list(idf.values()))
     lines = re.split(r"\r?\n", wanted)
     parts = [*lines, *("\n".join(lines[i : i + k]) for k in (2, 4) for i in range(len(lines) - k + 1)), *re.split(r"\n[\W_]*?(?=\n)", wanted)] + ([wanted] if whole else [])
-    best = (0.0, "")
+    best = (0.0, 0, "")
     for part in parts:
         own = words(part)
         norm = np.sqrt(sum(idf.get(w, other) ** 2 for w in own))
@@ -587,8 +588,8 @@ def brute_license(texts, wanted, whole):
             held = license_scan.words_in(text)
             if own and must <= own:
                 s = sum(idf[w] ** 2 for w in own & held) / norm / np.sqrt(sum(idf[w] ** 2 for w in held))
-                best = min(best, (-round(float(s), 9), name))
-    return -best[0], best[1]
+                best = min(best, (-round(float(s), 9), -len(must), name))
+    return -best[0], best[2]
 
 
 def test_license_scan(spark):
@@ -613,6 +614,34 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+BSD_FILE = """Copyright (c) 2019, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS IS".
+"""
+THIRD = """* Neither the name of {} nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior
+written permission.
+
+"""
+
+
+def test_wider_licences_and_expressions(spark):
+    tag = "# SPDX-License-Identifier: "
+    rows = {
+        "a/LICENSE": (BSD_FILE.format(""), "BSD-2-Clause"), "b/LICENSE": (BSD_FILE.format(THIRD.format("the copyright holder")), "BSD-3-Clause"),
+        "c/LICENSE": (BSD_FILE.format(THIRD.format("Example Widgets Incorporated of Nowhere")), "BSD-3-Clause"), "d/x.py": (f"{tag}Apache-2.0 OR MIT\n", "Apache-2.0 OR MIT"),
+        "d/y.py": (f"{tag}(MIT AND GPL-2.0-or-later WITH Classpath-exception-2.0)\nint", "(MIT AND GPL-2.0-or-later WITH Classpath-exception-2.0)"), "d/z.py": (f"{tag}MIT\n", "MIT"),
+        "d/GPL.txt": (f"{tag}GPL-2.0 WITH Linux-syscall-note", "GPL-2.0 WITH Linux-syscall-note"), "e/f.py": (f"{tag}MIT OR Unheard-1.0", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in rows.items()], "path string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    assert {r.path: r.license for r in license_scan.scan(df).collect()} == {p: want for p, (_, want) in rows.items()}
+
+
 def brute_segments(x):
     """Maximal scoring subsequences: the best one of least length, then left and right of it."""
     spans = [(sum(x[i:j]), i - j, -i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
@@ -681,3 +710,38 @@ def test_pipeline(spark, tmp_path, texts):
     assert ids == {c for _, c in brute_components(once).values()} and len(ids) > 20
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+ARTICLE = "<article><h1>Title</h1>" + "".join(f"<p>{i}: the long text of a page, with commas, goes on and on, as texts do.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><meta x><link y><title>t</title><body>{ARTICLE}",
+        f"<head><script>x</script>{ARTICLE}",
+        f"<body><div><button>Go{ARTICLE}",
+        f"<body><select><option>A<option>B{ARTICLE}",
+        f"<body><nav><ul><li><a href=x>Home</a><main>{ARTICLE}</main>",
+        f"<body>{ARTICLE}<div style='color: red; display : none'>a hidden text of some length, truly</div></article>",
+        f"<body>{ARTICLE}<section><h2>3 Comments</h2><p>I like it, says a reader of this page.</p></section></article>",
+        f"<body>{ARTICLE}<div><h3>Leave a reply</h3><p>What you think of it, in your own words.</p></div></article>",
+    ],
+)
+def test_html_without_end_tags(page):
+    assert html_text.main_text(page) == "\n".join(["Title", *(f"{i}: the long text of a page, with commas, goes on and on, as texts do." for i in range(4))])
+
+
+def test_html_inline_controls_and_headings():
+    assert html_text.main_text("<p>before <button>Click</button> after the button, all of it one</p>") == "before after the button, all of it one"
+    # A heading of an article's own part that speaks of comments is its text.
+    kept = f"<body>{ARTICLE}<h2>Comments</h2><p>On comments in programs, which should be few, and say why.</p></article>"
+    assert "On comments in programs" in html_text.main_text(kept)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("tags", ["head", "p", "li", "body|html", "td|th|tr|dd|dt|option", "head|p|li|body|html|td|th|tr|dd|dt|option"])
+def test_html_of_pages_without_end_tags(spark, tags):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    gone = re.compile(rf"</(?:{tags})\s*>", re.I)
+    assert len(pages) > 100 and all(html_text.main_text(gone.sub("", p or "")) == html_text.main_text(p) for p in pages)
