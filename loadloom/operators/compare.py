@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.binning import quality
+from .ranking import numbered
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -52,22 +53,4 @@ def against_group(profiles: DataFrame, key: str, slots: list[str], value: str =
 
 def ranking(metrics: DataFrame, rmse: str = "rmse", name: str = "grp") -> DataFrame:
     """Ranks by RMSE, what has none last, with grades."""
-    return numbered(metrics, rmse, name, "rank").withColumn("quality", quality(F.col(rmse)))
-
-
-#: Ranges into which a table is cut to number its rows.
-RANGES = 64
-
-
-def numbered(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
-    """Numbers from 1 in the order of ``value``, nulls last, then of ``tie``; without gathering the table.
-
-    Rows are dealt into ranges between quantiles, numbered within them, and moved up by the sizes of the ranges before: one row a range.
-    """
-    bounds = sorted(set(df.approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.01)))
-    place = sum((F.when(F.col(value) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    cut = df.withColumn("__range", F.when(F.col(value).isNull(), len(bounds) + 1).otherwise(place))
-    sizes = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    w = Window.partitionBy("__range").orderBy(F.col(value).asc_nulls_last(), F.col(tie))
-    return cut.join(F.broadcast(before), "__range").withColumn(out, (F.row_number().over(w) + F.col("__before")).cast("int")).drop("__range", "__before")
+    return numbered(metrics, [F.col(rmse).asc_nulls_last(), name], "rank").withColumns({"rank": F.col("rank").cast("int"), "quality": quality(F.col(rmse))})

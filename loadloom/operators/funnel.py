@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import binning
 from ..functions.calendar import month_index, period
+from .ranking import with_quantiles
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -76,16 +77,16 @@ def monthly(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
 def summary(df: DataFrame, groups: list[str], value: str, digits: int = 4) -> DataFrame:
     """Count, mean, exact median, deviation (one degree less), least and greatest."""
     r = lambda c, name: F.round(c, digits).alias(name)
-    return df.groupBy(*groups).agg(
-        F.count(value).alias("n"), r(F.avg(value), "mean"), r(F.median(value), "median"), r(F.stddev_samp(value), "std"), r(F.min(value), "min"), r(F.max(value), "max")
-    )
+    plain = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    got = with_quantiles(df, groups, value, {"median": 0.5}, plain)
+    return got.select(*groups, "n", *[r(c, c) for c in ("mean", "median", "std", "min", "max")])
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, digits: int = 4) -> DataFrame:
     """Median, mean, quartiles (linear interpolation) and greatest."""
-    p = F.percentile(value, [0.25, 0.5, 0.75])
-    got = df.groupBy(*groups).agg(F.count(value).alias("n"), p.alias("p"), F.avg(value).alias("m"), F.max(value).alias("x"))
-    return got.select(*groups, "n", *[F.round(c, digits).alias(a) for c, a in ((F.col("p")[0], "p25"), (F.col("p")[1], "median"), (F.col("p")[2], "p75"), (F.col("m"), "mean"), (F.col("x"), "max"))])
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    got = with_quantiles(df, groups, value, shares, [F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")])
+    return got.select(*groups, "n", *[F.round(c, digits).alias(c) for c in ("p25", "median", "p75", "mean", "max")])
 
 
 def complete_years(df: DataFrame, key: str, ts: str, value: str, months: int = 12) -> DataFrame:

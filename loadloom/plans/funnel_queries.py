@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import binning
 from ..functions.calendar import period, period_label, period_number
 from ..operators import funnel
+from ..operators.ranking import with_quantiles
 from .frames import LINES, ORDERS, PLACES, READINGS, lines, orders, places, readings
 from .registry import register
 
@@ -207,7 +208,9 @@ FROM {MONTHLY} m JOIN {PLACES} p ON m.key = p.key WHERE m.key IN {OK} GROUP BY s
 def summary_sheet(spark, sf):
     o = orders(spark, sf)
     m = funnel.monthly(o.join(funnel.covered(o, "key", "ts"), "key", "left_semi"), "key", "ts", "value").join(places(spark, sf), "key")
-    got = m.groupBy("segment").agg(F.countDistinct("key").alias("n_keys"), F.round(F.avg("total"), 2).alias("mean"), F.round(F.median("total"), 4).alias("median"))
+    keys = m.groupBy("segment").agg(F.countDistinct("key").alias("n_keys"))
+    got = with_quantiles(m, ["segment"], "total", {"median": 0.5}, [F.avg("total").alias("mean")])
+    got = keys.join(got, keys["segment"].eqNullSafe(got["segment"])).select(keys["segment"], "n_keys", F.round("mean", 2).alias("mean"), F.round("median", 4).alias("median"))
     return got.withColumn("annual", F.round(F.col("mean") * 12, 0))
 
 
