@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.calendar import band, day_type, weekday
@@ -80,11 +85,103 @@ def minmax(profile: DataFrame, keys: list[str], value: str = "v", out: str = "no
     return profile.withColumn(out, F.when(F.col(value).isNotNull(), F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))))
 
 
+def observed_months(df: DataFrame, month: Column) -> list[int]:
+    """The months that occur, at most twelve: one narrow pass over a date."""
+    return sorted(r[0] for r in df.select(month.alias("m")).where("m is not null").distinct().collect())
+
+
+#: How far :func:`packed` goes: interpolation, filling within the month, the key's median and no key without energy, scaled values.
+STEPS = ("interpolated", "filled", "whole", "scaled")
+
+
+def _last_before(there: np.ndarray) -> np.ndarray:
+    """Along the last axis the place of the last cell with a value up to each; -1 where there is none."""
+    return np.maximum.accumulate(np.where(there, np.arange(there.shape[-1]), -1), axis=-1)
+
+
+def _interpolated(line: np.ndarray, limit: int) -> np.ndarray:
+    """Rows of cells, nan where there is none, by the rule of :func:`interpolate`."""
+    there, at = ~np.isnan(line), np.arange(line.shape[1])
+    before = _last_before(there)
+    after = line.shape[1] - 1 - _last_before(there[:, ::-1])[:, ::-1]
+    left, right = before >= 0, after < line.shape[1]
+    own = np.arange(len(line))[:, None]
+    low, high = line[own, np.maximum(before, 0)], line[own, np.minimum(after, line.shape[1] - 1)]
+    near = left & (at - before <= limit) | right & (after - at <= limit)
+    on_line = low + (high - low) * ((at - before) / np.maximum(1, after - before))
+    return np.where(there, line, np.where(near, np.where(left & right, on_line, np.where(left, low, high)), np.nan))
+
+
+def _carried(cells: np.ndarray) -> np.ndarray:
+    """Each cell without a value takes that of the last one before it on the last axis."""
+    at = _last_before(~np.isnan(cells))
+    return np.where(at >= 0, np.take_along_axis(cells, np.maximum(at, 0), -1), np.nan)
+
+
+def _filled(cells: np.ndarray, step: str, limit: int, by_slot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys x months x slots -> which keys stay, their values and the values scaled within each month."""
+    n, months, count = cells.shape
+    line = cells.transpose(0, 2, 1) if by_slot else cells
+    line = _interpolated(line.reshape(n, months * count), limit)
+    v = line.reshape(n, count, months).transpose(0, 2, 1) if by_slot else line.reshape(n, months, count)
+    stay = np.ones(n, bool)
+    if step != STEPS[0]:
+        v = _carried(v)
+        v = _carried(v[:, :, ::-1])[:, :, ::-1]
+    if step in STEPS[2:]:
+        flat = v.reshape(n, -1)
+        known = ~np.isnan(flat).all(axis=1)
+        median = np.zeros(n)
+        median[known] = np.nanmedian(flat[known], axis=1)
+        v = np.where(np.isnan(v), median[:, None, None], v)
+        stay = np.abs(v).max(axis=(1, 2), initial=0) > 0
+    lo, hi = v.min(axis=2, keepdims=True), v.max(axis=2, keepdims=True)
+    return stay, v, np.where(hi > lo, (v - lo) / np.where(hi > lo, hi - lo, 1), 0.0)
+
+
+def packed(means: DataFrame, key: str, months: list[int], slot: str = "slot", count: int = 96, step: str = STEPS[-1], limit: int = 4, by_slot: bool = True) -> DataFrame:
+    """``key, v`` and, scaled, ``norm``: of each key one dense array of its cells, month by month and slot by slot (from 1), filled as far as ``step`` says.
+
+    The cells of a key are gathered once (at most 12 x count of them) and all rules are applied to whole batches of keys in one kernel: no grid is joined, and no window sorts it.
+    Cells of other months are left out; a cell without a value is null up to the step ``filled``.
+    """
+    cells = means.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("month", F.col(slot).alias("slot"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    place = {m: i for i, m in enumerate(months)}
+    lookup = np.full(13, -1)
+    lookup[list(place)] = list(place.values())
+    scaled = step == STEPS[-1]
+    schema = T.StructType([cells.schema[key], *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in (["v", "norm"] if scaled else ["v"]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            at, where, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("month", "slot", "v"))
+            dense = np.full((batch.num_rows, len(months), count), np.nan)
+            ok = (lookup[at] >= 0) & (where >= 1) & (where <= count)
+            dense[row[ok], lookup[at[ok]], where[ok] - 1] = v[ok]
+            stay, full, norm = _filled(dense, step, limit, by_slot)
+            offsets = pa.array((np.arange(int(stay.sum()) + 1) * len(months) * count).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(a[stay].ravel(), pa.float64(), from_pandas=True)) for a in ([full, norm] if scaled else [full])]
+            yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(stay)), *arrays], schema.names)
+
+    return cells.mapInArrow(run, schema)
+
+
+def unpacked(dense: DataFrame, key: str, months: list[int], slot: str = "slot", count: int = 96) -> DataFrame:
+    """The arrays of :func:`packed` as rows: ``key, month, slot, v`` (and ``norm``)."""
+    own = [c for c in ("v", "norm") if c in dense.columns]
+    rows = dense.select(key, F.posexplode(F.arrays_zip(*own)).alias("__at", "__x"))
+    month = F.element_at(F.array(*[F.lit(m) for m in months]), (F.col("__at") / count).cast("int") + 1)
+    return rows.select(key, month.alias("month"), (F.col("__at") % count + 1).cast("int").alias(slot), *[F.col(f"__x.{c}").alias(c) for c in own])
+
+
 def daily_profiles(df: DataFrame, key: str, date: str, q: str, count: int = 96, limit: int = 4) -> DataFrame:
-    """Filled and scaled profiles by key, month and slot: ``v`` and ``norm``."""
-    grid = complete_grid(slot_means(df, key, date, q), key, "slot", count)
-    filled = fill_with_median(fill_within_month(interpolate(grid, key, "slot", limit), key, "slot"), key)
-    return minmax(drop_all_zero(filled, key), [key, "month"])
+    """Filled and scaled profiles by key, month and slot: ``v`` and ``norm``. Months are those of the table."""
+    months = observed_months(df, F.month(date))
+    dense = packed(slot_means(df, key, date, q), key, months, count=count, limit=limit)
+    return unpacked(dense, key, months, count=count)
 
 
 def monthly_share(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:

@@ -110,9 +110,9 @@ def reference_vector(spark, sf):
     return got.select("kind", F.round(F.col("vector")[0], 5).alias("first"), F.round(arrays.total(F.col("vector")), 2).alias("total"), F.size("vector").cast("long").alias("n"))
 
 
-# The cells of three months for the filling queries. Most users have no reading in some of their hours.
-GRID = f"""(SELECT k.key, m.month, s.slot, v FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) t(month)) m CROSS JOIN (SELECT CAST(range + 1 AS INT) AS slot FROM range(24)) s
-LEFT JOIN (SELECT key, CAST(day(ts) % 3 + 1 AS INT) AS month, CAST(hour(ts) + 1 AS INT) AS slot, avg(value) AS v FROM {READINGS} GROUP BY ALL) p USING (key, month, slot))"""
+# The cells of the year for the filling queries. Most users have no reading in most of their hours of a month.
+GRID = f"""(SELECT k.key, m.month, s.slot, v FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT DISTINCT CAST(month(ts) AS INT) AS month FROM {READINGS}) m CROSS JOIN (SELECT CAST(range + 1 AS INT) AS slot FROM range(24)) s
+LEFT JOIN (SELECT key, CAST(month(ts) AS INT) AS month, CAST(hour(ts) + 1 AS INT) AS slot, avg(value) AS v FROM {READINGS} GROUP BY ALL) p USING (key, month, slot))"""
 FILLED = f"""(WITH g AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot, month) AS i FROM {GRID}), w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS p, last_value(v IGNORE NULLS) OVER b AS pv,
 first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS n, first_value(v IGNORE NULLS) OVER a AS nv FROM g WINDOW b AS (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT key, month, slot, CASE WHEN v IS NOT NULL THEN v WHEN coalesce(i - p <= 4, false) OR coalesce(n - i <= 4, false) THEN coalesce(pv + (nv - pv) * (i - p) / nullif(n - p, 0), pv, nv) END AS v FROM w)"""
@@ -120,49 +120,50 @@ LINED = f"""(WITH f AS (SELECT key, month, slot, coalesce(v, last_value(v IGNORE
 SELECT key, month, slot, coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION BY key, month ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM f)"""
 
 
-def _grid(spark, sf):
+def _packed(spark, sf, step):
+    """The hours of the year of each user as one array, and the months that there are."""
     r = readings(spark, sf)
-    keys = r.select("key").distinct()
-    there = r.groupBy("key", (F.day("ts") % 3 + 1).alias("month"), (F.hour("ts") + 1).alias("slot")).agg(F.avg("value").alias("v"))
-    blank = keys.select("key", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("month"), F.lit(1).alias("slot"), F.lit(None).cast("double").alias("v"))
-    missing = blank.join(there, ["key", "month", "slot"], "left_anti")
-    return profiles.complete_grid(there.unionByName(missing), "key", "slot", 24)
+    months = profiles.observed_months(r, F.month("ts"))
+    means = r.groupBy("key", F.month("ts").alias("month"), (F.hour("ts") + 1).alias("slot")).agg(F.avg("value").alias("v"))
+    return profiles.packed(means, "key", months, count=24, step=step), months
+
+
+def _cells(spark, sf, step):
+    dense, months = _packed(spark, sf, step)
+    return profiles.unpacked(dense, "key", months, count=24)
 
 
 @register("interpolate_fill", f"SELECT key, month, slot, round(v, 7) AS v FROM {FILLED}")
 def interpolate_fill(spark, sf):
-    return profiles.interpolate(_grid(spark, sf), "key", "slot").withColumn("v", F.round("v", 7))
+    return _cells(spark, sf, "interpolated").withColumn("v", F.round("v", 7))
 
 
 @register("ffill_bfill", f"SELECT key, month, slot, round(v, 7) AS v FROM {LINED}")
 def ffill_bfill(spark, sf):
-    return profiles.fill_within_month(profiles.interpolate(_grid(spark, sf), "key", "slot"), "key", "slot").withColumn("v", F.round("v", 7))
+    return _cells(spark, sf, "filled").withColumn("v", F.round("v", 7))
 
 
 FULL = f"(SELECT key, month, slot, coalesce(v, median(v) OVER (PARTITION BY key), 0) AS v FROM {LINED})"
 SCALED = f"(SELECT key, month, slot, v, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS norm FROM {FULL} WINDOW w AS (PARTITION BY key, month))"
 
 
-def _scaled(spark, sf):
-    step = profiles.fill_within_month(profiles.interpolate(_grid(spark, sf), "key", "slot"), "key", "slot")
-    return profiles.minmax(profiles.drop_all_zero(profiles.fill_with_median(step, "key"), "key"), ["key", "month"])
-
-
 @register("median_fill", f"SELECT key, month, slot, round(v, 7) AS v FROM {FULL}")
 def median_fill(spark, sf):
-    return _scaled(spark, sf).select("key", "month", "slot", F.round("v", 7).alias("v"))
+    return _cells(spark, sf, "whole").withColumn("v", F.round("v", 7))
 
 
 @register("minmax_profile", f"SELECT key, month, slot, round(norm, 5) AS norm FROM {SCALED}")
 def minmax_profile(spark, sf):
-    return _scaled(spark, sf).select("key", "month", "slot", F.round("norm", 5).alias("norm"))
+    return _cells(spark, sf, "scaled").select("key", "month", "slot", F.round("norm", 5).alias("norm"))
 
 
-@register("profile_matrix", f"""SELECT key, {', '.join(f'round(max(norm) FILTER (month = {m} AND slot = {s}), 5) AS "M{m:02d}_Q{s}"' for m in (1, 2, 3) for s in (1, 12, 24))} FROM {SCALED} GROUP BY key""")
+@register("profile_matrix", f"""SELECT key, {', '.join(f'round(max(norm) FILTER (month = {m} AND slot = {s}), 5) AS "M{m:02d}_Q{s}"' for m in range(1, 13) for s in range(1, 25))} FROM {SCALED} GROUP BY key""")
 def profile_matrix(spark, sf):
-    """The wide form, for a few of its columns."""
-    cells = [(m, s) for m in (1, 2, 3) for s in (1, 12, 24)]
-    return _scaled(spark, sf).groupBy("key").agg(*[F.round(F.max(F.when((F.col("month") == m) & (F.col("slot") == s), F.col("norm"))), 5).alias(f"M{m:02d}_Q{s}") for m, s in cells])
+    """The wide form: a column for each month and hour, null in a month without data."""
+    dense, months = _packed(spark, sf, "scaled")
+    place = {m: 24 * i for i, m in enumerate(months)}
+    cell = lambda m, s: F.round(F.col("norm")[place[m] + s - 1], 5) if m in place else F.lit(None).cast("double")
+    return dense.select("key", *[cell(m, s).alias(f"M{m:02d}_Q{s}") for m in range(1, 13) for s in range(1, 25)])
 
 
 @register("band_pm_sigma", f"SELECT kind, hour, round(m, 4) AS mean, round(greatest(0, m - s), 4) AS low, round(least(1, m + s), 4) AS high FROM (SELECT kind, CAST(hour(ts) AS INT) AS hour, avg(value / 500) AS m, stddev_samp(value / 500) AS s FROM {READINGS} GROUP BY ALL)")
