@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import count_and_percent
 from .compare import pearson
+from .linkage import apart
 
 
 def long_form(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
@@ -110,8 +111,10 @@ def davies_bouldin(long: DataFrame) -> DataFrame:
     return ratios.groupBy("a").agg(F.max("r").alias("r")).agg(F.count(F.lit(1)).alias("k"), F.avg("r").alias("davies_bouldin"))
 
 
-#: Members of a block, whose distances to another block's are one matrix product.
-BLOCK = 1024
+#: Least members of a block and most bytes of its vectors; the distances of TILE members to a block are one matrix product.
+BLOCK, BLOCK_BYTES, TILE = 1024, 4_000_000, 1024
+#: Most tasks of a product.
+MOST_TASKS = 8192
 
 
 def _products(batches):
@@ -119,58 +122,100 @@ def _products(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             x, y = (batch.column(c)[row].values for c in ("x", "y"))
-            m, o = (np.array(s.field("vector").to_pylist(), float).reshape(len(s), -1) for s in (x, y))
-            d = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (o * o).sum(1)[None, :] - 2 * m @ o.T, 0))
-            if batch.column("i")[row] == batch.column("j")[row]:
-                np.fill_diagonal(d, 0.0)
-                sides = [(x, y, d)]
-            else:
-                sides = [(x, y, d), (y, x, d.T)]
-            for own, other, far in sides:
-                found = other.field("cluster").dictionary_encode()
-                code = found.indices.to_numpy()
-                sums = np.stack([far[:, code == k].sum(1) for k in range(len(found.dictionary))], 1)
-                n, k = sums.shape
+            m, o = (np.asarray(s.field("vector").flatten().to_numpy(zero_copy_only=False), float).reshape(len(s), -1) for s in (x, y))
+            one = batch.column("i")[row] == batch.column("j")[row]
+            codes = [s.field("cluster").dictionary_encode() for s in (x, y)]
+            hot = [np.eye(len(c.dictionary))[c.indices.to_numpy()] for c in codes]
+            sums = [np.zeros((len(x), hot[1].shape[1])), np.zeros((len(y), hot[0].shape[1]))]
+            for i in range(0, len(o), TILE):
+                d = apart(m, o[i : i + TILE])
+                if one:
+                    d[np.arange(i, min(i + TILE, len(o))), np.arange(d.shape[1])] = 0.0
+                sums[0] += d @ hot[1][i : i + TILE]
+                if not one:
+                    sums[1][i : i + TILE] = d.T @ hot[0]
+            for own, total, other in [(x, sums[0], 1), (y, sums[1], 0)][: 1 if one else 2]:
+                n, k = total.shape
                 at = pa.array(np.repeat(np.arange(n), k))
-                yield pa.RecordBatch.from_arrays(
-                    [own.field("key").take(at), own.field("cluster").take(at), found.dictionary.take(pa.array(np.tile(np.arange(k), n))), pa.array(sums.ravel()), pa.array(np.tile(np.bincount(code, minlength=k), n))],
-                    ["ka", "ca", "cb", "s", "n"],
-                )
+                count = np.tile(hot[other].sum(axis=0).astype(np.int64), n)
+                part = pa.array([batch.column("part")[row].as_py()] * (n * k), batch.schema.field("part").type)
+                yield pa.RecordBatch.from_arrays([part, own.field("key").take(at), own.field("cluster").take(at), codes[other].dictionary.take(pa.array(np.tile(np.arange(k), n))), pa.array(total.ravel()), pa.array(count)], ["part", "ka", "ca", "cb", "s", "n"])
 
 
-def distance_sums(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
-    """``ka, ca, cb, s, n``: each member's Euclidean distances to the members of each cluster, their sum and number (itself included, at 0).
+def distance_sums(df: DataFrame, key: str, cluster: str, vector: str, part: str | None = None, own: bool = False) -> DataFrame:
+    """``part, ka, ca, cb, s, n``: each member's Euclidean distances to the members of each cluster of its part, their sum and number (itself included, at 0).
 
-    Members are dealt into blocks of about BLOCK; a pair of blocks is one matrix product, and its sums by cluster are added up. The
-    work is the square of the members, for the tables of profiles that are clustered.
+    Members are dealt into blocks within their part; a pair of blocks is a few matrix products, and its sums by cluster are added up. With ``own`` only the own cluster is asked for, and blocks are dealt
+    within it, so that no other pair is looked at. A block holds as many members as leave a few pairs to each core, BLOCK_BYTES of vectors at most: it is sent to every
+    other block of its part, and the larger blocks are, the fewer these are.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null and cluster is not null")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    packed = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("i")).agg(F.collect_list(F.struct("key", "cluster", "vector")).alias("x"))
-    left = packed.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
-    pairs = left.join(packed.select(F.col("i").alias("j"), F.col("x").alias("y")), "j").select("i", "j", "x", "y").repartition(max(1, blocks * (blocks + 1) // 2), "i", "j")
+    rows = df.select((F.col(part) if part else F.lit(0)).alias("part"), F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null and cluster is not null")
+    dealt = ["part", "cluster"] if own else ["part"]
+    sizes = rows.groupBy(*dealt).agg(F.count(F.lit(1)).alias("members"), F.max(F.size("vector")).alias("width"))
+    most = sizes.agg(F.max("members").alias("members"), F.max("width").alias("width")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = max(BLOCK, min(BLOCK_BYTES // (8 * max(1, most["width"] or 1)), round((most["members"] or 1) / (2 * cores) ** 0.5)))
+    blocks = sizes.select(*[F.col(c).alias(f"__{c}") for c in dealt], F.ceil(F.col("members") / size).cast("int").alias("blocks"))
+    number = blocks.agg(F.sum(F.expr("cast(blocks as long) * (blocks + 1) div 2"))).first()[0] or 1
+    same = rows["part"].eqNullSafe(F.col("__part"))
+    tagged = rows.join(blocks, same & rows["cluster"].eqNullSafe(F.col("__cluster")) if own else same)
+    named = [*dealt, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("i")]
+    packed = tagged.groupBy(*named).agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("key", "cluster", "vector")).alias("x"))
+    left = packed.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1))).drop("blocks")
+    right = packed.select(*[F.col(c).alias(f"__{c}") for c in dealt], F.col("i").alias("__j"), F.col("x").alias("y"))
+    match = (F.col("j") == F.col("__j")) & F.col("part").eqNullSafe(F.col("__part"))
+    pairs = left.join(right, match & F.col("cluster").eqNullSafe(F.col("__cluster")) if own else match)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    sums = pairs.mapInArrow(_products, f"ka {kinds['key']}, ca {kinds['cluster']}, cb {kinds['cluster']}, s double, n long")
-    return sums.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    sums = pairs.select("part", "i", "j", "x", "y", *(["cluster"] if own else [])).repartition(max(1, min(MOST_TASKS, number)), *dealt, "i", "j").select("part", "i", "j", "x", "y")
+    sums = sums.mapInArrow(_products, f"part {kinds['part']}, ka {kinds['key']}, ca {kinds['cluster']}, cb {kinds['cluster']}, s double, n long")
+    return sums.groupBy("part", "ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
-    """Mean silhouette with Euclidean distances, over the sums of :func:`distance_sums`."""
-    sums = distance_sums(df, key, cluster, vector)
+def silhouettes(sums: DataFrame) -> DataFrame:
+    """``part, n, silhouette``: the mean silhouette of each part, from :func:`distance_sums`."""
     own = F.max(F.when(F.col("ca") == F.col("cb"), F.try_divide(F.col("s"), F.col("n") - 1)))
     size = F.max(F.when(F.col("ca") == F.col("cb"), F.col("n")))
     near = F.min(F.when(F.col("ca") != F.col("cb"), F.col("s") / F.col("n")))
-    each = sums.groupBy("ka").agg(own.alias("a"), near.alias("b"), size.alias("size"))
+    each = sums.groupBy("part", "ka").agg(own.alias("a"), near.alias("b"), size.alias("size"))
     s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
+    return each.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
+
+
+def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
+    """Mean silhouette with Euclidean distances, over the sums of :func:`distance_sums`; a row even of nothing."""
+    got = silhouettes(distance_sums(df, key, cluster, vector))
+    return got.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("silhouette").alias("silhouette"))
 
 
 def mean_distances(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     """By cluster the mean distance of two of its members; 0 where it has one."""
-    own = distance_sums(df, key, cluster, vector).where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.sum("s").alias("s"), F.max("n").alias("n"))
+    own = distance_sums(df, key, cluster, vector, own=True).groupBy(F.col("ca").alias("cluster")).agg(F.sum("s").alias("s"), F.max("n").alias("n"))
     return own.select("cluster", F.coalesce(F.try_divide(F.col("s"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("mean_distance"))
 
 
+def validity(df: DataFrame, part: str, key: str, cluster: str, vector: str) -> DataFrame:
+    """``part, clusters, silhouette, calinski_harabasz, davies_bouldin, inertia, dispersion`` of every part's clustering; the first three are null unless there are at least two clusters and fewer than members."""
+    rows = df.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("vector"))
+    sums = distance_sums(rows, "key", "cluster", "vector", "part")
+    own = sums.where("ca = cb").groupBy("part", "ca").agg((F.sum("s") / 2 / F.max("n")).alias("w")).groupBy("part").agg(F.sum("w").alias("dispersion"))
+    long = rows.select("part", "key", "cluster", F.posexplode("vector").alias("slot", "v"))
+    means = long.groupBy("part", "cluster", "slot").agg(F.avg("v").alias("c"), F.count(F.lit(1)).alias("size"))
+    overall = long.groupBy("part", "slot").agg(F.avg("v").alias("g"))
+    squares = long.join(means, ["part", "cluster", "slot"]).groupBy("part", "cluster", "key").agg(F.sum(F.pow(F.col("v") - F.col("c"), 2)).alias("sq"))
+    within = squares.groupBy("part", "cluster").agg(F.sum("sq").alias("sq"), F.avg(F.sqrt("sq")).alias("spread"), F.count(F.lit(1)).alias("size"))
+    between = means.join(overall, ["part", "slot"]).groupBy("part").agg(F.sum(F.col("size") * F.pow(F.col("c") - F.col("g"), 2)).alias("between"))
+    total = within.groupBy("part").agg(F.sum("sq").alias("inertia"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("clusters"))
+    side = lambda x: means.select("part", "slot", F.col("cluster").alias(x), F.col("c").alias(f"v{x}"))
+    apart_ = side("a").join(side("b"), ["part", "slot"]).where("a <> b").groupBy("part", "a", "b").agg(F.sqrt(F.sum(F.pow(F.col("va") - F.col("vb"), 2))).alias("m"))
+    spread = lambda x: within.select("part", F.col("cluster").alias(x), F.col("spread").alias(f"s{x}"))
+    worst = apart_.join(spread("a"), ["part", "a"]).join(spread("b"), ["part", "b"]).groupBy("part", "a").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), F.col("m"))).alias("r"))
+    db = worst.groupBy("part").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("davies_bouldin"))
+    ok = (F.col("clusters") >= 2) & (F.col("clusters") < F.col("members"))
+    ch = F.coalesce(F.try_divide(F.col("between") * (F.col("members") - F.col("clusters")), F.col("inertia") * (F.col("clusters") - 1)), F.lit(1.0))
+    got = total.join(between, "part").join(silhouettes(sums).drop("n"), "part").join(own, "part").join(db, "part", "left")
+    return got.select("part", "clusters", *[F.when(ok, c).alias(n) for n, c in (("silhouette", F.col("silhouette")), ("calinski_harabasz", ch), ("davies_bouldin", F.col("davies_bouldin")))], "inertia", "dispersion")
+
+
 def stats(long: DataFrame) -> DataFrame:
     """Size, share, slots of the peak and of the trough, greatest, least and mean value of each centroid, and the mean over slots of the standard deviation."""
     c = centroids(long)

@@ -8,23 +8,36 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Points that one task clusters at most: the distances of 6000 take 288 MB.
-MOST_POINTS = 6000
-#: Most points of a group for single linkage.
-MOST_SINGLE = 50_000
+#: Squared distances below this share of the squared lengths are taken anew, from differences.
+CLOSE = 1e-6
+#: Cells of differences at once.
+CELLS = 4_000_000
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x to those of y: by one product, and for close rows, where that loses digits, from their differences."""
+    mean = x.mean(axis=0) if len(x) else 0.0
+    x, y = x - mean, y - mean
+    both = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    d = both - 2 * x @ y.T
+    row, column = np.nonzero(d <= CLOSE * both)
+    step = max(1, CELLS // max(1, x.shape[1]))
+    for i in range(0, len(row), step):
+        r, c = row[i : i + step], column[i : i + step]
+        d[r, c] = ((x[r] - y[c]) ** 2).sum(axis=1)
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
 
 
 def distances(x: np.ndarray) -> np.ndarray:
     """Euclidean, of all pairs."""
-    sq = (x * x).sum(axis=1)
-    d = sq[:, None] + sq[None, :] - 2 * x @ x.T
-    np.maximum(d, 0, out=d)
-    np.sqrt(d, out=d)
+    d = apart(x, x)
+    d = (d + d.T) / 2
     np.fill_diagonal(d, 0)
     return d
 
 
-def _numbered(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
+def numbered(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
     """Merges of points that stand for their clusters -> the merge table."""
     merges = [merges[i] for i in np.argsort([m[2] for m in merges], kind="stable")]
     top, name, size = list(range(n)), list(range(n)), [1] * n
@@ -45,14 +58,11 @@ def _numbered(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
     return out
 
 
-def average(x: np.ndarray) -> np.ndarray:
-    """Average linkage along chains of nearest neighbours."""
-    n = len(x)
-    if n > MOST_POINTS:
-        raise ValueError(f"{n} points in one group; at most {MOST_POINTS} are clustered together")
-    d = distances(x)
+def merges_by_average(d: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (each by two members) of clusters of ``size`` points with the mean distances ``d``, along chains of nearest neighbours; d is used up."""
+    n = len(d)
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
+    size = size.astype(float)
     alive = np.ones(n, bool)
     merges, chain = [], []
     for _ in range(n - 1):
@@ -74,25 +84,32 @@ def average(x: np.ndarray) -> np.ndarray:
         d[b], d[:, b] = np.inf, np.inf
         size[a] += size[b]
         alive[b] = False
-    return _numbered(merges, n)
+    return merges
 
 
-def single(x: np.ndarray) -> np.ndarray:
-    """Single linkage by the shortest spanning tree; needs one row of distances at a time, and time for the square of the points."""
-    n = len(x)
-    if n > MOST_SINGLE:
-        raise ValueError(f"{n} points in one group; at most {MOST_SINGLE} are linked in one task")
+def merges_by_single(d: np.ndarray) -> list[tuple[int, int, float]]:
+    """The shortest spanning tree of clusters with the least distances ``d``."""
+    n = len(d)
     best, source = np.full(n, np.inf), np.zeros(n, int)
     outside = np.ones(n, bool)
     at, merges = 0, []
     for _ in range(n - 1):
         outside[at] = False
-        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
-        nearer = outside & (d < best)
-        best[nearer], source[nearer] = d[nearer], at
+        nearer = outside & (d[at] < best)
+        best[nearer], source[nearer] = d[at][nearer], at
         at = int(np.argmin(np.where(outside, best, np.inf)))
         merges.append((int(source[at]), at, float(best[at])))
-    return _numbered(merges, n)
+    return merges
+
+
+def average(x: np.ndarray) -> np.ndarray:
+    """The merge table of average linkage, for as many points as fit a square of distances."""
+    return numbered(merges_by_average(distances(x), np.ones(len(x))), len(x))
+
+
+def single(x: np.ndarray) -> np.ndarray:
+    """The merge table of single linkage, likewise."""
+    return numbered(merges_by_single(distances(x)), len(x))
 
 
 def cut(z: np.ndarray, k: int) -> np.ndarray:
@@ -168,19 +185,6 @@ def dispersion(x: np.ndarray, labels: np.ndarray) -> float:
     return float(sum(distances(x[labels == c]).sum() / 2 / (labels == c).sum() for c in np.unique(labels)))
 
 
-def gaps(x: np.ndarray, z: np.ndarray, ks: list[int], references: int = 10, seed: int = 42) -> dict[int, float]:
-    """Gap statistic of each k, against uniform points in the box of x. Each reference is linked once and cut at every k."""
-    rng = np.random.default_rng(seed)
-    lo, hi = x.min(axis=0), x.max(axis=0)
-    logs = {k: [] for k in ks}
-    for _ in range(references):
-        r = rng.uniform(lo, hi, x.shape)
-        t = average(r)
-        for k in ks:
-            logs[k].append(np.log(max(dispersion(r, cut(t, k)), 1e-300)))
-    return {k: float(np.mean(logs[k]) - np.log(max(dispersion(x, cut(z, k)), 1e-300))) for k in ks}
-
-
 def elbow(ks: list[int], values: list[float]) -> int | None:
     """The first k whose relative drop is below the mean drop, else the first that has a drop; none after an inertia of 0."""
     if len(values) < 3:
@@ -192,36 +196,5 @@ def elbow(ks: list[int], values: list[float]) -> int | None:
     return next((k for k, d in drops.items() if d < mean), next(iter(drops)))
 
 
-def votes(x: np.ndarray, z: np.ndarray, ks: list[int]) -> dict[str, int]:
-    """The k that each method names."""
-    d = distances(x)
-    cuts = {k: cut(z, k) for k in ks}
-
-    def best(score, least: bool = False) -> int | None:
-        got = {k: v for k in ks if np.isfinite(v := score(cuts[k]))}
-        return (min if least else max)(got, key=got.get) if got else None
-
-    g = gaps(x, z, ks)
-    out = {
-        "silhouette": best(lambda c: silhouette(d, c)),
-        "calinski_harabasz": best(lambda c: calinski_harabasz(x, c)),
-        "davies_bouldin": best(lambda c: davies_bouldin(x, c), least=True),
-        "elbow": elbow(ks, [inertia(x, cuts[k]) for k in ks]),
-        "gap": max(g, key=g.get) if g else None,
-    }
-    return {m: k for m, k in out.items() if k is not None}
-
-
-def choose(found: dict[str, int], default: int = 3) -> int:
-    """The k with most votes; among ties the elbow's, else the smallest."""
-    if not found:
-        return default
-    counts: dict[int, int] = {}
-    for k in found.values():
-        counts[k] = counts.get(k, 0) + 1
-    tied = [k for k, c in counts.items() if c == max(counts.values())]
-    return found["elbow"] if found.get("elbow") in tied else min(tied)
-
-
 def candidates(n: int) -> list[int]:
     return list(range(3, min(10, max(3, int(np.sqrt(n)))) + 1))
