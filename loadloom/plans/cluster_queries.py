@@ -25,9 +25,9 @@ def _profiles(spark, sf):
 
 
 #: The same in SQL, and the distances of the members of each group. Members are numbered by their key as text.
-POINTS = f"""p AS MATERIALIZED (SELECT key, key % 5 AS grp, list(v ORDER BY hour) AS q, row_number() OVER (PARTITION BY key % 5 ORDER BY CAST(key AS VARCHAR)) AS i FROM (SELECT k.key, h.hour, coalesce(avg(v), 0) AS v
-FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT range AS hour FROM range(24)) h LEFT JOIN (SELECT key, month(ts) AS month, hour(ts) AS hour, avg(value) AS v FROM {READINGS} GROUP BY ALL) r ON r.key = k.key AND r.hour = h.hour GROUP BY ALL) GROUP BY key),
-d AS MATERIALIZED (SELECT a.grp, a.i, b.i AS j, list_distance(a.q, b.q) AS d FROM p a JOIN p b ON a.grp = b.grp)"""
+MEMBERS = f"""p AS MATERIALIZED (SELECT key, key % 5 AS grp, list(v ORDER BY hour) AS q, row_number() OVER (PARTITION BY key % 5 ORDER BY CAST(key AS VARCHAR)) AS i FROM (SELECT k.key, h.hour, coalesce(avg(v), 0) AS v
+FROM (SELECT DISTINCT key FROM {READINGS}) k CROSS JOIN (SELECT range AS hour FROM range(24)) h LEFT JOIN (SELECT key, month(ts) AS month, hour(ts) AS hour, avg(value) AS v FROM {READINGS} GROUP BY ALL) r ON r.key = k.key AND r.hour = h.hour GROUP BY ALL) GROUP BY key)"""
+POINTS = f"{MEMBERS}, d AS MATERIALIZED (SELECT a.grp, a.i, b.i AS j, list_distance(a.q, b.q) AS d FROM p a JOIN p b ON a.grp = b.grp)"
 #: Average linkage, a merge a step: by member the label and the number of its cluster, and the merge that was made.
 AVERAGE = f"""{POINTS}, c(grp, step, labels, ids, a, b, height) AS (SELECT grp, 0, list(i ORDER BY i), list(i - 1 ORDER BY i), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM p GROUP BY grp
 UNION ALL SELECT c.grp, step + 1, list_transform(labels, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END), list_transform(ids, lambda x, k: CASE WHEN labels[k] = m.a OR labels[k] = m.b THEN len(labels) + step ELSE x END), ids[m.a], ids[m.b], m.h
@@ -38,6 +38,45 @@ OUTLIERS = f"""{POINTS}{NEAREST}, h AS (SELECT d.grp, d.d, row_number() OVER (PA
 t AS (SELECT n.grp, coalesce(max(h.d) FILTER (k = n - 20), -1) AS t FROM n LEFT JOIN h USING (grp) GROUP BY n.grp), f AS (SELECT CAST(m8.grp AS VARCHAR) AS grp, CAST(p.key AS VARCHAR) AS key, min(CAST(o.key AS VARCHAR)) AS cluster, count(*) AS size FROM m8 JOIN t USING (grp) JOIN p ON p.grp = m8.grp AND p.i = m8.i JOIN p o ON o.grp = m8.grp AND o.i = m8.j WHERE m8.d <= t OR m8.i = m8.j GROUP BY m8.grp, p.key HAVING count(*) < 5)"""
 
 
+#: Number j of a counter-based generator, as in :func:`..operators.clustering.uniform`.
+UNIFORM = "((x3 * x3 + x2) % 2147483647) / CAST(2147483647 AS DOUBLE)"
+
+
+def _votes_sql(points: str) -> str:
+    """Scores by group and k in SQL, for ``points`` (grp, i, q), numbered within the group: every set of points, its merges, its cuts and what they are worth."""
+    return f"""g AS MATERIALIZED (SELECT grp, i, q FROM {points}), n AS MATERIALIZED (SELECT grp, count(*) AS n, greatest(3, least(10, CAST(floor(sqrt(count(*))) AS BIGINT))) AS most FROM g GROUP BY grp HAVING count(*) >= 5),
+v AS (SELECT grp, i, unnest(range(len(q))) AS j, unnest(q) AS v FROM g), b AS MATERIALIZED (SELECT grp, j, min(v) AS lo, max(v) AS hi, count(*) OVER (PARTITION BY grp) AS w FROM v GROUP BY grp, j),
+u AS (SELECT g.grp, r.range AS ref, i, j, lo, hi, (r.range * n + i - 1) * w + j + 1 AS c FROM g JOIN n USING (grp) JOIN b USING (grp) CROSS JOIN range(10) r), u1 AS (SELECT *, (c * 48271 + 12345) % 2147483647 AS x1 FROM u),
+u2 AS (SELECT *, (x1 * x1 + c) % 2147483647 AS x2 FROM u1), u3 AS (SELECT *, (x2 * 69621 + x1) % 2147483647 AS x3 FROM u2),
+s AS MATERIALIZED (SELECT grp, -1 AS ref, i, q FROM g JOIN n USING (grp) UNION ALL SELECT grp, ref, i, list(lo + {UNIFORM} * (hi - lo) ORDER BY j) FROM u3 GROUP BY grp, ref, i),
+d AS MATERIALIZED (SELECT a.grp, a.ref, a.i, b.i AS j, list_distance(a.q, b.q) AS d FROM s a JOIN s b ON a.grp = b.grp AND a.ref = b.ref),
+c(grp, ref, step, labels) AS (SELECT grp, ref, 0, list(i ORDER BY i) FROM s GROUP BY grp, ref UNION ALL SELECT c.grp, c.ref, step + 1, list_transform(labels, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END)
+FROM c, LATERAL (SELECT a, b FROM (SELECT c.labels[d.i] AS a, c.labels[d.j] AS b, avg(d.d) AS h FROM d WHERE d.grp = c.grp AND d.ref = c.ref AND c.labels[d.i] < c.labels[d.j] GROUP BY ALL) ORDER BY h, a, b LIMIT 1) m WHERE step < len(labels) - 3),
+l AS MATERIALIZED (SELECT c.grp, ref, n - step AS k, unnest(range(1, n + 1)) AS i, unnest(labels) AS c FROM c JOIN n ON n.grp = c.grp AND n - step BETWEEN 3 AND most),
+t AS (SELECT l.grp, l.ref, l.k, l.i, l.c, o.c AS o, sum(d) AS s, count(*) AS m FROM l JOIN l o ON o.grp = l.grp AND o.ref = l.ref AND o.k = l.k JOIN d ON d.grp = l.grp AND d.ref = l.ref AND d.i = l.i AND d.j = o.i WHERE l.ref = -1 OR l.c = o.c GROUP BY ALL),
+w AS (SELECT grp, ref, k, ln(greatest(sum(s / 2 / m), 1e-300)) AS w FROM t WHERE c = o GROUP BY ALL), gap AS (SELECT grp, k, avg(w) FILTER (ref >= 0) - max(w) FILTER (ref = -1) AS gap FROM w GROUP BY ALL),
+e AS (SELECT grp, k, i, max(m) FILTER (c = o) AS size, max(s / nullif(m - 1, 0)) FILTER (c = o) AS a, min(s / m) FILTER (c <> o) AS b FROM t WHERE ref = -1 GROUP BY ALL),
+sil AS (SELECT grp, k, CASE WHEN k < count(*) THEN avg(CASE WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) END AS silhouette FROM e GROUP BY grp, k),
+z AS MATERIALIZED (SELECT l.grp, k, c, l.i, j, v, avg(v) OVER (PARTITION BY l.grp, k, c, j) AS mean, avg(v) OVER (PARTITION BY l.grp, k, j) AS whole FROM l JOIN v ON v.grp = l.grp AND v.i = l.i WHERE ref = -1),
+i AS (SELECT grp, k, sum(pow(v - mean, 2)) AS inertia, sum(pow(mean - whole, 2)) AS between, count(DISTINCT i) AS n FROM z GROUP BY ALL),
+sp AS (SELECT grp, k, c, avg(r) AS r FROM (SELECT grp, k, c, i, sqrt(sum(pow(v - mean, 2))) AS r FROM z GROUP BY ALL) GROUP BY ALL), mean AS (SELECT DISTINCT grp, k, c, j, mean FROM z),
+ap AS (SELECT a.grp, a.k, a.c, b.c AS o, sqrt(sum(pow(a.mean - b.mean, 2))) AS m FROM mean a JOIN mean b ON a.grp = b.grp AND a.k = b.k AND a.j = b.j AND a.c <> b.c GROUP BY ALL),
+db AS (SELECT grp, k, avg(r) AS davies_bouldin FROM (SELECT ap.grp, ap.k, ap.c, max((x.r + y.r) / nullif(m, 0)) AS r FROM ap JOIN sp x ON x.grp = ap.grp AND x.k = ap.k AND x.c = ap.c JOIN sp y ON y.grp = ap.grp AND y.k = ap.k AND y.c = ap.o GROUP BY ALL) GROUP BY ALL),
+f AS MATERIALIZED (SELECT grp, k, silhouette, CASE WHEN k < n THEN coalesce(between * (n - k) / nullif(inertia * (k - 1), 0), 1) END AS ch, CASE WHEN k < n THEN davies_bouldin END AS db, inertia, gap FROM i JOIN sil USING (grp, k) JOIN gap USING (grp, k) LEFT JOIN db USING (grp, k)),
+dr AS (SELECT *, CASE WHEN lag(inertia) OVER w > 0 THEN (lag(inertia) OVER w - inertia) / lag(inertia) OVER w END AS drop FROM f WINDOW w AS (PARTITION BY grp ORDER BY k)), dm AS (SELECT *, avg(drop) OVER (PARTITION BY grp) AS m FROM dr),
+vote AS MATERIALIZED (SELECT grp, 'silhouette' AS method, first(k ORDER BY silhouette DESC, k) AS k FROM f WHERE silhouette IS NOT NULL GROUP BY grp UNION ALL SELECT grp, 'calinski_harabasz', first(k ORDER BY ch DESC, k) FROM f WHERE ch IS NOT NULL GROUP BY grp
+UNION ALL SELECT grp, 'davies_bouldin', first(k ORDER BY db, k) FROM f WHERE db IS NOT NULL GROUP BY grp UNION ALL SELECT grp, 'gap', first(k ORDER BY gap DESC, k) FROM f GROUP BY grp
+UNION ALL SELECT grp, 'elbow', e FROM (SELECT grp, coalesce(min(k) FILTER (drop < m), min(k) FILTER (drop IS NOT NULL)) AS e FROM dm GROUP BY grp HAVING count(*) >= 3) WHERE e IS NOT NULL),
+chosen AS MATERIALIZED (SELECT grp, first(k ORDER BY n DESC, k <> e, k) AS k FROM (SELECT grp, k, count(*) AS n, coalesce((SELECT o.k FROM vote o WHERE o.grp = vote.grp AND o.method = 'elbow'), -1) AS e FROM vote GROUP BY grp, k) GROUP BY grp)"""
+
+
+#: Users by month, their hours as vectors.
+BY_MONTH = f"""(SELECT grp, key, q, row_number() OVER (PARTITION BY grp ORDER BY CAST(key AS VARCHAR)) AS i FROM (SELECT k.grp, k.key, list(coalesce(r.v, 0) ORDER BY h.range) AS q FROM (SELECT DISTINCT key, month(ts) AS grp FROM {READINGS}) k CROSS JOIN range(24) h
+LEFT JOIN (SELECT key, month(ts) AS grp, hour(ts) AS hour, avg(value) AS v FROM {READINGS} GROUP BY ALL) r ON r.key = k.key AND r.grp = k.grp AND r.hour = h.range GROUP BY ALL))"""
+SETS = f"WITH RECURSIVE {MEMBERS}, {_votes_sql('p')}"
+MONTHS = f"WITH RECURSIVE p AS MATERIALIZED {BY_MONTH}, {_votes_sql('p')}"
+
+
 def _by_least_key(df):
     """Clusters by the least key of their members in place of a number."""
     return df.withColumn("cluster", F.min("key").over(Window.partitionBy("grp", "cluster")))
@@ -129,12 +168,12 @@ def cluster_average(spark, sf):
     return _by_least_key(clustering.assign(_profiles(spark, sf), "grp", "key", "features", 4))
 
 
-@register("auto_k_vote")
+@register("auto_k_vote", f"{SETS} SELECT CAST(grp AS VARCHAR) AS grp, method, CAST(k AS INT) AS k FROM vote UNION ALL SELECT CAST(grp AS VARCHAR), 'chosen', CAST(k AS INT) FROM chosen")
 def auto_k_vote(spark, sf):
     return clustering.vote_table(_profiles(spark, sf), "grp", "key", "features")
 
 
-@register("gap_statistic")
+@register("gap_statistic", f"{SETS} SELECT CAST(grp AS VARCHAR) AS grp, CAST(k AS INT) AS k, round(gap, 6) AS gap FROM f")
 def gap_statistic(spark, sf):
     return clustering.gap_table(_profiles(spark, sf), "grp", "key", "features").withColumn("gap", F.round("gap", 6))
 
@@ -175,24 +214,12 @@ def outlier_composition(spark, sf):
 e AS (SELECT a.key AS a, b.key AS b FROM p a JOIN p b ON a.key % 5 = b.key % 5 AND list_distance(a.q, b.q) <= 150), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS key, min(b) AS cluster FROM c GROUP BY a""")
 def single_linkage_at_distance(spark, sf):
     """Single linkage of each group of keys cut at a distance: components of the merges below it, named by their least key."""
-    import pandas as pd
-
-    from ..operators import linkage
-
     h = readings(spark, sf).groupBy("key", F.hour("ts").alias("hour")).agg(F.round(F.avg("value"), 6).alias("v"))
     grid = h.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("m"))
     q = grid.select("key", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("features"), (F.col("key") % 5).alias("grp"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        import numpy as np
-
-        z = linkage.single(np.stack([np.asarray(v, float) for v in pdf["features"]]))
-        labels = linkage.cut(z, len(pdf) - int((z[:, 2] <= 150).sum()))
-        pdf["cluster"] = pdf.groupby(labels)["key"].transform("min")
-        return pdf[["key", "cluster"]]
-
-    return q.groupBy("grp").applyInPandas(run, "key long, cluster long")
+    # Keys of one length sort as numbers do.
+    got = clustering.at_distance(q.withColumn("name", F.format_string("%019d", "key")), "grp", "name", "features", 150)
+    return got.select(F.col("key").cast("long").alias("key"), F.col("cluster").cast("long").alias("cluster"))
 
 
 EVENTS = f"(SELECT *, CAST(key % 4 AS INT) AS cluster, CAST(key % 3 AS INT) AS other FROM {READINGS})"
@@ -248,17 +275,28 @@ def sorted_columns(spark, sf):
     return n.select("cluster", F.row_number().over(Window.orderBy(F.col("n").desc(), "cluster")).alias("rank"))
 
 
+#: The next two in SQL, which takes minutes over more than a few users a month; tests hold them against it on the smallest tables.
+MONTHLY_SQL = f"""{MONTHS} SELECT CAST(p.grp AS VARCHAR) AS grp, CAST(key AS VARCHAR) AS key, min(CAST(key AS VARCHAR)) OVER (PARTITION BY p.grp, l.c) AS cluster, CAST(l.k AS INT) AS k
+FROM p JOIN chosen USING (grp) JOIN l ON l.grp = p.grp AND l.ref = -1 AND l.k = chosen.k AND l.i = p.i"""
+K_SQL = f"{MONTHS} SELECT {', '.join(f'CAST(max(k) FILTER (grp = {m}) AS INT) AS {chr(34)}{m}{chr(34)}' for m in range(1, 13))} FROM chosen"
+
+
 @register("monthly_recluster")
 def monthly_recluster(spark, sf):
-    """Each of the twelve months clustered anew with its own k."""
+    """Each of the twelve months clustered anew with its own k; clusters by their least key."""
+    return _by_least_key(clustering.assign(_months(spark, sf), "grp", "key", "features"))
+
+
+def _months(spark, sf):
+    """Users' hours by month as vectors."""
     h = readings(spark, sf).groupBy("key", F.month("ts").alias("grp"), F.hour("ts").alias("hour")).agg(F.avg("value").alias("v"))
     grid = h.groupBy("key", "grp").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("m"))
     q = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return clustering.assign(grid.select("key", "grp", q.alias("features")), "grp", "key", "features")
+    return grid.select("key", "grp", q.alias("features"))
 
 
 @register("k_per_group")
 def k_per_group(spark, sf):
     """One row with the k of each group."""
-    got = monthly_recluster(spark, sf).groupBy("grp").agg(F.max("k").alias("k"))
+    got = clustering.vote_table(_months(spark, sf), "grp", "key", "features").where("method = 'chosen'")
     return got.groupBy().pivot("grp", [str(m) for m in range(1, 13)]).agg(F.max("k"))

@@ -8,8 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loadloom.operators import clustering, compare, composition, funnel, linkage, profiles
+from loadloom.operators import clustering, compare, composition, forest, funnel, linkage, profiles, ranking
 
 
 def grid(spark, values, months):
@@ -32,6 +33,34 @@ def test_interpolation_limit(spark):
     assert filled(spark, [1.0, None, 3.0, None], (1, 2))[1] == pytest.approx(2.0)
 
 
+@pytest.mark.parametrize("by_slot", [True, False])
+def test_packed_cells_by_the_plain_rules(spark, by_slot):
+    """The kernel over arrays gives what the windows over a joined grid give, step by step."""
+    rng = np.random.default_rng(12)
+    rows = [(k, m, s, float(rng.integers(-3, 9))) for k in range(12) for m in (2, 5, 11) for s in range(1, 13) if rng.random() < (0.02, 0.3, 0.9)[k % 3]]
+    rows += [(90, 2, 3, 0.0), (91, 5, 1, None), (92, 2, 1, 4.0), (None, 2, 1, 1.0)]
+    means = spark.createDataFrame(rows, "key int, month int, slot int, v double")
+    months = profiles.observed_months(means, F.col("month"))
+    assert months == [2, 5, 11]
+    grid = profiles.complete_grid(means.where("key is not null"), "key", "slot", 12)
+    lined = profiles.interpolate(grid, "key", "slot", 3, by_slot)
+    filled = profiles.fill_within_month(lined, "key", "slot")
+    whole = profiles.drop_all_zero(profiles.fill_with_median(filled, "key"), "key")
+    scaled = profiles.minmax(whole, ["key", "month"])
+    for step, want in zip(profiles.STEPS, (lined, filled, whole, scaled), strict=True):
+        dense = profiles.packed(means, "key", months, count=12, step=step, limit=3, by_slot=by_slot)
+        got = profiles.unpacked(dense, "key", months, count=12)
+        columns = ["key", "month", "slot", *[c for c in ("v", "norm") if c in got.columns]]
+        plain = lambda d: {tuple(r)[:3]: tuple(r)[3:] for r in d.select(*columns).collect()}
+        a, b = plain(got), plain(want)
+        assert a.keys() == b.keys()
+        for k in a:
+            assert [x is None for x in a[k]] == [x is None for x in b[k]] and [x for x in a[k] if x is not None] == pytest.approx([x for x in b[k] if x is not None])
+    assert profiles.packed(means.limit(0), "key", [1, 2], count=12).count() == 0
+    plan = profiles.packed(means, "key", months, count=12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+
+
 def test_daily_profiles(spark):
     day = datetime.date(2025, 1, 1)
     rows = [("a", day, [float(i) for i in range(96)]), ("zero", day, [0.0] * 96), ("flat", day, [5.0] * 96), (None, day, [1.0] * 96)]
@@ -93,7 +122,6 @@ def test_linkage(seed, n):
 def test_cut_with_equal_heights():
     x = np.array([[0.0], [0.0], [0.0], [5.0]])
     assert len(set(linkage.cut(linkage.average(x), 3))) == 2
-    assert linkage.choose({}) == 3 and linkage.choose({"elbow": 4, "gap": 3}) == 4 and linkage.choose({"gap": 5, "silhouette": 3}) == 3
 
 
 def test_assign_and_outliers(spark):
@@ -202,6 +230,51 @@ def test_ranking_without_one_task(spark):
     assert got == {g: i for i, (g, _) in enumerate(want, 1)}
 
 
+def test_numbers_of_ties(spark):
+    """Nine of ten rows have one value; ranks are those of a window, over all and by group."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 9, 1.0).when(F.col("id") % 100 != 9, F.rand(1)).alias("v"), (F.col("id") % 3).alias("g"))
+    df = ranking.held(df)
+    order = [F.col("v").asc_nulls_last(), F.col("id")]
+    for by in (None, "g"):
+        w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
+        want = {r.id: r.n for r in df.select("id", F.row_number().over(w).alias("n")).collect()}
+        assert {r.id: r.n for r in ranking.numbered(df, order, "n", by).collect()} == want
+    assert ranking.numbered(df.limit(0), ["id"], "n").count() == 0
+
+
+def test_quantiles_of_a_hot_group(spark, monkeypatch, tmp_path):
+    """One group holds nine of ten rows: the same digits as the built-in function, and no task has more than its range of the values."""
+    monkeypatch.setattr(ranking, "SMALL", 10)
+    folder, plain = str(tmp_path), ranking._running
+
+    def counted(batches):
+        from pyspark import TaskContext
+
+        rows = list(batches)
+        with open(f"{folder}/{TaskContext.get().partitionId()}", "w") as f:
+            f.write(str(sum(b.num_rows for b in rows)))
+        yield from plain(iter(rows))
+
+    monkeypatch.setattr(ranking, "_running", counted)
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") % 50 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 3 == 0, 5.0).otherwise(F.round(F.rand(2) * 1000, 2)).alias("v"),
+    ).unionByName(spark.createDataFrame([("none", None), ("one", 2.5)], "g string, v double"))
+    df = ranking.held(df)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins small ranges
+    try:
+        got = {r.g: tuple(r)[1:] for r in funnel.quantiles(df, ["g"], "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    p = F.percentile("v", [0.25, 0.5, 0.75])
+    want = df.groupBy("g").agg(F.count("v").alias("n"), p.alias("p"), F.round(F.avg("v"), 4).alias("m"), F.max("v").alias("x")).collect()
+    assert got == {r.g: (r.n, *([round(x, 4) for x in r.p] if r.p else [None] * 3), r.m, r.x) for r in want} and len(got) == 11
+    tasks = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(tasks) == df.where("v is not null").distinct().count() and max(tasks) < 0.5 * sum(tasks)
+    two = funnel.summary(df.withColumn("h", F.col("v") > 500), ["g", "h"], "v")
+    assert {(r.g, r.h): r["median"] for r in two.collect()} == {(r.g, r.h): None if r.m is None else round(r.m, 4) for r in df.withColumn("h", F.col("v") > 500).groupBy("g", "h").agg(F.median("v").alias("m")).collect()}
+
+
 def test_cascades(spark):
     df = spark.createDataFrame([(1, "A", "A.1"), (2, "A", "A.2"), (3, "B", "B.1"), (4, None, None)], "key int, l1 string, l2 string")
     keys = lambda picks: sorted(r.key for r in funnel.cascade(df, picks).collect())
@@ -228,36 +301,177 @@ def test_cut_heights(spark):
         assert got.height == pytest.approx(linkage.cut_height(linkage.average(x), k))
 
 
-def test_gap_statistic_by_loops():
-    """Mean log dispersion of seeded uniform references less that of the points, for each k."""
-    x = np.random.default_rng(6).normal(size=(14, 3))
-    z, ks = linkage.average(x), [2, 3, 4]
-
-    def log_dispersion(points, labels):
-        total = 0.0
-        for c in set(labels.tolist()):
-            own = points[labels == c]
-            total += sum(np.linalg.norm(p - q) for i, p in enumerate(own) for q in own[:i]) / len(own)
-        return np.log(total)
-
+def python_uniform(c):
+    one = (c * 48_271 + 12_345) % 2_147_483_647
+    two = (one * one + c) % 2_147_483_647
+    three = (two * 69_621 + one) % 2_147_483_647
+    return ((three * three + two) % 2_147_483_647) / 2_147_483_647.0
+
+
+def log_dispersion(points, labels):
+    total = 0.0
+    for c in set(labels.tolist()):
+        own = points[labels == c]
+        total += sum(np.linalg.norm(p - q) for i, p in enumerate(own) for q in own[:i]) / len(own)
+    return np.log(total)
+
+
+def vectors(spark, sets):
+    return spark.createDataFrame([(g, f"k{i:05d}", v.tolist()) for g, x in sets.items() for i, v in enumerate(x)], "grp string, key string, features array<double>")
+
+
+def test_scores_by_loops(spark):
+    """Every score of every k; the gap as mean log dispersion of the references less that of the points."""
+    rng = np.random.default_rng(6)
+    sets = {"a": rng.normal(size=(30, 3)), "b": rng.normal(size=(9, 3)), "few": rng.normal(size=(4, 3))}
+    got = {(r.grp, r.k): r for r in clustering.scores(vectors(spark, sets), "grp", "key", "features").collect()}
+    assert {k for k in got} == {(g, k) for g in "ab" for k in linkage.candidates(len(sets[g]))}
+    for (g, k), r in got.items():
+        x = sets[g]
+        n, d = x.shape
+        labels = linkage.cut(linkage.average(x), k)
+        lo, hi = x.min(axis=0), x.max(axis=0)
+        logs = []
+        for ref in range(10):
+            y = np.array([[lo[j] + python_uniform((ref * n + i) * d + j + 1) * (hi[j] - lo[j]) for j in range(d)] for i in range(n)])
+            logs.append(log_dispersion(y, linkage.cut(linkage.average(y), k)))
+        assert r.gap == pytest.approx(np.mean(logs) - log_dispersion(x, labels))
+        assert r.silhouette == pytest.approx(linkage.silhouette(linkage.distances(x), labels)) and r.inertia == pytest.approx(linkage.inertia(x, labels))
+    draws = np.array([python_uniform(c) for c in range(1, 20_001)])
+    assert abs(draws.mean() - 0.5) < 0.01 and abs(np.corrcoef(draws[1:], draws[:-1])[0, 1]) < 0.03 and np.histogram(draws, 10)[0].min() > 1800
+
+
+def test_votes(spark):
+    rows = [
+        ("a", 3, 0.5, 10.0, 0.9, 100.0, 0.1), ("a", 4, 0.7, 9.0, 0.4, 40.0, 0.3), ("a", 5, 0.7, 8.0, 0.4, 35.0, 0.3),
+        ("b", 3, None, None, None, 0.0, 0.1),
+        ("c", 3, 0.1, 5.0, 0.5, 9.0, 0.0), ("c", 4, 0.2, 4.0, 0.6, 8.0, 0.1), ("c", 5, 0.1, 3.0, 0.7, 4.0, 0.2), ("c", 6, 0.1, 3.0, 0.7, 3.9, 0.1),
+    ]
+    df = spark.createDataFrame(rows, "grp string, k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double, gap double")
+    got = {}
+    for r in clustering.votes(df).collect():
+        got.setdefault(r.grp, {})[r.method] = r.k
+    # Equal ones go to the smaller k; the elbow is the first drop below the mean one; ties go to the elbow, else to the smaller k.
+    assert got["a"] == {"silhouette": 4, "calinski_harabasz": 3, "davies_bouldin": 4, "elbow": 5, "gap": 4, "chosen": 4}
+    assert got["b"] == {"gap": 3, "chosen": 3}
+    assert got["c"] == {"silhouette": 4, "calinski_harabasz": 3, "davies_bouldin": 3, "elbow": 4, "gap": 5, "chosen": 4}
+
+
+@pytest.fixture()
+def small_blocks(monkeypatch):
+    def put(block, few, small=200_000):
+        monkeypatch.setattr(forest, "BLOCK", block)
+        monkeypatch.setattr(forest, "FEW", few)
+        monkeypatch.setattr(forest, "SMALL", small)
+
+    return put
+
+
+@pytest.mark.parametrize("method, sizes", [("single", (33, 20)), ("average", (50, 80))])
+def test_forest_has_the_merges_of_one_task(spark, small_blocks, method, sizes):
+    """Two groups at once, one with equal points, under several sizes of blocks."""
+    small_blocks(*sizes)
+    rng = np.random.default_rng(len(method))
+    sets = {"g": np.concatenate([rng.normal(size=(70, 3)), rng.normal(size=(50, 3)) + 6]), "h": rng.normal(size=(30, 3))}
+    points = forest.with_ids(ranking.held(vectors(spark, sets)))
+    edges = getattr(forest, method)(points)
+    table = forest.merge_table(edges, points).toPandas()
+    for g, x in sets.items():
+        z, own = getattr(linkage, method)(x), table[table["grp"] == g].sort_values("step")
+        assert (own[["a", "b", "size"]].to_numpy() == z[:, [0, 1, 3]]).all() and np.allclose(own["distance"], z[:, 2])
+    for k in (5, 400):
+        labels = forest.cut(edges, points, k).toPandas().sort_values(["grp", "key"])
+        for g, x in sets.items():
+            assert labels[labels["grp"] == g]["cluster"].tolist() == linkage.cut(getattr(linkage, method)(x), k).tolist()
+
+
+def test_forest_of_equal_points(spark, small_blocks):
+    small_blocks(16, 5)
+    x = np.repeat([[0.0, 0.0], [3.0, 0.0], [0.0, 10.0]], [40, 3, 1], axis=0)
+    points = forest.with_ids(ranking.held(vectors(spark, {"g": x})))
+    for method in ("single", "average"):
+        edges = ranking.held(getattr(forest, method)(points))
+        assert edges.count() == 43 and sorted(round(r.d, 6) for r in edges.where("d > 0").collect()) == [3.0, round(getattr(linkage, method)(x)[-1, 2], 6)]
+        for k in (2, 10):
+            labels = forest.cut(edges, points, k).toPandas().sort_values("key")["cluster"].tolist()
+            assert labels == linkage.cut(getattr(linkage, method)(x), k).tolist()
+
+
+def test_components_in_rounds(spark, small_blocks):
+    small_blocks(10, 5, 8)
     rng = np.random.default_rng(1)
-    references = [rng.uniform(x.min(axis=0), x.max(axis=0), x.shape) for _ in range(3)]
-    got = linkage.gaps(x, z, ks, references=3, seed=1)
-    for k in ks:
-        mean = np.mean([log_dispersion(r, linkage.cut(linkage.average(r), k)) for r in references])
-        assert got[k] == pytest.approx(mean - log_dispersion(x, linkage.cut(z, k)), abs=1e-6)
-
-
-def test_votes_name_the_best_of_each_method():
-    rng = np.random.default_rng(7)
-    x = np.concatenate([rng.normal(size=(8, 2)) * 0.05 + c for c in ([0, 0], [9, 0], [0, 9], [9, 9])])
-    z, ks = linkage.average(x), [3, 4, 5]
-    got = linkage.votes(x, z, ks)
-    cuts = {k: linkage.cut(z, k) for k in ks}
-    assert got["silhouette"] == max(ks, key=lambda k: linkage.silhouette(linkage.distances(x), cuts[k])) == 4
-    assert got["calinski_harabasz"] == max(ks, key=lambda k: linkage.calinski_harabasz(x, cuts[k]))
-    assert got["davies_bouldin"] == min(ks, key=lambda k: linkage.davies_bouldin(x, cuts[k])) == 4
-    assert got["elbow"] == linkage.elbow(ks, [linkage.inertia(x, cuts[k]) for k in ks])
+    chain = [(i, i + 1) for i in range(40)]
+    rest = [(100 + int(a), 100 + int(b)) for a, b in rng.integers(0, 60, (45, 2))]
+    got = {r.id: r.root for r in forest.components(spark.createDataFrame(chain + rest, "a long, b long")).collect()}
+    top = {i: i for e in chain + rest for i in e if e[0] != e[1]}
+    for _ in top:
+        for a, b in chain + rest:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    assert got == top
+
+
+def test_large_groups_like_small_ones(spark, small_blocks, monkeypatch):
+    """What a task does with a group, rounds over blocks do with it too: clusters, scores, outliers, cuts at a distance."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(14, 2)) * 0.3 + c for c in ([0, 0], [9, 0], [0, 9], [9, 9])] + [np.array([[30.0, 30.0]])])
+    df = vectors(spark, {"big": x, "little": x[:12]})
+    monkeypatch.setattr(clustering, "REFERENCES", 2)
+
+    def results():
+        plain = lambda d: sorted(map(tuple, d.collect()))
+        args = (df, "grp", "key", "features")
+        return plain(clustering.assign(*args, k=4)), plain(clustering.outliers(*args, k=6)), plain(clustering.at_distance(*args, 2.0)), plain(clustering.merges(*args, "single").drop("distance")), plain(clustering.scores(*args))
+
+    want = results()
+    small_blocks(25, 45)
+    monkeypatch.setattr(clustering, "LOCAL", 40)
+    plain_candidates = linkage.candidates
+    monkeypatch.setattr(linkage, "candidates", lambda n: plain_candidates(57 if n == 41 else n))
+    got = results()
+    assert got[:4] == want[:4]
+    for a, b in zip(got[4], want[4], strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
+def test_validity_of_parts(spark):
+    rng = np.random.default_rng(10)
+    rows, want = [], {}
+    for part in ("p", "q"):
+        x, labels = rng.normal(size=(25, 3)), rng.integers(0, 4, 25)
+        rows += [(part, i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x))]
+        want[part] = (linkage.silhouette(linkage.distances(x), labels), linkage.calinski_harabasz(x, labels), linkage.davies_bouldin(x, labels), linkage.inertia(x, labels), linkage.dispersion(x, labels))
+    rows += [("one", 1, 1, [1.0, 2.0, 3.0]), ("one", 2, 1, [1.0, 2.0, 5.0])]
+    got = {r.part: tuple(r)[2:] for r in composition.validity(spark.createDataFrame(rows, "part string, key int, cluster int, f array<double>"), "part", "key", "cluster", "f").collect()}
+    for part, values in want.items():
+        assert got[part] == pytest.approx(values)
+    assert got["one"] == (None, None, None, pytest.approx(2.0), pytest.approx(1.0))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_copies_of_blocks(spark, monkeypatch, own):
+    """Of n members every one is in as many pairs of blocks as there are blocks in its part, or in its cluster."""
+    monkeypatch.setattr(composition, "BLOCK", 16)
+    monkeypatch.setattr(composition, "BLOCK_BYTES", 64 * 8 * 2)
+    seen = spark.sparkContext.accumulator(0)
+    plain = composition._products
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                seen.add(sum(len(b.column(c)[i].values) for c in ("x", "y") for i in range(b.num_rows)))
+                yield b
+
+        return plain(each())
+
+    monkeypatch.setattr(composition, "_products", counted)
+    for n in (256, 1024):
+        df = spark.range(n).select("id", (F.col("id") % 8).alias("c"), F.array(F.rand(1), F.rand(2)).alias("f"))
+        before = seen.value
+        assert composition.distance_sums(df, "id", "c", "f", own=own).where("ca = cb").count() == n
+        copies = (seen.value - before) / n
+        blocks = max(1, -(-(n // 8 if own else n) // 64)) if n > 64 else 1
+        assert copies <= 3 * blocks + 5
 
 
 def test_strict_profiles(spark):

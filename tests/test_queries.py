@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadloom.operators import comparison
-from loadloom.plans import registry
+from loadloom.plans import cluster_queries, registry
 from loadloom.sources import xlsx
 from loadloom.streaming import hourly
 
@@ -53,6 +53,15 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(plain(dict(zip(want.columns, r))[c]) for c in names) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name, sql", [("monthly_recluster", cluster_queries.MONTHLY_SQL), ("k_per_group", cluster_queries.K_SQL)])
+def test_query_with_slow_sql(spark, duck, name, sql):
+    df = registry.ENTRIES[name][0](spark, SF)
+    want = duck.sql(sql)
+    names = sorted(df.columns)
+    assert sorted(want.columns) == names
+    assert sorted(tuple(plain(r[c]) for c in names) for r in df.collect()) == sorted(tuple(plain(dict(zip(want.columns, r))[c]) for c in names) for r in want.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
