@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import io
 import logging
-import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cleaning, taxonomy
 from .operators import clustering, comparison, composition, funnel, profiles
-from .sources import references, reports, store
+from .operators.ranking import held
+from .sources import files, references, reports, store
 
 log = logging.getLogger("loadloom")
 
@@ -36,12 +37,23 @@ def main() -> None:
     parser.add_argument("root")
     parser.add_argument("out")
     parser.add_argument("--reference", help="workbook of the national hourly profiles")
+    parser.add_argument("--provincial", help="folder of the provincial workbooks by class of power")
+    parser.add_argument("--power-class", default="1.5–3 kW", help="class of contract power for the provincial comparison")
+    parser.add_argument("--province", default="Trento")
     parser.add_argument("--kind", default="AP", help="measure type; all if there is none of it")
     parser.add_argument("--clusters", type=int, default=None)
     args = parser.parse_args()
-    os.makedirs(args.out, exist_ok=True)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s", handlers=[logging.StreamHandler(), logging.FileHandler(os.path.join(args.out, "run.log"))])
+    said = io.StringIO()
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s", handlers=[logging.StreamHandler(), logging.StreamHandler(said)])
     spark = SparkSession.builder.appName("loadloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    try:
+        analyse(spark, args)
+    finally:
+        files.save(f"{args.out}/run.log", said.getvalue().encode())
+
+
+def analyse(spark: SparkSession, args: argparse.Namespace) -> None:
+    """One analysis, its files in the folder of results, which may be in any store."""
     tables = store.load_cached(spark, args.root)
     for issue in tables["issues"].collect():
         log.warning("%s", issue)
@@ -49,28 +61,36 @@ def main() -> None:
     dim = dimension(tables)
 
     def save(name: str, data: bytes) -> None:
-        with open(os.path.join(args.out, name), "wb") as f:
-            f.write(data)
+        files.save(f"{args.out}/{name}", data)
         log.info("wrote %s", name)
 
     if args.analysis == "funnel":
         save("summary.xlsx", reports.summary_workbook(dim, comparison.hour_rows(meas), "d49"))
     elif args.analysis == "profiles":
-        profiles.daily_profiles(meas, "pod", "date", "q").write.mode("overwrite").parquet(os.path.join(args.out, "profiles.parquet"))
+        profiles.daily_profiles(meas, "pod", "date", "q").write.mode("overwrite").parquet(f"{args.out}/profiles.parquet")
     elif args.analysis == "compare":
         reference = references.national(spark, args.reference).withColumnsRenamed({"mese": "month", "ora": "hour"})
         means = reference.groupBy("month", "hour").agg(*[F.avg(c).alias(c) for c in ("PDMM", "PDMF", "PAUM", "PAUF")])
-        monthly, ranking = comparison.code_comparison(comparison.hour_rows(meas), dim, means, "pod")
-        save("comparison.zip", reports.comparison_bundle(monthly, comparison.monthly_quality(monthly), ranking))
+        large = f"{args.out}/tables"
+        rows = held(comparison.hour_rows(meas))
+        monthly, annual, ranking = comparison.code_metrics(rows, dim, means, "pod")
+        save("comparison.zip", reports.comparison_bundle(monthly, comparison.monthly_quality(monthly), ranking, annual, large))
+        save("national.zip", reports.national_bundle(*comparison.national_comparison(rows, dim, means, "pod"), large=large))
+        if args.provincial:
+            hourly = references.for_power_class(spark, args.provincial, args.power_class, args.province)
+            homes = comparison.homes(dim, "pod", "potcontr_kw", args.power_class)
+            energy, shape = comparison.provincial_metrics(rows, homes, hourly, "pod")
+            own = profiles.by_day_type(rows.join(homes, "pod"), "pod", "ts", "value", 1 / 1000, ("residence",))
+            save("provincial.zip", reports.provincial_bundle(energy, shape, own, large))
     else:
         v = vectors(meas).join(dim.select("pod", "l1"), "pod", "left").withColumn("grp", F.coalesce("l1", F.lit("N/A")))
         if args.analysis == "cluster":
             got = clustering.assign(v, "grp", "pod", "features", args.clusters).withColumn("cluster", F.concat_ws("-", "grp", "cluster")).select(F.col("key").alias("pod"), "cluster").persist()
-            save("clustering.zip", reports.clustering_bundle(got, composition.long_form(v.join(got, "pod"), "pod", "cluster", "features"), dim, "l1", issues=tables["issues"], large=os.path.join(args.out, "tables")))
+            save("clustering.zip", reports.clustering_bundle(got, composition.long_form(v.join(got, "pod"), "pod", "cluster", "features"), dim, "l1", issues=tables["issues"], large=f"{args.out}/tables"))
         else:
             got = clustering.outliers(v.withColumn("grp", F.lit("all")), "grp", "pod", "features", args.clusters or 20).persist()
             gaps = funnel.gaps(meas.join(got.select(F.col("key").alias("pod")), "pod", "left_semi"), "pod", "date")
-            save("outliers.zip", reports.outlier_bundle(got, dim, "l1", "pod", gaps, large=os.path.join(args.out, "tables")))
+            save("outliers.zip", reports.outlier_bundle(got, dim, "l1", "pod", gaps, large=f"{args.out}/tables"))
 
 
 if __name__ == "__main__":

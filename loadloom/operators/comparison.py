@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import hours
-from ..functions.binning import quality
+from ..functions.binning import power_class, quality
 from ..functions.taxonomy import reference_columns
 from . import compare, profiles
 
@@ -46,10 +46,10 @@ def national_metrics(shares: DataFrame, reference: DataFrame, group: str = "grp"
     return compare.pair_metrics(long, [group, "month", "pairing"], "pct", "ref", guarded=False)
 
 
-def code_comparison(rows: DataFrame, dim: DataFrame, reference: DataFrame, key: str, level_columns: tuple[str, ...] = ("l1", "l2", "l3")) -> tuple[DataFrame, DataFrame]:
-    """Every code of every level against its reference: monthly metrics, and a ranking by the year's combined RMSE.
+def code_metrics(rows: DataFrame, dim: DataFrame, reference: DataFrame, key: str, level_columns: tuple[str, ...] = ("l1", "l2", "l3")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every code of every level against its reference: metrics by month, metrics of the year's 12 x 24 points, and a ranking by the year's combined RMSE.
 
-    All levels go through one plan: each key is a member of one code a level.
+    All levels go through one plan: each key is a member of one code a level. A code has a row of the year with the metrics of both pairings, their means and a grade.
     """
     member = dim.select(key, "l1", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(c).alias("code")) for n, c in enumerate(level_columns, 1)])).alias("x")).select(key, "l1", "x.level", "x.code")
     member = member.where("code is not null and code <> 'N/A'").withColumn("grp", F.concat_ws("/", "level", "code"))
@@ -64,8 +64,39 @@ def code_comparison(rows: DataFrame, dim: DataFrame, reference: DataFrame, key:
     keys = ["grp", "level", "code", "pairing"]
     monthly = compare.pair_metrics(out, [*keys, "month"], "pct", "ref")
     yearly = compare.pair_metrics(out, keys, "pct", "ref")
-    combined = yearly.groupBy("grp", "level", "code").agg(F.avg("rmse").alias("rmse"), F.avg("r").alias("r"), F.avg("mae").alias("mae"))
-    return monthly, compare.ranking(combined)
+    of = lambda m, p: F.max(F.when(F.col("pairing") == p, F.col(m))).alias(f"{m}_{p}")
+    pairings = [of(m, p) for m in ("rmse", "mae", "r") for p in ("mono", "bands")]
+    annual = yearly.groupBy("grp", "level", "code").agg(F.max("n").alias("points"), *pairings, F.avg("rmse").alias("rmse"), F.avg("r").alias("r"), F.avg("mae").alias("mae"))
+    size = member.groupBy("grp").agg(F.countDistinct(key).alias("n_keys"))
+    annual = annual.join(size, "grp").withColumn("quality", quality(F.col("rmse")))
+    return monthly, annual, compare.ranking(annual.select("grp", "level", "code", "rmse", "r", "mae"))
+
+
+def code_comparison(rows: DataFrame, dim: DataFrame, reference: DataFrame, key: str, level_columns: tuple[str, ...] = ("l1", "l2", "l3")) -> tuple[DataFrame, DataFrame]:
+    """The monthly metrics and the ranking of :func:`code_metrics`."""
+    monthly, _, ranked = code_metrics(rows, dim, reference, key, level_columns)
+    return monthly, ranked
+
+
+def national_comparison(rows: DataFrame, dim: DataFrame, reference: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The three groups against the national reference: metrics by group, month and pairing, and each hour's share beside both references."""
+    shares = group_shares(rows, groups(dim), key, "grp")
+    home = F.col("grp").startswith("DO")
+    refs = reference.select("month", "hour", "PDMM", "PDMF", "PAUM", "PAUF")
+    beside = shares.join(refs, ["month", "hour"], "left").select(
+        "grp", "month", "hour", "pct", F.when(home, F.col("PDMM")).otherwise(F.col("PAUM")).alias("mono"), F.when(home, F.col("PDMF")).otherwise(F.col("PAUF")).alias("bands")
+    )
+    return national_metrics(shares, reference), beside
+
+
+#: The provincial reference's names of the two groups of homes.
+RESIDENCES = {"DO.R": "Residente", "DO.NR": "Non Residente"}
+
+
+def homes(dim: DataFrame, key: str, power: str, label: str) -> DataFrame:
+    """``key, residence`` of homes whose contract power is of the class ``label``."""
+    names = F.create_map(*[F.lit(x) for pair in RESIDENCES.items() for x in pair])
+    return dim.where(power_class(F.col(power)) == label).select(key, names[F.col("l2")].alias("residence")).where("residence is not null")
 
 
 def monthly_quality(monthly: DataFrame) -> DataFrame:

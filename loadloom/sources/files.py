@@ -41,6 +41,21 @@ def delete(path: str) -> None:
     store.delete(p, True)
 
 
+def make_folder(path: str) -> None:
+    p, store = _at(path)
+    store.mkdirs(p)
+
+
+def save(path: str, data: bytes) -> None:
+    """Write one file, such as a report, over what is there."""
+    p, store = _at(path)
+    out = store.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def content(path: str) -> bytes:
     """The bytes of one file, such as a workbook."""
     return bytes(SparkSession.active().read.format("binaryFile").load(path).select("content").first()[0])

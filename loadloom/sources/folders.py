@@ -1,25 +1,31 @@
 """Monthly folders of metadata workbooks and measure files, read into typed tables.
 
-Folders, in any store that Spark reads, are listed on the driver, which knows a handful of them for each year; measure files are read by Spark as texts, one
-reader for each delimiter and header, and typed in the plan. What can't be read becomes a row of the issues table.
+Folders, in any store that Spark reads, are listed on the driver, which knows a handful of them for each year; workbooks are parsed by the tasks of one scan, measure files are read by Spark as
+texts, one reader for each delimiter and header, and typed in the plan. What can't be read becomes a row of the issues table.
 """
 
 from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cleaning
 from ..functions.calendar import MONTHS
+from ..operators.ranking import held
 from . import files, xlsx
 
 SLOTS = 96
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("pod", "d49", "fdesc", "tate3", "ccatete", "periodo")] + [T.StructField("row_ord", T.LongType())])
 
+ISSUE = "folder string, kind string, issue string"
+
 
 def folder_month(name: str) -> tuple[str, int, int] | None:
     """``gen25`` -> (gen, 1, 2025); None for other names."""
@@ -57,15 +63,48 @@ def delimiter(path: str) -> str:
         return max(";,\t|", key=line.count)
 
 
-def metadata(spark: SparkSession, path: str, period: str) -> DataFrame:
-    header, rows = xlsx.table(files.content(path))
-    at = [cleaning.resolve_column(header, s) for s in cleaning.META_SPELLINGS.values()]
-    if at[0] is None:
-        raise ValueError("no POD column")
-    where = [header.index(c) if c else None for c in at]
-    data = [(*[None if w is None else r[w] for w in where], period, i) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(data, META).withColumn("pod", cleaning.normalize_key(F.col("pod")))
-    return df.where(cleaning.is_valid_key(F.col("pod")))
+def _sheet_rows(periods: dict[str, str]):
+    """Workbooks -> rows of their metadata, or one row with what is wrong with the file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                period = periods["/".join(unquote(path).split("/")[-2:])]
+                try:
+                    header, rows = xlsx.table(data)
+                    at = [cleaning.resolve_column(header, s) for s in cleaning.META_SPELLINGS.values()]
+                    if at[0] is None:
+                        raise ValueError("no POD column")
+                    where = [header.index(c) if c else None for c in at]
+                    columns = [[None if w is None or r[w] is None else str(r[w]) for r in rows] for w in where]
+                    wrong = [None] * len(rows)
+                except Exception as e:  # a broken file is reported, the others are loaded
+                    columns, wrong, rows = [[None]] * len(cleaning.META_SPELLINGS), [(str(e).splitlines() or [type(e).__name__])[0][:300]], [()]
+                arrays = [*(pa.array(c, pa.string()) for c in columns), pa.array([period] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([path] * len(rows), pa.string()), pa.array(wrong, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, [*META.names, "path", "issue"])
+
+    return run
+
+
+def metadata(spark: SparkSession, periods: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the metadata workbooks (path -> period), and ``folder, kind, issue`` of those that can't be read.
+
+    All workbooks are one scan of binary files, a task for each, which parses its file and passes its rows on; none goes through the driver.
+    """
+    if not periods:
+        return spark.createDataFrame([], META), spark.createDataFrame([], ISSUE)
+    short = {"/".join(p.split("/")[-2:]): period for p, period in periods.items()}
+    found = spark.read.format("binaryFile").load([_escaped(p) for p in periods]).select("path", "content").repartition(len(periods), "path")
+    schema = T.StructType([*META.fields, T.StructField("path", T.StringType()), T.StructField("issue", T.StringType())])
+    rows = held(found.mapInArrow(_sheet_rows(short), schema))
+    good = rows.where("issue is null").drop("path", "issue").withColumn("pod", cleaning.normalize_key(F.col("pod")))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return good.where(cleaning.is_valid_key(F.col("pod"))), rows.where("issue is not null").select(folder.alias("folder"), F.lit("metadata").alias("kind"), "issue")
+
+
+def _escaped(path: str) -> str:
+    """A path whose signs mean themselves to a reader that takes patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def measures(spark: SparkSession, path: str, period: str) -> tuple[DataFrame, DataFrame | None]:
@@ -90,22 +129,22 @@ def measures(spark: SparkSession, path: str, period: str) -> tuple[DataFrame, Da
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """``meta``, ``meas``, ``power`` (last value of each key) and ``issues`` of all monthly folders."""
-    metas, meass, powers, issues = [], [], [], []
+    meass, powers, issues, books = [], [], [], {}
     for folder, period in folders(root):
         for find, kind in ((metadata_file, "metadata"), (measures_file, "measures")):
             path = find(folder)
             if not path:
                 issues.append((folder, kind, "not found"))
-                continue
-            try:
-                if kind == "metadata":
-                    metas.append(metadata(spark, path, period))
-                else:
+            elif kind == "metadata":
+                books[path] = period
+            else:
+                try:
                     rows, side = measures(spark, path, period)
                     meass.append(rows)
                     powers += [side] if side is not None else []
-            except Exception as e:  # a broken file is reported, the others are loaded
-                issues.append((folder, kind, str(e).splitlines()[0][:300]))
+                except Exception as e:  # a broken file is reported, the others are loaded
+                    issues.append((folder, kind, str(e).splitlines()[0][:300]))
+    meta, broken = metadata(spark, books)
 
     def union(parts: list[DataFrame], schema) -> DataFrame:
         out = parts[0] if parts else spark.createDataFrame([], schema)
@@ -115,10 +154,10 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
     power = union(powers, "pod string, potcontr_kw double, periodo string, row_ord long")
     return {
-        "meta": union(metas, META),
+        "meta": meta,
         "meas": union(meass, "pod string, date date, tipologia string, periodo string, q array<float>, row_ord long"),
         "power": power.groupBy("pod").agg(F.max_by("potcontr_kw", F.struct("periodo", "row_ord")).alias("potcontr_kw")),
-        "issues": spark.createDataFrame(issues, "folder string, kind string, issue string"),
+        "issues": spark.createDataFrame(issues, ISSUE).unionByName(broken),
     }
 
 

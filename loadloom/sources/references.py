@@ -39,14 +39,17 @@ def national(spark: SparkSession, path: str) -> DataFrame:
     return out.na.drop(subset=["mese", "ora"])
 
 
-def provincial(spark: SparkSession, path: str, province: str = "Trento") -> DataFrame:
-    """``month, province, market, power_class, residence, daytype, hour, kwh`` of a province."""
+def provincial(spark: SparkSession, path: str, province: str = "Trento", market: str | None = None, residence: str | None = None) -> DataFrame:
+    """``month, province, market, power_class, residence, daytype, hour, kwh`` of a province, and of a market and a residence where they are given."""
     df = sheet(spark, path)
     kwh = next(c for c in df.columns if c.startswith("Prelievo medio"))
-    return df.select(
+    got = df.select(
         cleaning.reference_month(F.col("Anno Mese")).alias("month"), F.col("Provincia").alias("province"), F.col("Tipo mercato").alias("market"), F.col("Classe_potenza").alias("power_class"),
         F.col("Residenza").alias("residence"), F.col("Working Day").alias("daytype"), cleaning.reference_hour(F.col("Orario")).alias("hour"), cleaning.decimal_comma(F.col(kwh)).alias("kwh"),
     ).where(F.col("province") == province)
+    for column, wanted in (("market", market), ("residence", residence)):
+        got = got if wanted is None else got.where(F.col(column) == wanted)
+    return got
 
 
 def for_power_class(spark: SparkSession, folder: str, label: str, province: str = "Trento") -> DataFrame:

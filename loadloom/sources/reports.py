@@ -52,21 +52,23 @@ def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code
     return store.bundle({"clustering": book}, pages, texts, large)
 
 
-def comparison_bundle(metrics: DataFrame, profile: DataFrame, ranking: DataFrame | None = None, large: str | None = None) -> bytes:
-    """Metrics with grades, the profiles compared, and, where there is a ranking, that and the year's summary; a page for each."""
+def comparison_bundle(metrics: DataFrame, profile: DataFrame, ranking: DataFrame | None = None, annual: DataFrame | None = None, large: str | None = None) -> bytes:
+    """Metrics with grades, the profiles compared, and, where they are given, the ranking and the metrics of the year's points; a page for each."""
     graded = metrics.withColumn("quality", quality(F.col("rmse"))) if "rmse" in metrics.columns else metrics
     book = {"Monthly_Metrics": graded, "Profile_Data": profile}
-    if ranking is not None:
-        held = [c for c in ("grp", "level", "code") if c in metrics.columns]
-        book |= {"Ranking": ranking, "Annual_Summary": metrics.groupBy(*held, "pairing").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("r", "rmse", "mae")])}
+    book |= {"Ranking": ranking} if ranking is not None else {}
+    book |= {"Annual_Summary": annual} if annual is not None else {}
     return store.bundle({"comparison": book}, {"metrics": graded, "profiles": profile} | ({"ranking": ranking} if ranking is not None else {}), large=large)
 
 
 def national_bundle(metrics: DataFrame, profile: DataFrame, group: str = "grp", large: str | None = None) -> bytes:
     """Metrics with grades and the profiles of the groups against the national reference: an overview page, and one for each group and month."""
     graded = metrics.withColumn("quality", quality(F.col("rmse")))
-    keys = profile.select(group, "month").distinct().orderBy(group, "month").collect()
-    pages = {f"{g}_{m:02d}": profile.where((F.col(group) == g) & (F.col("month") == m)).orderBy("hour") for g, m in keys}
+    names, rows = store.small(profile.orderBy(group, "month", "hour"))  # groups x 12 x 24 rows
+    of, month = names.index(group), names.index("month")
+    pages: dict[str, tuple] = {}
+    for r in rows:
+        pages.setdefault(f"{r[of]}_{r[month]:02d}", (names, []))[1].append(r)
     return store.bundle({"national": {"Metrics": graded, "Profiles": profile}}, {"overview": graded} | pages, large=large)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import csv
 import html
 import io
-import os
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from . import files, folders, xlsx
@@ -56,8 +56,10 @@ def reload(spark: SparkSession, root: str, held: dict[str, DataFrame] | None = N
     return load_cached(spark, root, cache)
 
 
-def small(df: DataFrame) -> tuple[list[str], list[tuple]]:
-    """Header and rows of a report table; one that is too large for a report raises :class:`TooLarge`."""
+def small(df: DataFrame | tuple) -> tuple[list[str], list[tuple]]:
+    """Header and rows of a report table, which may be given as such; one that is too large for a report raises :class:`TooLarge`."""
+    if isinstance(df, tuple):
+        return df
     rows = df.limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise TooLarge(f"a report table has over {MOST_ROWS} rows; give a folder for large tables")
@@ -79,7 +81,7 @@ def csv_bytes(df: DataFrame, sep: str = ";") -> bytes:
 
 
 def workbook(tables: dict[str, DataFrame], large: str | None = None) -> bytes:
-    """A sheet for each table. What can't be worked out has the reason in its sheet. A table of over MOST_ROWS rows is written
+    """A sheet for each table. One whose columns don't fit the data has the reason in its sheet; anything else that fails, a lost executor say, raises. A table of over MOST_ROWS rows is written
     by Spark, whole, as Parquet under ``large``, and its sheet says where; without such a folder it raises.
     """
     sheets = {}
@@ -91,7 +93,7 @@ def workbook(tables: dict[str, DataFrame], large: str | None = None) -> bytes:
                 raise
             df.write.mode("overwrite").parquet(f"{large}/{name}.parquet")
             sheets[name] = (["Table"], [[f"{large}/{name}.parquet"]])
-        except Exception as e:
+        except AnalysisException as e:
             sheets[name] = (["Note"], [[str(e).splitlines()[0]]])
     return xlsx.write(sheets)
 
@@ -106,10 +108,8 @@ def html_table(df: DataFrame, title: str = "") -> str:
 
 def save_table(df: DataFrame, folder: str, name: str) -> None:
     """A table as CSV and as workbook."""
-    os.makedirs(folder, exist_ok=True)
     for ending, data in ((".csv", csv_bytes(df)), (".xlsx", workbook({name: df}))):
-        with open(os.path.join(folder, name + ending), "wb") as f:
-            f.write(data)
+        files.save(f"{folder}/{name}{ending}", data)
 
 
 def bundle(workbooks: dict[str, dict[str, DataFrame]], pages: dict[str, DataFrame] | None = None, texts: dict[str, str] | None = None, large: str | None = None) -> bytes:
@@ -127,7 +127,7 @@ def bundle(workbooks: dict[str, dict[str, DataFrame]], pages: dict[str, DataFram
 
 def results_folders(root: str) -> tuple[str, str]:
     """The folders of tables and charts of a run."""
-    made = tuple(os.path.join(root, "results", n) for n in ("tabelle", "grafici"))
+    made = tuple(f"{root}/results/{n}" for n in ("tabelle", "grafici"))
     for p in made:
-        os.makedirs(p, exist_ok=True)
+        files.make_folder(p)
     return made

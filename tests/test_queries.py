@@ -104,12 +104,33 @@ def test_command_line(tmp_path):
         d = root / name
         d.mkdir(parents=True)
         pods = [f"IT{i:02d}" for i in range(12)]
-        (d / f"Metadati POD {name}.xlsx").write_bytes(xlsx.write({"s": (["POD", "D_49DES", "FDESC", "TATE3DES", "CCATETE"], [[p, "USO", "ALTRO", "T", "47.1"] for p in pods])}))
-        head = "POD;DataMisura;Tipologia;" + ";".join(f"Q{i}" for i in range(1, 97))
-        lines = [f"{p};{day:02d}/{m:02d}/2025;AP;" + ";".join(f"{rng.random() + (q % 7):.2f}".replace(".", ",") for q in range(96)) for p in pods for day in (1, 2)]
+        (d / f"Metadati POD {name}.xlsx").write_bytes(xlsx.write({"s": (["POD", "D_49DES", "FDESC", "TATE3DES", "CCATETE"], [[p, "USO", *(("ALTRO", "T", "47.1") if i % 3 else ("USI DOMESTICI NON RESID." if i % 2 else "USI DOMESTICI", "TD", "DO")) ] for i, p in enumerate(pods)])}))
+        head = "POD;DataMisura;Tipologia;PotenzaContrattuale;" + ";".join(f"Q{i}" for i in range(1, 97))
+        lines = [f"{p};{day:02d}/{m:02d}/2025;AP;2,0;" + ";".join(f"{rng.random() + (q % 7):.2f}".replace(".", ",") for q in range(96)) for p in pods for day in (1, 2)]
         (d / "misure_x.csv").write_text("\n".join([head, *lines]), encoding="utf-8")
+    days = [["2025", str(m), "1", str(h), *(f"{x + h / 10:.2f}".replace(".", ",") for x in range(4))] for m in (1, 2) for h in range(24)]
+    (tmp_path / "national.xlsx").write_bytes(xlsx.write({"s": (["Anno", "Mese", "Giorno", "Ora", "PDMM", "PDMF", "PAUM", "PAUF"], days)}))
+    hours = [["2025-01-01", "Trento", "Tutti", "c", who, day, f"Ora{h}", f"{h / 10}".replace(".", ",")] for who in ("Residente", "Non Residente") for day in ("Giorno feriale", "Sabato") for h in range(1, 25)]
+    provincial = tmp_path / "provincial"
+    provincial.mkdir()
+    (provincial / "ore 1_5_a_3.xlsx").write_bytes(xlsx.write({"s": (["Anno Mese", "Provincia", "Tipo mercato", "Classe_potenza", "Residenza ", "Working Day", "Orario", "Prelievo medio Orario (kWh)"], hours)}))
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = tmp_path / "out"
-    for analysis, file in (("funnel", "summary.xlsx"), ("outliers", "outliers.zip")):
-        subprocess.run([sys.executable, "-m", "loadloom", analysis, str(root), str(out)], check=True, cwd=home, timeout=300, env=os.environ | {"PYTHONPATH": home}, capture_output=True)
-        assert zipfile.is_zipfile(out / file)
+    compare = ["--reference", str(tmp_path / "national.xlsx"), "--provincial", str(provincial)]
+    for analysis, found, more in (("funnel", ["summary.xlsx"], []), ("outliers", ["outliers.zip"], []), ("compare", ["comparison.zip", "national.zip", "provincial.zip"], compare)):
+        subprocess.run([sys.executable, "-m", "loadloom", analysis, str(root), str(out), *more], check=True, cwd=home, timeout=300, env=os.environ | {"PYTHONPATH": home}, capture_output=True)
+        assert all(zipfile.is_zipfile(out / f) for f in found) and (out / "run.log").exists()
+
+    def sheet(bundle, name):
+        with zipfile.ZipFile(out / f"{bundle}.zip") as z:
+            head, rows = xlsx.table(z.read(f"{bundle}.xlsx"), name)
+            return [dict(zip(head, r)) for r in rows], z.namelist()
+
+    year, _ = sheet("comparison", "Annual_Summary")
+    # Two months of 24 hours each are the points of the year here.
+    assert {r["points"] for r in year} == {"48"} and {r["code"] for r in year} >= {"DO", "47"} and all(r["rmse_mono"] for r in year)
+    national, pages = sheet("national", "Metrics")
+    assert {(r["grp"], r["month"], r["pairing"]) for r in national} == {(g, m, p) for g in ("DO.R", "DO.NR", "Other") for m in "12" for p in ("mono", "bands")}
+    assert {f"{g}_{m:02d}.html" for g in ("DO.R", "DO.NR", "Other") for m in (1, 2)} <= set(pages)
+    energy, _ = sheet("provincial", "Metrics_Energy")
+    assert {(r["residence"], r["daytype"], r["month"]) for r in energy} == {(w, "Weekday", "1") for w in ("Residente", "Non Residente")}

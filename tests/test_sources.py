@@ -100,8 +100,11 @@ def test_clustering_bundle(spark):
 def test_comparison_bundles(spark):
     metrics = spark.createDataFrame([("g", 1, "mono", 0.9, 4.0, 3.0), ("g", 2, "mono", 0.8, 6.0, 5.0)], "grp string, month int, pairing string, r double, rmse double, mae double")
     ranking = metrics.groupBy("grp").avg("rmse")
-    with zipfile.ZipFile(BytesIO(reports.comparison_bundle(metrics, metrics, ranking))) as z:
-        assert xlsx.table(z.read("comparison.xlsx"), "Annual_Summary")[1] == [["g", "mono", "0.85", "5.0", "4.0"]]
+    annual = spark.createDataFrame([("g", 288, 4.5)], "grp string, points int, rmse double")
+    with zipfile.ZipFile(BytesIO(reports.comparison_bundle(metrics, metrics, ranking, annual))) as z:
+        assert xlsx.table(z.read("comparison.xlsx"), "Annual_Summary")[1] == [["g", "288", "4.5"]]
+    with zipfile.ZipFile(BytesIO(reports.comparison_bundle(metrics, metrics))) as z, pytest.raises(KeyError):
+        xlsx.table(z.read("comparison.xlsx"), "Annual_Summary")
     with zipfile.ZipFile(BytesIO(reports.provincial_bundle(metrics, metrics, metrics))) as z:
         assert len(xlsx.table(z.read("provincial.xlsx"), "Profile_Data_kWh")[1]) == 2
 
@@ -124,3 +127,34 @@ def test_older_and_national_bundles(spark):
     profile = spark.createDataFrame([("g", m, h, 1.0) for m in (1, 2) for h in range(24)], "grp string, month int, hour int, pct double")
     with zipfile.ZipFile(BytesIO(reports.national_bundle(metrics, profile))) as z:
         assert {"overview.html", "g_01.html", "g_02.html", "national.xlsx"} == set(z.namelist())
+
+
+def test_many_workbooks_in_one_scan(spark, tmp_path):
+    """Two years of metadata are parsed by tasks; broken files are rows of the issues table."""
+    from loadloom.functions.calendar import MONTHS
+
+    names = [f"{m}{y}" for y in (24, 25) for m in MONTHS]
+    for i, name in enumerate(names):
+        d = tmp_path / name
+        d.mkdir()
+        data = b"no workbook" if i == 5 else xlsx.write({"s": (["Codice POD" if i != 7 else "Other", "FDESC"], [[f" p{i}_{k} ", "x"] for k in range(30)] + [[None, "y"]])})
+        (d / f"Metadati POD {name}.xlsx").write_bytes(data)
+    got = folders.load(spark, str(tmp_path))
+    rows = got["meta"].groupBy("periodo").count().collect()
+    assert len(rows) == 22 and {r["count"] for r in rows} == {30}
+    wrong = {(r.folder.rpartition("/")[2], r.kind) for r in got["issues"].collect() if r.issue != "not found"}
+    assert wrong == {(names[5], "metadata"), (names[7], "metadata")}
+    first = got["meta"].where("periodo = '2024-01'").orderBy("row_ord").first()
+    assert first.pod == "P0_0" and first.row_ord == 0
+
+
+def test_failures_are_not_notes(spark):
+    """What breaks in a task raises; a column that isn't there is a note in its sheet."""
+    class Missing:
+        def limit(self, n):
+            return spark.range(1).select("nothing")
+
+    assert xlsx.table(store.workbook({"s": Missing()}), "s")[0] == ["Note"]
+    broken = spark.range(3).selectExpr("raise_error('lost')")
+    with pytest.raises(Exception, match="lost"):
+        store.workbook({"s": broken})
