@@ -20,6 +20,7 @@ that have the name of one of the operator's own are replaced.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -181,47 +182,53 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     vocabulary = sorted({w for _, text, _ in known for w in words_in(text)})
     words = lambda of: F.array(*[F.lit(w) for w in sorted(of)]) if of else F.array().cast("array<string>")
     base = without(df, *[o for o in OWN if o not in (id_col, path_col, text_col)])
-    score_, dir_, own_ = spare(base, "_score", "_dir", "_own")
+    score_, dir_, own_, parts_, wide_, tag_ = spare(base, "_score", "_dir", "_own", "_parts", "_wide", "_tag")
 
     # How many texts have each word of a template: as many rows as the templates have words.
     counted = base.select(F.explode(F.array_intersect(F.concat(F.array(F.lit("")), words_of(F.coalesce(text_col, F.lit("")))), words([*vocabulary, ""]))).alias("t"))
     found = {r["t"]: r["n"] for r in counted.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = found.get("", 0)
     idf = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in vocabulary}
-    weight = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(idf[t] ** 2))])
     other = (sum(idf.values()) / max(1, len(idf))) ** 2
     telling = words(set().union(*[heavy({w: idf[w] for w in words_in(text)}, threshold) for _, text, _ in known]))
-
-    def cosine(asked: list[tuple[str, str, set[str]]], own: Column) -> Column:
-        """The best of the asked templates for a passage of these words: (negated similarity, negated number of naming words, licence)."""
-        hits = F.transform(F.array_intersect(own, words(vocabulary)), lambda t: F.struct(t.alias("t"), weight[t].alias("w")))
-        sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, h: a + h["w"])
-        among = lambda held: F.filter(hits, lambda h: F.array_contains(held, h["t"]))
-        norm = F.sqrt(sum_of(hits) + (F.size(own) - F.size(hits)) * F.lit(other))
-        options = []
-        for name, text, must in asked:
-            held = words(words_in(text))
-            size = math.sqrt(sum(idf[t] ** 2 for t in words_in(text)))
-            dot = sum_of(among(held))
-            score = F.when(F.size(F.array_except(words(must), own)) == 0, F.round(F.try_divide(dot, norm * F.lit(size)), 9)).otherwise(F.lit(0.0))
-            options.append(F.struct((-F.coalesce(score, F.lit(0.0))).alias("s"), F.lit(-len(must)).alias("m"), F.lit(name).alias("l")))
-        return F.array_min(F.array(*options))
+    # Of each word of a template: its weight, its share of the product with every template, and the templates that it names.
+    share = {t: {"w": idf[t] ** 2, "d": [idf[t] ** 2 if t in words_in(text) else 0.0 for _, text, _ in known], "m": [int(t in must) for _, _, must in known]} for t in vocabulary}
+    share_of = F.from_json(F.lit(json.dumps(share)), "map<string, struct<w: double, d: array<double>, m: array<int>>>")
+    facts = [{"n": len(must), "l": name, "size": math.sqrt(sum(idf[t] ** 2 for t in words_in(text)))} for name, text, must in known]
+    about = F.from_json(F.lit(json.dumps(facts)), "array<struct<n: int, l: string, size: double>>")
+
+    def best_of(own: Column, wanted: Column) -> Column:
+        """The best template for a passage of these words, of those of which ``wanted`` is true: (negated similarity, negated number of naming words, licence)."""
+        hits = F.transform(F.array_intersect(own, words(vocabulary)), lambda t: share_of[t])
+        added = lambda field, zero: F.aggregate(hits, F.array_repeat(F.lit(zero), len(known)), lambda a, h: F.zip_with(a, h[field], lambda x, y: x + y))
+        norm = F.sqrt(F.aggregate(hits, F.lit(0.0), lambda a, h: a + h["w"]) + (F.size(own) - F.size(hits)) * F.lit(other))
+        facts_of = F.arrays_zip(about.alias("t"), added("d", 0.0).alias("d"), added("m", 0).alias("m"), wanted.alias("ok"))
+
+        def option(x: Column, norm: Column) -> Column:
+            score = F.when(x["ok"] & (x["m"] == x["t"]["n"]), F.round(F.try_divide(x["d"], norm * x["t"]["size"]), 9)).otherwise(F.lit(0.0))
+            return F.struct((-F.coalesce(score, F.lit(0.0))).alias("s"), (-x["t"]["n"]).alias("m"), x["t"]["l"].alias("l"))
+
+        # A lambda's argument is worked out once; the array of one holds what all templates need.
+        once = F.array(F.struct(norm.alias("norm"), facts_of.alias("facts")))
+        return F.element_at(F.transform(once, lambda z: F.array_min(F.transform(z["facts"], lambda x: option(x, z["norm"])))), 1)
 
     text = F.col(text_col)
     is_file = F.coalesce(F.col(path_col).rlike(LICENSE_NAME), F.lit(False))
-    parts = F.filter(F.transform(passages(text, is_file), words_of), lambda w: F.arrays_overlap(w, telling))
-    best = F.when(F.arrays_overlap(words_of(text), telling), F.array_min(F.transform(parts, lambda own: cosine(known, own))))
+    every = F.array_repeat(F.lit(True), len(known))
+    # Each step is a column that the next ones read, so that none is worked out again for each place that names it.
+    rows = base.withColumn(parts_, F.when(F.arrays_overlap(words_of(text), telling), F.filter(F.transform(passages(text, is_file), words_of), lambda w: F.arrays_overlap(w, telling))))
+    rows = rows.withColumn(score_, F.array_min(F.transform(parts_, lambda own: best_of(own, every))))
     for narrow, wide in WIDER.items():
-        if asked := [t for t in known if t[0] == wide and t[2]]:
-            there = F.when(best["l"] == narrow, F.array_min(F.transform(parts, lambda own: cosine(asked, own))))  # noqa: B023  called at once
-            best = F.when(there["s"] <= -threshold, there).otherwise(best)
-    # Every part of the expression but what follows WITH must be a known licence, perhaps with "-only", "-or-later" or "+".
-    expression = F.regexp_extract(text, SPDX, 1)
-    ids = F.split(F.regexp_replace(F.regexp_replace(expression, r"[ \t]+WITH[ \t]+[^ \t)]+", ""), r"[()]", ""), JOINS)
+        asked = F.array(*[F.lit(name == wide and bool(must)) for name, _, must in known])
+        rows = rows.withColumn(wide_, F.when(F.col(f"{score_}.l") == narrow, F.array_min(F.transform(parts_, lambda own: best_of(own, asked)))))  # noqa: B023  called at once
+        rows = rows.withColumn(score_, F.when(F.col(f"{wide_}.s") <= -threshold, F.col(wide_)).otherwise(F.col(score_)))
+    # Every part of an expression but what follows WITH must be a known licence, perhaps with "-only", "-or-later" or "+".
+    rows = rows.withColumn(tag_, F.when(text.contains("SPDX-License-Identifier"), F.regexp_extract(text, SPDX, 1)))
+    ids = F.split(F.regexp_replace(F.regexp_replace(tag_, r"[ \t]+WITH[ \t]+[^ \t)]+", ""), r"[()]", ""), JOINS)
     plain = F.transform(ids, lambda i: F.regexp_replace(i, r"(-only|-or-later|\+)$", ""))
-    joined_ = (expression != "") & F.forall(plain, lambda i: i.isin(*sorted({name for name, _, _ in known})))
-    best = F.when(joined_, F.struct(F.lit(-1.0).alias("s"), F.lit(0).alias("m"), expression.alias("l"))).otherwise(best)
-    scored = base.withColumns({score_: best, dir_: F.when(F.col(path_col).isNotNull(), F.regexp_replace(F.col(path_col), r"(^|/)[^/]*$", ""))})
+    joined_ = (F.col(tag_) != "") & F.forall(plain, lambda i: i.isin(*sorted({name for name, _, _ in known})))
+    rows = rows.withColumn(score_, F.when(joined_, F.struct(F.lit(-1.0).alias("s"), F.lit(0).alias("m"), F.col(tag_).alias("l"))).otherwise(F.col(score_)))
+    scored = rows.withColumn(dir_, F.when(F.col(path_col).isNotNull(), F.regexp_replace(F.col(path_col), r"(^|/)[^/]*$", ""))).drop(parts_, wide_, tag_)
     held = materialize(scored.withColumn(own_, F.coalesce(F.col(f"{score_}.s") <= -threshold, F.lit(False))).drop(text_col), "licences")
 
     speaks = held.where(F.col(own_) & is_file).groupBy(F.col(dir_).alias("at")).agg(F.min(score_).alias("given"))
