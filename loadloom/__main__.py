@@ -83,12 +83,19 @@ def analyse(spark: SparkSession, args: argparse.Namespace) -> None:
             own = profiles.by_day_type(rows.join(homes, "pod"), "pod", "ts", "value", 1 / 1000, ("residence",))
             save("provincial.zip", reports.provincial_bundle(energy, shape, own, large))
     else:
-        v = vectors(meas).join(dim.select("pod", "l1"), "pod", "left").withColumn("grp", F.coalesce("l1", F.lit("N/A")))
+        v = held(vectors(meas).join(dim.select("pod", "l1", "l2", "l3"), "pod", "left"))
         if args.analysis == "cluster":
-            got = clustering.assign(v, "grp", "pod", "features", args.clusters).withColumn("cluster", F.concat_ws("-", "grp", "cluster")).select(F.col("key").alias("pod"), "cluster").persist()
-            save("clustering.zip", reports.clustering_bundle(got, composition.long_form(v.join(got, "pod"), "pod", "cluster", "features"), dim, "l1", issues=tables["issues"], large=f"{args.out}/tables"))
+            levels = {}
+            for level in ("l1", "l2", "l3"):
+                grouped = v.withColumn("grp", F.coalesce(level, F.lit("N/A")))
+                found = clustering.assign(grouped, "grp", "pod", "features", args.clusters)
+                own = held(found.select(F.col("key").alias("pod"), F.concat_ws("-", "grp", "cluster").alias("cluster")))
+                levels[level] = own, composition.long_form(v.join(own, "pod"), "pod", "cluster", "features")
+            months = profiles.packed_months(meas, "pod", "date", "q")
+            chosen = clustering.vote_table(months, "month", "pod", "features").where("method = 'chosen'").select(F.col("grp").cast("int").alias("month"), "k")
+            save("clustering.zip", reports.levels_bundle(levels, dim, chosen, issues=tables["issues"], large=f"{args.out}/tables"))
         else:
-            got = clustering.outliers(v.withColumn("grp", F.lit("all")), "grp", "pod", "features", args.clusters or 20).persist()
+            got = held(clustering.outliers(v.withColumn("grp", F.lit("all")), "grp", "pod", "features", args.clusters or 20))
             gaps = funnel.gaps(meas.join(got.select(F.col("key").alias("pod")), "pod", "left_semi"), "pod", "date")
             save("outliers.zip", reports.outlier_bundle(got, dim, "l1", "pod", gaps, large=f"{args.out}/tables"))
 

@@ -80,6 +80,14 @@ def with_p(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
+def square(pairs: DataFrame, value: str, names: list, diagonal: float, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs as a matrix: a row and a column for each of ``names``, mirrored, with ``diagonal`` where a name meets itself."""
+    both = pairs.select(F.col(a).alias("name"), F.col(b).alias("other"), F.col(value).alias("v"))
+    mirrored = both.unionByName(pairs.select(F.col(b).alias("name"), F.col(a).alias("other"), F.col(value).alias("v")))
+    own = mirrored.select("name").distinct().select("name", F.col("name").alias("other"), F.lit(float(diagonal)).alias("v"))
+    return mirrored.unionByName(own).groupBy("name").pivot("other", names).agg(F.max("v")).orderBy("name")
+
+
 def inertia(long: DataFrame) -> DataFrame:
     """Sum of squared distances to the own centroid, by cluster."""
     w = Window.partitionBy("cluster", "slot")

@@ -184,6 +184,16 @@ def daily_profiles(df: DataFrame, key: str, date: str, q: str, count: int = 96,
     return unpacked(dense, key, months, count=count)
 
 
+def packed_months(df: DataFrame, key: str, date: str, q: str, count: int = 96, limit: int = 4) -> DataFrame:
+    """``key, month, features``: the scaled profile of each month as a vector, for clustering month by month."""
+    months = observed_months(df, F.month(date))
+    dense = packed(slot_means(df, key, date, q), key, months, count=count, limit=limit)
+    each = F.array(*[F.struct(F.lit(m).alias("month"), F.slice("norm", i * count + 1, count).alias("features")) for i, m in enumerate(months)]) if months else None
+    if each is None:
+        return dense.select(key, F.lit(0).alias("month"), F.col("norm").alias("features")).limit(0)
+    return dense.select(key, F.explode(each).alias("x")).select(key, "x.month", "x.features")
+
+
 def monthly_share(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """Each hour's mean as a percentage of its key's energy in the month, then the plain mean over keys."""
     daily = df.where(F.col(key).isNotNull()).groupBy(key, F.to_date(ts).alias("day"), F.hour(ts).alias("hour")).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy
 from ..functions.binning import quality
-from ..operators import composition, funnel
+from ..operators import comparison, composition, funnel
 from . import store
 
 
@@ -20,23 +20,20 @@ def summary_workbook(meta: DataFrame, rows: DataFrame, group: str, key: str = "p
     return store.workbook({"Numeri_Chiave": funnel.coverage(rows, key, ts), "Tipologie_Tutti_POD": funnel.census(meta, [group], key), "Tipologie_12mesi": funnel.census(dim, [group], key), "Riepilogo_per_Tipologia": by})
 
 
-def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code: str, key: str = "pod", issues: DataFrame | None = None, large: str | None = None) -> bytes:
-    """The fifteen sheets of one level's clusters, the breakdown pages, the statistics page, and what went wrong on loading.
-
-    ``assigned`` has the key and ``cluster``; ``long`` has ``key, cluster, slot, v``; ``dim`` the levels of each key.
-    """
+def _clustering_book(assigned: DataFrame, long: DataFrame, dim: DataFrame, code: str, key: str) -> dict[str, DataFrame]:
+    """The fifteen sheets of one level's clusters."""
     named = assigned.join(dim, key, "left")
     numbers = [r[0] for r in assigned.select("cluster").distinct().orderBy("cluster").collect()]
     by = [c for c in ("l1", "l2") if c in dim.columns]
     vectors = long.groupBy("key", "cluster").agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("p"))
     vectors = vectors.select("key", "cluster", F.transform("p", lambda s: s["v"]).alias("vector"))
-    pearson = composition.centroid_pearson(long)
+    pearson = composition.with_p(composition.centroid_pearson(long))
     stats = composition.stats(long).join(composition.mean_distances(vectors, "key", "cluster", "vector"), "cluster")
-    book = {
+    return {
         "Cluster_Stats": stats,
         "Global_Metrics": composition.calinski_harabasz(long).join(F.broadcast(composition.davies_bouldin(long).drop("k"))).join(F.broadcast(composition.silhouette(vectors, "key", "cluster", "vector").drop("n"))),
-        "Pearson_Corr": pearson,
-        "Pearson_PValues": composition.with_p(pearson),
+        "Pearson_Corr": composition.square(pearson, "r", numbers, 1.0),
+        "Pearson_PValues": composition.square(pearson, "p", numbers, 0.0),
         "POD_List": named,
         "Cluster_Composition": funnel.share(named, ["cluster", code], ["cluster"]),
         **{f"Composition_by_{c.upper()}": funnel.share(named, ["cluster", c], ["cluster"]) for c in by},
@@ -47,11 +44,43 @@ def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code
         "Cluster_ATECO_Breakdown": composition.ranked(named, "cluster", code),
         **{f"Breakdown_by_{c.upper()}": composition.crosstab_text(named, c, "cluster", numbers) for c in by},
     }
+
+
+def clustering_bundle(assigned: DataFrame, long: DataFrame, dim: DataFrame, code: str, key: str = "pod", issues: DataFrame | None = None, large: str | None = None) -> bytes:
+    """The fifteen sheets of one level's clusters, the breakdown pages, the statistics page, and what went wrong on loading.
+
+    ``assigned`` has the key and ``cluster``; ``long`` has ``key, cluster, slot, v``; ``dim`` the levels of each key.
+    """
+    book = _clustering_book(assigned, long, dim, code, key)
     texts = {"issues.txt": "\n".join(" ".join(map(str, r)) for r in store.small(issues)[1])} if issues is not None else None
-    pages = {"ateco_breakdown": book["ATECO_Breakdown"], "cluster_breakdown": book["Cluster_ATECO_Breakdown"], "global_metrics": book["Global_Metrics"], "statistics": stats}
+    pages = {"ateco_breakdown": book["ATECO_Breakdown"], "cluster_breakdown": book["Cluster_ATECO_Breakdown"], "global_metrics": book["Global_Metrics"], "statistics": book["Cluster_Stats"]}
     return store.bundle({"clustering": book}, pages, texts, large)
 
 
+def levels_bundle(levels: dict[str, tuple[DataFrame, DataFrame]], dim: DataFrame, monthly: DataFrame | None = None, key: str = "pod", issues: DataFrame | None = None, large: str | None = None) -> bytes:
+    """Every level's clusters in one bundle: a workbook of fifteen sheets and the pages of each, and a workbook across them.
+
+    ``levels`` has for the column of each level its ``assigned`` and ``long``. Across them: the correlation of the centroids of all levels as a matrix, each key with its cluster of
+    every level, and, where ``monthly`` is given (``month, k``), the number of clusters of each month as one row.
+    """
+    books, pages, frames, member = {}, {}, {}, None
+    for name, (assigned, long) in levels.items():
+        book = books[f"clustering_{name.upper()}"] = _clustering_book(assigned, long, dim, name, key)
+        pages |= {f"{name}_{page}": book[sheet] for page, sheet in (("ateco_breakdown", "ATECO_Breakdown"), ("cluster_breakdown", "Cluster_ATECO_Breakdown"), ("statistics", "Cluster_Stats"))}
+        frames[name] = composition.centroids(long)
+        own = assigned.select(key, F.col("cluster").alias(f"cluster_{name}"))
+        member = own if member is None else member.join(own, key, "full")
+    across = {"Clusters_by_Level": member}
+    if len(frames) > 1:
+        pairs = comparison.cross_level(frames)
+        names = sorted({n for r in pairs.select("a", "b").distinct().collect() for n in r})  # of centroids
+        across = {"Cross_Level_Pearson": composition.square(pairs, "r", names, 1.0)} | across
+    if monthly is not None:
+        across["K_per_Month"] = monthly.groupBy().pivot("month", list(range(1, 13))).agg(F.max("k"))
+    texts = {"issues.txt": "\n".join(" ".join(map(str, r)) for r in store.small(issues)[1])} if issues is not None else None
+    return store.bundle(books | {"across_levels": across}, pages, texts, large)
+
+
 def comparison_bundle(metrics: DataFrame, profile: DataFrame, ranking: DataFrame | None = None, annual: DataFrame | None = None, large: str | None = None) -> bytes:
     """Metrics with grades, the profiles compared, and, where they are given, the ranking and the metrics of the year's points; a page for each."""
     graded = metrics.withColumn("quality", quality(F.col("rmse"))) if "rmse" in metrics.columns else metrics

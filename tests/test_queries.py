@@ -117,7 +117,7 @@ def test_command_line(tmp_path):
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = tmp_path / "out"
     compare = ["--reference", str(tmp_path / "national.xlsx"), "--provincial", str(provincial)]
-    for analysis, found, more in (("funnel", ["summary.xlsx"], []), ("outliers", ["outliers.zip"], []), ("compare", ["comparison.zip", "national.zip", "provincial.zip"], compare)):
+    for analysis, found, more in (("funnel", ["summary.xlsx"], []), ("outliers", ["outliers.zip"], []), ("compare", ["comparison.zip", "national.zip", "provincial.zip"], compare), ("cluster", ["clustering.zip"], ["--clusters", "3"])):
         subprocess.run([sys.executable, "-m", "loadloom", analysis, str(root), str(out), *more], check=True, cwd=home, timeout=300, env=os.environ | {"PYTHONPATH": home}, capture_output=True)
         assert all(zipfile.is_zipfile(out / f) for f in found) and (out / "run.log").exists()
 
@@ -126,6 +126,9 @@ def test_command_line(tmp_path):
             head, rows = xlsx.table(z.read(f"{bundle}.xlsx"), name)
             return [dict(zip(head, r)) for r in rows], z.namelist()
 
+    with zipfile.ZipFile(out / "clustering.zip") as z:
+        assert {f"clustering_{x}.xlsx" for x in ("L1", "L2", "L3")} | {"across_levels.xlsx", "issues.txt"} <= set(z.namelist())
+        assert xlsx.table(z.read("across_levels.xlsx"), "K_per_Month")[1][0][:2] == ["3", "3"]
     year, _ = sheet("comparison", "Annual_Summary")
     # Two months of 24 hours each are the points of the year here.
     assert {r["points"] for r in year} == {"48"} and {r["code"] for r in year} >= {"DO", "47"} and all(r["rmse_mono"] for r in year)

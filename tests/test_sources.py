@@ -158,3 +158,30 @@ def test_failures_are_not_notes(spark):
     broken = spark.range(3).selectExpr("raise_error('lost')")
     with pytest.raises(Exception, match="lost"):
         store.workbook({"s": broken})
+
+
+def test_levels_bundle(spark):
+    """Three levels, square matrices, the row of k, and the matrix across levels."""
+    dim = spark.createDataFrame([(f"p{i}", f"{i % 2}", f"{i % 2}.{i % 3}", f"{i % 2}.{i % 3}.1") for i in range(24)], "pod string, l1 string, l2 string, l3 string")
+    levels = {}
+    for level, n in (("l1", 2), ("l2", 3), ("l3", 4)):
+        pods = dim.selectExpr("pod", f"concat('{level}-', cast(substr(pod, 2) as int) % {n}) as cluster")
+        levels[level] = pods, pods.selectExpr("pod as key", "cluster", "explode(sequence(0, 5)) as slot").selectExpr("*", "sin(slot * (cast(substr(cluster, 4) as int) + 1) + length(key)) as v")
+    monthly = spark.createDataFrame([(1, 3), (2, 5)], "month int, k int")
+    with zipfile.ZipFile(BytesIO(reports.levels_bundle(levels, dim, monthly))) as z:
+        names = {f"clustering_{x}.xlsx" for x in ("L1", "L2", "L3")} | {"across_levels.xlsx"} | {f"{x}_{p}.html" for x in levels for p in ("ateco_breakdown", "cluster_breakdown", "statistics")}
+        assert names == set(z.namelist())
+        for level, n in (("L1", 2), ("L2", 3), ("L3", 4)):
+            book = z.read(f"clustering_{level}.xlsx")
+            for sheet, diagonal in (("Pearson_Corr", 1.0), ("Pearson_PValues", 0.0)):
+                head, rows = xlsx.table(book, sheet)
+                assert head == ["name", *(f"{level.lower()}-{i}" for i in range(n))] and [r[0] for r in rows] == head[1:]
+                m = [[float(v) for v in r[1:]] for r in rows]
+                assert all(m[i][i] == diagonal and m[i][j] == m[j][i] for i in range(n) for j in range(n))
+            assert xlsx.table(book, "Cluster_Stats")[0] != ["Note"] and len(xlsx.table(book, "Cluster_Stats")[1]) == n
+        across = z.read("across_levels.xlsx")
+        head, rows = xlsx.table(across, "Cross_Level_Pearson")
+        assert len(rows) == 9 and len(head) == 10 and all(float(r[1 + i]) == 1.0 for i, r in enumerate(rows))
+        assert len(xlsx.table(across, "Clusters_by_Level")[1]) == 24
+        head, rows = xlsx.table(across, "K_per_Month")
+        assert head == [str(m) for m in range(1, 13)] and rows[0][:3] == ["3", "5", None]
