@@ -194,22 +194,29 @@ def packed_months(df: DataFrame, key: str, date: str, q: str, count: int = 96, l
     return dense.select(key, F.explode(each).alias("x")).select(key, "x.month", "x.features")
 
 
-def monthly_share(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Each hour's mean as a percentage of its key's energy in the month, then the plain mean over keys."""
+def _daily(df: DataFrame, key: str, ts: str, value: str, by_year: bool) -> tuple[DataFrame, list[str]]:
+    """Sums by key, day and hour, and the columns of a month: with the year, or pooled over the years."""
     daily = df.where(F.col(key).isNotNull()).groupBy(key, F.to_date(ts).alias("day"), F.hour(ts).alias("hour")).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("v"))
-    by_key = daily.groupBy(key, F.month("day").alias("month"), "hour").agg(F.sum("v").alias("s"))
-    days = daily.groupBy(key, F.month("day").alias("month")).agg(F.countDistinct("day").alias("days"), F.sum("v").alias("all")).where("all > 0")
-    got = by_key.join(days, [key, "month"]).withColumn("pct", F.col("s") / F.col("days") / F.col("all") * 100)
-    return got.groupBy("month", "hour").agg(F.avg("pct").alias("pct"))
+    months = {"year": F.year("day"), "month": F.month("day")} if by_year else {"month": F.month("day")}
+    return daily.withColumns(months), list(months)
 
 
-def band_share(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Each hour of a day as a percentage of its band's energy in the month; mean over days, then over keys."""
-    daily = df.where(F.col(key).isNotNull()).groupBy(key, F.to_date(ts).alias("day"), F.hour(ts).alias("hour")).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("v"))
-    daily = daily.withColumns({"month": F.month("day"), "band": band(weekday(F.col("day")), F.col("hour"))})
-    total = F.sum("v").over(Window.partitionBy(key, "month", "band"))
+def monthly_share(df: DataFrame, key: str, ts: str, value: str, by_year: bool = False) -> DataFrame:
+    """Each hour's mean as a percentage of its key's energy in the month, then the plain mean over keys; ``by_year`` keeps the years apart."""
+    daily, months = _daily(df, key, ts, value, by_year)
+    by_key = daily.groupBy(key, *months, "hour").agg(F.sum("v").alias("s"))
+    days = daily.groupBy(key, *months).agg(F.countDistinct("day").alias("days"), F.sum("v").alias("all")).where("all > 0")
+    got = by_key.join(days, [key, *months]).withColumn("pct", F.col("s") / F.col("days") / F.col("all") * 100)
+    return got.groupBy(*months, "hour").agg(F.avg("pct").alias("pct"))
+
+
+def band_share(df: DataFrame, key: str, ts: str, value: str, by_year: bool = False) -> DataFrame:
+    """Each hour of a day as a percentage of its band's energy in the month; mean over days, then over keys; ``by_year`` keeps the years apart."""
+    daily, months = _daily(df, key, ts, value, by_year)
+    daily = daily.withColumn("band", band(weekday(F.col("day")), F.col("hour")))
+    total = F.sum("v").over(Window.partitionBy(key, *months, "band"))
     share = daily.withColumn("t", total).withColumn("pct", F.when(F.col("t") > 0, 100 * F.col("v") / F.col("t")))
-    return share.groupBy(key, "month", "hour").agg(F.avg("pct").alias("pct")).groupBy("month", "hour").agg(F.avg("pct").alias("pct"))
+    return share.groupBy(key, *months, "hour").agg(F.avg("pct").alias("pct")).groupBy(*months, "hour").agg(F.avg("pct").alias("pct"))
 
 
 def by_day_type(df: DataFrame, key: str, ts: str, value: str, scale: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:

@@ -260,7 +260,11 @@ def code_ranking(spark, sf):
     return ranking.select("code", F.round("rmse", 4).alias("rmse"), "rank")
 
 
-@register("strict_profile")
+@register("strict_profile", f"""WITH d AS (SELECT key, CAST(month(ts) AS INT) AS month, CAST(hour(ts) + 1 AS INT) AS slot, avg(value) AS v FROM {READINGS} GROUP BY key, ts::DATE, month(ts), hour(ts)), c AS (SELECT key, month, slot, avg(v) AS v FROM d GROUP BY ALL),
+g AS (SELECT k.key, m.month, s.slot, v, row_number() OVER (PARTITION BY k.key ORDER BY s.slot, m.month) AS i FROM (SELECT DISTINCT key FROM d) k CROSS JOIN (SELECT DISTINCT month FROM d) m CROSS JOIN (SELECT CAST(range + 1 AS INT) AS slot FROM range(24)) s LEFT JOIN c ON c.key = k.key AND c.month = m.month AND c.slot = s.slot),
+w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS p, last_value(v IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS n, first_value(v IGNORE NULLS) OVER a AS nv FROM g
+WINDOW b AS (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), f AS (SELECT key, month, slot, coalesce(v, pv + (nv - pv) * (i - p) / nullif(n - p, 0), pv, nv) AS v FROM w),
+r AS (SELECT *, min(v) OVER (PARTITION BY key, month) AS lo, max(v) OVER (PARTITION BY key, month) AS hi FROM f), z AS (SELECT *, min(hi - lo) OVER (PARTITION BY key) AS flat FROM r) SELECT key, month, slot, round((v - lo) / (hi - lo), 5) AS norm FROM z WHERE flat > 0""")
 def strict_profile(spark, sf):
     """The older null policy, over days packed into vectors of 24."""
     from ..operators import comparison

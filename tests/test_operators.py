@@ -77,6 +77,17 @@ def test_monthly_share_sums_to_the_day(spark):
     assert profiles.band_share(df, "key", "ts", "v").agg(F.sum("pct")).first()[0] * 10 == pytest.approx(300, rel=0.5)
 
 
+def test_shares_by_year(spark):
+    """A year's shares are those of its rows alone."""
+    rng = np.random.default_rng(13)
+    rows = [(k, datetime.datetime(y, m, d, h), float(rng.random())) for k in "ab" for y in (2023, 2024) for m in (1, 6) for d in (3, 4, 8) for h in range(24)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, v double")
+    for share in (profiles.monthly_share, profiles.band_share):
+        got = {(r.year, r.month, r.hour): r.pct for r in share(df, "key", "ts", "v", by_year=True).collect()}
+        want = {(y, r.month, r.hour): r.pct for y in (2023, 2024) for r in share(df.where(F.year("ts") == y), "key", "ts", "v").collect()}
+        assert got.keys() == want.keys() and len(got) == 96 and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_pair_metrics_guard(spark):
     rows = [("c", 1.0, 2.0), ("c", 1.0, 3.0), ("one", 1.0, 2.0), ("ok", 1.0, 1.0), ("ok", 2.0, 3.0), ("ok", None, 9.0)]
     got = {r.g: r for r in compare.pair_metrics(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], "a", "b").collect()}
