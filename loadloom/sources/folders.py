@@ -24,6 +24,8 @@ from . import files, xlsx
 SLOTS = 96
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("pod", "d49", "fdesc", "tate3", "ccatete", "periodo")] + [T.StructField("row_ord", T.LongType())])
 
+MEAS = "pod string, date date, tipologia string, periodo string, q array<float>, row_ord long"
+POWER = "pod string, potcontr_kw double, periodo string, row_ord long"
 ISSUE = "folder string, kind string, issue string"
 
 
@@ -127,10 +129,22 @@ def measures(spark: SparkSession, path: str, period: str) -> tuple[DataFrame, Da
     return out, side
 
 
-def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """``meta``, ``meas``, ``power`` (last value of each key) and ``issues`` of all monthly folders."""
+def inputs(root: str) -> dict[str, list[list]]:
+    """By period what its folder holds: name, length and time of each file."""
+    return {period: [[e.name, e.size, e.modified] for e in files.entries(folder) if not e.is_folder] for folder, period in folders(root)}
+
+
+def last_power(rows: DataFrame) -> DataFrame:
+    """The last contract power of each key, by file, then by row."""
+    return rows.groupBy("pod").agg(F.max_by("potcontr_kw", F.struct("periodo", "row_ord")).alias("potcontr_kw"))
+
+
+def load(spark: SparkSession, root: str, only: set[str] | None = None) -> dict[str, DataFrame]:
+    """``meta``, ``meas``, ``power`` (last value of each key), ``power_rows`` and ``issues`` of all monthly folders, or of the periods asked for."""
     meass, powers, issues, books = [], [], [], {}
     for folder, period in folders(root):
+        if only is not None and period not in only:
+            continue
         for find, kind in ((metadata_file, "metadata"), (measures_file, "measures")):
             path = find(folder)
             if not path:
@@ -152,11 +166,12 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
-    power = union(powers, "pod string, potcontr_kw double, periodo string, row_ord long")
+    power = union(powers, POWER)
     return {
         "meta": meta,
-        "meas": union(meass, "pod string, date date, tipologia string, periodo string, q array<float>, row_ord long"),
-        "power": power.groupBy("pod").agg(F.max_by("potcontr_kw", F.struct("periodo", "row_ord")).alias("potcontr_kw")),
+        "meas": union(meass, MEAS),
+        "power": last_power(power),
+        "power_rows": power,
         "issues": spark.createDataFrame(issues, ISSUE).unionByName(broken),
     }
 
@@ -164,9 +179,3 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def input_size(root: str, skip: str = "_cache") -> int:
     """Bytes below a folder, without its cache."""
     return sum(input_size(f"{root}/{e.name}", skip) if e.is_folder else e.size for e in files.entries(root) if not (e.is_folder and e.name == skip))
-
-
-def newest(root: str) -> float:
-    """The time of the monthly folder that was changed last."""
-    there = {p for p, _ in folders(root)}
-    return max([e.modified for e in files.entries(root) if f"{root}/{e.name}" in there], default=0.0)

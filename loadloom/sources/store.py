@@ -5,10 +5,13 @@ from __future__ import annotations
 import csv
 import html
 import io
+import json
+import uuid
 import zipfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import files, folders, xlsx
 
@@ -16,32 +19,68 @@ from . import files, folders, xlsx
 MOST_ROWS = 100_000
 
 
-def save_cache(tables: dict[str, DataFrame], cache: str) -> list[str]:
-    """Write tables as Parquet, measures by period; what fails is reported."""
-    failed = []
-    for name, df in tables.items():
+#: What a version of the cache holds, and the columns of each table.
+CACHED = {"meta": folders.META, "meas": folders.MEAS, "power_rows": folders.POWER, "issues": folders.ISSUE}
+
+
+def _pointer(cache: str) -> tuple[int, dict] | None:
+    """Number and content of the newest whole pointer: the version that counts and the files that it was made from."""
+    there = files.entries(cache) if files.entry(cache) else []
+    for e in sorted((e for e in there if e.name.startswith("current-")), key=lambda e: e.name, reverse=True):
         try:
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy("periodo") if name == "meas" else writer).parquet(f"{cache}/{name}.parquet")
-        except Exception as e:
-            failed.append(f"{name}: {str(e).splitlines()[0]}")
-    return failed
+            return int(e.name[8:-5]), json.loads(files.content(f"{cache}/{e.name}"))
+        except ValueError:  # half written
+            continue
+    return None
+
+
+def _version(spark: SparkSession, cache: str, name: str) -> dict[str, DataFrame]:
+    tables = {n: spark.read.schema(schema).parquet(f"{cache}/{name}/{n}.parquet") for n, schema in CACHED.items()}
+    return tables | {"power": folders.last_power(tables["power_rows"])}
+
+
+def save_cache(tables: dict[str, DataFrame], cache: str, made_from: dict, number: int) -> str:
+    """Write a version of the cache, measures by period, and then the pointer that makes it count; what is there stays until that, and one version longer."""
+    name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+    try:
+        for n in CACHED:
+            writer = tables[n].write
+            (writer.partitionBy("periodo") if n == "meas" else writer).parquet(f"{cache}/{name}/{n}.parquet")
+    except Exception:
+        files.delete(f"{cache}/{name}")
+        raise
+    files.save(f"{cache}/current-{number:08d}.json", json.dumps({"version": name, "files": made_from}).encode())
+    kept = {name, *(json.loads(files.content(f"{cache}/{e.name}"))["version"] for e in files.entries(cache) if e.name == f"current-{number - 1:08d}.json")}
+    for e in files.entries(cache):
+        if e.is_folder and e.name not in kept or e.name.startswith("current-") and int(e.name[8:-5]) < number - 1:
+            files.delete(f"{cache}/{e.name}")
+    return name
 
 
 def load_cached(spark: SparkSession, root: str, cache: str | None = None) -> dict[str, DataFrame]:
-    """The tables of a root folder, from its cache if that is newer than every monthly folder and can be read."""
+    """The tables of a root folder. Months whose files are as they were when the cache was written come from it, the others are read and a new version is written.
+
+    A version that can't be written leaves the one before in place, and the tables are given as they were read, with a row in ``issues``.
+    """
     cache = cache or f"{root}/_cache"
-    names = ("meta", "meas", "power")
-    paths = [f"{cache}/{n}.parquet" for n in names]
-    there = [files.entry(p) for p in paths]
-    if all(there) and min(e.modified for e in there) > folders.newest(root):
-        try:
-            return {n: spark.read.parquet(p) for n, p in zip(names, paths, strict=True)} | {"issues": spark.createDataFrame([], "folder string, kind string, issue string")}
-        except Exception:
-            drop_cache(root, cache)
-    tables = folders.load(spark, root)
-    save_cache({n: tables[n] for n in names}, cache)
-    return tables
+    now, found = folders.inputs(root), _pointer(cache)
+    number, before = found if found else (0, {"files": {}})
+    if found and before["files"] == now:
+        return _version(spark, cache, before["version"])
+    same = {p for p in now if before["files"].get(p) == now[p]}
+    tables = folders.load(spark, root, only=set(now) - same)
+    if same:
+        old = _version(spark, cache, before["version"])
+        kept = [f for f, period in folders.folders(root) if period in same]
+        for n in ("meta", "meas", "power_rows"):
+            tables[n] = tables[n].unionByName(old[n].where(F.col("periodo").isin(*same)))
+        tables["issues"] = tables["issues"].unionByName(old["issues"].where(F.regexp_replace("folder", "^.*/", "").isin(*[f.rpartition("/")[2] for f in kept])))
+        tables["power"] = folders.last_power(tables["power_rows"])
+    try:
+        return _version(spark, cache, save_cache(tables, cache, now, number + 1))
+    except Exception as e:
+        issue = spark.createDataFrame([(cache, "cache", (str(e).splitlines() or [""])[0][:300])], folders.ISSUE)
+        return tables | {"issues": tables["issues"].unionByName(issue)}
 
 
 def drop_cache(root: str, cache: str | None = None) -> None:

@@ -1,12 +1,13 @@
 """Folders, workbooks, caches and reports."""
 
 import os
+import shutil
 import zipfile
 from io import BytesIO
 
 import pytest
 
-from loadloom.sources import folders, references, reports, store, xlsx
+from loadloom.sources import files, folders, references, reports, store, xlsx
 
 
 def make_root(tmp_path):
@@ -30,15 +31,34 @@ def test_load(spark, tmp_path):
     assert folders.input_size(root) > 0
 
 
-def test_cache(spark, tmp_path):
+def periods(tables):
+    return sorted({r.periodo for r in tables["meas"].select("periodo").collect()})
+
+
+def test_cache(spark, tmp_path, monkeypatch):
+    """Only changed months are read; a removed one goes; a write that fails leaves what was there."""
     root = make_root(tmp_path)
+    asked, plain = [], folders.load
+    monkeypatch.setattr(folders, "load", lambda spark, root, only=None: asked.append(sorted(only)) or plain(spark, root, only))
     first = store.load_cached(spark, root)
-    assert os.path.exists(os.path.join(root, "_cache", "meas.parquet")) and first["meas"].count() == 2
-    os.utime(os.path.join(root, "gen25"), (0, 0))
-    for n in os.listdir(root):
-        if n != "_cache":
-            os.utime(os.path.join(root, n), (0, 0))
-    assert store.load_cached(spark, root)["meas"].where("periodo = '2025-01'").count() == 1
+    assert first["meas"].count() == 2 and first["issues"].count() == 2 and first["power"].collect()[0].potcontr_kw == 3.0
+    assert store.load_cached(spark, root)["meas"].count() == 2 and asked == [["2025-01", "2025-02", "2025-03"]]
+    (tmp_path / "Feb25" / "misure_a.csv").write_text("POD;DataMisura;Q1;Potenza Contrattuale\nit1;03/02/2025;2;4,5\nit2;03/02/2025;2;1\n", encoding="utf-8")
+    second = store.load_cached(spark, root)
+    assert asked[1:] == [["2025-02"]] and second["meas"].count() == 3 and second["meta"].count() == 2 and second["issues"].count() == 2
+    assert {r.pod: r.potcontr_kw for r in second["power"].collect()} == {"IT1": 4.5, "IT2": 1.0}
+    # Tables of the version before can still be read.
+    assert first["meas"].count() == 2
+    (tmp_path / "mar25" / "misure_a.csv").write_text("POD;DataMisura;Q1\nit3;03/03/2025;7\n", encoding="utf-8")
+    with monkeypatch.context() as m:
+        m.setattr(files, "save", lambda path, data: (_ for _ in ()).throw(OSError("disk full")))
+        third = store.load_cached(spark, root)
+        assert periods(third) == ["2025-01", "2025-02", "2025-03"] and [r.issue for r in third["issues"].where("kind = 'cache'").collect()] == ["disk full"]
+    assert periods(second) == ["2025-01", "2025-02"]
+    (tmp_path / "_cache" / "current-00000009.json").write_text('{"version": "v0')
+    assert periods(store.load_cached(spark, root)) == ["2025-01", "2025-02", "2025-03"] and asked[3:] == [["2025-03"]]
+    shutil.rmtree(tmp_path / "gen25")
+    assert periods(store.load_cached(spark, root)) == ["2025-02", "2025-03"] and asked[4:] == [[]]
     store.drop_cache(root)
     assert not os.path.exists(os.path.join(root, "_cache"))
 
