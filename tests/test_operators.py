@@ -1,6 +1,7 @@
 """Operators against plain restatements."""
 
 import datetime
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -130,6 +131,39 @@ def test_linkage(seed, n):
     assert np.allclose(linkage.single(x[shuffled])[:, 2], s[:, 2])
 
 
+@pytest.mark.parametrize("n, width", [(900, 3), (900, 24)])
+def test_linkage_beyond_the_square(monkeypatch, n, width):
+    """More points than a square of distances is held for: the same tree, in less memory than the square."""
+    x = np.random.default_rng(n + width).random((n, width))
+    x[1:5] = x[0]
+    want = linkage.average(x), linkage.single(x)
+    for name, number in (("TABLE", 150), ("TILE", 32), ("STRIP", 16)):
+        monkeypatch.setattr(linkage, name, number)
+    tracemalloc.start()
+    got = linkage.average(x), linkage.single(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * n * n / 2
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(a[:, 2], b[:, 2]) and (a[4:, 3] == b[4:, 3]).all()
+        for k in (2, 5, 30):
+            assert (linkage.cut(a, k) == linkage.cut(b, k)).all()
+    cuts = [linkage.cut(want[0], k) for k in (3, 8)]
+    for labels, sums in zip(cuts, linkage.sums_by_cluster(x, cuts), strict=True):
+        assert linkage.silhouette_of_sums(sums, labels) == pytest.approx(linkage.silhouette(linkage.distances(x), labels))
+        assert linkage.dispersion_of_sums(sums, labels) == pytest.approx(linkage.dispersion(x, labels))
+
+
+def test_groups_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
+    """A group of over 3,000 points is one task's work: the jobs of rounds over blocks fill the driver and take minutes."""
+    monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
+    monkeypatch.setattr(linkage, "TABLE", 1000)
+    x = np.random.default_rng(4).random((3100, 2))
+    got = clustering.merges(vectors(spark, {"g": x}), "grp", "key", "features").orderBy("step").toPandas()
+    monkeypatch.undo()
+    assert np.allclose(got["distance"], linkage.average(x)[:, 2])
+
+
 def test_cut_with_equal_heights():
     x = np.array([[0.0], [0.0], [0.0], [5.0]])
     assert len(set(linkage.cut(linkage.average(x), 3))) == 2
