@@ -164,6 +164,18 @@ def test_groups_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     assert np.allclose(got["distance"], linkage.average(x)[:, 2])
 
 
+def test_votes_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
+    """Nor do the votes over such a group and its reference sets, or its clusters with the k that they choose."""
+    monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
+    monkeypatch.setattr(clustering, "REFERENCES", 1)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(775, 2)) + c for c in ([0, 0], [40, 0], [0, 40], [40, 40])])
+    df = vectors(spark, {"g": x})
+    assert clustering.gap_table(df, "grp", "key", "features").count() == 8
+    got = clustering.assign(df, "grp", "key", "features").groupBy("k", "cluster").count().collect()
+    assert sorted((r.k, r["count"]) for r in got) == [(4, 775)] * 4
+
+
 def test_cut_with_equal_heights():
     x = np.array([[0.0], [0.0], [0.0], [5.0]])
     assert len(set(linkage.cut(linkage.average(x), 3))) == 2
