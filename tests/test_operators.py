@@ -164,6 +164,23 @@ def test_groups_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     assert np.allclose(got["distance"], linkage.average(x)[:, 2])
 
 
+def test_heights_of_thousands_are_clustered_once(spark, monkeypatch):
+    monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
+    x = np.random.default_rng(6).random((3100, 2))
+    asked = spark.sparkContext.accumulator(0)
+    plain = linkage.average
+
+    def counted(x):
+        asked.add(1)
+        return plain(x)
+
+    monkeypatch.setattr(linkage, "average", counted)
+    # The kernel refers to the function by its module, which workers import anew: it is handed over by its name here.
+    monkeypatch.setattr(clustering, "linkage", type("", (), {"average": staticmethod(counted), "single": linkage.single}))
+    got = clustering.cut_heights(vectors(spark, {"g": x}), "grp", "key", "features", 4).collect()
+    assert [r.height for r in got] == [pytest.approx(linkage.cut_height(plain(x), 4))] and asked.value == 1
+
+
 def test_votes_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     """Nor do the votes over such a group and its reference sets, or its clusters with the k that they choose."""
     monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
