@@ -19,9 +19,19 @@ def slots(df: DataFrame, key: str, date: str, q: str) -> DataFrame:
     return df.select(key, date, F.posexplode(q).alias("slot", "v")).withColumn("slot", F.col("slot") + 1)
 
 
-def slot_means(df: DataFrame, key: str, date: str, q: str) -> DataFrame:
-    """Means of the slots by key and month; nulls are skipped, years pooled."""
-    long = slots(df.where(F.col(key).isNotNull()), key, date, q)
+def slot_means(df: DataFrame, key: str, date: str, q: str, empty: bool = True) -> DataFrame:
+    """Means of the slots by key and month; nulls are skipped, years pooled.
+
+    Slots that have no value at all are rows of null. Without ``empty`` they are left out, and only slots with a value are shuffled: a vector with few is few rows. One without any is then a row
+    without a slot, so that its key and month are seen.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    if empty:
+        long = slots(rows, key, date, q)
+    else:
+        cells = rows.select(key, date, F.array_max(q).isNull().alias("__none"), F.posexplode(q).alias("__at", "v"))
+        cells = cells.where(F.col("v").isNotNull() | (F.col("__none") & (F.col("__at") == 0)))
+        long = cells.select(key, date, F.when(F.col("v").isNotNull(), F.col("__at") + 1).alias("slot"), "v")
     return long.groupBy(key, F.month(date).alias("month"), "slot").agg(F.avg("v").alias("v"))
 
 
@@ -139,21 +149,21 @@ def _filled(cells: np.ndarray, step: str, limit: int, by_slot: bool) -> tuple[np
     return stay, v, np.where(hi > lo, (v - lo) / np.where(hi > lo, hi - lo, 1), 0.0)
 
 
-def packed(means: DataFrame, key: str, months: list[int], slot: str = "slot", count: int = 96, step: str = STEPS[-1], limit: int = 4, by_slot: bool = True) -> DataFrame:
-    """``key, v`` and, scaled, ``norm``: of each key one dense array of its cells, month by month and slot by slot (from 1), filled as far as ``step`` says.
+#: Keys whose cells are filled at once.
+KEYS = 1024
 
-    The cells of a key are gathered once (at most 12 x count of them) and all rules are applied to whole batches of keys in one kernel: no grid is joined, and no window sorts it.
-    Cells of other months are left out; a cell without a value is null up to the step ``filled``.
-    """
-    cells = means.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("month", F.col(slot).alias("slot"), F.col("v").cast("double").alias("v"))).alias("cells"))
+
+def _by_key(means: DataFrame, key: str, months: list[int], slot: str, count: int, names: list[str], kernel) -> DataFrame:
+    """``key`` and arrays of the ``names``: of each key one dense array of its cells, month by month and slot by slot (from 1), through ``kernel``: keys x months x slots, nan where there is no value -> which
+    keys stay, and as many arrays of the same shape as names."""
+    cells = means.where(F.col(key).isNotNull() & F.col(slot).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("month", F.col(slot).alias("slot"), F.col("v").cast("double").alias("v"))).alias("cells"))
     place = {m: i for i, m in enumerate(months)}
     lookup = np.full(13, -1)
     lookup[list(place)] = list(place.values())
-    scaled = step == STEPS[-1]
-    schema = T.StructType([cells.schema[key], *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in (["v", "norm"] if scaled else ["v"]))])
+    schema = T.StructType([cells.schema[key], *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, KEYS) for b in batches for at in range(0, b.num_rows, KEYS)):
             lists = batch.column("cells")
             flat = lists.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -161,19 +171,43 @@ def packed(means: DataFrame, key: str, months: list[int], slot: str = "slot", co
             dense = np.full((batch.num_rows, len(months), count), np.nan)
             ok = (lookup[at] >= 0) & (where >= 1) & (where <= count)
             dense[row[ok], lookup[at[ok]], where[ok] - 1] = v[ok]
-            stay, full, norm = _filled(dense, step, limit, by_slot)
+            stay, *full = kernel(dense)
             offsets = pa.array((np.arange(int(stay.sum()) + 1) * len(months) * count).astype(np.int32))
-            arrays = [pa.ListArray.from_arrays(offsets, pa.array(a[stay].ravel(), pa.float64(), from_pandas=True)) for a in ([full, norm] if scaled else [full])]
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(a[stay].ravel(), pa.float64(), from_pandas=True)) for a in full[: len(names)]]
             yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(stay)), *arrays], schema.names)
 
     return cells.mapInArrow(run, schema)
 
 
+def packed(means: DataFrame, key: str, months: list[int], slot: str = "slot", count: int = 96, step: str = STEPS[-1], limit: int = 4, by_slot: bool = True) -> DataFrame:
+    """``key, v`` and, scaled, ``norm``: of each key one dense array of its cells, month by month and slot by slot (from 1), filled as far as ``step`` says.
+
+    The cells of a key are gathered once (at most 12 x count of them) and all rules are applied to whole batches of keys in one kernel: no grid is joined, and no window sorts it.
+    Cells of other months are left out; a cell without a value is null up to the step ``filled``.
+    """
+    return _by_key(means, key, months, slot, count, ["v", "norm"] if step == STEPS[-1] else ["v"], lambda dense: _filled(dense, step, limit, by_slot))
+
+
+def _strict(cells: np.ndarray, least_months: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like :func:`_filled` by the older rule: keys with at least ``least_months`` times the slots of values, interpolated without limit slot by slot; a key with a constant month doesn't stay."""
+    n, months, count = cells.shape
+    line = cells.transpose(0, 2, 1).reshape(n, months * count)
+    v = _interpolated(line, months * count).reshape(n, count, months).transpose(0, 2, 1)
+    lo, hi = v.min(axis=2, keepdims=True), v.max(axis=2, keepdims=True)
+    stay = ((~np.isnan(line)).sum(axis=1) >= least_months * count) & (hi - lo > 0).all(axis=(1, 2))
+    return stay, v, (v - lo) / np.where(hi > lo, hi - lo, 1)
+
+
+def packed_strict(means: DataFrame, key: str, months: list[int], slot: str = "slot", count: int = 96, least_months: float = 6) -> DataFrame:
+    """``key, v, norm`` like :func:`packed`, by the older rule: see :func:`_strict`."""
+    return _by_key(means, key, months, slot, count, ["v", "norm"], lambda dense: _strict(dense, least_months))
+
+
 def unpacked(dense: DataFrame, key: str, months: list[int], slot: str = "slot", count: int = 96) -> DataFrame:
     """The arrays of :func:`packed` as rows: ``key, month, slot, v`` (and ``norm``)."""
     own = [c for c in ("v", "norm") if c in dense.columns]
     rows = dense.select(key, F.posexplode(F.arrays_zip(*own)).alias("__at", "__x"))
-    month = F.element_at(F.array(*[F.lit(m) for m in months]), (F.col("__at") / count).cast("int") + 1)
+    month = F.element_at(F.array(*[F.lit(m) for m in months]).cast("array<int>"), (F.col("__at") / count).cast("int") + 1)
     return rows.select(key, month.alias("month"), (F.col("__at") % count + 1).cast("int").alias(slot), *[F.col(f"__x.{c}").alias(c) for c in own])
 
 

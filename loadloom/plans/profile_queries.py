@@ -40,8 +40,9 @@ def slot_means(spark, sf):
     """Quarter-hours of a day packed into a vector, and the means of its slots."""
     r = readings(spark, sf).withColumns({"date": F.to_date("ts"), "slot": (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15) + 1).cast("int")})
     # Several readings of a slot each get a vector of their own, so that all count.
-    rows = r.select("key", "date", F.transform(F.sequence(F.lit(1), F.lit(96)), lambda i: F.when(i == F.col("slot"), F.col("value"))).alias("q"))
-    got = profiles.slot_means(rows, "key", "date", "q").where("v is not null")
+    none = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    rows = r.select("key", "date", F.concat(none(F.col("slot") - 1), F.array("value"), none(96 - F.col("slot"))).alias("q"))
+    got = profiles.slot_means(rows, "key", "date", "q", empty=False).where("v is not null")
     return got.select("key", "month", "slot", calendar.slot_label(F.col("slot")).alias("label"), F.round("v", 4).alias("v"))
 
 
