@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,7 @@ from ..functions.arrays import hours
 from ..functions.binning import power_class, quality
 from ..functions.taxonomy import reference_columns
 from . import compare, profiles
+from .ranking import held
 
 
 def hour_rows(meas: DataFrame, key: str = "pod", date: str = "date", q: str = "q") -> DataFrame:
@@ -132,12 +133,6 @@ def cross_level(frames: dict[str, DataFrame]) -> DataFrame:
 
 def strict_profiles(df: DataFrame, key: str, date: str, q: str, count: int = 96, least_months: int = 6) -> DataFrame:
     """The older rule: keys with at least ``least_months`` times the slots of values, interpolation without limit, constant months and their keys dropped."""
-    means = profiles.slot_means(df, key, date, q)
-    grid = profiles.complete_grid(means, key, "slot", count)
-    enough = F.count("v").over(Window.partitionBy(key)) >= least_months * count
-    grid = grid.withColumn("__ok", enough).where("__ok").drop("__ok")
-    full = profiles.interpolate(grid, key, "slot", limit=1 << 30)
-    w = Window.partitionBy(key, "month")
-    width = full.withColumn("__w", F.max("v").over(w) - F.min("v").over(w))
-    flat: Column = F.min("__w").over(Window.partitionBy(key))
-    return profiles.minmax(width.withColumn("__f", flat).where("__f > 0").drop("__w", "__f"), [key, "month"])
+    means = held(profiles.slot_means(df, key, date, q, empty=False))
+    months = profiles.observed_months(means, F.col("month"))
+    return profiles.unpacked(profiles.packed_strict(means, key, months, count=count, least_months=least_months), key, months, count=count)

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -564,3 +565,55 @@ def test_strict_profiles(spark):
         own = full[m - 1 :: 2]
         want = (own - own.min()) / (own.max() - own.min())
         assert [r.norm for r in sorted(got, key=lambda r: r.slot) if r.month == m] == pytest.approx(want.tolist())
+
+
+def test_slot_means_of_few_values(spark):
+    """Only slots with a value are rows to be shuffled; a vector without any still shows its key and month."""
+    day = lambda m: datetime.date(2024, m, 1)
+    rows = [("a", day(1), [None, 1.0, None]), ("a", day(1), [None, 3.0, 5.0]), ("a", day(2), [None] * 3), ("b", day(1), []), (None, day(1), [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "key string, date date, q array<double>")
+    got = profiles.slot_means(df, "key", "date", "q", empty=False)
+    assert sorted(map(tuple, got.where("slot is not null").collect())) == [("a", 1, 2, 2.0), ("a", 1, 3, 5.0)]
+    assert sorted(map(tuple, got.where("slot is null").collect())) == [("a", 2, None, None)]
+    every = profiles.slot_means(df, "key", "date", "q")
+    assert every.count() == 6 and sorted(map(tuple, every.where("v is not null").collect())) == [("a", 1, 2, 2.0), ("a", 1, 3, 5.0)]
+
+
+@pytest.mark.parametrize("least", [0, 0.5])
+def test_strict_profiles_by_the_plain_rules(spark, least):
+    """As a grid with windows has them, without a window over it."""
+    from loadloom.operators import comparison
+
+    rng = np.random.default_rng(12)
+    rows = [(f"k{i}", datetime.date(2024, int(m), 1 + int(d)), [None if rng.random() < 0.4 + 0.1 * (i % 6) else round(float(rng.random()), 3) for _ in range(4)]) for i in range(30) for m, d in zip(rng.integers(1, 6, 8), range(8), strict=True)]
+    rows += [("none", datetime.date(2024, 9, 1), [None] * 4), ("flat", datetime.date(2024, 1, 1), [1.0] * 4)]
+    df = spark.createDataFrame(rows, "key string, date date, q array<double>")
+    grid = profiles.complete_grid(profiles.slot_means(df, "key", "date", "q"), "key", "slot", 4)
+    enough = grid.withColumn("ok", F.count("v").over(Window.partitionBy("key")) >= least * 4).where("ok").drop("ok")
+    full = profiles.minmax(profiles.interpolate(enough, "key", "slot", limit=1 << 30), ["key", "month"])
+    w = Window.partitionBy("key", "month")
+    wide = full.withColumn("w", F.max("v").over(w) - F.min("v").over(w)).withColumn("f", F.min("w").over(Window.partitionBy("key"))).where("f > 0")
+    want = {(r.key, r.month, r.slot): (r.v, r.norm) for r in wide.collect()}
+    got = comparison.strict_profiles(df, "key", "date", "q", 4, least)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    got = {(r.key, r.month, r.slot): (r.v, r.norm) for r in got.collect()}
+    assert got.keys() == want.keys() and want and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("j", [0, 1])
+def test_products_hold_tiles(j):
+    """Of two blocks no more than a few tiles of distances are in memory at once, and the sums are those of all pairs."""
+    rng = np.random.default_rng(13)
+    x, y = (rng.random((3000, 4)) for _ in "xy")
+    y = y if j else x
+    block = lambda v: [[{"key": i, "cluster": i % 3, "vector": r} for i, r in enumerate(v.tolist())]]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("cluster", pa.int32()), ("vector", pa.list_(pa.float64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([j]), pa.array(block(x), kind), pa.array(block(y), kind)], ["part", "i", "j", "x", "y"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(composition._products([batch])).to_pandas()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * 8 * composition.TILE**2
+    d = linkage.apart(x, y)
+    want = [d[i, np.arange(3000) % 3 == c].sum() for i in range(3000) for c in range(3)]
+    assert np.allclose(got["s"][:9000], want, atol=1e-5) and len(got) == (18000 if j else 9000)
