@@ -194,6 +194,38 @@ def test_votes_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     assert sorted((r.k, r["count"]) for r in got) == [(4, 775)] * 4
 
 
+def test_equal_points_are_clustered_once(monkeypatch):
+    """Copies of a point stand in for it by their number: a table of the distinct ones is all that is made, and merges of copies come by the smaller members."""
+    x = np.random.default_rng(11).random((40, 3))
+    many = np.repeat(x, np.arange(1, 41), axis=0)[np.random.default_rng(12).permutation(820)]
+    sizes = []
+    plain = linkage.merges_by_average
+    monkeypatch.setattr(linkage, "merges_by_average", lambda d, size: sizes.append(len(d)) or plain(d, size))
+    got = linkage.average(many)
+    assert sizes == [40] and (got[:780, 2] == 0).all() and got[-1, 3] == 820
+    d = linkage.distances(many)
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(got[:, 2], sorted(m[2] for m in plain(d, np.ones(820))))
+    assert linkage.average(np.array([[1.0], [2.0], [2.0], [1.0], [1.0]]))[:3].tolist() == [[0, 3, 0, 2], [4, 5, 0, 3], [1, 2, 0, 2]]
+
+
+def test_dispersions_come_from_the_merges(spark, monkeypatch):
+    """No pass over the pairs of a reference set, and none of its points shuffled: the task makes them as the column functions do."""
+    rng = np.random.default_rng(13)
+    for n in (5, 60, 200):
+        x = np.round(rng.normal(size=(n, 2)), 1)
+        z, ks = linkage.average(x), linkage.candidates(n)
+        assert linkage.dispersions(z, ks) == pytest.approx([linkage.dispersion(x, linkage.cut(z, k)) for k in ks])
+    rows = vectors(spark, {"g": rng.normal(size=(30, 3))}).withColumn("id", F.row_number().over(Window.orderBy("key")))
+    rows = rows.select("grp", "key", "features", "id")
+    want = {(r.ref, r.place): list(r.features) for r in clustering.with_references(rows, 3).where("ref >= 0").collect()}
+    sets = clustering._with_boxes(rows, 3).where("ref >= 0").collect()
+    assert len(sets) == 3
+    for s in sets:
+        made = clustering._reference_points(s.ref, s.n, np.array(s.lo), np.array(s.hi))
+        assert made.tolist() == [want[s.ref, i] for i in range(30)]
+
+
 def test_cut_with_equal_heights():
     x = np.array([[0.0], [0.0], [0.0], [5.0]])
     assert len(set(linkage.cut(linkage.average(x), 3))) == 2
