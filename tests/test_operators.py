@@ -226,6 +226,13 @@ def test_dispersions_come_from_the_merges(spark, monkeypatch):
         assert made.tolist() == [want[s.ref, i] for i in range(30)]
 
 
+def test_sets_hardly_ever_share_a_task(spark, monkeypatch):
+    """Sets that are worth a task each are dealt over sixteen times as many: of 55, a task gets two now and then, hardly ever three."""
+    monkeypatch.setattr(clustering, "PAIRS", 1)
+    rows = vectors(spark, {g: np.ones((2, 1)) for g in "abcde"})
+    assert clustering._dealt(rows, rows, "grp", sets=11).rdd.getNumPartitions() == 880
+
+
 def test_cut_with_equal_heights():
     x = np.array([[0.0], [0.0], [0.0], [5.0]])
     assert len(set(linkage.cut(linkage.average(x), 3))) == 2
