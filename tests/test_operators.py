@@ -155,6 +155,44 @@ def test_linkage_beyond_the_square(monkeypatch, n, width):
         assert linkage.dispersion_of_sums(sums, labels) == pytest.approx(linkage.dispersion(x, labels))
 
 
+def test_large_sets_take_few_passes_over_their_pairs(monkeypatch):
+    """Most merges come from a list of the nearest pairs; taking only clusters that are each other's nearest went over all pairs of points seven times here."""
+    x = np.random.default_rng(21).random((1500, 8))
+    want, tiles, passes = linkage.average(x), linkage._tiles, []
+    for name, number in (("TABLE", 400), ("TILE", 64), ("STRIP", 32)):
+        monkeypatch.setattr(linkage, name, number)
+    monkeypatch.setattr(linkage, "_tiles", lambda *a: passes.append(len(a)) or tiles(*a))
+    got = linkage.average(x)
+    assert (got[:, [0, 1, 3]] == want[:, [0, 1, 3]]).all() and np.allclose(got[:, 2], want[:, 2])
+    assert len(passes) <= 3
+
+
+@pytest.mark.parametrize("looked_up, listed", [(0, 40), (3, 40), (1000, 2), (1000, 10_000)])
+def test_sweeps_may_end_early(monkeypatch, looked_up, listed):
+    """Sweeps that may look up nothing, or little, that list few pairs or all of them: the same merges. Dense and thin parts, equal points."""
+    rng = np.random.default_rng(looked_up + listed)
+    x = np.concatenate([rng.normal(size=(300, 3)) * 0.01, rng.normal(size=(200, 3)) + 4, rng.normal(size=(40, 3)) * 50])
+    x = np.concatenate([x, x[::7], x[::7], x[:3]])
+    want = linkage.average(x)
+    for name, number in (("TABLE", 60), ("TILE", 32), ("STRIP", 16), ("LOOKED_UP", looked_up), ("LISTED", listed)):
+        monkeypatch.setattr(linkage, name, number)
+    got = linkage.average(x)
+    assert np.allclose(got[:, 2], want[:, 2]) and (got[got[:, 2] > 0, 3] == want[want[:, 2] > 0, 3]).all()
+    for k in (2, 5, 30, 200):
+        assert (linkage.cut(got, k) == linkage.cut(want, k)).all()
+
+
+def test_pairs_of_one_distance_are_merged(monkeypatch):
+    """More pairs of the least distance than a sweep lists: it lists none, and the nearest clusters are merged instead."""
+    monkeypatch.setattr(linkage, "TABLE", 20)
+    x = np.stack(np.meshgrid(np.arange(16.0), np.arange(16.0)), axis=-1).reshape(-1, 2)
+    for listed in (1, 40):
+        monkeypatch.setattr(linkage, "LISTED", listed)
+        z = linkage.average(x)
+        assert len(z) == 255 and z[-1, 3] == 256 and (np.diff(z[:, 2]) >= 0).all() and z[0, 2] == 1
+        assert linkage.dispersions(z, [3, 9]) == pytest.approx([linkage.dispersion(x, linkage.cut(z, k)) for k in (3, 9)])
+
+
 def test_groups_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     """A group of over 3,000 points is one task's work: the jobs of rounds over blocks fill the driver and take minutes."""
     monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
