@@ -193,6 +193,34 @@ def test_pairs_of_one_distance_are_merged(monkeypatch):
         assert linkage.dispersions(z, [3, 9]) == pytest.approx([linkage.dispersion(x, linkage.cut(z, k)) for k in (3, 9)])
 
 
+@pytest.mark.parametrize("shift, listed", [(0, 400), (0, 50_000), (1e4, 400)])
+def test_rough_sweeps_hide_no_pair(shift, listed):
+    """A sweep in single precision lists every pair below its bound, of points and of clusters, by the exact distance; where rounding hides too much it lists none, and a full sweep does."""
+    rng = np.random.default_rng(22)
+    x = np.concatenate([rng.normal(size=(290, 4)), rng.normal(size=(10, 4)) + shift])
+    for number in (300, 100):
+        cluster = np.arange(300) % number
+        want = {(i, j): linkage.apart(x[cluster == i], x[cluster == j]).mean() for i in range(number) for j in range(i)}
+        got = linkage._short_by_points(x, np.ones(300), cluster, listed)
+        if shift:
+            assert got is None
+            continue
+        one, other, far, bound = got
+        below = {pair for pair, d in want.items() if d < bound * (1 - 1e-12)}
+        assert below == set(zip(one.tolist(), other.tolist())) and below
+        assert far == pytest.approx([want[pair] for pair in zip(one.tolist(), other.tolist())])
+
+
+def test_tens_of_thousands_of_points_fill_no_disk(spark, monkeypatch):
+    """More points than single linkage has in a task: rounds would shuffle each point as often as there are blocks, and write tables of all points by round."""
+    monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
+    monkeypatch.setattr(clustering, "REFERENCES", 1)
+    rng = np.random.default_rng(23)
+    assert clustering.LOCAL_SINGLE == 20_000
+    got = clustering.gap_table(vectors(spark, {"g": rng.normal(size=(20_100, 2))}), "grp", "key", "features")
+    assert sorted(r.k for r in got.collect()) == list(range(3, 11))
+
+
 def test_groups_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     """A group of over 3,000 points is one task's work: the jobs of rounds over blocks fill the driver and take minutes."""
     monkeypatch.setattr(forest, "average", lambda points: pytest.fail("rounds of jobs"))
