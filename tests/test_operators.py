@@ -260,6 +260,20 @@ def test_votes_of_thousands_take_no_rounds_of_jobs(spark, monkeypatch):
     assert sorted((r.k, r["count"]) for r in got) == [(4, 775)] * 4
 
 
+def test_chosen_clusters_are_those_that_were_scored(spark, monkeypatch):
+    """The clusters of the k that a group chooses come from the clustering that was scored, and are those of a cut into that k."""
+    rng = np.random.default_rng(24)
+    df = vectors(spark, {"a": rng.normal(size=(40, 2)), "b": rng.normal(size=(12, 3)), "few": rng.normal(size=(4, 2))})
+    plain = clustering._cut_of
+    monkeypatch.setattr(clustering, "_cut_of", lambda *a: pytest.fail("clustered again"))
+    got = {(r.grp, r.key): (r.cluster, r.k) for r in clustering.assign(df, "grp", "key", "features").collect()}
+    monkeypatch.setattr(clustering, "_cut_of", plain)
+    assert {g for g, _ in got} == {"a", "b"}
+    for k in {k for _, k in got.values()}:
+        want = {(r.grp, r.key): (r.cluster, k) for r in clustering.assign(df, "grp", "key", "features", k).collect()}
+        assert all(want[at] == v for at, v in got.items() if v[1] == k)
+
+
 def test_equal_points_are_clustered_once(monkeypatch):
     """Copies of a point stand in for it by their number: a table of the distinct ones is all that is made, and merges of copies come by the smaller members."""
     x = np.random.default_rng(11).random((40, 3))
