@@ -53,6 +53,15 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(plain(dict(zip(want.columns, r))[c]) for c in names) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("points", [cluster_queries._profiles, cluster_queries._months])
+def test_points_are_shuffled_once(spark, points):
+    """One dealing by user serves every grouping on the way to the points."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    plan = points(spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("name, sql", [("monthly_recluster", cluster_queries.MONTHLY_SQL), ("k_per_group", cluster_queries.K_SQL)])
 def test_query_with_slow_sql(spark, duck, name, sql):
     df = registry.ENTRIES[name][0](spark, SF)
